@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 #: Texts longer than this many code points go to the library in pieces.
 PIECE_CHARS = 1 << 16
 
-#: Between a character that is not white space and one that is, every match ends and the next match starts afresh,
-#: whatever surrounds them: so a text may be cut there.
-_SAFE = regex.compile(r"(?<=\S)(?=\s)")
+#: Between a letter and a space or line break every match ends and the next one starts afresh, whatever surrounds
+#: them: so a text may be cut there.
+_SAFE = regex.compile(r"(?<=\p{L})(?=[ \n])")
 
 
 @lru_cache(maxsize=4)
