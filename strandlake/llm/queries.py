@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe
+from strandlake.llm import bpe, decontaminate
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    names = F.array_join(F.array_sort(F.transform("_item_ids", lambda x: x.cast("string"))), ",")
+    n_hit = F.aggregate("_hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        "doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_item_ids").cast("long").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), (F.size("_hit_spans") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe,)}
+    return {f.__name__: f for f in (op2_byte_bpe, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
