@@ -1,0 +1,48 @@
+"""Connected components by alternating large and small stars; every round is a written table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+from strandlake.llm.common import materialize
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
+    sides = _both(edges)
+    least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Links a node and its smaller neighbours to the smallest of them. Here a > b in each edge."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    joined = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return joined.unionByName(least.select("a", F.col("m").alias("b")))
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the smallest node of the component of every node that has a link.
+
+    links: pairs of longs in any order; repeated ones and loops do no harm. Both stars aggregate before they join, so a
+    node with a great many links is one row of the aggregate, and the join's large side can be split. Rounds end when
+    the edges no longer change; no links give no rows.
+    """
+    x, y = F.col(a), F.col(b)
+    edges = links.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+    state = None
+    while True:
+        seen = Observation()
+        measure = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        edges = materialize(edges.observe(seen, *measure), "edges")
+        now = (seen.get["n"], seen.get["h"])
+        if not now[0] or now == state:
+            break
+        state = now
+        edges = _small_star(_large_star(edges).distinct()).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select("b", "b").toDF("node", "root").distinct())

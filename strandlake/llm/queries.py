@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, chat, decontaminate, sharding, url_filter
+from strandlake.llm import bpe, chat, decontaminate, sharding, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.group(simhash.fingerprints(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 #: Fixed values of op8: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -135,7 +140,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op8_url_rules, op9_winnowing)}
+    return {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op8_url_rules, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
