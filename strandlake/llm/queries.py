@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, chat, decontaminate, sharding, simhash, url_filter
+from strandlake.llm import bpe, chat, decontaminate, sharding, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3
+    machine = toxicity.train(docs, _table(spark, sf_dir, "labels").where(remainder != 1))
+    out = toxicity.score(docs, machine, keep=["doc_id"])
+    return out.select("doc_id", (remainder == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 #: Fixed values of op8: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -140,7 +148,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op8_url_rules, op9_winnowing, op10_simhash)}
+    return {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op6_toxicity, op8_url_rules, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
