@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, chat, decontaminate, sharding, simhash, suffix_dedup, toxicity, url_filter
+from strandlake.llm import bpe, chat, decontaminate, fingerprint, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,34 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprint.beside_next(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def texts(ids: DataFrame | None) -> DataFrame:
+        own = rows(ids).withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text"), F.col("n_chars")))
+        return own.withColumns({"canon": fingerprint.canonical(F.col("text")), "canon_e": fingerprint.canonical(F.col("edited")), "canon_n": fingerprint.canonical(F.col("next_text"))})
+
+    def pairs(ids: DataFrame | None) -> DataFrame:
+        both = texts(ids).select(F.explode(F.array("canon", "canon_e")).alias("canon"))
+        return both.select(fingerprint.wide_hash(F.col("canon")).alias("h"), "canon")
+
+    each = {"f": "canon", "e": "canon_e", "n": "canon_n"}
+    hashes = {k: fingerprint.wide_hash(F.col(c)) for k, c in each.items()} | {f"{k}_sha": F.sha2(c, 256) for k, c in each.items()}
+    hashed = texts(None).select("key", "next_key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(c.alias(k) for k, c in hashes.items()))
+    hashed = fingerprint.materialize(hashed, "hashed")
+
+    def again(ids: DataFrame | None) -> DataFrame:
+        after = ids and hashed.join(F.broadcast(ids), F.col("key").eqNullSafe(F.col("_id")), "left_semi").select(F.col("next_key").alias("_id"))
+        return pairs(ids and ids.unionByName(after).distinct())
+
+    out = fingerprint.settle(hashed, ["f", "e", "n"], again, "key")
+    like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
+    return out.select(
+        F.col("key").alias("doc_id"), "n_chars", "edited_sha256", F.col("f").alias("fingerprint"), F.col("e").alias("edited_fingerprint"),
+        like("f", "e").alias("near_edited"), like("f", "n").alias("near_next"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     remainder = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3
@@ -158,7 +186,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op6_toxicity, op7_suffix_dedup, op8_url_rules, op9_winnowing, op10_simhash)}
+    return {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op4_fingerprints, op6_toxicity, op7_suffix_dedup, op8_url_rules, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
