@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, chat, decontaminate, fingerprint, sharding, simhash, suffix_dedup, toxicity, url_filter
+from strandlake.llm import bpe, chat, decontaminate, fingerprint, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     remainder = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3
@@ -186,7 +190,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op4_fingerprints, op6_toxicity, op7_suffix_dedup, op8_url_rules, op9_winnowing, op10_simhash)}
+    return {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op4_fingerprints, op5_importance, op6_toxicity, op7_suffix_dedup, op8_url_rules, op9_winnowing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
