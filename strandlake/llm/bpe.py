@@ -52,23 +52,22 @@ def decode_ids(ids: np.ndarray, ranks_path: str, pattern: str) -> bytes:
     return encoding(ranks_path, pattern).decode_bytes(ids.tolist())
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens long, ids binary): each text's ids as little-endian unsigned 32-bit integers.
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (None: doc_id), n_tokens long, and ids binary: little-endian unsigned 32-bit integers.
 
     A map without a shuffle; a null text counts as empty and has no ids; repeated rows give repeated rows. The rank
     file must be at ranks_path on every executor.
     """
-    schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    keep = keep or ["doc_id"]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [encode_text(x or "", ranks_path, pattern) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                [key, "n_tokens", "ids"],
-            )
+            ids = [encode_text(x or "", ranks_path, pattern) for x in batch.column(len(keep)).to_pylist()]
+            own = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *own], names=schema.names)
 
-    return df.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -84,6 +83,6 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids")
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids binary, decoded binary)."""
-    return decode(encode(df, ranks_path, pattern, key, text), ranks_path, pattern)
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep`, n_tokens, ids binary, decoded binary."""
+    return decode(encode(df, ranks_path, pattern, text, keep), ranks_path, pattern)

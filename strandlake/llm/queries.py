@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strandlake.llm import bpe, chat, decontaminate, fingerprint, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 
@@ -190,7 +191,8 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op4_fingerprints, op5_importance, op6_toxicity, op7_suffix_dedup, op8_url_rules, op9_winnowing, op10_simhash)}
+    own = {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op4_fingerprints, op5_importance, op6_toxicity, op7_suffix_dedup, op8_url_rules, op9_winnowing, op10_simhash)}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -112,3 +112,135 @@ def group(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS, segm
     least = labelled.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = labelled.join(least, "_root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(named, prints["fp"] == named["_fp"]).select(key, "fp", "component_id")
+
+
+#: The wide fingerprints of near-duplicate search: 64-bit lanes, segments of each lane, their width, and how many of a
+#: segment's least certain bits span the ball that is enumerated.
+LANES, LANE_SEGMENTS, SEGMENT_BITS, FREE_BITS = 3, 3, 21, 3
+
+
+def distance_limit(similarity: float, bits: int = 64 * LANES) -> int:
+    """Differing bits at which the estimated Jaccard similarity of shingle sets of like size is still `similarity`."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(float(np.arccos(cosine)) / np.pi * bits)
+
+
+def wide_simhash(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lanes, keys): LANES fingerprints of the distinct shingles under different seeds, and the probes.
+
+    A segment's probes are the values in which any of its FREE_BITS least certain bits are turned, itself first: those
+    that an edited copy turns most likely.
+    """
+    lanes, keys = [], []
+    for lane in range(LANES):
+        hashes = np.unique(shingle_hashes(text, words, SEED + lane))
+        margin = bit_counts(hashes) * 2 - len(hashes)
+        bits = margin > 0
+        lanes.append(int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True))
+        for s in range(LANE_SEGMENTS):
+            part = slice(s * SEGMENT_BITS, (s + 1) * SEGMENT_BITS)
+            value = int("".join("1" if b else "0" for b in bits[part]), 2)
+            free = [1 << (SEGMENT_BITS - 1 - int(i)) for i in np.argsort(np.abs(margin[part]), kind="stable")[:FREE_BITS]]
+            tag = (lane * LANE_SEGMENTS + s) << 32
+            for turned in range(1 << FREE_BITS):
+                mask = sum(f for i, f in enumerate(free) if turned >> i & 1)
+                keys.append(tag | (value ^ mask))
+    return np.array(lanes, np.int64), np.array(keys, np.int64)
+
+
+def wide_fingerprints(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(key, lanes array, keys array) of whole texts."""
+    schema = T.StructType([df.schema[key], T.StructField("lanes", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [wide_simhash(x or b"", words) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            columns = [pa.array([b[i] for b in both], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+
+
+def _links(limit: int):
+    """Sorted rows (probe, node, lanes...) to links (a, b) that join the near nodes of each probe into a tree.
+
+    In a run of equal probes one node after another is taken up and compared with the nodes that no earlier one has
+    reached: a dense run costs about its length, and as many links leave it as nodes are joined.
+    """
+
+    def tree(node: np.ndarray, lanes: np.ndarray, out: list[tuple[int, int]]) -> None:
+        left = np.arange(len(node))
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                near = np.bitwise_count(lanes[left] ^ lanes[at]).sum(axis=1) <= limit
+                out += [(int(node[at]), int(n)) for n in node[left[near]]]
+                queue += left[near].tolist()
+                left = left[~near]
+
+    def pairs(probe: np.ndarray, node: np.ndarray, lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(probe), bool)
+        new[1:] = probe[1:] != probe[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(probe)))
+        out: list[tuple[int, int]] = []
+        for small in range(2, 9):
+            start = first[size == small]
+            for i in range(small):
+                for j in range(i + 1, small):
+                    near = np.bitwise_count(lanes[start + i] ^ lanes[start + j]).sum(axis=1) <= limit
+                    out += zip(node[start[near] + i].tolist(), node[start[near] + j].tolist(), strict=True)
+        for f, n in zip(first[size > 8].tolist(), size[size > 8].tolist(), strict=True):
+            tree(node[f : f + n], lanes[f : f + n], out)
+        a, b = zip(*sorted({(min(x), max(x)) for x in out if x[0] != x[1]}), strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if not len(rows[0]):
+                continue
+            last = np.searchsorted(rows[0], rows[0][-1])  # the last probe may go on in the next batch
+            if last:
+                parts = [*held, [c[:last] for c in rows]]
+                whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                yield from pairs(whole[0], whole[1], np.stack(whole[2:], 1).view(np.uint64))
+                held = []
+            held.append([c[last:] for c in rows])
+        if held:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield from pairs(whole[0], whole[1], np.stack(whole[2:], 1).view(np.uint64))
+
+    return run
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component_id, rows) for every distinct key of docs: the smallest key of its group of near-duplicates.
+
+    Two texts are linked if the similarity of their sets of `words`-word shingles, as estimated from the whole distance
+    of their fingerprints, is at least `similarity`; groups are what links reach. Candidates share a probe of a segment,
+    so links are found with high probability, not surely (the README has figures). Equal fingerprints are one node.
+    Null and empty texts are equal. A null key counts as the smallest; rows that share a key share a group.
+    """
+    own = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(f"`{text}`").alias("text"))
+    prints = materialize(wide_fingerprints(own, "id", "text", words), "prints")
+    nodes = prints.groupBy("lanes").agg(F.min("id").alias("node"))
+    probes = prints.join(nodes.withColumnRenamed("lanes", "_lanes"), (F.col("lanes") == F.col("_lanes")) & (F.col("id") == F.col("node"))).select("node", "lanes", F.explode("keys").alias("probe"))
+    rows = probes.select("probe", "node", *(F.col("lanes")[i].alias(f"l{i}") for i in range(LANES)))
+    links = rows.repartition("probe").sortWithinPartitions("probe").mapInArrow(_links(distance_limit(similarity)), "a long, b long")
+    own_node = prints.select("id", "lanes").join(nodes.withColumnRenamed("lanes", "_lanes"), F.col("lanes") == F.col("_lanes")).select("id", "node")
+    copies = own_node.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    roots = components(links.unionByName(copies))
+    counted = prints.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    named = counted.join(roots, counted["id"] == roots["node"], "left")
+    return named.select(F.col("id").alias(key), F.coalesce("root", "id").alias("component_id"), "rows")
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group: that with the smallest key, of several rows with that key any one. All columns stay."""
+    groups = materialize(near_groups(docs, key, text, words, similarity), "groups")
+    first = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first"))
+    kept = docs.join(first, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))) == F.col("_first"), "left_semi")
+    return kept if groups.where("rows > 1").isEmpty() else kept.dropDuplicates([key])
