@@ -109,19 +109,22 @@ def wide_hash(text: Column) -> Column:
 
 
 def different_in_bucket(texts: DataFrame) -> DataFrame:
-    """(h, sha, place) of the texts(h, canon) of all buckets that hold different bytes: places from 0 in byte order.
+    """(h, sha, place) of the texts(h, canon) of all buckets that hold different bytes: places from 0.
 
-    Copies are combined before the shuffle, so a bucket costs one row for each of its different texts and task.
+    Rows are grouped by hash and bytes; copies are combined before the shuffle, so a bucket costs one row for each of
+    its different texts and task. Digests of the texts that were told apart go on.
     """
-    distinct = texts.groupBy("h", "canon").agg(F.count(F.lit(1)).alias("_n"))
-    shared = distinct.withColumn("_texts", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_texts > 1")
-    place = F.row_number().over(Window.partitionBy("h").orderBy("canon")) - 1
-    return shared.select("h", F.sha2("canon", 256).alias("sha"), place.alias("place"))
+    distinct = texts.groupBy("h", "canon").agg(F.count(F.lit(1)).alias("_n")).select("h", F.sha2("canon", 256).alias("sha"))
+    distinct = materialize(distinct, "distinct")
+    shared = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("h")
+    return distinct.join(shared, "h").select("h", "sha", (F.row_number().over(Window.partitionBy("h").orderBy("sha")) - 1).alias("place"))
 
 
-def settle(hashed: DataFrame, columns: list[str], texts_of: Callable[[DataFrame | None], DataFrame], key: str = "doc_id") -> DataFrame:
+def settle(hashed: DataFrame, columns: list[str], texts_of: Callable[[DataFrame | None], DataFrame], key: str = "doc_id", again: tuple[str, ...] = ()) -> DataFrame:
     """Turns the hash columns of `hashed` (each with a column <name>_sha beside it) to fingerprints.
 
+    again: further hash columns, of texts that the other columns hold in other rows.
+
     texts_of(ids) gives texts(h, canon) again for the rows with these ids (None: of all). It is asked for the rows of
     shared buckets alone while their ids can be broadcast.
     """
@@ -138,7 +141,7 @@ def settle(hashed: DataFrame, columns: list[str], texts_of: Callable[[DataFrame
     clashes = materialize(different_in_bucket(texts), "clashes")
     if clashes.isEmpty():
         return hashed
-    for c in columns:
+    for c in [*columns, *again]:
         other = clashes.select(F.col("h").alias("_h"), F.col("sha").alias("_s"), "place")
         joined = hashed.join(other, (F.col(c) == F.col("_h")) & (F.col(f"{c}_sha") == F.col("_s")), "left")
         hashed = joined.withColumn(c, F.when(F.col("place") > 0, F.concat(c, F.lit("-"), F.col("place").cast("string"))).otherwise(F.col(c))).drop("_h", "_s", "place")

@@ -65,7 +65,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         after = ids and hashed.join(F.broadcast(ids), F.col("key").eqNullSafe(F.col("_id")), "left_semi").select(F.col("next_key").alias("_id"))
         return pairs(ids and ids.unionByName(after).distinct())
 
-    out = fingerprint.settle(hashed, ["f", "e", "n"], again, "key")
+    out = fingerprint.settle(hashed, ["f", "e"], again, "key", again=("n",))
     like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
     return out.select(
         F.col("key").alias("doc_id"), "n_chars", "edited_sha256", F.col("f").alias("fingerprint"), F.col("e").alias("edited_fingerprint"),
