@@ -84,17 +84,22 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
     places = np.full(KINDS * TERMS, -1, np.int16)
     if not n:
         return Machine(places, np.zeros(1), np.zeros((1, factors)))
-    size = np.array([len(b) for b in bags])
-    row, term = np.repeat(np.arange(n), size), np.concatenate(bags).astype(np.int64)
-    seen, told = np.bincount(term, minlength=KINDS * TERMS), np.bincount(term, labels[row], minlength=KINDS * TERMS)
     rate = (positive + 1) / (n + 2)
-    z = (told - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
+    seen, told = np.zeros(KINDS * TERMS, np.int32), np.zeros(KINDS * TERMS, np.int32)
+    for at in range(0, n, 500):
+        for counts, some in ((seen, bags[at : at + 500]), (told, [b for b, y in zip(bags[at : at + 500], labels[at : at + 500], strict=True) if y])):
+            if some:
+                term, times = np.unique(np.concatenate(some), return_counts=True)
+                counts[term] += times.astype(np.int32)
     candidates = np.flatnonzero(seen >= 4)
-    chosen = candidates[np.argsort(-np.abs(z[candidates]), kind="stable")][:features]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= 3])
+    often = seen[candidates]
+    z = (told[candidates] - often * rate) / np.sqrt(often * rate * (1 - rate))
+    best = np.argsort(-np.abs(z), kind="stable")[:features]
+    chosen = np.sort(candidates[best[np.abs(z[best]) >= 3]])
     places[chosen] = np.arange(len(chosen), dtype=np.int16)
-    feature = places[term].astype(np.int64)
-    row, feature = row[feature >= 0], feature[feature >= 0]
+    known = [places[b] for b in bags]
+    known = [k[k >= 0].astype(np.int64) for k in known]
+    row, feature = np.repeat(np.arange(n), [len(k) for k in known]), np.concatenate(known)
     m = len(chosen)
     random = np.random.default_rng(seed)
     w, v = np.zeros(m + 1), random.normal(0, 0.05, (m + 1, factors))
