@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.llm.common import chunks
+
 #: Texts longer than this many code points go to the library in pieces.
 PIECE_CHARS = 1 << 16
 
@@ -52,22 +54,33 @@ def decode_ids(ids: np.ndarray, ranks_path: str, pattern: str) -> bytes:
     return encoding(ranks_path, pattern).decode_bytes(ids.tolist())
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of df (None: doc_id), n_tokens long, and ids binary: little-endian unsigned 32-bit integers.
-
-    A map without a shuffle; a null text counts as empty and has no ids; repeated rows give repeated rows. The rank
-    file must be at ranks_path on every executor.
-    """
-    keep = keep or ["doc_id"]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+def _coder(ranks_path: str, pattern: str, schema: T.StructType, keep: int, back: bool):
+    """Arrow batches of `keep` columns and a text to those columns, n_tokens and ids, and with `back` decoded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [encode_text(x or "", ranks_path, pattern) for x in batch.column(len(keep)).to_pylist()]
-            own = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *own], names=schema.names)
+            for a, b in chunks(batch.column(keep)):
+                part = batch.slice(a, b - a)
+                ids = [encode_text(x or "", ranks_path, pattern) for x in part.column(keep).to_pylist()]
+                own = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+                if back:
+                    own.append(pa.array([decode_ids(x, ranks_path, pattern) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *own], names=schema.names)
+
+    return run
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, back: bool = False) -> DataFrame:
+    """The columns `keep` of df (None: doc_id), n_tokens long, and ids binary: little-endian unsigned 32-bit integers.
+
+    back: also `decoded` binary, what the ids decode to, in the same pass. A map without a shuffle; a null text counts
+    as empty and has no ids; repeated rows give repeated rows. The rank file must be at ranks_path on every executor.
+    """
+    keep = keep or ["doc_id"]
+    more = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.BinaryType())] * back
+    schema = T.StructType([*(df.schema[c] for c in keep), *more])
+    source = df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    return source.mapInArrow(_coder(ranks_path, pattern, schema, len(keep), back), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -76,13 +89,15 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            raw = [decode_ids(np.frombuffer(x or b"", "<u4"), ranks_path, pattern) for x in packed]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], schema.names)
+            for a, b in chunks(batch.column(batch.schema.get_field_index(ids))):
+                part = batch.slice(a, b - a)
+                packed = part.column(batch.schema.get_field_index(ids)).to_pylist()
+                raw = [decode_ids(np.frombuffer(x or b"", "<u4"), ranks_path, pattern) for x in packed]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep`, n_tokens, ids binary, decoded binary."""
-    return decode(encode(df, ranks_path, pattern, text, keep), ranks_path, pattern)
+    """The columns `keep`, n_tokens, ids binary, decoded binary; one pass."""
+    return encode(df, ranks_path, pattern, text, keep, back=True)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import materialize
+from strandlake.llm.common import chunks, materialize
 from strandlake.llm.graph import components
 
 WORDS = 4
@@ -55,10 +55,12 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [simhash(x or b"", words, seed) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], [key, "fp"])
+            for a, b in chunks(batch.column(1)):
+                part = batch.slice(a, b - a)
+                prints = [simhash(x, words, seed) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64())], [key, "fp"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
 def segment_radii(max_bits: int, segments: int) -> list[int]:
@@ -154,11 +156,13 @@ def wide_fingerprints(df: DataFrame, key: str, text: str, words: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [wide_simhash(x or b"", words) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            columns = [pa.array([b[i] for b in both], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+            for a, b in chunks(batch.column(1)):
+                part = batch.slice(a, b - a)
+                both = [wide_simhash(x, words) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                columns = [pa.array([x[i] for x in both], pa.list_(pa.int64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
 def _links(limit: int):

@@ -262,22 +262,24 @@ def _cut(with_key: T.StructType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            n = batch.num_columns - 2
-            kept, spans = [], []
-            for text, found in zip(batch.column(n).cast(pa.binary()).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
-                text, parts, at, own = text or b"", [], 0, []
-                for s, e in sorted((f["start"], f["end"]) for f in found or ()):
-                    if own and s <= own[-1]["end"]:
-                        own[-1]["end"] = max(own[-1]["end"], e)
-                    else:
-                        own.append({"start": s, "end": e})
-                for f in own:
-                    parts.append(text[at : f["start"]])
-                    at = f["end"]
-                kept.append(b"".join([*parts, text[at:]]))
-                spans.append(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(kept, pa.binary()), pa.array(spans, span_type)], names=with_key.names)
+        for whole in batches:
+            n = whole.num_columns - 2
+            for a, b in chunks(whole.column(n)):
+                batch = whole.slice(a, b - a)
+                kept, spans = [], []
+                for text, found in zip(batch.column(n).cast(pa.binary()).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
+                    parts, at, own = [], 0, []
+                    for s, e in sorted((f["start"], f["end"]) for f in found or ()):
+                        if own and s <= own[-1]["end"]:
+                            own[-1]["end"] = max(own[-1]["end"], e)
+                        else:
+                            own.append({"start": s, "end": e})
+                    for f in own:
+                        parts.append(text[at : f["start"]])
+                        at = f["end"]
+                    kept.append(b"".join([*parts, text[at:]]))
+                    spans.append(own)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(kept, pa.binary()), pa.array(spans, span_type)], names=with_key.names)
 
     return run
 
