@@ -29,7 +29,6 @@ _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass
@@ -104,7 +103,7 @@ class Index:
     def of(cls, ids: list[int], texts: list[str | None], window: int, k: int) -> Index:
         words = Words.of(pa.array(texts, pa.string()))
         counts = np.bincount(words.text, minlength=len(texts))
-        first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        first = (np.cumsum(counts) - counts).astype(np.int64)
         known: dict[bytes, int] = {}
         content: list[bytes] = []
         items: list[list[int]] = []
@@ -155,7 +154,7 @@ def _scan(column: pa.Array, index: Index, before: list | None) -> Iterator[tuple
         words = Words.of(column.slice(a, b - a))
         n = b - a
         counts = np.bincount(words.text, minlength=n)
-        first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        first = (np.cumsum(counts) - counts).astype(np.int64)
         cover = np.zeros(len(words.start) + 1, np.int64)
         names: dict[int, set] = {}
         for i, size, w in index.hits(words):

@@ -99,7 +99,7 @@ def _from_code(n: Column) -> Column:
 def canonical(text: Column) -> Column:
     """Composed, case folded (by way of upper case, so that sharp s meets ss), runs of white space as one space, none at
     the ends. A null text counts as empty."""
-    folded = F.lower(F.upper(compose(F.coalesce(text, F.lit("")))))
+    folded = F.lower(F.replace(F.upper(compose(F.coalesce(text, F.lit("")))), F.lit("ẞ"), F.lit("SS")))
     return F.trim(F.regexp_replace(folded, r"[\s\u0085   -     　]+", " "))
 
 
