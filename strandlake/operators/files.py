@@ -50,6 +50,14 @@ def status_counts(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("samples"))
 
 
+def accounting(samples: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row (total, ok, failed, unaccounted) of distinct sample ids."""
+    count = lambda df: df.agg(F.count_distinct("sample_id").alias("n")).scalar()
+    known = samples.agg(F.count_distinct("sample_id").alias("total"))
+    both = known.withColumns({"ok": count(done), "failed": count(failed)})
+    return both.withColumn("unaccounted", F.col("total") - F.col("ok") - F.col("failed"))
+
+
 def locus_lookup(loci: DataFrame, name: str) -> DataFrame:
     """(chrom, start, end, midpoint) of the first line with the name."""
     first = loci.where(F.col("name") == name).orderBy("line_no").limit(1)

@@ -20,6 +20,11 @@ def region_slice(alignments: DataFrame, chrom: str, start: int, end: int) -> Dat
     return alignments.where((F.col("chrom") == chrom) & (F.col("pos") >= start) & (F.col("pos") < end))
 
 
+def write_slices(alignments: DataFrame, path: str, chrom: str, start: int, end: int) -> None:
+    """Slices of all samples at once, one folder for each."""
+    region_slice(alignments, chrom, start, end).write.mode("overwrite").partitionBy("sample_id").parquet(path)
+
+
 def write_indexed(alignments: DataFrame, path: str, partitions: int = 64) -> None:
     """Parquet ordered by (chrom, pos), so that row-group statistics serve as the index of a region scan."""
     alignments.repartitionByRange(partitions, "chrom", "pos").sortWithinPartitions("chrom", "pos").write.mode("overwrite").parquet(path)

@@ -176,6 +176,7 @@ ORACLE: dict[str, str] = {
     "sample_overlap": _sql("SELECT sample_id FROM exons INTERSECT SELECT sample_id FROM some_reads"),
     "file_status": _sql("SELECT * FROM status"),
     "file_status_counts": _sql("SELECT status, count(*)::BIGINT AS samples FROM status GROUP BY status"),
+    "accounting": _sql("SELECT *, total - ok - failed AS unaccounted FROM (SELECT count(*)::BIGINT AS total, count_if(idx % 3 = 0)::BIGINT AS ok, count_if(idx % 3 = 1 AND idx % 2 = 0)::BIGINT AS failed FROM samples)"),
     "longest_prefix_sample": _sql("""SELECT path, CASE WHEN substr(path, 8, 5)::BIGINT % 3 = 0 THEN substr(path, 7, 6) || '_v1' ELSE substr(path, 7, 6) END AS sample_id FROM listing"""),
     "locus_lookup": "SELECT 'chr6' AS chrom, p_partkey * 1000 AS start, p_partkey * 1000 + 501 AS \"end\", (p_partkey * 2000 + 501) // 2 AS midpoint FROM part WHERE p_brand = 'Brand#17' ORDER BY p_partkey LIMIT 1",
     "dedup_last_wins": "SELECT l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +31,17 @@ class Pipeline:
         for name, step in steps.items():
             if not self.config.enabled(name):
                 continue
+            began = time.monotonic()
             try:
                 done[name] = step(spark)
+                log.info("step %s took %.1f s", name, time.monotonic() - began)
             except Exception:
                 if self.fail_fast:
                     raise
                 log.exception("step %s failed", name)
+        if self.config.step("mosdepth").get("remove_intermediate"):
+            done = {}
+            self.remove_tables(spark)
         return done
 
     def _out(self, step: str) -> str:
@@ -52,6 +58,12 @@ class Pipeline:
     def _samples(self, spark: SparkSession) -> DataFrame:
         return text.read_samples(spark, self.v["samples_file"]).select("sample_id").distinct()
 
+    def remove_tables(self, spark: SparkSession) -> None:
+        """Deletes the tables between steps, by Spark's own file system."""
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.v.get('output_dir', '.')}/tables")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def index(self, spark: SparkSession) -> DataFrame:
         status = files.file_status(self._samples(spark), text.list_files(spark, self.v["directory_loc"]), self.v["file_type"])
         sinks.write_table(status, self._out("index"))

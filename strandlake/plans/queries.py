@@ -253,6 +253,12 @@ def file_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return files.status_counts(files.file_status(S.samples(spark, d), _listing(spark, d), "cram"))
 
 
+@query
+def accounting(spark: SparkSession, d: str) -> DataFrame:
+    own = S.samples(spark, d)
+    return files.accounting(own, own.where("idx % 3 = 0"), own.where("idx % 3 = 1 and idx % 2 = 0"))
+
+
 @query
 def longest_prefix_sample(spark: SparkSession, d: str) -> DataFrame:
     """Samples are S00001 and S00001_v1 and so on; the longer name wins where it is known."""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.columns import normalize_sample_id
+from strandlake.functions.columns import norm_chrom, normalize_sample_id
 from strandlake.operators.files import longest_prefix_sample
 
 
@@ -155,3 +155,14 @@ def read_loci(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, chrom, start, end, name): fields 1 to 3 and 7."""
     f = F.split("value", r"\s+")
     return _lines(spark, path).where(F.size(f) >= 7).select("line_no", f[0].alias("chrom"), _cast(f[1], "bigint").alias("start"), _cast(f[2], "bigint").alias("end"), f[6].alias("name"))
+
+
+def read_panel(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, population): the first two fields, without the header."""
+    f = F.split(F.trim("value"), r"\s+")
+    return _lines(spark, path).where("line_no > 0").where(F.size(f) >= 2).select(f[0].alias("sample_id"), f[1].alias("population"))
+
+
+def map_of_chromosome(rows: DataFrame, chrom: str) -> DataFrame:
+    """The rows of one chromosome of a map, whether names have `chr` before them or not."""
+    return rows.where(norm_chrom(F.col("chr")) == norm_chrom(F.lit(chrom)))

@@ -36,6 +36,10 @@ def test_readers(spark, tmp_path):
     assert rows(text.read_ibs(spark, write(tmp_path / "i.txt", "h\n1001\t1\t0\t1.5\t0.1\t1002\t2\n1001 0 0 1 1 1002 2\n"))) == [(1, "1001", 1, "1002", 2)]
     assert rows(text.read_ibd(spark, write(tmp_path / "ibd.txt", "A A_0 B B_1 6 100 200 x y 3.2 0.95\nshort\n"))) == [(0, "A", "A_0", "B", "B_1", 100, 200, 3.2, 0.95)]
     assert rows(text.read_genetic_map(spark, write(tmp_path / "g.txt.gz", "position Genetic_Map(cM)\n1 10\n3 30\n"))) == [(1, 10.0), (3, 30.0)]
+    panel = write(tmp_path / "p.txt", "sample pop\nS1 GBR x\n")
+    assert rows(text.read_panel(spark, panel)) == [("S1", "GBR")]
+    whole = text.read_map(spark, write(tmp_path / "m.map", "6\trs1\t0\t10\nchr6\trs2\t0\t20\n7\trs3\t0\t5\nbad\n"))
+    assert [r[1] for r in rows(text.map_of_chromosome(whole, "chr6"))] == ["rs1", "rs2"]
     sam = write(tmp_path / "a.sam", "@HD\nq\t83\tchr6\t101\t60\t10M\t=\t5\nbad\n")
     assert rows(text.read_sam(spark, sam, "S")) == [("S", "chr6", 100, 83, 60, "chr6")]
 
@@ -116,6 +120,8 @@ def test_whole_run_over_files(spark, tmp_path):
     assert done["compute_haploid_genotypes"].count() == 8 and done["neighbors"].count() == 24
     with pytest.raises(Exception):
         Pipeline(Config({**base, "compute_haploid_genotypes": {"run": True, "method": "x", "neighbor_file": ""}})).haploid(spark)
+    Pipeline(Config(base)).remove_tables(spark)
+    assert not (tmp_path / "out" / "tables").exists()
     assert "index" in Pipeline(Config({**base, "normalize": {"run": True, "repeat_mask_file": "/none"}}), fail_fast=False).run(spark)
 
 
