@@ -2,40 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from strandlake.tables import materialize
+
+__all__ = ["chunks", "grouped", "materialize", "mix", "powers", "prefix_sums", "span_hash", "spans_of", "utf8"]
 
 #: Bytes of text that a kernel turns into numpy arrays at once; one longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, the session gets a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir("/tmp/strandlake-checkpoints")
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get()
-    return f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage is cut and a lost executor costs only the reread."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes of text (one row at least)."""
     n = len(column)
@@ -107,3 +90,17 @@ def spans_of(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     before[inner] = False
     after[inner - 1] = False
     return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of sorted batches by their first column."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[0] != key:
+                yield rows
+                rows = []
+            key = row[0]
+            rows.append(row)
+    if rows:
+        yield rows

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import chunks, materialize
-from strandlake.llm.graph import components
+from strandlake.llm.common import chunks, grouped, materialize
+from strandlake.operators.graph import components
 
 WORDS = 4
 SEED = 42
@@ -165,8 +165,50 @@ def wide_fingerprints(df: DataFrame, key: str, text: str, words: int) -> DataFra
     return df.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
+#: Documents whose probes a task packs at once, and the top bits of a segment that with its number make a bucket: few
+#: enough that a document's probes of a segment share buckets, and its lanes are sent once for each.
+PACK_ROWS, BUCKET_BITS = 1 << 14, 9
+
+
+def _pack(buckets: int):
+    """(node, lanes, keys) to (bucket, packed): in each bucket the documents with their lanes, and their probes."""
+
+    def flush(node: np.ndarray, lanes: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        probe = keys.ravel()
+        owner = np.repeat(np.arange(len(node)), keys.shape[1])
+        bucket = ((probe >> 32 << BUCKET_BITS) + ((probe & 0xFFFFFFFF) >> (SEGMENT_BITS - BUCKET_BITS))) % buckets
+        order = np.lexsort((probe, owner, bucket))
+        bucket, owner, probe = bucket[order], owner[order], probe[order]
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        rows = []
+        for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+            own, place = np.unique(owner[a:b], return_inverse=True)
+            table = np.column_stack([node[own], lanes[own]]).astype("<i8")
+            rows.append((int(bucket[a]), len(own), table.tobytes() + place.astype("<i4").tobytes() + probe[a:b].astype("<i8").tobytes()))
+        for at in range(0, len(rows), 256):
+            k, n, packed = zip(*rows[at : at + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "n", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACK_ROWS):
+                part = batch.slice(at, PACK_ROWS)
+                lanes, keys = (part.column(i).flatten().to_numpy().reshape(part.num_rows, -1) for i in (1, 2))
+                yield from flush(part.column(0).to_numpy(), lanes, keys)
+
+    return run
+
+
+def _unpack(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, node, lanes) rows."""
+    table = np.frombuffer(packed, "<i8", n * (1 + LANES)).reshape(n, 1 + LANES)
+    m = (len(packed) - table.nbytes) // 12
+    place = np.frombuffer(packed, "<i4", m, table.nbytes)
+    return np.frombuffer(packed, "<i8", m, table.nbytes + 4 * m), table[place, 0], table[place, 1:].view(np.uint64)
+
+
 def _links(limit: int):
-    """Sorted rows (probe, node, lanes...) to links (a, b) that join the near nodes of each probe into a tree.
+    """Buckets of packed probes to links (a, b) that join the near nodes of each probe into a tree.
 
     In a run of equal probes one node after another is taken up and compared with the nodes that no earlier one has
     reached: a dense run costs about its length, and as many links leave it as nodes are joined.
@@ -201,21 +243,10 @@ def _links(limit: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if not len(rows[0]):
-                continue
-            last = np.searchsorted(rows[0], rows[0][-1])  # the last probe may go on in the next batch
-            if last:
-                parts = [*held, [c[:last] for c in rows]]
-                whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield from pairs(whole[0], whole[1], np.stack(whole[2:], 1).view(np.uint64))
-                held = []
-            held.append([c[last:] for c in rows])
-        if held:
-            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-            yield from pairs(whole[0], whole[1], np.stack(whole[2:], 1).view(np.uint64))
+        for rows in grouped(batches):
+            probe, node, lanes = (np.concatenate(x) for x in zip(*(_unpack(n, packed) for _, n, packed in rows), strict=True))
+            order = np.argsort(probe, kind="stable")
+            yield from pairs(probe[order], node[order], lanes[order])
 
     return run
 
@@ -228,12 +259,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     so links are found with high probability, not surely (the README has figures). Equal fingerprints are one node.
     Null and empty texts are equal. A null key counts as the smallest; rows that share a key share a group.
     """
-    own = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(f"`{text}`").alias("text"))
-    prints = materialize(wide_fingerprints(own, "id", "text", words), "prints")
+    texts = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(f"`{text}`").alias("text"))
+    prints = materialize(wide_fingerprints(texts, "id", "text", words), "prints")
     nodes = prints.groupBy("lanes").agg(F.min("id").alias("node"))
-    probes = prints.join(nodes.withColumnRenamed("lanes", "_lanes"), (F.col("lanes") == F.col("_lanes")) & (F.col("id") == F.col("node"))).select("node", "lanes", F.explode("keys").alias("probe"))
-    rows = probes.select("probe", "node", *(F.col("lanes")[i].alias(f"l{i}") for i in range(LANES)))
-    links = rows.repartition("probe").sortWithinPartitions("probe").mapInArrow(_links(distance_limit(similarity)), "a long, b long")
+    own = prints.join(nodes.withColumnRenamed("lanes", "_lanes"), (F.col("lanes") == F.col("_lanes")) & (F.col("id") == F.col("node"))).select("node", "lanes", "keys")
+    parts = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = own.mapInArrow(_pack(8 * parts), "bucket long, n int, packed binary")
+    links = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(distance_limit(similarity)), "a long, b long")
     own_node = prints.select("id", "lanes").join(nodes.withColumnRenamed("lanes", "_lanes"), F.col("lanes") == F.col("_lanes")).select("id", "node")
     copies = own_node.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     roots = components(links.unionByName(copies))

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import chunks, materialize, prefix_sums, span_hash, utf8
+from strandlake.llm.common import chunks, grouped, materialize, prefix_sums, span_hash, utf8
 
 LENGTH = 100
 GRAM = 32
 #: Segments that a map task gathers before it hands them on; copies among them are told at once.
-FLUSH = 1 << 19
+FLUSH = 1 << 17
 #: Buckets of anchors for each partition of the input, and their greatest number.
 BUCKETS_EACH, MOST_BUCKETS = 8, 1 << 18
 
@@ -89,6 +89,15 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return x[np.lexsort((x["lo"], x["t"], x["doc"], x["s"], x["h"]))]
 
 
+def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(firsts, later copies) of ordered segments by content; one that lies where its first lies, as in a repeated row,
+    is neither."""
+    first = _runs(x["h"], x["s"])
+    own = x[np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))]
+    same = (x["doc"] == own["doc"]) & (x["t"] == own["t"]) & (x["lo"] == own["lo"])
+    return x[first], x[~same]
+
+
 def _merged(doc: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Unions of the spans of each document."""
     if not len(doc):
@@ -108,9 +117,7 @@ def _map_side(length: int, gram: int, buckets: int):
     """Arrow batches (doc, t, text) to (bucket, told, packed): segments by anchor, and spans that are settled already."""
 
     def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x = _ordered(np.concatenate(parts))
-        first = _runs(x["h"], x["s"])
-        copies, x = x[~first], x[first]
+        x, copies = _split(_ordered(np.concatenate(parts)))
         rows: list[tuple[int, bool, bytes]] = []
         if len(copies):
             doc, t, start, end = _merged(copies["doc"], copies["t"], copies["lo"], copies["hi"] + length)
@@ -153,25 +160,11 @@ def _rows(doc: np.ndarray, t: np.ndarray, h: np.ndarray | None, start: np.ndarra
         yield pa.RecordBatch.from_arrays(columns, names=_FOUND.names)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of sorted batches by their first column."""
-    key, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and row[0] != key:
-                yield rows
-                rows = []
-            key = row[0]
-            rows.append(row)
-    if rows:
-        yield rows
-
-
 def _meet(length: int):
     """Buckets of segments to found rows: with a null h a repeated span, else a segment to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches):
+        for rows in grouped(batches):
             for _, told, packed in rows:
                 if told:
                     x = np.frombuffer(packed, _SEGMENT)
@@ -184,8 +177,7 @@ def _meet(length: int):
             x = _ordered(x[count[inverse] > 1])
             if not len(x):
                 continue
-            first = _runs(x["h"], x["s"])
-            copies, x = x[~first], x[first]
+            x, copies = _split(x)
             yield from _rows(copies["doc"], copies["t"], None, copies["lo"], copies["hi"] + length)
             _, inverse, count = np.unique(x["h"], return_inverse=True, return_counts=True)
             x = x[count[inverse] > 1]
@@ -238,7 +230,7 @@ def _compare(length: int):
     """Buckets of rows (bucket, doc, t, start, bytes) to repeated spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches):
+        for rows in grouped(batches):
             doc, t, start = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
             size = np.array([len(r[4]) for r in rows], np.int64)
             data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
