@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import chunks, grouped, materialize
+from strandlake.llm.common import chunks, grouped, materialize, utf8
 from strandlake.operators.graph import components
 
 WORDS = 4
@@ -127,56 +127,63 @@ def distance_limit(similarity: float, bits: int = 64 * LANES) -> int:
     return round(float(np.arccos(cosine)) / np.pi * bits)
 
 
-def wide_simhash(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lanes, keys): LANES fingerprints of the distinct shingles under different seeds, and the probes.
-
-    A segment's probes are the values in which any of its FREE_BITS least certain bits are turned, itself first: those
-    that an edited copy turns most likely.
-    """
-    lanes, keys = [], []
+def wide_simhash(text: bytes, words: int) -> tuple[np.ndarray, bytes]:
+    """(lanes, free): LANES fingerprints of the distinct shingles under different seeds, and for each segment the places
+    of its FREE_BITS least certain bits, those that an edited copy turns most likely; a byte each."""
+    lanes, free = [], []
     for lane in range(LANES):
         hashes = np.unique(shingle_hashes(text, words, SEED + lane))
         margin = bit_counts(hashes) * 2 - len(hashes)
-        bits = margin > 0
-        lanes.append(int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True))
-        for s in range(LANE_SEGMENTS):
-            part = slice(s * SEGMENT_BITS, (s + 1) * SEGMENT_BITS)
-            value = int("".join("1" if b else "0" for b in bits[part]), 2)
-            free = [1 << (SEGMENT_BITS - 1 - int(i)) for i in np.argsort(np.abs(margin[part]), kind="stable")[:FREE_BITS]]
-            tag = (lane * LANE_SEGMENTS + s) << 32
-            for turned in range(1 << FREE_BITS):
-                mask = sum(f for i, f in enumerate(free) if turned >> i & 1)
-                keys.append(tag | (value ^ mask))
-    return np.array(lanes, np.int64), np.array(keys, np.int64)
+        lanes.append(int.from_bytes(np.packbits(margin > 0).tobytes(), "big", signed=True))
+        certain = np.abs(margin[: LANE_SEGMENTS * SEGMENT_BITS]).reshape(LANE_SEGMENTS, SEGMENT_BITS)
+        free.append(np.argsort(certain, axis=1, kind="stable")[:, :FREE_BITS].astype(np.uint8).tobytes())
+    return np.array(lanes, np.int64), b"".join(free)
+
+
+def probes(lanes: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """(row, probe) of rows of lanes and free places: for each segment its number and the values in which any of its
+    free bits are turned, itself first."""
+    n, width = len(lanes), LANES * LANE_SEGMENTS
+    shift = np.array([64 - SEGMENT_BITS * (s + 1) for s in range(LANE_SEGMENTS)], np.uint64)
+    value = (lanes.view(np.uint64)[:, :, None] >> shift & np.uint64((1 << SEGMENT_BITS) - 1)).reshape(n, width).astype(np.int64)
+    bit = np.int64(1) << (SEGMENT_BITS - 1 - free.reshape(n, width, FREE_BITS).astype(np.int64))
+    turned = (np.arange(1 << FREE_BITS)[:, None] >> np.arange(FREE_BITS)) & 1
+    masks = (bit[:, :, None, :] * turned).sum(axis=3)
+    return ((np.arange(width, dtype=np.int64) << 32)[None, :, None] + (value[:, :, None] ^ masks)).reshape(n, -1)
 
 
 def wide_fingerprints(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, lanes array, keys array) of whole texts."""
-    schema = T.StructType([df.schema[key], T.StructField("lanes", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(key, lanes array, free binary) of whole texts."""
+    schema = T.StructType([df.schema[key], T.StructField("lanes", T.ArrayType(T.LongType())), T.StructField("free", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(1)):
                 part = batch.slice(a, b - a)
                 both = [wide_simhash(x, words) for x in part.column(1).cast(pa.binary()).to_pylist()]
-                columns = [pa.array([x[i] for x in both], pa.list_(pa.int64())) for i in (0, 1)]
+                columns = [pa.array([x[0] for x in both], pa.list_(pa.int64())), pa.array([x[1] for x in both], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
 
     return df.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
-#: Documents whose probes a task packs at once, and the top bits of a segment that with its number make a bucket: few
-#: enough that a document's probes of a segment share buckets, and its lanes are sent once for each.
-PACK_ROWS, BUCKET_BITS = 1 << 14, 9
+#: Documents whose probes a task packs at once, and probes that a bucket is to hold.
+PACK_ROWS, BUCKET_PROBES = 1 << 14, 1 << 16
 
 
 def _pack(buckets: int):
-    """(node, lanes, keys) to (bucket, packed): in each bucket the documents with their lanes, and their probes."""
+    """(node, lanes, free) to (bucket, packed): in each bucket the documents with their lanes, and their probes.
 
-    def flush(node: np.ndarray, lanes: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        probe = keys.ravel()
-        owner = np.repeat(np.arange(len(node)), keys.shape[1])
-        bucket = ((probe >> 32 << BUCKET_BITS) + ((probe & 0xFFFFFFFF) >> (SEGMENT_BITS - BUCKET_BITS))) % buckets
+    A bucket is a segment's number and as many of its top bits as the number of buckets asks for; so a document's probes
+    of a segment share buckets, and its lanes are sent once for each.
+    """
+    segments = LANES * LANE_SEGMENTS
+    bits = min(SEGMENT_BITS, max(0, (-(-buckets // segments) - 1).bit_length()))
+
+    def flush(node: np.ndarray, lanes: np.ndarray, free: np.ndarray) -> Iterator[pa.RecordBatch]:
+        each = probes(lanes, free)
+        probe, owner = each.ravel(), np.repeat(np.arange(len(node)), each.shape[1])
+        bucket = ((probe >> 32 << bits) + ((probe & 0xFFFFFFFF) >> (SEGMENT_BITS - bits))) % buckets
         order = np.lexsort((probe, owner, bucket))
         bucket, owner, probe = bucket[order], owner[order], probe[order]
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -193,8 +200,9 @@ def _pack(buckets: int):
         for batch in batches:
             for at in range(0, batch.num_rows, PACK_ROWS):
                 part = batch.slice(at, PACK_ROWS)
-                lanes, keys = (part.column(i).flatten().to_numpy().reshape(part.num_rows, -1) for i in (1, 2))
-                yield from flush(part.column(0).to_numpy(), lanes, keys)
+                lanes = part.column(1).flatten().to_numpy().reshape(part.num_rows, LANES)
+                free = utf8(part.column(2))[0].reshape(part.num_rows, -1)
+                yield from flush(part.column(0).to_numpy(), lanes, free)
 
     return run
 
@@ -208,12 +216,28 @@ def _unpack(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _links(limit: int):
-    """Buckets of packed probes to links (a, b) that join the near nodes of each probe into a tree.
+    """Buckets of packed probes to links (a, b) from each node to the smallest that near nodes of the bucket reach.
 
     In a run of equal probes one node after another is taken up and compared with the nodes that no earlier one has
-    reached: a dense run costs about its length, and as many links leave it as nodes are joined.
+    reached: a dense run costs about its length. A bucket gives at most one link for each node, and buckets that see the
+    same nodes give the same links, which fall together.
     """
 
+    def stars(out: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for x, y in out:
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        return sorted((find(x), x) for x in parent if find(x) != x)
+
     def tree(node: np.ndarray, lanes: np.ndarray, out: list[tuple[int, int]]) -> None:
         left = np.arange(len(node))
         while len(left) > 1:
@@ -239,7 +263,8 @@ def _links(limit: int):
                     out += zip(node[start[near] + i].tolist(), node[start[near] + j].tolist(), strict=True)
         for f, n in zip(first[size > 8].tolist(), size[size > 8].tolist(), strict=True):
             tree(node[f : f + n], lanes[f : f + n], out)
-        a, b = zip(*sorted({(min(x), max(x)) for x in out if x[0] != x[1]}), strict=True) if out else ((), ())
+        linked = stars(out)
+        a, b = zip(*linked, strict=True) if linked else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,10 +286,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """
     texts = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(f"`{text}`").alias("text"))
     prints = materialize(wide_fingerprints(texts, "id", "text", words), "prints")
-    nodes = prints.groupBy("lanes").agg(F.min("id").alias("node"))
-    own = prints.join(nodes.withColumnRenamed("lanes", "_lanes"), (F.col("lanes") == F.col("_lanes")) & (F.col("id") == F.col("node"))).select("node", "lanes", "keys")
-    parts = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = own.mapInArrow(_pack(8 * parts), "bucket long, n int, packed binary")
+    nodes = materialize(prints.groupBy("lanes").agg(F.min("id").alias("node")), "nodes")
+    own = prints.join(nodes.withColumnRenamed("lanes", "_lanes"), (F.col("lanes") == F.col("_lanes")) & (F.col("id") == F.col("node"))).select("node", "lanes", "free")
+    buckets = 1 + (nodes.count() * LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
+    packed = own.mapInArrow(_pack(buckets), "bucket long, n int, packed binary")
     links = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(distance_limit(similarity)), "a long, b long")
     own_node = prints.select("id", "lanes").join(nodes.withColumnRenamed("lanes", "_lanes"), F.col("lanes") == F.col("_lanes")).select("id", "node")
     copies = own_node.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
