@@ -24,13 +24,15 @@ LENGTH = 100
 GRAM = 32
 #: Segments that a map task gathers before it hands them on; copies among them are told at once.
 FLUSH = 1 << 17
+#: Different segments around one anchor up to which one task compares them; windows of more are grouped by their hashes.
+MANY = 50_000
 #: Buckets of anchors for each partition of the input, and their greatest number.
 BUCKETS_EACH, MOST_BUCKETS = 8, 1 << 18
 
 _SEGMENT = np.dtype([("h", "u8"), ("s", "u8"), ("doc", "i8"), ("t", "i8"), ("lo", "i4"), ("hi", "i4")])
 _FOUND = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("t", T.LongType()), T.StructField("h", T.LongType()),
-    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("many", T.BooleanType()),
 ])
 
 
@@ -152,23 +154,26 @@ def _map_side(length: int, gram: int, buckets: int):
     return run
 
 
-def _rows(doc: np.ndarray, t: np.ndarray, h: np.ndarray | None, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(doc: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None, many: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(doc), 1 << 16):
         part = slice(at, at + (1 << 16))
-        hs = pa.nulls(len(doc[part]), pa.int64()) if h is None else pa.array(np.ascontiguousarray(h[part]).view(np.int64))
-        columns = [pa.array(np.ascontiguousarray(doc[part])), pa.array(np.ascontiguousarray(t[part])), hs, *(pa.array(c[part].astype(np.int32)) for c in (start, end))]
-        yield pa.RecordBatch.from_arrays(columns, names=_FOUND.names)
+        n = len(doc[part])
+        hs = pa.nulls(n, pa.int64()) if h is None else pa.array(np.ascontiguousarray(h[part]).view(np.int64))
+        long = [pa.array(np.ascontiguousarray(c[part])) for c in (doc, t)]
+        places = [pa.array(c[part].astype(np.int32)) for c in (start, end)]
+        yield pa.RecordBatch.from_arrays([*long, hs, *places, pa.array(np.zeros(n, bool) if many is None else many[part])], names=_FOUND.names)
 
 
-def _meet(length: int):
-    """Buckets of segments to found rows: with a null h a repeated span, else a segment to be compared."""
+def _meet(length: int, many: int):
+    """Buckets of segments to found rows: with a null h a repeated span, else a segment to be compared (many: one of
+    more than that around its anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
             for _, told, packed in rows:
                 if told:
                     x = np.frombuffer(packed, _SEGMENT)
-                    yield from _rows(x["doc"], x["t"], None, x["lo"], x["hi"])
+                    yield from _rows(x["doc"], x["t"], x["lo"], x["hi"])
             parts = [np.frombuffer(packed, _SEGMENT) for _, told, packed in rows if not told]
             if not parts:
                 continue
@@ -178,10 +183,11 @@ def _meet(length: int):
             if not len(x):
                 continue
             x, copies = _split(x)
-            yield from _rows(copies["doc"], copies["t"], None, copies["lo"], copies["hi"] + length)
+            yield from _rows(copies["doc"], copies["t"], copies["lo"], copies["hi"] + length)
             _, inverse, count = np.unique(x["h"], return_inverse=True, return_counts=True)
-            x = x[count[inverse] > 1]
-            yield from _rows(x["doc"], x["t"], x["h"], x["lo"], x["hi"] + length)
+            count = count[inverse]
+            x, count = x[count > 1], count[count > 1]
+            yield from _rows(x["doc"], x["t"], x["lo"], x["hi"] + length, x["h"], count > many)
 
     return run
 
@@ -244,11 +250,44 @@ def _compare(length: int):
             order = np.lexsort((begin, t[segment], doc[segment]))
             place[order] = np.cumsum(_runs(doc[segment][order], t[segment][order], begin[order])) if len(order) else 0
             hit = repeated_windows(windows, place)
-            yield from _rows(*(lambda d, u, s, e: (d, u, None, s, e))(*_merged(doc[segment][hit], t[segment][hit], begin[hit], begin[hit] + length)))
+            yield from _rows(*_merged(doc[segment][hit], t[segment][hit], begin[hit], begin[hit] + length))
 
     return run
 
 
+def _windows(length: int):
+    """Rows (doc, t, start, bytes) of segments to their windows: two hashes, document and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in chunks(whole.column(3), 1 << 17):
+                batch = whole.slice(a, b - a)
+                data, offsets = utf8(batch.column(3))
+                doc, t, start = (batch.column(i).to_numpy() for i in range(3))
+                count = np.diff(offsets) - length + 1
+                row = np.repeat(np.arange(len(count)), count)
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = offsets[row] + inside
+                one = span_hash(prefix_sums(data), at, at + length).view(np.int64)
+                back = len(data) - at - length
+                two = span_hash(prefix_sums(data[::-1].copy()), back, back + length).view(np.int64)
+                columns = [one, two, doc[row], t[row], start[row].astype(np.int64) + inside]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "doc", "t", "start"])
+
+    return run
+
+
+def _repeated_by_hash(segments: DataFrame, length: int) -> DataFrame:
+    """Repeated spans of segments around anchors that have very many: windows with equal hashes (two of 64 bits, one
+    read backwards) are summed up to their first place before the shuffle, so no window costs more than a row a task."""
+    windows = segments.select("doc", "t", "start", "bytes").mapInArrow(_windows(length), "w1 long, w2 long, doc long, t long, start long")
+    windows = materialize(windows, "windows")
+    place = F.struct("doc", "t", "start")
+    firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = windows.join(firsts, ["w1", "w2"]).where(place != F.col("first"))
+    return later.select("doc", "t", F.col("start").cast("int").alias("start"), (F.col("start") + length).cast("int").alias("end"))
+
+
 def _cut(with_key: T.StructType):
     """(columns, text, spans) to the columns with kept bytes and merged spans."""
 
@@ -276,12 +315,13 @@ def _cut(with_key: T.StructType):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """The columns `keep` of docs (None: all but the text) with _kept binary and _spans, the removed byte ranges.
 
     Texts are UTF-8 bytes, nulls empty; matches never cross documents, which are in the order of the integer key (null
     first) and, of equal keys, of a hash of the text. Rows equal in key and text are one document: they are judged
-    alike and not against each other. Texts shorter than `length` bytes stay.
+    alike and not against each other. Texts shorter than `length` bytes stay. Around an anchor with more than `many`
+    different segments, windows are compared by two 64-bit hashes instead of in one task.
     """
     spark = docs.sparkSession
     kept = keep if keep is not None else [c for c in docs.columns if c != text]
@@ -292,19 +332,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     partitions = max(own.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = min(MOST_BUCKETS, BUCKETS_EACH * partitions)
     packed = own.select("_doc", "_t", "_text").mapInArrow(_map_side(length, gram, buckets), "bucket long, told boolean, packed binary")
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(length), _FOUND)
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(length, many), _FOUND)
     found = materialize(met, "found")
 
     texts = own.select("_doc", "_t", "_text").where(F.octet_length("_text") >= length)
-    asked = found.where("h is not null").groupBy("doc", "t").agg(F.collect_list(F.struct("h", "start", "end")).alias("ask"))
-    met = texts.join(asked, (F.col("_doc") == F.col("doc")) & (F.col("_t") == F.col("t"))).dropDuplicates(["doc", "t"])
-    raw = met.select("doc", "t", F.encode("_text", "utf-8").alias("raw"), F.explode("ask").alias("a"))
-    segments = raw.select(
-        F.pmod(F.shiftrightunsigned(F.col("a.h"), 20), F.lit(buckets)).alias("bucket"), "doc", "t", F.col("a.start").alias("start"),
-        F.expr("substring(raw, a.start + 1, a.end - a.start)").alias("bytes"),
-    )
-    late = segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(length), _FOUND)
-    spans = found.where("h is null").unionByName(late).groupBy("doc", "t").agg(F.collect_list(F.struct("start", "end")).alias("_found"))
+
+    def segments(rows: DataFrame) -> DataFrame:
+        asked = rows.groupBy("doc", "t").agg(F.collect_list(F.struct("h", "start", "end")).alias("ask"))
+        met = texts.join(asked, (F.col("_doc") == F.col("doc")) & (F.col("_t") == F.col("t"))).dropDuplicates(["doc", "t"])
+        raw = met.select("doc", "t", F.encode("_text", "utf-8").alias("raw"), F.explode("ask").alias("a"))
+        return raw.select(
+            F.pmod(F.shiftrightunsigned(F.col("a.h"), 20), F.lit(buckets)).alias("bucket"), "doc", "t", F.col("a.start").alias("start"),
+            F.expr("substring(raw, a.start + 1, a.end - a.start)").alias("bytes"),
+        )
+
+    some = segments(found.where("h is not null and not many"))
+    late = some.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(length), _FOUND)
+    repeated = found.where("h is null").unionByName(late).select("doc", "t", "start", "end")
+    crowded = found.where("many")
+    if not crowded.isEmpty():
+        repeated = repeated.unionByName(_repeated_by_hash(segments(crowded), length))
+    spans = repeated.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "end")).alias("_found"))
     joined = own.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_t") == F.col("t")), "left")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("_kept", T.BinaryType()), T.StructField("_spans", span)])

@@ -47,6 +47,11 @@ def simhash(text, k=4):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
+def shingles(text, k):
+    w = TOKEN.findall((text or "").translate(UPPER))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
 def groups(nodes, linked):
     """Smallest reachable node of each, where linked(a, b)."""
     parent = {n: n for n in nodes}

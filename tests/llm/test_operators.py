@@ -216,11 +216,11 @@ def repeated_rows(rng):
     return rows + [(200 + i, t) for i, t in AWKWARD if i >= 0]
 
 
-@pytest.mark.parametrize("flush", [50, 1 << 19])
-def test_remove_repeats(spark, monkeypatch, flush):
+@pytest.mark.parametrize("flush, many", [(50, 50_000), (1 << 19, 50_000), (1 << 19, 1)])
+def test_remove_repeats(spark, monkeypatch, flush, many):
     monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
     rows = repeated_rows(random.Random(10))
-    got = suffix_dedup.remove_repeats(docs_of(spark, rows, True).repartition(5), keep=["doc_id"]).collect()
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows, True).repartition(5), keep=["doc_id"], many=many).collect()
     want = brute.repeats(rows)
     assert len(got) == len(rows)
     for r in got:

@@ -87,7 +87,7 @@ def test_pipeline_stages(spark):
         assert docs.count() == len(inputs[-1])
     _, clean, single, cut, apart = inputs
     assert set(clean) < set(before) and set(single) < set(clean)
-    shingles = {d: {tuple((w := brute.TOKEN.findall(t.translate(brute.UPPER)))[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in clean.items()}
+    shingles = {d: brute.shingles(t, 5) for d, t in clean.items()}
     likeness = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
     for d in set(clean) - set(single):
         assert any(likeness(d, e) > 0.6 for e in clean if e != d)
