@@ -169,8 +169,8 @@ def matrix_pivot(spark: SparkSession, d: str) -> DataFrame:
 def clip_impute(spark: SparkSession, d: str) -> DataFrame:
     """Every sample with every selected region, missing as 0."""
     z, selected = _z_selected(spark, d)
-    grid = z.select("sample_id").distinct().join(F.broadcast(selected.agg(F.collect_list(F.struct("start", "end")).alias("r"))))
-    cells = grid.select("sample_id", F.explode("r").alias("r")).select("sample_id", "r.start", "r.end").join(z, ["sample_id", "start", "end"], "left")
+    regions = selected.agg(F.collect_list(F.struct("start", "end"))).scalar()
+    cells = z.select("sample_id").distinct().select("sample_id", F.explode(regions).alias("r")).select("sample_id", "r.start", "r.end").join(z, ["sample_id", "start", "end"], "left")
     return _round(cells.select("sample_id", "start", "end", C.clip(F.col("z"), S.ZMAX).alias("f")), "f")
 
 

@@ -53,9 +53,9 @@ def write_normalized(stats: DataFrame, scales: DataFrame, z: DataFrame, path: st
     n, r = scales.agg(F.count(F.lit(1))).scalar().cast("string"), stats.agg(F.count(F.lit(1))).scalar().cast("string")
     shown = stats.select(order.alias("k"), three("mu").alias("mu"), three("ratio").alias("ratio"))
     sides = [shown.agg(F.array_sort(F.collect_list(F.struct("k", c))).alias("l")).select(F.lit(i).alias("o"), F.lit("").alias("s"), _row([n, r], F.transform("l", _field(c))).alias("value")) for i, c in enumerate(("mu", "ratio"))]
-    regions = stats.agg(F.array_sort(F.collect_list(order)).alias("ks"))
+    regions = stats.agg(F.array_sort(F.collect_list(order))).scalar()
     cells = z.select("sample_id", F.struct(order.alias("k"), two("z").alias("v")).alias("c")).groupBy("sample_id").agg(F.map_from_entries(F.collect_list("c")).alias("m"))
-    lines = scales.join(cells, "sample_id", "left").join(F.broadcast(regions)).select(
+    lines = scales.join(cells, "sample_id", "left").withColumn("ks", regions).select(
         F.lit(2).alias("o"), F.col("sample_id").alias("s"),
         _row([F.col("sample_id"), two("scale")], F.transform("ks", lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit("NA")))).alias("value"))
     sides[0].unionByName(sides[1]).unionByName(lines).orderBy("o", "s").coalesce(1).select("value").write.mode("overwrite").option("compression", "gzip").text(path)

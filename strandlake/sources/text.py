@@ -1,20 +1,30 @@
 """Readers of the text formats, as DataFrames. Compressed files are decoded by their suffix; malformed lines are skipped
-by lenient casts. Where the order of lines counts, `line_no` numbers the lines of a file."""
+by lenient casts. Where the order of lines counts, `line_no` sorts as they stand."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandlake.functions.columns import norm_chrom, normalize_sample_id
 from strandlake.operators.files import longest_prefix_sample
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value). Files with meaningful order are read whole as one text each, since a split has no line numbers;
-    they are per-sample lists, not per-read data."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    """(line_no, value): line_no sorts as the lines stand, by file, by the block of the file that a task reads, and within
+    it. It is no number, since counting would need one task for a file."""
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(order.alias("line_no"), "value")
+
+
+def _without_first(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("line_no") > lines.agg(F.min("line_no")).scalar())
+
+
+def _counted(rows: DataFrame) -> Column:
+    """Place of a row among those that stay, from 0: for lists of samples, which one task can order."""
+    return (F.row_number().over(Window.orderBy("line_no")) - 1).cast("long")
 
 
 def _cast(c: Column, kind: str) -> Column:
@@ -28,7 +38,8 @@ def _number(c: Column) -> Column:
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, ord): trimmed, blank lines dropped, in file order."""
-    return _lines(spark, path).select(F.trim("value").alias("sample_id"), F.col("line_no").cast("long").alias("ord")).where("sample_id <> ''")
+    rows = _lines(spark, path).select("line_no", F.trim("value").alias("sample_id")).where("sample_id <> ''")
+    return rows.select("sample_id", _counted(rows).alias("ord"))
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -75,8 +86,10 @@ def read_normalized(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     """(ratios(at, ratio), scales(sample_id, scale), cells(sample_id, at, z)) of a normalised matrix: the first line is
     skipped, the second has ratios from its third field on, then one line for each sample."""
     lines = _lines(spark, path).withColumn("f", F.split("value", "\t"))
-    ratios = lines.where("line_no = 1").select(F.posexplode(F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0)))).alias("at", "v")).select("at", _number(F.col("v")).alias("ratio"))
-    rows = lines.where("line_no > 1 and value <> ''")
+    later = _without_first(lines)
+    second = later.agg(F.min("line_no")).scalar()
+    ratios = later.where(F.col("line_no") == second).select(F.posexplode(F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0)))).alias("at", "v")).select("at", _number(F.col("v")).alias("ratio"))
+    rows = later.where((F.col("line_no") > second) & (F.col("value") != ""))
     scales = rows.select(F.col("f")[0].alias("sample_id"), _number(F.get("f", F.lit(1))).alias("scale"))
     cells = rows.select(F.col("f")[0].alias("sample_id"), F.posexplode(F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0)))).alias("at", "v")).select("sample_id", "at", _number(F.col("v")).alias("z"))
     return ratios, scales, cells.where("z is not null")
@@ -98,7 +111,7 @@ def read_neighbors(spark: SparkSession, path: str, whole_triplets: bool = False,
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, reads): header skipped, `Error` and other words dropped, of repeated samples the last line."""
     f = F.split("value", "\t")
-    rows = _lines(spark, path).where("line_no > 0").select("line_no", f[0].alias("sample_id"), _number(F.get(f, F.lit(1))).alias("reads")).where("reads is not null")
+    rows = _without_first(_lines(spark, path)).select("line_no", f[0].alias("sample_id"), _number(F.get(f, F.lit(1))).alias("reads")).where("reads is not null")
     return rows.groupBy("sample_id").agg(F.max_by("reads", "line_no").alias("reads"))
 
 
@@ -113,17 +126,15 @@ def read_exon_counts(spark: SparkSession, path: str) -> DataFrame:
 def read_dipcn(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, idx, irr): two fields by white space; lines without a number, such as a header, drop out; idx counts
     the rows that stay."""
-    from pyspark.sql.window import Window
-
     f = F.split(F.trim("value"), r"\s+")
     rows = _lines(spark, path).where(F.size(f) >= 2).select("line_no", f[0].alias("sample_id"), _number(f[1]).alias("irr")).where("irr is not null")
-    return rows.select("sample_id", (F.row_number().over(Window.orderBy("line_no")) - 1).cast("long").alias("idx"), "irr")
+    return rows.select("sample_id", _counted(rows).alias("idx"), "irr")
 
 
 def read_ibs(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, id, hap, nbr_id, nbr_hap): header skipped, seven fields or more by white space, haplotypes 1 and 2."""
     f = F.split(F.trim("value"), r"\s+")
-    rows = _lines(spark, path).where("line_no > 0").where(F.size(f) >= 7)
+    rows = _without_first(_lines(spark, path)).where(F.size(f) >= 7)
     return rows.select("line_no", f[0].alias("id"), _cast(f[1], "int").alias("hap"), f[5].alias("nbr_id"), _cast(f[6], "int").alias("nbr_hap")).where("hap in (1, 2) and nbr_hap in (1, 2)")
 
 
@@ -160,7 +171,7 @@ def read_loci(spark: SparkSession, path: str) -> DataFrame:
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, population): the first two fields, without the header."""
     f = F.split(F.trim("value"), r"\s+")
-    return _lines(spark, path).where("line_no > 0").where(F.size(f) >= 2).select(f[0].alias("sample_id"), f[1].alias("population"))
+    return _without_first(_lines(spark, path)).where(F.size(f) >= 2).select(f[0].alias("sample_id"), f[1].alias("population"))
 
 
 def map_of_chromosome(rows: DataFrame, chrom: str) -> DataFrame:
