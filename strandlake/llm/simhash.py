@@ -21,31 +21,30 @@ MAX_BITS = 4
 SEGMENTS = 3
 
 
-def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
-    """XXH64 of every run of `words` words, lower-cased (A-Z) and joined by spaces; of fewer words, of all of them."""
+def shingles(text: bytes, words: int) -> list[bytes]:
+    """Every run of `words` words, lower-cased (A-Z) and joined by spaces; of fewer words, all of them; of none, none."""
     found = text.lower().split()
     n = len(found) - words + 1
     joined = b" ".join(found)
     if n <= 1:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)] if found else [], ">u8")
+        return [joined] if found else []
     size = np.fromiter(map(len, found), np.int64, len(found))
     end = np.cumsum(size + 1) - 1
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[s:e], seed) for s, e in zip((end - size)[:n].tolist(), end[words - 1 :].tolist(), strict=True)], ">u8")
+    return [joined[s:e] for s, e in zip((end - size)[:n].tolist(), end[words - 1 :].tolist(), strict=True)]
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit set, highest bit first."""
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at : at + (1 << 14)]
-        total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1).sum(axis=0, dtype=np.uint32)
+    """How many of the hashes, rows of bytes, have each bit set, highest bit first."""
+    total = np.zeros(hashes.shape[1] * 8, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        total += np.unpackbits(hashes[at : at + (1 << 13)], axis=1).sum(axis=0, dtype=np.uint32)
     return total
 
 
 def simhash(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     """The fingerprint as a signed 64-bit number: a bit is 1 if set in over half the hashes; without words 0."""
-    hashes = shingle_hashes(text, words, seed)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(x, seed) for x in shingles(text, words)], ">u8").view(np.uint8).reshape(-1, 8)
     return int.from_bytes(np.packbits(bit_counts(hashes) * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
@@ -116,36 +115,39 @@ def group(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS, segm
     return prints.join(named, prints["fp"] == named["_fp"]).select(key, "fp", "component_id")
 
 
-#: The wide fingerprints of near-duplicate search: 64-bit lanes, segments of each lane, their width, and how many of a
-#: segment's least certain bits span the ball that is enumerated.
-LANES, LANE_SEGMENTS, SEGMENT_BITS, FREE_BITS = 3, 3, 21, 3
+#: The wide fingerprints of near-duplicate search: lanes of 64 bits, two from each hash of 128; of the first lanes,
+#: segments, their width, and how many of a segment's least certain bits span the ball that is enumerated.
+LANES, KEY_LANES, LANE_SEGMENTS, SEGMENT_BITS, FREE_BITS = 6, 3, 3, 21, 3
+#: Standard deviations by which a distance may exceed its mean at the wanted similarity.
+ALLOWANCE = 1.5
 
 
 def distance_limit(similarity: float, bits: int = 64 * LANES) -> int:
-    """Differing bits at which the estimated Jaccard similarity of shingle sets of like size is still `similarity`."""
+    """Differing bits up to which shingle sets of like size count as similar: the mean at this Jaccard similarity and
+    ALLOWANCE deviations, so that pairs that reach it are hardly missed."""
     cosine = 2 * similarity / (1 + similarity)
-    return round(float(np.arccos(cosine)) / np.pi * bits)
+    share = float(np.arccos(cosine)) / np.pi
+    return round(share * bits + ALLOWANCE * float(np.sqrt(share * (1 - share) * bits)))
 
 
 def wide_simhash(text: bytes, words: int) -> tuple[np.ndarray, bytes]:
-    """(lanes, free): LANES fingerprints of the distinct shingles under different seeds, and for each segment the places
-    of its FREE_BITS least certain bits, those that an edited copy turns most likely; a byte each."""
-    lanes, free = [], []
-    for lane in range(LANES):
-        hashes = np.unique(shingle_hashes(text, words, SEED + lane))
-        margin = bit_counts(hashes) * 2 - len(hashes)
-        lanes.append(int.from_bytes(np.packbits(margin > 0).tobytes(), "big", signed=True))
-        certain = np.abs(margin[: LANE_SEGMENTS * SEGMENT_BITS]).reshape(LANE_SEGMENTS, SEGMENT_BITS)
-        free.append(np.argsort(certain, axis=1, kind="stable")[:, :FREE_BITS].astype(np.uint8).tobytes())
-    return np.array(lanes, np.int64), b"".join(free)
+    """(lanes, free): the fingerprint of the distinct shingles, and for each segment the places of its FREE_BITS least
+    certain bits, those that an edited copy turns most likely; a byte each."""
+    own = set(shingles(text, words))
+    digest = xxhash.xxh3_128_digest
+    hashes = [np.frombuffer(b"".join([digest(x, SEED + i) for x in own]), np.uint8).reshape(len(own), 16) for i in range(LANES // 2)]
+    margin = np.concatenate([bit_counts(h) for h in hashes]) * 2 - len(own)
+    lanes = np.packbits(margin > 0).view(">u8").astype(np.uint64).view(np.int64)
+    certain = np.abs(margin).reshape(LANES, 64)[:KEY_LANES, : LANE_SEGMENTS * SEGMENT_BITS].reshape(-1, SEGMENT_BITS)
+    return lanes, np.argsort(certain, axis=1, kind="stable")[:, :FREE_BITS].astype(np.uint8).tobytes()
 
 
 def probes(lanes: np.ndarray, free: np.ndarray) -> np.ndarray:
     """(row, probe) of rows of lanes and free places: for each segment its number and the values in which any of its
     free bits are turned, itself first."""
-    n, width = len(lanes), LANES * LANE_SEGMENTS
+    n, width = len(lanes), KEY_LANES * LANE_SEGMENTS
     shift = np.array([64 - SEGMENT_BITS * (s + 1) for s in range(LANE_SEGMENTS)], np.uint64)
-    value = (lanes.view(np.uint64)[:, :, None] >> shift & np.uint64((1 << SEGMENT_BITS) - 1)).reshape(n, width).astype(np.int64)
+    value = (lanes.view(np.uint64)[:, :KEY_LANES, None] >> shift & np.uint64((1 << SEGMENT_BITS) - 1)).reshape(n, width).astype(np.int64)
     bit = np.int64(1) << (SEGMENT_BITS - 1 - free.reshape(n, width, FREE_BITS).astype(np.int64))
     turned = (np.arange(1 << FREE_BITS)[:, None] >> np.arange(FREE_BITS)) & 1
     masks = (bit[:, :, None, :] * turned).sum(axis=3)
@@ -177,7 +179,7 @@ def _pack(buckets: int):
     A bucket is a segment's number and as many of its top bits as the number of buckets asks for; so a document's probes
     of a segment share buckets, and its lanes are sent once for each.
     """
-    segments = LANES * LANE_SEGMENTS
+    segments = KEY_LANES * LANE_SEGMENTS
     bits = min(SEGMENT_BITS, max(0, (-(-buckets // segments) - 1).bit_length()))
 
     def flush(node: np.ndarray, lanes: np.ndarray, free: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -288,7 +290,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     prints = materialize(wide_fingerprints(texts, "id", "text", words), "prints")
     nodes = materialize(prints.groupBy("lanes").agg(F.min("id").alias("node")), "nodes")
     own = prints.join(nodes.withColumnRenamed("lanes", "_lanes"), (F.col("lanes") == F.col("_lanes")) & (F.col("id") == F.col("node"))).select("node", "lanes", "free")
-    buckets = 1 + (nodes.count() * LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
+    buckets = 1 + (nodes.count() * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
     packed = own.mapInArrow(_pack(buckets), "bucket long, n int, packed binary")
     links = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(distance_limit(similarity)), "a long, b long")
     own_node = prints.select("id", "lanes").join(nodes.withColumnRenamed("lanes", "_lanes"), F.col("lanes") == F.col("_lanes")).select("id", "node")
