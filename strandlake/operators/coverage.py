@@ -30,7 +30,7 @@ def binned_depth(alignments: DataFrame, read_length: int, bin_size: int, chrom:
     spread = reads.withColumn("bin", F.explode(F.sequence(F.floor(F.col("pos") / bin_size), F.floor((F.col("stop") - 1) / bin_size))))
     covered = spread.groupBy("sample_id", "bin").agg(F.sum(F.least("stop", (F.col("bin") + 1) * bin_size) - F.greatest("pos", F.col("bin") * bin_size)).alias("bp"))
     last = F.lit((length - 1) // bin_size).cast("long")
-    grid = alignments.select("sample_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    every = alignments.select("sample_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     start, end = F.col("bin") * bin_size, F.least((F.col("bin") + 1) * bin_size, F.lit(length).cast("long"))
-    joined = grid.join(covered, ["sample_id", "bin"], "left")
+    joined = every.join(covered, ["sample_id", "bin"], "left")
     return joined.select("sample_id", F.lit(chrom).alias("chrom"), start.alias("start"), end.alias("end"), (F.coalesce("bp", F.lit(0).cast("long")) / (end - start)).alias("depth"))
