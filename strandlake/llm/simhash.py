@@ -301,9 +301,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return named.select(F.col("id").alias(key), F.coalesce("root", "id").alias("component_id"), "rows")
 
 
+#: Ids of documents to be dropped up to which they are broadcast and texts stay where they are; beyond, both are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group: that with the smallest key, of several rows with that key any one. All columns stay."""
     groups = materialize(near_groups(docs, key, text, words, similarity), "groups")
-    first = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first"))
-    kept = docs.join(first, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))) == F.col("_first"), "left_semi")
+    later = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_later"))
+    later = F.broadcast(later) if later.count() <= BROADCAST_IDS else later
+    kept = docs.join(later, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))) == F.col("_later"), "left_anti")
     return kept if groups.where("rows > 1").isEmpty() else kept.dropDuplicates([key])
