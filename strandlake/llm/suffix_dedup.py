@@ -288,9 +288,12 @@ def _repeated_by_hash(segments: DataFrame, length: int) -> DataFrame:
     return later.select("doc", "t", F.col("start").cast("int").alias("start"), (F.col("start") + length).cast("int").alias("end"))
 
 
-def _cut(with_key: T.StructType):
+def _cut(with_key: T.StructType, whole_chars: bool):
     """(columns, text, spans) to the columns with kept bytes and merged spans."""
 
+    def piece(raw: bytes) -> bytes:
+        return raw.decode("utf-8", "ignore").encode() if whole_chars else raw
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for whole in batches:
@@ -306,17 +309,18 @@ def _cut(with_key: T.StructType):
                         else:
                             own.append({"start": s, "end": e})
                     for f in own:
-                        parts.append(text[at : f["start"]])
+                        parts.append(piece(text[at : f["start"]]))
                         at = f["end"]
-                    kept.append(b"".join([*parts, text[at:]]))
+                    kept.append(b"".join([*parts, piece(text[at:])]))
                     spans.append(own)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(kept, pa.binary()), pa.array(spans, span_type)], names=with_key.names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, many: int = MANY, whole_chars: bool = False) -> DataFrame:
     """The columns `keep` of docs (None: all but the text) with _kept binary and _spans, the removed byte ranges.
+    whole_chars: what a range leaves of a character is not kept either, so _kept is text.
 
     Texts are UTF-8 bytes, nulls empty; matches never cross documents, which are in the order of the integer key (null
     first) and, of equal keys, of a hash of the text. Rows equal in key and text are one document: they are judged
@@ -356,4 +360,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     joined = own.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_t") == F.col("t")), "left")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("_kept", T.BinaryType()), T.StructField("_spans", span)])
-    return joined.select(*(F.col(f"`{c}`") for c in kept), "_text", "_found").mapInArrow(_cut(schema), schema)
+    return joined.select(*(F.col(f"`{c}`") for c in kept), "_text", "_found").mapInArrow(_cut(schema, whole_chars), schema)

@@ -228,6 +228,13 @@ def test_remove_repeats(spark, monkeypatch, flush, many):
         assert bytes(r["_kept"]) == kept and len(r["_spans"]) == spans and sum(s["end"] - s["start"] for s in r["_spans"]) == removed
 
 
+def test_remove_repeats_leaves_whole_characters(spark):
+    rows = [(1, "é" * 60), (2, "a" + "é" * 60 + "z")]
+    got = {r["doc_id"]: bytes(r["_kept"]) for r in suffix_dedup.remove_repeats(docs_of(spark, rows), whole_chars=True).collect()}
+    want = {d: x[3].decode("utf-8", "ignore").encode() for d, x in brute.repeats(rows).items()}
+    assert got == want and got[2].decode().strip("é") == "az"
+
+
 def test_remove_repeats_edges(spark):
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).collect() == []
     twice = suffix_dedup.remove_repeats(docs_of(spark, [(1, "q" + words(random.Random(1), 60))] * 2 + [(None, "w" * 150)])).collect()
