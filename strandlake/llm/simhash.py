@@ -154,19 +154,19 @@ def probes(lanes: np.ndarray, free: np.ndarray) -> np.ndarray:
     return ((np.arange(width, dtype=np.int64) << 32)[None, :, None] + (value[:, :, None] ^ masks)).reshape(n, -1)
 
 
-def wide_fingerprints(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, lanes array, free binary) of whole texts."""
-    schema = T.StructType([df.schema[key], T.StructField("lanes", T.ArrayType(T.LongType())), T.StructField("free", T.BinaryType())])
+def wide_fingerprints(df: DataFrame, keys: list[str], text: str, words: int) -> DataFrame:
+    """(keys, lanes array, free binary) of whole texts."""
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("lanes", T.ArrayType(T.LongType())), T.StructField("free", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
+            for a, b in chunks(batch.column(len(keys))):
                 part = batch.slice(a, b - a)
-                both = [wide_simhash(x, words) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                both = [wide_simhash(x, words) for x in part.column(len(keys)).cast(pa.binary()).to_pylist()]
                 columns = [pa.array([x[0] for x in both], pa.list_(pa.int64())), pa.array([x[1] for x in both], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *columns], names=schema.names)
 
-    return df.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{k}`") for k in keys), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
 #: Documents whose probes a task packs at once, and probes that a bucket is to hold.
@@ -278,37 +278,51 @@ def _links(limit: int):
     return run
 
 
+def _identity(key: str, text: str) -> tuple[Column, Column]:
+    """What tells rows apart: the key, a null as the smallest, and the hash of the text, a null as empty."""
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def _named(docs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(id, t, rows, first) for every distinct identity: its number of rows and the smallest identity of its group."""
+    i, t = _identity(key, text)
+    texts = docs.select(i.alias("id"), t.alias("t"), F.col(f"`{text}`").alias("text"))
+    prints = materialize(wide_fingerprints(texts, ["id", "t"], "text", words), "prints")
+    nodes = prints.groupBy("lanes").agg(F.first("free").alias("free"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "lanes", "free"), "nodes")
+    buckets = 1 + (nodes.count() * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
+    packed = nodes.mapInArrow(_pack(buckets), "bucket long, n int, packed binary")
+    links = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(distance_limit(similarity)), "a long, b long")
+    roots = components(links).withColumnRenamed("node", "_node")
+    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("lanes").alias("_lanes"), F.coalesce("root", "node").alias("root"))
+    counted = prints.groupBy("id", "t", "lanes").agg(F.count(F.lit(1)).alias("rows"))
+    named = counted.join(rooted, F.col("lanes") == F.col("_lanes")).select("id", "t", "rows", "root")
+    least = named.groupBy("root").agg(F.min(F.struct("id", "t")).alias("first")).withColumnRenamed("root", "_root")
+    return named.join(least, F.col("root") == F.col("_root")).select("id", "t", "rows", "first")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, component_id, rows) for every distinct key of docs: the smallest key of its group of near-duplicates.
+    """(key, component_id, rows) for every distinct key and text of docs: the smallest key of its group of near-duplicates.
 
     Two texts are linked if the similarity of their sets of `words`-word shingles, as estimated from the whole distance
     of their fingerprints, is at least `similarity`; groups are what links reach. Candidates share a probe of a segment,
     so links are found with high probability, not surely (the README has figures). Equal fingerprints are one node.
-    Null and empty texts are equal. A null key counts as the smallest; rows that share a key share a group.
+    Null and empty texts are equal. A null key counts as the smallest; a shared key alone links nothing.
     """
-    texts = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(f"`{text}`").alias("text"))
-    prints = materialize(wide_fingerprints(texts, "id", "text", words), "prints")
-    nodes = materialize(prints.groupBy("lanes").agg(F.min("id").alias("node")), "nodes")
-    own = prints.join(nodes.withColumnRenamed("lanes", "_lanes"), (F.col("lanes") == F.col("_lanes")) & (F.col("id") == F.col("node"))).select("node", "lanes", "free")
-    buckets = 1 + (nodes.count() * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
-    packed = own.mapInArrow(_pack(buckets), "bucket long, n int, packed binary")
-    links = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(distance_limit(similarity)), "a long, b long")
-    own_node = prints.select("id", "lanes").join(nodes.withColumnRenamed("lanes", "_lanes"), F.col("lanes") == F.col("_lanes")).select("id", "node")
-    copies = own_node.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    roots = components(links.unionByName(copies))
-    counted = prints.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
-    named = counted.join(roots, counted["id"] == roots["node"], "left")
-    return named.select(F.col("id").alias(key), F.coalesce("root", "id").alias("component_id"), "rows")
+    return _named(docs, key, text, words, similarity).select(F.col("id").alias(key), F.col("first.id").alias("component_id"), "rows")
 
 
-#: Ids of documents to be dropped up to which they are broadcast and texts stay where they are; beyond, both are shuffled.
+#: Rows to be dropped up to which their ids are broadcast and texts stay where they are; beyond, both are shuffled.
 BROADCAST_IDS = 2_000_000
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group: that with the smallest key, of several rows with that key any one. All columns stay."""
-    groups = materialize(near_groups(docs, key, text, words, similarity), "groups")
-    later = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_later"))
+    """One row of each group: that with the smallest key, then text hash, of several equal ones any. All columns stay."""
+    groups = materialize(_named(docs, key, text, words, similarity), "groups")
+    i, t = _identity(key, text)
+    later = groups.where(F.struct("id", "t") != F.col("first")).select(F.col("id").alias("_later_id"), F.col("t").alias("_later_t"))
     later = F.broadcast(later) if later.count() <= BROADCAST_IDS else later
-    kept = docs.join(later, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))) == F.col("_later"), "left_anti")
-    return kept if groups.where("rows > 1").isEmpty() else kept.dropDuplicates([key])
+    kept = docs.join(later, (i == F.col("_later_id")) & (t == F.col("_later_t")), "left_anti")
+    if groups.where((F.col("rows") > 1) & (F.struct("id", "t") == F.col("first"))).isEmpty():
+        return kept
+    return kept.withColumns({"_same_id": i, "_same_t": t}).dropDuplicates(["_same_id", "_same_t"]).select(*(f"`{c}`" for c in docs.columns))

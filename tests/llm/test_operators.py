@@ -345,5 +345,17 @@ def test_near_groups_find_copies_and_leave_others(spark):
     assert simhash.drop_near_duplicates(docs_of(spark, [])).collect() == []
 
 
+def test_shared_and_null_keys_keep_unlike_texts(spark):
+    rng = random.Random(15)
+    texts = [words(rng, 60, 5000) for _ in range(30)]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)]
+    rows += [(None, texts[0]), (7, texts[1]), (7, texts[2]), (8, texts[3]), (None, None), (None, ""), (9, None)]
+    kept = [(r["doc_id"], r["text"] or "") for r in simhash.drop_near_duplicates(docs_of(spark, rows, True)).collect()]
+    assert sorted(t for _, t in kept) == sorted([*texts, ""])
+    assert {t: d for d, t in kept} == {t: None if i % 2 or i == 0 else 7 for i, t in enumerate(texts)} | {"": None}
+    got = simhash.near_groups(docs_of(spark, [(5, texts[4]), (5, texts[5]), (6, texts[5])])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["rows"]) for r in got) == [(5, 5, 1), (5, 5, 1), (6, 5, 1)]
+
+
 def test_materialize_keeps_rows(spark):
     assert common.materialize(docs_of(spark, AWKWARD), "x").count() == len(AWKWARD)
