@@ -123,23 +123,24 @@ ALLOWANCE = 1.5
 
 
 def distance_limit(similarity: float, bits: int = 64 * LANES) -> int:
-    """Differing bits up to which shingle sets of like size count as similar: the mean at this Jaccard similarity and
+    """Differing bits up to which shingle sets of like size are compared: the mean at this Jaccard similarity and
     ALLOWANCE deviations, so that pairs that reach it are hardly missed."""
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine)) / np.pi
     return round(share * bits + ALLOWANCE * float(np.sqrt(share * (1 - share) * bits)))
 
 
-def wide_simhash(text: bytes, words: int) -> tuple[np.ndarray, bytes]:
-    """(lanes, free): the fingerprint of the distinct shingles, and for each segment the places of its FREE_BITS least
-    certain bits, those that an edited copy turns most likely; a byte each."""
+def wide_simhash(text: bytes, words: int) -> tuple[bytes, int, np.ndarray, bytes]:
+    """(digest, size, lanes, free): 128 bits that name the set of distinct shingles, its size, its fingerprint, and for
+    each segment the places of its FREE_BITS least certain bits, those that an edited copy turns most likely; a byte each."""
     own = set(shingles(text, words))
     digest = xxhash.xxh3_128_digest
     hashes = [np.frombuffer(b"".join([digest(x, SEED + i) for x in own]), np.uint8).reshape(len(own), 16) for i in range(LANES // 2)]
     margin = np.concatenate([bit_counts(h) for h in hashes]) * 2 - len(own)
     lanes = np.packbits(margin > 0).view(">u8").astype(np.uint64).view(np.int64)
     certain = np.abs(margin).reshape(LANES, 64)[:KEY_LANES, : LANE_SEGMENTS * SEGMENT_BITS].reshape(-1, SEGMENT_BITS)
-    return lanes, np.argsort(certain, axis=1, kind="stable")[:, :FREE_BITS].astype(np.uint8).tobytes()
+    free = np.argsort(certain, axis=1, kind="stable")[:, :FREE_BITS].astype(np.uint8).tobytes()
+    return digest(b"\n".join(sorted(own)), SEED), len(own), lanes, free
 
 
 def probes(lanes: np.ndarray, free: np.ndarray) -> np.ndarray:
@@ -155,15 +156,16 @@ def probes(lanes: np.ndarray, free: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(df: DataFrame, keys: list[str], text: str, words: int) -> DataFrame:
-    """(keys, lanes array, free binary) of whole texts."""
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("lanes", T.ArrayType(T.LongType())), T.StructField("free", T.BinaryType())])
+    """(keys, digest binary, size long, lanes array, free binary) of whole texts."""
+    types = {"digest": T.BinaryType(), "size": T.LongType(), "lanes": T.ArrayType(T.LongType()), "free": T.BinaryType()}
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(k, v) for k, v in types.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(len(keys))):
                 part = batch.slice(a, b - a)
-                both = [wide_simhash(x, words) for x in part.column(len(keys)).cast(pa.binary()).to_pylist()]
-                columns = [pa.array([x[0] for x in both], pa.list_(pa.int64())), pa.array([x[1] for x in both], pa.binary())]
+                prints = zip(*(wide_simhash(x, words) for x in part.column(len(keys)).cast(pa.binary()).to_pylist()), strict=True)
+                columns = [pa.array(list(x), k) for x, k in zip(prints, (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *columns], names=schema.names)
 
     return df.select(*(F.col(f"`{k}`") for k in keys), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
@@ -174,7 +176,7 @@ PACK_ROWS, BUCKET_PROBES = 1 << 14, 1 << 16
 
 
 def _pack(buckets: int):
-    """(node, lanes, free) to (bucket, packed): in each bucket the documents with their lanes, and their probes.
+    """(node, label, size, lanes, free) to (bucket, packed): in each bucket the documents with all but free, and their probes.
 
     A bucket is a segment's number and as many of its top bits as the number of buckets asks for; so a document's probes
     of a segment share buckets, and its lanes are sent once for each.
@@ -182,9 +184,9 @@ def _pack(buckets: int):
     segments = KEY_LANES * LANE_SEGMENTS
     bits = min(SEGMENT_BITS, max(0, (-(-buckets // segments) - 1).bit_length()))
 
-    def flush(node: np.ndarray, lanes: np.ndarray, free: np.ndarray) -> Iterator[pa.RecordBatch]:
-        each = probes(lanes, free)
-        probe, owner = each.ravel(), np.repeat(np.arange(len(node)), each.shape[1])
+    def flush(about: np.ndarray, free: np.ndarray) -> Iterator[pa.RecordBatch]:
+        each = probes(np.ascontiguousarray(about[:, -LANES:]), free)
+        probe, owner = each.ravel(), np.repeat(np.arange(len(about)), each.shape[1])
         bucket = ((probe >> 32 << bits) + ((probe & 0xFFFFFFFF) >> (SEGMENT_BITS - bits))) % buckets
         order = np.lexsort((probe, owner, bucket))
         bucket, owner, probe = bucket[order], owner[order], probe[order]
@@ -192,7 +194,7 @@ def _pack(buckets: int):
         rows = []
         for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
             own, place = np.unique(owner[a:b], return_inverse=True)
-            table = np.column_stack([node[own], lanes[own]]).astype("<i8")
+            table = about[own].astype("<i8")
             rows.append((int(bucket[a]), len(own), table.tobytes() + place.astype("<i4").tobytes() + probe[a:b].astype("<i8").tobytes()))
         for at in range(0, len(rows), 256):
             k, n, packed = zip(*rows[at : at + 256], strict=True)
@@ -202,30 +204,56 @@ def _pack(buckets: int):
         for batch in batches:
             for at in range(0, batch.num_rows, PACK_ROWS):
                 part = batch.slice(at, PACK_ROWS)
-                lanes = part.column(1).flatten().to_numpy().reshape(part.num_rows, LANES)
-                free = utf8(part.column(2))[0].reshape(part.num_rows, -1)
-                yield from flush(part.column(0).to_numpy(), lanes, free)
+                lanes = part.column(3).flatten().to_numpy().reshape(part.num_rows, LANES)
+                free = utf8(part.column(4))[0].reshape(part.num_rows, -1)
+                yield from flush(np.column_stack([*(part.column(i).to_numpy() for i in range(3)), lanes]), free)
 
     return run
 
 
-def _unpack(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(probe, node, lanes) rows."""
-    table = np.frombuffer(packed, "<i8", n * (1 + LANES)).reshape(n, 1 + LANES)
+def _unpack(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(probe, node, label, size and lanes) rows."""
+    table = np.frombuffer(packed, "<i8", n * (3 + LANES)).reshape(n, 3 + LANES)
     m = (len(packed) - table.nbytes) // 12
     place = np.frombuffer(packed, "<i4", m, table.nbytes)
-    return np.frombuffer(packed, "<i8", m, table.nbytes + 4 * m), table[place, 0], table[place, 1:].view(np.uint64)
+    return np.frombuffer(packed, "<i8", m, table.nbytes + 4 * m), table[place]
 
 
-def _links(limit: int):
-    """Buckets of packed probes to links (a, b) from each node to the smallest that near nodes of the bucket reach.
+def _candidates(limit: int, similarity: float, whole: bool):
+    """Buckets of packed probes to pairs (a, b), a < b, of one probe that may be similar: in distance and in size.
 
-    In a run of equal probes one node after another is taken up and compared with the nodes that no earlier one has
-    reached: a dense run costs about its length. A bucket gives at most one link for each node, and buckets that see the
-    same nodes give the same links, which fall together.
+    Of the pairs that may be, those are given that join what no other pair of the bucket has joined, at most one for each
+    node: in a run of equal probes one node after another is taken up and compared with the nodes that no earlier one has
+    reached, so a dense run costs about its length. If whole, all of them are given whose labels differ.
     """
 
-    def stars(out: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        few, many = np.minimum(x[..., 2], y[..., 2]), np.maximum(x[..., 2], y[..., 2])
+        differ = np.bitwise_count((x[..., 3:] ^ y[..., 3:]).view(np.uint64)).sum(axis=-1)
+        found = (differ <= limit) & (few >= (similarity - 1e-9) * many) & (x[..., 0] != y[..., 0])
+        return found & (x[..., 1] != y[..., 1]) if whole else found
+
+    def tree(rows: np.ndarray) -> Iterator[np.ndarray]:
+        left = rows[np.argsort(rows[:, 0])]
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop(0)
+                hit = near(left, at)
+                yield np.column_stack([np.broadcast_to(at[0], hit.sum()), left[hit, 0]])
+                queue += list(left[hit])
+                left = left[~hit]
+
+    def across(rows: np.ndarray) -> Iterator[np.ndarray]:
+        _, place, count = np.unique(rows[:, 1], return_inverse=True, return_counts=True)
+        order = np.lexsort((place, count[place]))
+        rows, place = rows[order], place[order]
+        end = np.append(np.flatnonzero(place[1:] != place[:-1]) + 1, len(rows))
+        for a, b in zip(np.append(0, end[:-1]), end[:-1], strict=False):
+            for at in rows[a:b]:
+                yield np.column_stack([np.broadcast_to(at[0], (hit := near(rows[b:], at)).sum()), rows[b:][hit, 0]])
+
+    def forest(pairs: np.ndarray) -> np.ndarray:
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -234,50 +262,102 @@ def _links(limit: int):
                 x = up
             return x
 
-        for x, y in out:
+        joins = np.zeros(len(pairs), bool)
+        for i, (x, y) in enumerate(pairs.tolist()):
             x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        return sorted((find(x), x) for x in parent if find(x) != x)
+            joins[i] = x != y
+            parent[max(x, y)] = min(x, y)
+        return pairs[joins]
 
-    def tree(node: np.ndarray, lanes: np.ndarray, out: list[tuple[int, int]]) -> None:
-        left = np.arange(len(node))
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                at = queue.pop()
-                near = np.bitwise_count(lanes[left] ^ lanes[at]).sum(axis=1) <= limit
-                out += [(int(node[at]), int(n)) for n in node[left[near]]]
-                queue += left[near].tolist()
-                left = left[~near]
-
-    def pairs(probe: np.ndarray, node: np.ndarray, lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.ones(len(probe), bool)
-        new[1:] = probe[1:] != probe[:-1]
-        first = np.flatnonzero(new)
+    def pairs(probe: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(np.append(True, probe[1:] != probe[:-1]))
         size = np.diff(np.append(first, len(probe)))
-        out: list[tuple[int, int]] = []
+        out = [np.zeros((0, 2), np.int64)]
         for small in range(2, 9):
             start = first[size == small]
             for i in range(small):
                 for j in range(i + 1, small):
-                    near = np.bitwise_count(lanes[start + i] ^ lanes[start + j]).sum(axis=1) <= limit
-                    out += zip(node[start[near] + i].tolist(), node[start[near] + j].tolist(), strict=True)
+                    hit = start[near(rows[start + i], rows[start + j])]
+                    out.append(np.column_stack([rows[hit + i, 0], rows[hit + j, 0]]))
         for f, n in zip(first[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-            tree(node[f : f + n], lanes[f : f + n], out)
-        linked = stars(out)
-        a, b = zip(*linked, strict=True) if linked else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            out += (across if whole else tree)(rows[f : f + n])
+        found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return found if whole else forest(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches):
-            probe, node, lanes = (np.concatenate(x) for x in zip(*(_unpack(n, packed) for _, n, packed in rows), strict=True))
+        for bucket in grouped(batches):
+            probe, rows = (np.concatenate(x) for x in zip(*(_unpack(n, packed) for _, n, packed in bucket), strict=True))
             order = np.argsort(probe, kind="stable")
-            yield from pairs(probe[order], node[order], lanes[order])
+            found = pairs(probe[order], rows[order])
+            for at in range(0, len(found), 1 << 16):
+                part = found[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
     return run
 
 
+def _pairs(nodes: DataFrame, similarity: float, whole: bool) -> DataFrame:
+    """The different candidates (a, b) of (node, label, size, lanes, free); nodes is counted, so written."""
+    buckets = 1 + (nodes.count() * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
+    packed = nodes.select("node", "label", "size", "lanes", "free").mapInArrow(_pack(buckets), "bucket long, n int, packed binary")
+    find = _candidates(distance_limit(similarity), similarity, whole)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, "a long, b long").distinct()
+
+
+def shingle_sets(df: DataFrame, words: int) -> DataFrame:
+    """(node, grams array) of (node, text): the 64-bit hashes of the distinct shingles; of rows with one node any one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for a, b in chunks(batch.column(1)):
+                part = batch.slice(a, b - a)
+                sets = [np.array([digest(x, SEED) for x in set(shingles(t, words))], np.uint64).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+
+    found = df.select("node", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, "node long, grams array<long>")
+    return found.dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similar): whether the Jaccard similarity of the whole sets reaches the wanted one."""
+    one, two = (sets.select(F.col("node").alias(f"_{x}"), F.col("grams").alias(f"_grams_{x}")) for x in "ab")
+    both = pairs.join(two, F.col("b") == F.col("_b")).join(one, F.col("a") == F.col("_a"))
+    shared = F.size(F.array_intersect("_grams_a", "_grams_b"))
+    return both.select("a", "b", (shared / (F.size("_grams_a") + F.size("_grams_b") - shared) >= similarity).alias("similar"))
+
+
+#: Rows to be dropped or compared up to which their ids are broadcast and texts stay where they are; beyond, both are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def _links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of nodes whose sets are similar, such that they reach as far as all such candidates do.
+
+    First the candidates that join buckets are compared. A candidate that these passed over lies between two nodes that
+    they join; if all of a group's were similar, it adds nothing. In the other groups every candidate is compared that
+    lies between nodes that similar ones have not joined yet.
+    """
+    pairs = materialize(_pairs(nodes.withColumn("label", F.col("node")), similarity, False), "candidates")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    own = materialize(nodes.join(members, F.col("node") == F.col("_node")).select("node", F.col("first.id").alias("_id"), F.col("first.t").alias("_t")), "members")
+    own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    sets = materialize(shingle_sets(texts.join(own, (F.col("id") == F.col("_id")) & (F.col("t") == F.col("_t"))).select("node", "text"), words), "sets")
+    tested = materialize(_confirmed(pairs, sets, similarity), "tested")
+    refused = tested.where(~F.col("similar")).select("a")
+    if refused.isEmpty():
+        return tested.select("a", "b")
+    similar = tested.where("similar").select("a", "b")
+    joined = components(tested.select("a", "b")).toDF("_in", "_group")
+    unsettled = joined.join(refused, F.col("_in") == F.col("a")).select(F.col("_group").alias("_left")).distinct()
+    labels = components(similar).toDF("_of", "label")
+    again = nodes.join(joined, F.col("node") == F.col("_in")).join(unsettled, F.col("_group") == F.col("_left"), "left_semi").join(labels, F.col("node") == F.col("_of"), "left")
+    again = materialize(again.select("node", F.coalesce("label", "node").alias("label"), "size", "lanes", "free"), "again")
+    more = _pairs(again, similarity, True).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(_confirmed(more, sets, similarity).where("similar").select("a", "b"), "more")
+    return similar.unionByName(more)
+
+
 def _identity(key: str, text: str) -> tuple[Column, Column]:
     """What tells rows apart: the key, a null as the smallest, and the hash of the text, a null as empty."""
     return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
@@ -288,15 +368,12 @@ def _named(docs: DataFrame, key: str, text: str, words: int, similarity: float)
     i, t = _identity(key, text)
     texts = docs.select(i.alias("id"), t.alias("t"), F.col(f"`{text}`").alias("text"))
     prints = materialize(wide_fingerprints(texts, ["id", "t"], "text", words), "prints")
-    nodes = prints.groupBy("lanes").agg(F.first("free").alias("free"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "lanes", "free"), "nodes")
-    buckets = 1 + (nodes.count() * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
-    packed = nodes.mapInArrow(_pack(buckets), "bucket long, n int, packed binary")
-    links = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(distance_limit(similarity)), "a long, b long")
-    roots = components(links).withColumnRenamed("node", "_node")
-    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("lanes").alias("_lanes"), F.coalesce("root", "node").alias("root"))
-    counted = prints.groupBy("id", "t", "lanes").agg(F.count(F.lit(1)).alias("rows"))
-    named = counted.join(rooted, F.col("lanes") == F.col("_lanes")).select("id", "t", "rows", "root")
+    nodes = prints.groupBy("digest").agg(F.min(F.struct("id", "t")).alias("first"), *(F.first(c).alias(c) for c in ("size", "lanes", "free")))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = components(_links(nodes, texts, words, similarity)).withColumnRenamed("node", "_node")
+    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("root", "node").alias("root"))
+    counted = prints.groupBy("id", "t", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    named = counted.join(rooted, F.col("digest") == F.col("_digest")).select("id", "t", "rows", "root")
     least = named.groupBy("root").agg(F.min(F.struct("id", "t")).alias("first")).withColumnRenamed("root", "_root")
     return named.join(least, F.col("root") == F.col("_root")).select("id", "t", "rows", "first")
 
@@ -304,18 +381,14 @@ def _named(docs: DataFrame, key: str, text: str, words: int, similarity: float)
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, component_id, rows) for every distinct key and text of docs: the smallest key of its group of near-duplicates.
 
-    Two texts are linked if the similarity of their sets of `words`-word shingles, as estimated from the whole distance
-    of their fingerprints, is at least `similarity`; groups are what links reach. Candidates share a probe of a segment,
-    so links are found with high probability, not surely (the README has figures). Equal fingerprints are one node.
-    Null and empty texts are equal. A null key counts as the smallest; a shared key alone links nothing.
+    Two texts are linked if the Jaccard similarity of their sets of `words`-word shingles is at least `similarity`; groups
+    are what links reach. Each link is confirmed on the whole sets. Candidates share a probe of a segment and are near in
+    their fingerprints, so links are found with high probability, not surely (the README has figures). Equal sets are one
+    node. Null and empty texts are equal. A null key counts as the smallest; a shared key alone links nothing.
     """
     return _named(docs, key, text, words, similarity).select(F.col("id").alias(key), F.col("first.id").alias("component_id"), "rows")
 
 
-#: Rows to be dropped up to which their ids are broadcast and texts stay where they are; beyond, both are shuffled.
-BROADCAST_IDS = 2_000_000
-
-
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group: that with the smallest key, then text hash, of several equal ones any. All columns stay."""
     groups = materialize(_named(docs, key, text, words, similarity), "groups")

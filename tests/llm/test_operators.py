@@ -357,5 +357,60 @@ def test_shared_and_null_keys_keep_unlike_texts(spark):
     assert sorted((r["doc_id"], r["component_id"], r["rows"]) for r in got) == [(5, 5, 1), (5, 5, 1), (6, 5, 1)]
 
 
+def exact_groups(rows):
+    """(smallest linked id of each, similarity of two ids) by all pairs of whole shingle sets."""
+    sets = {d: brute.shingles(t, 5) for d, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    return brute.groups(sorted(sets), lambda a, b: like(a, b) >= 0.8), like
+
+
+def template_rows(rng):
+    """Families of texts that share a template: similarities of 0.5 to 0.8 without copies, and one with close copies."""
+    rows = []
+    for family in range(4):
+        base = words(rng, 150, 5000).split()
+        for i in range(60):
+            w = list(base)
+            for at in rng.sample(range(150), (6, 5, 4, 1 + i % 5)[family]):
+                w[at] = f"own{family}x{i}x{at}"
+            rows.append((100 * family + i, " ".join(w)))
+    return rows
+
+
+def test_near_groups_hold_the_similarity(spark):
+    rows = template_rows(random.Random(16))
+    want, like = exact_groups(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs_of(spark, rows, True)).collect()}
+    assert set(got) == set(want)
+    assert all(want[d] == want[g] for d, g in got.items()), "a group holds what no links of 0.8 reach"
+    assert sum(got[d] != want[d] for d in want) <= 2
+
+
+def test_refused_candidates_hide_no_links(spark):
+    """A run of equal probes: the smallest node is near all in distance but similar to none, the others are in two chains."""
+    rng = random.Random(17)
+    base = words(rng, 150, 5000).split()
+
+    def variant(name, places):
+        return " ".join(f"{name}{i}" if i in places else w for i, w in enumerate(base))
+
+    rows = [(0, variant("z", range(20, 150, 26)))]
+    for chain in range(2):
+        rows += [(1 + 10 * chain + i, variant(f"c{chain}x", {40 * chain + 15 + 30 * k for k in range(3)} | {140 + i % 2})) for i in range(2)]
+    nodes = [(i, i, len(brute.shingles(t, 5)), [0] * simhash.LANES, bytes(range(3)) * 9, (d, d)) for i, (d, t) in enumerate(rows)]
+    nodes += [(100 + i, 100 + i, 146, [0] * simhash.LANES, bytes(range(3)) * 9, (100 + i, 100 + i)) for i in range(12)]
+    rows += [(100 + i, variant(f"s{i}x", range(10 + i, 150, 9))) for i in range(12)]
+    schema = "node long, label long, size long, lanes array<long>, free binary, first struct<id:long,t:long>"
+    texts = spark.createDataFrame([(d, d, t) for d, t in rows], "id long, t long, text string")
+    links = simhash._links(common.materialize(spark.createDataFrame(nodes, schema).drop("label"), "nodes"), texts, 5, 0.8).collect()
+    number = {n[0]: n[5][0] for n in nodes}
+    sets = {d: brute.shingles(t, 5) for d, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    found = {frozenset((number[r["a"]], number[r["b"]])) for r in links}
+    assert all(like(*p) >= 0.8 for p in found)
+    assert brute.groups(sorted(sets), lambda a, b: frozenset((a, b)) in found) == exact_groups(rows)[0]
+    assert len(set(exact_groups(rows)[0].values())) < len(rows)
+
+
 def test_materialize_keeps_rows(spark):
     assert common.materialize(docs_of(spark, AWKWARD), "x").count() == len(AWKWARD)
