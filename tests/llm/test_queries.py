@@ -100,6 +100,15 @@ def test_pipeline_stages(spark):
     assert len(coded) == len(apart) and all(r["round_trip"] for r in coded)
 
 
+def test_near_dedup_against_exact_sets(spark):
+    """The stage drops what components of exact similarity 0.8 drop: nothing else goes, at most one that should go stays."""
+    sets = {d: brute.shingles(t, 5) for d, t in DOCS}
+    want = brute.groups(sorted(sets), lambda a, b: len(shared := sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(shared)))
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
+    gone, right = set(sets) - kept, {d for d in sets if want[d] != d}
+    assert right and len(gone - right) == 0 and len(right - gone) <= 1
+
+
 def test_rejection_takes_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     machine = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
