@@ -1,11 +1,12 @@
-"""Removal of repeated byte strings by longest previous factors, distributed by content.
+"""Removal of repeated byte strings by grouping equal windows, distributed by content.
 
 A string of LENGTH bytes is repeated if it also starts earlier. Every such window is filed under its anchor, the GRAM
 bytes in it that have the smallest hash: equal windows have equal anchors at equal places. Neighbouring windows of one
 anchor make a segment. Anchors that occur once are done with. Of segments with equal content all but the first are
-repeated whole. What is left, different segments around equal anchors, is compared by suffix order: all their windows
-are sorted as suffixes, and where neighbours agree on LENGTH bytes or more, previous or next smaller positions give
-each window but the first an earlier match, so its longest previous factor has LENGTH bytes at least.
+repeated whole. What is left, different segments around equal anchors, is compared by bytes: all their windows are
+sorted, and in a run of equal ones all but that with the smallest position are repeated. Around an anchor with more
+than MANY different segments equal windows are told by two hashes. This replaces a longest-previous-factor array, which
+no query computes: a window is repeated just if its longest previous factor has LENGTH bytes at least.
 """
 
 from __future__ import annotations
@@ -194,6 +195,7 @@ def _meet(length: int, many: int):
 
 def longest_previous_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """For each position the longest match with an earlier one, from the suffix array and the lcp of neighbours in it.
+    No query calls it; a test holds repeated_windows against it.
 
     lcp[i] belongs to order[i - 1] and order[i]. The previous and the next smaller position in suffix order are the two
     candidates; a stack holds the open ones.
@@ -214,8 +216,7 @@ def longest_previous_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
 def repeated_windows(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
     """Which rows of the byte matrix have an equal row with a smaller position.
 
-    The rows are sorted as suffixes cut at their length; a run of neighbours whose lcp reaches that length holds, for
-    each row but its smallest position, a previous or next smaller one: its longest previous factor is that length.
+    The rows are sorted; of a run of equal ones all but that with the smallest position are repeated.
     """
     n, length = windows.shape
     if not n:

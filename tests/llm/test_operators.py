@@ -209,6 +209,17 @@ def test_longest_previous_factors():
         assert suffix_dedup.longest_previous_factors(np.array(order), np.array(lcp)).tolist() == want
 
 
+def test_equal_windows_are_long_previous_factors():
+    rng = random.Random(18)
+    for _ in range(20):
+        s, length = "".join(rng.choice("ab") for _ in range(60)), 5
+        order = sorted(range(60), key=lambda i: s[i:])
+        common = lambda i, j: next((k for k in range(60) if s[i + k : i + k + 1] != s[j + k : j + k + 1] or i + k >= 60), 60)
+        factors = suffix_dedup.longest_previous_factors(np.array(order), np.array([0] + [common(a, b) for a, b in zip(order, order[1:], strict=False)]))
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(s.encode(), np.uint8), length)
+        assert suffix_dedup.repeated_windows(windows, np.arange(len(windows))).tolist() == (factors[: len(windows)] >= length).tolist()
+
+
 def repeated_rows(rng):
     passage, other = words(rng, 60), words(rng, 40)
     rows = [(i, f"{words(rng, 30)} {passage[rng.randrange(40):]} {words(rng, 5)} {other if i % 3 else ''}") for i in range(30)]
