@@ -115,11 +115,11 @@ def group(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS, segm
     return prints.join(named, prints["fp"] == named["_fp"]).select(key, "fp", "component_id")
 
 
-#: The wide fingerprints of near-duplicate search: lanes of 64 bits, two from each hash of 128; of the first lanes,
+#: The wide fingerprints of near-duplicate search: lanes of 64 bits, two from each hash of 128; of the key lanes,
 #: segments, their width, and how many of a segment's least certain bits span the ball that is enumerated.
-LANES, KEY_LANES, LANE_SEGMENTS, SEGMENT_BITS, FREE_BITS = 6, 3, 3, 21, 3
+LANES, KEY_LANES, LANE_SEGMENTS, SEGMENT_BITS, FREE_BITS = 6, 6, 3, 21, 3
 #: Standard deviations by which a distance may exceed its mean at the wanted similarity.
-ALLOWANCE = 1.5
+ALLOWANCE = 3
 
 
 def distance_limit(similarity: float, bits: int = 64 * LANES) -> int:
@@ -172,7 +172,7 @@ def wide_fingerprints(df: DataFrame, keys: list[str], text: str, words: int) ->
 
 
 #: Documents whose probes a task packs at once, and probes that a bucket is to hold.
-PACK_ROWS, BUCKET_PROBES = 1 << 14, 1 << 16
+PACK_ROWS, BUCKET_PROBES = 1 << 12, 1 << 16
 
 
 def _pack(buckets: int):

@@ -397,6 +397,20 @@ def test_near_groups_hold_the_similarity(spark):
     assert sum(got[d] != want[d] for d in want) <= 2
 
 
+def test_pairs_just_above_the_similarity_are_found(spark):
+    """Groups of two at 0.81, which no other link of a group makes up for."""
+    rng, rows = random.Random(19), []
+    for i in range(400):
+        w = [f"p{i}w{k}x{rng.randrange(10**6)}" for k in range(100)]
+        rows.append((2 * i, " ".join(w)))
+        w[rng.randrange(10, 45)] = w[rng.randrange(55, 90)] = "edit"
+        rows.append((2 * i + 1, " ".join(w)))
+        one, two = (brute.shingles(t, 5) for _, t in rows[-2:])
+        assert 0.8 <= len(one & two) / len(one | two) < 0.82
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs_of(spark, rows)).collect()}
+    assert all(got[d] == d for d in got if d % 2 == 0) and sum(got[d] == d - 1 for d in got if d % 2) >= 0.98 * 400
+
+
 def test_refused_candidates_hide_no_links(spark):
     """A run of equal probes: the smallest node is near all in distance but similar to none, the others are in two chains."""
     rng = random.Random(17)
