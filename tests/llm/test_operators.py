@@ -422,8 +422,8 @@ def test_refused_candidates_hide_no_links(spark):
     rows = [(0, variant("z", range(20, 150, 26)))]
     for chain in range(2):
         rows += [(1 + 10 * chain + i, variant(f"c{chain}x", {40 * chain + 15 + 30 * k for k in range(3)} | {140 + i % 2})) for i in range(2)]
-    nodes = [(i, i, len(brute.shingles(t, 5)), [0] * simhash.LANES, bytes(range(3)) * 9, (d, d)) for i, (d, t) in enumerate(rows)]
-    nodes += [(100 + i, 100 + i, 146, [0] * simhash.LANES, bytes(range(3)) * 9, (100 + i, 100 + i)) for i in range(12)]
+    nodes = [(i, i, len(brute.shingles(t, 5)), [0] * simhash.LANES, bytes(range(3)) * (simhash.KEY_LANES * simhash.LANE_SEGMENTS), (d, d)) for i, (d, t) in enumerate(rows)]
+    nodes += [(100 + i, 100 + i, 146, [0] * simhash.LANES, bytes(range(3)) * (simhash.KEY_LANES * simhash.LANE_SEGMENTS), (100 + i, 100 + i)) for i in range(12)]
     rows += [(100 + i, variant(f"s{i}x", range(10 + i, 150, 9))) for i in range(12)]
     schema = "node long, label long, size long, lanes array<long>, free binary, first struct<id:long,t:long>"
     texts = spark.createDataFrame([(d, d, t) for d, t in rows], "id long, t long, text string")
