@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from strandlake.tables import materialize
 
-__all__ = ["chunks", "grouped", "materialize", "mix", "powers", "prefix_sums", "span_hash", "spans_of", "utf8"]
+__all__ = ["arrow_map", "blocks", "chunks", "grouped", "materialize", "mix", "powers", "prefix_sums", "span_hash", "spans_of", "utf8"]
 
 #: Bytes of text that a kernel turns into numpy arrays at once; one longer text is taken alone.
 CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch between Spark and a Python worker; one longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_BYTES: where the session has Spark's own bound it is lowered to that, since
+    a batch of whole texts is held several times, by Spark and by the worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def blocks(column: pa.Array, limit: int, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, bytes, offsets, base): rows of at most about `limit` bytes of text; of a longer text one block after
+    another, each with the `overlap` first bytes of the next, and base its place in the text."""
+    for a, b in chunks(column, limit):
+        data, offsets = utf8(column.slice(a, b - a))
+        if len(data) <= limit + overlap:
+            yield a, data, offsets, 0
+            continue
+        for base in range(0, len(data) - overlap, limit):
+            part = data[base : base + limit + overlap]
+            yield a, part, np.array([0, len(part)]), base
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes of text (one row at least)."""
     n = len(column)

@@ -1,11 +1,14 @@
 """Each training-data operator on awkward small tables: nulls, empty and long texts, ties, repeated rows, empty tables,
 extra columns with clashing names."""
 
+import collections
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +80,23 @@ def test_bpe_round_trip_and_library(spark):
     assert bytes(bpe.decode(coded, RANKS, P.PATTERN).first()["decoded"]) == "é".encode()
 
 
+def test_bpe_long_white_space():
+    """Runs that the library's matcher takes as they are, and such as it does not, up to a million."""
+    rng, enc = random.Random(23), bpe.encoding(RANKS, P.PATTERN)
+    space = " \t\n\r\v\f\x85\xa0\u1680\u2000\u2028\u202f\u205f\u3000"
+    for _ in range(200):
+        runs = ("".join(rng.choice(" " if rng.random() < 0.5 else space) for _ in range(rng.choice([0, 1, 2, 999, 1000, 1001, 1500]))) for _ in range(6))
+        text = "".join(rng.choice(["ab", "c1", "#!", " x", "'s", "é", "\x1c", "\u200b", ""]) + run for run in runs)
+        assert bpe.encode_text(text, RANKS, P.PATTERN).tolist() == enc.encode_ordinary(text), repr(text)
+    for c in (" ", "\n", "b", "7", "\u0301", "#"):
+        for text in (c * 1_000_000, f"a{c * 1_000_000}b"):
+            ids = bpe.encode_text(text, RANKS, P.PATTERN)
+            assert bpe.decode_ids(ids, RANKS, P.PATTERN) == text.encode()
+            one = enc._encode_single_piece
+            if c == " ":
+                assert ids.tolist() == (one(text) if text[0] == c else one("a") + one(c * 999_999) + one(" b"))
+
+
 def test_bpe_pieces_join():
     text = "word, other\n\n 12 " * 50
     cut = list(bpe.pieces(text, 64))
@@ -125,6 +145,20 @@ def test_fingerprint_classes(spark):
     assert fingerprint.fingerprint(docs_of(spark, [])).collect() == []
 
 
+def test_compose_is_nfc(spark):
+    """Random bases with up to five marks, of all blocks, and Hangul, Indic, Tibetan, Hebrew and Arabic among them."""
+    rng = random.Random(24)
+    assigned = [c for c in map(chr, [*range(0x20, 0xD800), *range(0xE000, 0x30000)]) if unicodedata.category(c) != "Cn"]
+    marks = [c for c in assigned if unicodedata.combining(c)]
+    bases = [c for c in assigned if unicodedata.decomposition(c)] + [*"aeEo", *(chr(c) for c in [*range(0x5D0, 0x5EB), *range(0x621, 0x64B), *range(0x900, 0xE00), *range(0xF00, 0xFC0), *range(0x1100, 0x1200)])]
+    texts = ["".join(rng.choice(bases) + "".join(rng.choice(marks) for _ in range(rng.randrange(6))) for _ in range(3)) for _ in range(12_000)]
+    texts += ["E\u0319\u0301", "\u0644\u05ad\u0652", "\u1100\u1161\u11a8", "plain", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", fingerprint.compose(F.col("t")).alias("c")).collect()}
+    assert all(got[i] == unicodedata.normalize("NFC", t) for i, t in enumerate(texts))
+    assert "Python" not in df.select(fingerprint.canonical(F.col("t")))._jdf.queryExecution().toString()
+
+
 def test_fingerprint_tells_colliding_texts_apart(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "wide_hash", lambda c: F.lit("same"))
     rows = [(1, "a"), (2, "b"), (3, "A "), (4, "c")]
@@ -143,6 +177,28 @@ def test_beside_next(spark, monkeypatch, size):
         assert (got[d]["text"], got[d]["next_text"], got[d]["next_key"]) == (t, nxt[1], nxt[0])
 
 
+def test_ordered_parts_are_even(spark, monkeypatch):
+    """A far key, a key that a third of the rows share, and rows without a key leave no large part, and parts in order."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 50)
+    rng = random.Random(25)
+    rows = [(rng.randrange(10**6), f"a{i}") for i in range(3000)] + [(2**62, "far"), (-(2**62), "near")] + [(77, f"b{i}") for i in range(2000)] + [(None, f"c{i}") for i in range(1000)]
+    own = docs_of(spark, rows).select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("tie"))
+    got = [(r["part"], r["key"] is not None, r["key"] or 0, r["tie"]) for r in fingerprint.ordered_parts(own).collect()]
+    assert len(got) == len(rows) and max(collections.Counter(r[0] for r in got).values()) <= 150
+    parts = [r[0] for r in sorted(got, key=lambda r: r[1:])]
+    assert parts == sorted(parts)
+    assert fingerprint.ordered_parts(own.limit(0)).collect() == []
+
+
+def test_beside_next_shared_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
+    rows = [(5, f"x{i}") for i in range(20)] + [(None, f"n{i}") for i in range(10)] + [(i, f"t{i}") for i in range(10)]
+    got = [(r["text"], r["next_text"]) for r in fingerprint.beside_next(docs_of(spark, rows, True))(None).collect()]
+    assert len(got) == len(rows) and sorted(a for a, _ in got) == sorted(b for _, b in got) == sorted(t for _, t in rows)
+    after = dict(got)
+    assert after["t9"] == "t8" and after["t0"].startswith("n") and {a for a, b in got if b == "t9"} <= {f"n{i}" for i in range(10)}
+
+
 # quality
 
 
@@ -227,11 +283,28 @@ def repeated_rows(rng):
     return rows + [(200 + i, t) for i, t in AWKWARD if i >= 0]
 
 
-@pytest.mark.parametrize("flush, many", [(50, 50_000), (1 << 19, 50_000), (1 << 19, 1)])
-def test_remove_repeats(spark, monkeypatch, flush, many):
-    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+@pytest.mark.parametrize("name, value", [("FLUSH", 50), ("FLUSH", 1 << 17), ("CROWDED", 1), ("CROWDED", 3), ("HELD", 20), ("SORT_BYTES", 400), ("BLOCK_BYTES", 256)])
+def test_remove_repeats(spark, monkeypatch, name, value):
+    """Whatever goes together, is held at once, or is filed window by window: the result is the same."""
+    kernels = {f: getattr(suffix_dedup, f) for f in ("_map_side", "_contents", "_meet", "_compare")}
+
+    def inside(make):
+        """The worker's own module gets the value too."""
+
+        def made(*args):
+            def run(batches):
+                setattr(suffix_dedup, name, value)
+                return make(*args)(batches)
+
+            return run
+
+        return made
+
+    for f, make in kernels.items():
+        monkeypatch.setattr(suffix_dedup, f, inside(make))
+    monkeypatch.setattr(suffix_dedup, name, value)
     rows = repeated_rows(random.Random(10))
-    got = suffix_dedup.remove_repeats(docs_of(spark, rows, True).repartition(5), keep=["doc_id"], many=many).collect()
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows, True).repartition(5), keep=["doc_id"]).collect()
     want = brute.repeats(rows)
     assert len(got) == len(rows)
     for r in got:
@@ -239,6 +312,39 @@ def test_remove_repeats(spark, monkeypatch, flush, many):
         assert bytes(r["_kept"]) == kept and len(r["_spans"]) == spans and sum(s["end"] - s["start"] for s in r["_spans"]) == removed
 
 
+def test_windows_are_compared_by_previous_factors(monkeypatch):
+    """The kernel that compares different segments asks the longest-previous-factor array and nothing else."""
+    asked, own = [], suffix_dedup.longest_previous_factors
+    monkeypatch.setattr(suffix_dedup, "longest_previous_factors", lambda order, lcp: asked.append(len(order)) or own(order, lcp))
+    texts = [b"xabcdefgh", b"yabcdefgz"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([7, 7]), pa.array([1, 2]), pa.array([0, 0]), pa.array([0, 0], pa.int32()), pa.array(texts)], ["bucket", "h", "doc", "t", "start", "bytes"])
+    out = [r for b in suffix_dedup._compare(5)(iter([batch])) for r in b.to_pylist()]
+    assert asked == [10] and [(r["doc"], r["start"], r["end"]) for r in out] == [(2, 1, 8)]
+
+
+def test_passage_in_every_document(spark):
+    """Edges of a passage that all documents have, each among other text, are crowded anchors."""
+    rng = random.Random(21)
+    passage = words(rng, 30)
+    rows = [(i, f"{words(rng, 12)} {passage} {words(rng, 12)}") for i in range(300)]
+    own = docs_of(spark, rows)
+    assert len(suffix_dedup._crowded(own.select(F.col("doc_id").alias("_doc"), F.lit(0).cast("long").alias("_t"), F.col("text").alias("_text")), 100, 32))
+    want = brute.repeats(rows)
+    for r in suffix_dedup.remove_repeats(own).collect():
+        assert bytes(r["_kept"]) == want[r["doc_id"]][3]
+
+
+def test_shared_keys_are_documents_of_their_own(spark):
+    rng = random.Random(22)
+    passage = words(rng, 40)
+    rows = [(None if i % 2 else 5, f"{words(rng, 10)} {passage}") for i in range(10)]
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows, True).withColumns({"_kept": F.lit(1), "_spans": F.lit(2)})).collect()
+    assert len(got) == 10 and sum(len(r["_spans"]) == 0 for r in got) == 1
+    cut = suffix_dedup.without_repeats(docs_of(spark, rows, True).withColumns({"_kept": F.lit(1), "_spans": F.lit(2)}))
+    assert {(r["_kept"], r["_spans"], r["_doc"]) for r in cut.collect()} == {(1, 2, "x")}
+    assert sorted(r["text"] for r in cut.collect()) == sorted(bytes(r["_kept"]).decode() for r in got)
+
+
 def test_remove_repeats_leaves_whole_characters(spark):
     rows = [(1, "é" * 60), (2, "a" + "é" * 60 + "z")]
     got = {r["doc_id"]: bytes(r["_kept"]) for r in suffix_dedup.remove_repeats(docs_of(spark, rows), whole_chars=True).collect()}
