@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import chunks
+from strandlake.llm.common import arrow_map, chunks
 
 #: Texts longer than this many code points go to the library in pieces.
 PIECE_CHARS = 1 << 16
@@ -22,6 +22,9 @@ PIECE_CHARS = 1 << 16
 #: them: so a text may be cut there.
 _SAFE = regex.compile(r"(?<=\p{L})(?=[ \n])")
 
+#: Runs of Unicode white space that are taken apart from the library's matcher.
+_SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
 
 @lru_cache(maxsize=4)
 def encoding(ranks_path: str, pattern: str):
@@ -46,12 +49,31 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode_text(text: str, ranks_path: str, pattern: str) -> np.ndarray:
+    """The ids of a text.
+
+    The library's matcher cannot take very long white space, so it is matched here: after a run of it the pattern starts
+    afresh, before a word the run less its last character is one match, at the end the whole run.
+    """
     enc = encoding(ranks_path, pattern)
-    return np.concatenate([np.asarray(enc.encode_ordinary(p), dtype="<u4") for p in pieces(text)])
+    out: list[np.ndarray] = []
+
+    def add(ids: list[int]) -> None:
+        out.append(np.asarray(ids, dtype="<u4"))
+
+    for p in pieces(text):
+        at = 0
+        for run in _SPACES.finditer(p):
+            end = run.end() - (run.end() < len(p))
+            add(enc.encode_ordinary(p[at : run.start()]))
+            add(enc._encode_single_piece(p[run.start() : end]))
+            at = end
+        add(enc.encode_ordinary(p[at:]))
+    return np.concatenate(out)
 
 
 def decode_ids(ids: np.ndarray, ranks_path: str, pattern: str) -> bytes:
-    return encoding(ranks_path, pattern).decode_bytes(ids.tolist())
+    enc = encoding(ranks_path, pattern)
+    return b"".join(enc.decode_bytes(ids[at : at + PIECE_CHARS].tolist()) for at in range(0, len(ids), PIECE_CHARS))
 
 
 def _coder(ranks_path: str, pattern: str, schema: T.StructType, keep: int, back: bool):
@@ -80,7 +102,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", kee
     more = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.BinaryType())] * back
     schema = T.StructType([*(df.schema[c] for c in keep), *more])
     source = df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    return source.mapInArrow(_coder(ranks_path, pattern, schema, len(keep), back), schema)
+    return arrow_map(source, _coder(ranks_path, pattern, schema, len(keep), back), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -95,7 +117,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids")
                 raw = [decode_ids(np.frombuffer(x or b"", "<u4"), ranks_path, pattern) for x in packed]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return arrow_map(encoded, run, schema)
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
