@@ -7,9 +7,7 @@ that met there get different fingerprints.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,81 +17,22 @@ from strandlake.llm.common import materialize
 
 #: Ids of rows in shared buckets up to which they are broadcast to narrow the second reading; beyond, it reads all rows.
 BROADCAST_IDS = 2_000_000
-#: Rows of a range of keys when rows are put beside their successors, and the greatest number of such ranges.
-RANGE_ROWS, MOST_RANGES = 2000, 1 << 16
-
-
-@lru_cache(maxsize=1)
-def _unicode_rules() -> tuple[list[tuple[str, str]], list[tuple[str, str]], list[tuple[str, str]]]:
-    """From this Python's Unicode tables: replacements of characters that never stay, compositions by depth, and the
-    pairs of classes of marks that stand in the wrong order."""
-    apart, pairs, classes = [], [], {}
-    for code in range(0xC0, 0x110000):
-        c = chr(code)
-        if code < 0x370 and (order := unicodedata.combining(c)):
-            classes.setdefault(order, []).append(c)
-        d = unicodedata.decomposition(c)
-        if not d or d[0] == "<":
-            continue
-        composed = unicodedata.normalize("NFC", c)
-        if composed != c:
-            apart.append((c, composed))
-        elif " " in d:
-            pairs.append(("".join(chr(int(x, 16)) for x in d.split()), c))
-    depth = {c: 1 for _, c in pairs}
-    for _ in range(3):
-        for two, c in pairs:
-            depth[c] = 1 + depth.get(two[0], 0)
-    pairs.sort(key=lambda p: (depth[p[1]], p))
-    marks = {k: "[" + "".join(v) + "]" for k, v in classes.items()}
-    disorder = [(f"({marks[a]})({marks[b]})", "$2$1") for a in sorted(marks, reverse=True) for b in sorted(marks) if b < a]
-    return apart, pairs, disorder
-
-
-def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    """The table is one literal: a pair in each line, its parts divided by a tabulator."""
-    table = F.split(F.lit("\n".join(f"{a}\t{b}" for a, b in pairs)), "\n")
-    return F.aggregate(table, text, lambda t, p: F.replace(t, F.substring_index(p, "\t", 1), F.substring_index(p, "\t", -1)))
+#: Rows of a part when rows are put beside their successors, the greatest number of parts, and the quantiles of keys
+#: between which parts are cut.
+RANGE_ROWS, MOST_RANGES, QUANTILES = 2000, 1 << 16, 256
+
+
+#: Fixed value: the class of the Unicode library that Spark ships, called by the SQL function `reflect`.
+NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
 def compose(text: Column) -> Column:
-    """Unicode composition (NFC); Hangul letters are composed to syllables by the arithmetic rule. One limit: marks in
-    the wrong order are put right among U+0300 to U+036F only, two places at most, and a mark is composed with what
-    stands right before it.
+    """Unicode composition (NFC) of a text that is not null, by the Unicode library beside Spark's own collations.
 
     Texts without a character from U+0300 on, most of them, are composed already and are passed as they are.
     """
-    apart, pairs, disorder = _unicode_rules()
-    full = _replace_all(text, apart)
-    for _ in range(2):
-        for pattern, turned in disorder:
-            full = F.regexp_replace(full, pattern, turned)
-    full = _replace_all(full, pairs)
-    lead, vowel = ([chr(a + i) for i in range(n)] for a, n in ((0x1100, 19), (0x1161, 21)))
-    syllables = [(x + y, chr(0xAC00 + (i * 21 + j) * 28)) for i, x in enumerate(lead) for j, y in enumerate(vowel)]
-    hangul = _replace_all(full, syllables)
-
-    final = F.transform(F.split(hangul, r"(?=[ᆨ-ᇂ])"), lambda p: p)
-    joined = F.aggregate(
-        final, F.lit(""),
-        lambda t, p: F.when(
-            p.rlike(r"^[ᆨ-ᇂ]") & t.rlike(r"[가-힣]$") & (F.pmod(_code(F.right(t, F.lit(1))) - 0xAC00, F.lit(28)) == 0),
-            F.concat(F.substring(t, F.lit(1), F.length(t) - 1), _from_code(_code(F.right(t, F.lit(1))) + _code(F.left(p, F.lit(1))) - 0x11A7), F.substring(p, F.lit(2), F.length(p))),
-        ).otherwise(F.concat(t, p)),
-    )
-    full = F.when(full.rlike(r"[ᄀ-ᄒᆨ-ᇂ]"), joined).otherwise(full)
-    return F.when(text.rlike(r"[^\u0000-˿]"), full).otherwise(text)
-
-
-def _code(c: Column) -> Column:
-    """Code point of a character of three UTF-8 bytes."""
-    raw = F.conv(F.hex(F.encode(c, "utf-8")), 16, 10).cast("long")
-    return F.shiftright(raw, 16).bitwiseAND(F.lit(15)) * 4096 + F.shiftright(raw, 8).bitwiseAND(F.lit(63)) * 64 + raw.bitwiseAND(F.lit(63))
-
-
-def _from_code(n: Column) -> Column:
-    raw = (F.lit(0xE0) + F.shiftright(n, 12)) * 65536 + (F.lit(0x80) + F.shiftright(n, 6).bitwiseAND(F.lit(63))) * 256 + F.lit(0x80) + n.bitwiseAND(F.lit(63))
-    return F.decode(F.unhex(F.hex(raw)), "utf-8")
+    full = F.reflect(F.lit(NORMALIZER), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(r"[^\u0000-\u02ff]"), full).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
@@ -161,20 +100,58 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return settle(hashed, ["f"], texts_of, "_k").select(F.col("_k").alias(key), F.col("f").alias("fingerprint"))
 
 
+def _place(cuts: list, key: Column) -> Column:
+    """How many of the ascending cuts are at most the key, by binary search in a literal array."""
+    if not cuts:
+        return F.lit(0)
+    known = F.array(*(F.lit(c) for c in cuts))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+
+    def step(at: Column, size: Column) -> Column:
+        return F.when((at + size <= len(cuts)) & (F.try_element_at(known, at + size) <= key), at + size).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def ordered_parts(own: DataFrame) -> DataFrame:
+    """Adds part long to own(key, tie, ...): rows of a smaller part never follow, in (key, tie), rows of a larger one; a
+    null key is the smallest. Parts are of like size, whatever the distribution of keys and however many rows share one.
+
+    The keys are cut at measured quantiles, and each range of n rows into n / RANGE_ROWS parts by (key, tie), where tie,
+    a hash, tells rows of one key apart.
+    """
+    key = F.col("key")
+    quantiles = F.percentile_approx("key", [i / QUANTILES for i in range(1, QUANTILES)], 20 * QUANTILES)
+    cuts = sorted({c for c in own.agg(quantiles).first()[0] or ()})
+    cuts = sorted({*cuts, *(c + 1 for c in cuts)}) if cuts and isinstance(cuts[0], int) else cuts
+    own = own.withColumn("_range", F.when(key.isNull(), -1).otherwise(_place(cuts, key)))
+    found = own.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("_range").collect()
+    total = sum(r["n"] for r in found)
+    each = max(RANGE_ROWS, -(-total // MOST_RANGES))
+    first, about = 0, {}
+    for r in found:
+        parts = -(-r["n"] // each)
+        about[r["_range"]] = (first, parts, float(r["low"] or 0), float(r["high"] or 0) - float(r["low"] or 0) + 1)
+        first += parts
+    if not about:
+        return own.withColumn("part", F.lit(0).cast("long")).drop("_range")
+    index = F.col("_range") + 2
+    at = lambda i: F.try_element_at(F.array(*(F.lit(about.get(r, (0, 1, 0.0, 1.0))[i]) for r in range(-1, max(about) + 1))), index)
+    share = (F.coalesce(key.cast("double"), F.lit(0.0)) - at(2) + (F.col("tie") / float(1 << 64) + 0.5)) / at(3)
+    inside = F.greatest(F.lit(0).cast("long"), F.least(F.floor(share * at(1)), at(1).cast("long") - 1))
+    return own.withColumn("part", at(0) + inside).drop("_range")
+
+
 def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Callable[[DataFrame | None], DataFrame]:
     """A function giving (key, n_chars, text, next_key, next_text), next in descending order of the key, after the last
     the first; for a set of ids, of those rows alone.
 
-    The keys' range is cut into equal parts, each part is sorted in a window of its own, and the first row of a part is
-    also sent to the part before it. Of equal keys a hash of the text decides the order. Texts are shuffled once.
+    Rows are cut into ordered parts of like size, each part is sorted in a window of its own, and the first row of a part
+    is also sent to the part before it. Keys are numbers; of equal keys a hash of the text decides the order, a null key
+    comes last. Texts are shuffled once.
     """
     own = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    own = own.withColumn("tie", F.xxhash64("text"))
-    n, low, high = own.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
-    parts = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    low, span = float(low or 0), max(1.0, (float(high or 0) - float(low or 0)) / parts)
-    part = F.coalesce(F.least(F.floor((F.col("key").cast("double") - low) / span), F.lit(parts - 1).cast("long")), F.lit(-1).cast("long"))
-    own = own.withColumn("part", part)
+    own = ordered_parts(own.withColumn("tie", F.xxhash64("text")))
     heads = own.groupBy("part").agg(F.max(F.struct(F.col("key").isNotNull().alias("some"), "key", "tie")).alias("head"))
     around = Window.orderBy("part")
     above = F.coalesce(F.lead("part").over(around), F.first("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
