@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import chunks, grouped, materialize, utf8
+from strandlake.llm.common import arrow_map, chunks, grouped, materialize, utf8
 from strandlake.operators.graph import components
 
 WORDS = 4
@@ -59,7 +59,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
                 prints = [simhash(x, words, seed) for x in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64())], [key, "fp"])
 
-    return df.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return arrow_map(df.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")), run, schema)
 
 
 def segment_radii(max_bits: int, segments: int) -> list[int]:
@@ -168,11 +168,14 @@ def wide_fingerprints(df: DataFrame, keys: list[str], text: str, words: int) ->
                 columns = [pa.array(list(x), k) for x, k in zip(prints, (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *columns], names=schema.names)
 
-    return df.select(*(F.col(f"`{k}`") for k in keys), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return arrow_map(df.select(*(F.col(f"`{k}`") for k in keys), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")), run, schema)
 
 
-#: Documents whose probes a task packs at once, and probes that a bucket is to hold.
-PACK_ROWS, BUCKET_PROBES = 1 << 12, 1 << 16
+#: Forests of candidates that each further round looks at.
+MORE_FORESTS = 4
+#: Documents whose probes a task packs at once, probes that a bucket is to hold, and nodes of one probe that are compared
+#: all with all.
+PACK_ROWS, BUCKET_PROBES, RUN = 1 << 12, 1 << 16, 64
 
 
 def _pack(buckets: int):
@@ -219,75 +222,90 @@ def _unpack(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(packed, "<i8", m, table.nbytes + 4 * m), table[place]
 
 
-def _candidates(limit: int, similarity: float, whole: bool):
-    """Buckets of packed probes to pairs (a, b), a < b, of one probe that may be similar: in distance and in size.
-
-    Of the pairs that may be, those are given that join what no other pair of the bucket has joined, at most one for each
-    node: in a run of equal probes one node after another is taken up and compared with the nodes that no earlier one has
-    reached, so a dense run costs about its length. If whole, all of them are given whose labels differ.
+def forest(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b) are in the shortest spanning forest: in each round every tree takes its shortest edge out."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(length, kind="stable")
+    x, y = place[: len(a)][order], place[len(a) :][order]
+    tree, chosen, left = np.arange(len(names)), np.zeros(len(a), bool), np.arange(len(a))
+    while len(left := left[tree[x[left]] != tree[y[left]]]):
+        p, q, best = tree[x[left]], tree[y[left]], np.full(len(names), len(a))
+        best[p[::-1]] = left[::-1]  # the last one written is the shortest
+        other = np.full(len(names), len(a))
+        other[q[::-1]] = left[::-1]
+        best = np.minimum(best, other)
+        trees = np.flatnonzero(best < len(a))
+        chosen[best[trees]] = True
+        up = np.arange(len(names))
+        up[trees] = tree[x[best[trees]]] + tree[y[best[trees]]] - trees
+        up = np.where((up[up] == np.arange(len(names))) & (np.arange(len(names)) < up), np.arange(len(names)), up)
+        while (up[up] != up).any():
+            up = up[up]
+        tree = up[tree]
+    out = np.zeros(len(a), bool)
+    out[order] = chosen
+    return out
+
+
+def _candidates(limit: int, similarity: float, forests: int):
+    """Buckets of packed probes to pairs (a, b), a < b, of nodes with different labels that share a probe and may be similar
+    by distance and size: `forests` shortest spanning forests of the labels, each of edges that those before it left.
+
+    So a bucket gives no more than `forests` pairs for each of its nodes, the likeliest first. Of equal probes, all pairs
+    within chunks of RUN are looked at, in the order of the fingerprints; in a longer run also a tree that reaches from one
+    node to the next all that are near.
     """
 
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         few, many = np.minimum(x[..., 2], y[..., 2]), np.maximum(x[..., 2], y[..., 2])
-        differ = np.bitwise_count((x[..., 3:] ^ y[..., 3:]).view(np.uint64)).sum(axis=-1)
-        found = (differ <= limit) & (few >= (similarity - 1e-9) * many) & (x[..., 0] != y[..., 0])
-        return found & (x[..., 1] != y[..., 1]) if whole else found
+        differ = np.bitwise_count((x[..., 3:] ^ y[..., 3:]).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+        return (differ <= limit) & (few >= (similarity - 1e-9) * many) & (x[..., 1] != y[..., 1]), differ
 
-    def tree(rows: np.ndarray) -> Iterator[np.ndarray]:
-        left = rows[np.argsort(rows[:, 0])]
+    def tree(rows: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        left = at
         while len(left) > 1:
             queue, left = [left[0]], left[1:]
             while queue and len(left):
-                at = queue.pop(0)
-                hit = near(left, at)
-                yield np.column_stack([np.broadcast_to(at[0], hit.sum()), left[hit, 0]])
-                queue += list(left[hit])
+                one = queue.pop(0)
+                hit, differ = near(rows[left], rows[one])
+                yield np.full(hit.sum(), one), left[hit], differ[hit]
+                queue += left[hit].tolist()
                 left = left[~hit]
 
-    def across(rows: np.ndarray) -> Iterator[np.ndarray]:
-        _, place, count = np.unique(rows[:, 1], return_inverse=True, return_counts=True)
-        order = np.lexsort((place, count[place]))
-        rows, place = rows[order], place[order]
-        end = np.append(np.flatnonzero(place[1:] != place[:-1]) + 1, len(rows))
-        for a, b in zip(np.append(0, end[:-1]), end[:-1], strict=False):
-            for at in rows[a:b]:
-                yield np.column_stack([np.broadcast_to(at[0], (hit := near(rows[b:], at)).sum()), rows[b:][hit, 0]])
-
-    def forest(pairs: np.ndarray) -> np.ndarray:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = parent[up]
-                x = up
-            return x
-
-        joins = np.zeros(len(pairs), bool)
-        for i, (x, y) in enumerate(pairs.tolist()):
-            x, y = find(x), find(y)
-            joins[i] = x != y
-            parent[max(x, y)] = min(x, y)
-        return pairs[joins]
-
-    def pairs(probe: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def edges(probe: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         first = np.flatnonzero(np.append(True, probe[1:] != probe[:-1]))
         size = np.diff(np.append(first, len(probe)))
-        out = [np.zeros((0, 2), np.int64)]
-        for small in range(2, 9):
-            start = first[size == small]
-            for i in range(small):
-                for j in range(i + 1, small):
-                    hit = start[near(rows[start + i], rows[start + j])]
-                    out.append(np.column_stack([rows[hit + i, 0], rows[hit + j, 0]]))
-        for f, n in zip(first[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-            out += (across if whole else tree)(rows[f : f + n])
-        found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return found if whole else forest(found)
+        for long, n in zip(first[size > RUN].tolist(), size[size > RUN].tolist(), strict=True):
+            yield from tree(rows, np.arange(long, long + n))
+        at = np.concatenate([np.arange(f, f + n, RUN) for f, n in zip(first[size > RUN].tolist(), size[size > RUN].tolist(), strict=True)] or [first[:0]])
+        end = np.minimum(at + RUN, (first + size)[np.searchsorted(first, at, side="right") - 1])
+        first, size = np.append(first[size <= RUN], at), np.append(size[size <= RUN], end - at)
+        for n in np.unique(size[size > 1]).tolist():
+            start = first[size == n]
+            for i in range(n):
+                for j in range(i + 1, n):
+                    hit, differ = near(rows[start + i], rows[start + j])
+                    yield start[hit] + i, start[hit] + j, differ[hit]
+
+    def pairs(probe: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        found = [np.concatenate(x) for x in zip(*edges(probe, rows), strict=True)]
+        if not found or not len(found[0]):
+            return np.zeros((0, 2), np.int64)
+        a, b, differ = found
+        node = np.sort(np.column_stack([rows[a, 0], rows[b, 0]]), axis=1)
+        _, once = np.unique(node, axis=0, return_index=True)
+        a, b, differ, node = a[once], b[once], differ[once], node[once]
+        out = []
+        for _ in range(forests):
+            chosen = forest(rows[a, 1], rows[b, 1], differ)
+            out.append(node[chosen])
+            a, b, differ, node = a[~chosen], b[~chosen], differ[~chosen], node[~chosen]
+        return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in grouped(batches):
             probe, rows = (np.concatenate(x) for x in zip(*(_unpack(n, packed) for _, n, packed in bucket), strict=True))
-            order = np.argsort(probe, kind="stable")
+            order = np.lexsort((rows[:, 0], *(rows[:, i] for i in range(2 + LANES, 2, -1)), probe))
             found = pairs(probe[order], rows[order])
             for at in range(0, len(found), 1 << 16):
                 part = found[at : at + (1 << 16)]
@@ -296,12 +314,12 @@ def _candidates(limit: int, similarity: float, whole: bool):
     return run
 
 
-def _pairs(nodes: DataFrame, similarity: float, whole: bool) -> DataFrame:
+def _pairs(nodes: DataFrame, similarity: float, forests: int = 1) -> DataFrame:
     """The different candidates (a, b) of (node, label, size, lanes, free); nodes is counted, so written."""
     buckets = 1 + (nodes.count() * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
-    packed = nodes.select("node", "label", "size", "lanes", "free").mapInArrow(_pack(buckets), "bucket long, n int, packed binary")
-    find = _candidates(distance_limit(similarity), similarity, whole)
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, "a long, b long").distinct()
+    packed = arrow_map(nodes.select("node", "label", "size", "lanes", "free"), _pack(buckets), "bucket long, n int, packed binary")
+    find = _candidates(distance_limit(similarity), similarity, forests)
+    return arrow_map(packed.repartition("bucket").sortWithinPartitions("bucket"), find, "a long, b long").distinct()
 
 
 def shingle_sets(df: DataFrame, words: int) -> DataFrame:
@@ -315,7 +333,7 @@ def shingle_sets(df: DataFrame, words: int) -> DataFrame:
                 sets = [np.array([digest(x, SEED) for x in set(shingles(t, words))], np.uint64).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
-    found = df.select("node", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, "node long, grams array<long>")
+    found = arrow_map(df.select("node", F.coalesce("text", F.lit("")).alias("_text")), run, "node long, grams array<long>")
     return found.dropDuplicates(["node"])
 
 
@@ -332,30 +350,42 @@ BROADCAST_IDS = 2_000_000
 
 
 def _links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of nodes whose sets are similar, such that they reach as far as all such candidates do.
+    """(a, b) of nodes whose sets are similar, such that they reach as far as all links do.
 
-    First the candidates that join buckets are compared. A candidate that these passed over lies between two nodes that
-    they join; if all of a group's were similar, it adds nothing. In the other groups every candidate is compared that
-    lies between nodes that similar ones have not joined yet.
+    In each round the candidates that join what no link joins yet are compared, the nearest first, a forest of them for
+    each bucket. Where one is refused, others may lie between the same two groups: these groups go into the next round,
+    which looks MORE_FORESTS forests further. Rounds end when one confirms nothing. So the number of comparisons grows with the
+    nodes and rounds, not with the square of a group.
     """
-    pairs = materialize(_pairs(nodes.withColumn("label", F.col("node")), similarity, False), "candidates")
+    pairs = materialize(_pairs(nodes.withColumn("label", F.col("node")), similarity), "candidates")
     members = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
     own = materialize(nodes.join(members, F.col("node") == F.col("_node")).select("node", F.col("first.id").alias("_id"), F.col("first.t").alias("_t")), "members")
     own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
     sets = materialize(shingle_sets(texts.join(own, (F.col("id") == F.col("_id")) & (F.col("t") == F.col("_t"))).select("node", "text"), words), "sets")
     tested = materialize(_confirmed(pairs, sets, similarity), "tested")
-    refused = tested.where(~F.col("similar")).select("a")
+    refused, similar = tested.where(~F.col("similar")), tested.where("similar").select("a", "b")
     if refused.isEmpty():
-        return tested.select("a", "b")
-    similar = tested.where("similar").select("a", "b")
+        return similar
     joined = components(tested.select("a", "b")).toDF("_in", "_group")
-    unsettled = joined.join(refused, F.col("_in") == F.col("a")).select(F.col("_group").alias("_left")).distinct()
     labels = components(similar).toDF("_of", "label")
+    unsettled = joined.join(refused, F.col("_in") == F.col("a")).select(F.col("_group").alias("_left")).distinct()
     again = nodes.join(joined, F.col("node") == F.col("_in")).join(unsettled, F.col("_group") == F.col("_left"), "left_semi").join(labels, F.col("node") == F.col("_of"), "left")
     again = materialize(again.select("node", F.coalesce("label", "node").alias("label"), "size", "lanes", "free"), "again")
-    more = _pairs(again, similarity, True).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(_confirmed(more, sets, similarity).where("similar").select("a", "b"), "more")
-    return similar.unionByName(more)
+    forests = 1
+    while True:
+        forests += MORE_FORESTS
+        more = _pairs(again, similarity, forests).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = materialize(_confirmed(more, sets, similarity), "more")
+        found = more.where("similar").select("a", "b")
+        if found.isEmpty():
+            return similar
+        similar, tested = similar.unionByName(found), tested.unionByName(more)
+        of = again.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+        for c in ("a", "b"):
+            found = found.join(of, F.col(c) == F.col("_node")).select(*(x for x in ("a", "b") if x != c), F.col("_label").alias(c))
+        root = components(found).toDF("_old", "_new")
+        again = again.join(root, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label"), "size", "lanes", "free")
+        again = materialize(again, "again")
 
 
 def _identity(key: str, text: str) -> tuple[Column, Column]:
