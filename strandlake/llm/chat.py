@@ -97,6 +97,23 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.concat_ws("", F.transform(cut, unescape))
 
 
+def streamed(events: DataFrame) -> DataFrame:
+    """The log of `message` events as it would have come in: assistant turns begin with a draft, are regenerated and stream
+    in two deltas; the others are sent with a slip and edited. Folding it gives the same messages."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text") - half)
+
+    def event(nth: int, kind: str, text: Column) -> Column:
+        return F.struct((F.col("seq") * 4 + nth).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    draft = F.concat(F.lit("draft: "), second)
+    answer = F.array(event(0, "message", draft), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", second))
+    asked = F.array(event(0, "message", first), event(1, "delta", draft), event(2, "edit", F.col("text")))
+    own = events.withColumn("text", F.coalesce("text", F.lit("")))
+    each = own.select("conv", "msg", "role", F.explode(F.when(F.col("role") == "assistant", answer).otherwise(asked)).alias("e"))
+    return each.select("conv", "e.seq", "msg", "e.kind", "role", "e.text")
+
+
 def turn_events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """The event log of a table of whole turns: one `message` event each.
 

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.tables import materialize
 
-__all__ = ["arrow_map", "blocks", "chunks", "grouped", "materialize", "mix", "powers", "prefix_sums", "span_hash", "spans_of", "utf8"]
+__all__ = ["arrow_map", "blocks", "by_place", "integer_key", "chunks", "grouped", "materialize", "mix", "powers", "prefix_sums", "span_hash", "spans_of", "utf8"]
 
 #: Bytes of text that a kernel turns into numpy arrays at once; one longer text is taken alone.
 CHUNK_BYTES = 1 << 19
@@ -32,6 +33,18 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ..., so that no name of a user's column meets one that an operator uses."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def integer_key(df: DataFrame, key: str) -> Column:
+    """The key as long, a null as the smallest. Keys give the order here, so other than integers are refused."""
+    if not isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{key} should be an integer, not {df.schema[key].dataType.simpleString()}")
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63)))
+
+
 def blocks(column: pa.Array, limit: int, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(first row, bytes, offsets, base): rows of at most about `limit` bytes of text; of a longer text one block after
     another, each with the `overlap` first bytes of the next, and base its place in the text."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import chunks, mix, prefix_sums, span_hash, spans_of, utf8
+from strandlake.llm.common import arrow_map, by_place, chunks, mix, prefix_sums, span_hash, spans_of, utf8
 
 WINDOW = 10
 K = 5
@@ -196,7 +196,7 @@ def _pass(df: DataFrame, text: str, index: Index, item_type: T.DataType, keep: l
             found = [pa.array([r[i] for r in rows], out.field(n).type) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), *found], names=out.names)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def decontaminate(
@@ -210,7 +210,8 @@ def decontaminate(
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """The columns `keep` of docs (None: all) and `_n_words` long, `_hit_spans` array of word ranges, `_item_ids` array.
+    """The columns `keep` of docs (None: all) and `_n_words` long, `_hit_spans` array of word ranges, `_item_ids` array, in
+    place of columns of these names.
 
     The benchmark's size is measured first. Blocks of at most about block_bytes are indexed on the driver and
     broadcast, one pass over the rows each, chained without a shuffle; one item is never split. A null or empty text
@@ -221,13 +222,19 @@ def decontaminate(
     total = items.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     item_type = benchmark.schema[item].dataType
-    out = docs
+    added = ["_n_words", "_hit_spans", "_item_ids"]
+    names = [c for c in keep or docs.columns if c not in added]
+    out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{text}`").alias("text"))
+    kept = out.columns[:-1]
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("_t"), F.lit(blocks)) == block).orderBy("_id", "_t").collect()
-        out = _pass(out, text, Index.of([r[0] for r in rows], [r[1] for r in rows], window, k), item_type, keep if keep and block == blocks - 1 else docs.columns)
-    return out
+        index = Index.of([r[0] for r in rows], [r[1] for r in rows], window, k)
+        out = _pass(out, "text", index, item_type, kept if block == blocks - 1 else [*kept, "text"])
+    return out.toDF(*names, *added)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs of which no word is in an occurrence of a benchmark window, with their columns."""
-    return decontaminate(docs, benchmark, text).where(F.size("_hit_spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = by_place(docs)
+    hit = decontaminate(own, benchmark, f"c{docs.columns.index(text)}")
+    return hit.where(F.size("_hit_spans") == 0).select(*own.columns).toDF(*docs.columns)

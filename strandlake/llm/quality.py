@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import chunks, materialize, mix, prefix_sums, span_hash, spans_of, utf8
+from strandlake.llm.common import arrow_map, chunks, materialize, mix, prefix_sums, span_hash, spans_of, utf8
 
 #: Buckets of hashed n-grams (n up to 2) of each model.
 BUCKETS = 1 << 14
@@ -59,7 +59,8 @@ def counts(docs: DataFrame, text: str, member: str) -> DataFrame:
                 total[1] += np.bincount(bucket[chosen[a:b][row]], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], ["bucket", "raw", "target"])
 
-    parts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), F.coalesce(F.col(member), F.lit(False)).alias("_in")).mapInArrow(run, "bucket long, raw long, target long")
+    parts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), F.coalesce(F.col(member), F.lit(False)).alias("_in"))
+    parts = arrow_map(parts, run, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -84,7 +85,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, key: str, text: str) -> DataFrame
                 sums = np.bincount(row, held.value[bucket], b - a).astype(float)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sums), pa.array(np.bincount(row, minlength=b - a).astype(np.int64))], names=schema.names)
 
-    return docs.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")), run, schema)
 
 
 def largest(rows: DataFrame, k: int, by: str, ties: str) -> DataFrame:

@@ -31,7 +31,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    out = chat.render(chat.fold(chat.turn_events(rows.unionByName(own))))
+    out = chat.render(chat.fold(chat.streamed(chat.turn_events(rows.unionByName(own)))))
     out = out.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     told = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return out.select(

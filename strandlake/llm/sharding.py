@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: The linear congruential generator of the published algorithm.
@@ -39,7 +40,7 @@ def jump_hash(key: Column, shards: int, *more: int) -> Column:
     """The shard of a 64-bit key for `shards` shards, and for each further number: a struct n<number> int of each.
 
     Each jump goes from shard b to a later one, so `shards` jumps always suffice; the first USUAL_JUMPS are tried
-    first. A null key counts as key 0.
+    first. A null key counts as key 0, which is also what a null of any type counts as in stable_key.
     """
     counts = sorted({shards, *more})
     most = counts[-1]
@@ -68,15 +69,24 @@ def jump_hash(key: Column, shards: int, *more: int) -> Column:
     return F.transform(F.array(state), lambda s: F.struct(*(s[f"n{n}"].cast("int").alias(f"n{n}") for n in counts)))[0]
 
 
+def stable_key(df: DataFrame, key: str) -> Column:
+    """An integer key as it is, one of another type by its xxHash64; null stays null."""
+    own = F.col(f"`{key}`")
+    whole = isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return own.cast("long") if whole else F.when(own.isNotNull(), F.xxhash64(own))
+
+
 def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", grow_to: int | None = None) -> DataFrame:
-    """Adds _shard int (0 to shards - 1) and _grown int (the shard among grow_to, default one more); no shuffle.
+    """Adds _shard int (0 to shards - 1) and _grown int (the shard among grow_to, default one more), in place of columns of
+    that name; no shuffle.
 
     Key and number of shards alone decide; a key that moves on growth moves to a new shard. Pass a group's key to keep
     the group together.
     """
     grow_to = grow_to or shards + 1
-    placed = df.withColumn("_placed", jump_hash(F.col(f"`{key}`"), shards, grow_to))
-    return placed.withColumn("_shard", F.col(f"_placed.n{shards}")).withColumn("_grown", F.col(f"_placed.n{grow_to}")).drop("_placed")
+    names = [c for c in df.columns if c not in ("_shard", "_grown")]
+    placed = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), jump_hash(stable_key(df, key), shards, grow_to).alias("at"))
+    return placed.select(*(f"c{i}" for i in range(len(names))), f"at.n{shards}", f"at.n{grow_to}").toDF(*names, "_shard", "_grown")
 
 
 def number_slots(rows: DataFrame, order: list[str], shard: str = "_shard", parts: int = PARTS, part: Column | None = None) -> DataFrame:
@@ -108,7 +118,7 @@ def shard_manifest(df: DataFrame, shards: int, key: str = "doc_id", text: str =
     """
     own = df.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     narrow = own.select("_key", (F.octet_length("_text") + 8).cast("long").alias("_size"), F.crc32(F.encode("_text", "utf-8")).alias("_crc"))
-    part = F.pmod(F.coalesce(F.col("_key").cast("long"), _long(0)), _long(PARTS)) + F.col("_crc")
+    part = F.pmod(F.coalesce(stable_key(narrow, "_key"), _long(0)), _long(PARTS)) + F.col("_crc")
     placed = number_slots(assign_shards(narrow, shards, "_key", grow_to), ["_key", "_size", "_crc"], part=part)
     return placed.select(
         F.col("_key").alias(key), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
@@ -117,7 +127,14 @@ def shard_manifest(df: DataFrame, shards: int, key: str = "doc_id", text: str =
 
 
 def write_shards(df: DataFrame, path: str, shards: int, key: str = "doc_id") -> None:
-    """Writes df as Parquet with one folder for each shard; rows are spread by key, so that no task holds a shard."""
+    """Writes df as Parquet with one folder for each shard (column shard, or _shard where df has that one).
+
+    Rows are first dealt to about as many tasks as there are partitions, several for each shard, so that no task holds a
+    shard and a shard has no more than its tasks' files.
+    """
     name = "shard" if "shard" not in df.columns else "_shard"
     placed = assign_shards(df, shards, key).drop("_grown").withColumnRenamed("_shard", name)
-    placed.write.partitionBy(name).parquet(path)
+    tasks = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = max(1, -(-tasks // shards))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(each))
+    placed.repartition(shards * each, F.col(f"`{name}`"), salt).write.partitionBy(name).parquet(path)

@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import arrow_map, chunks, grouped, materialize, utf8
+from strandlake.llm.common import arrow_map, by_place, chunks, grouped, integer_key, materialize, utf8
 from strandlake.operators.graph import components
 
 WORDS = 4
 SEED = 42
 MAX_BITS = 4
-SEGMENTS = 3
+#: Numbers of different fingerprints up to which they are cut into so many segments. All of them find the same pairs; of
+#: more fingerprints, wider segments hold fewer each, and their balls are larger.
+SEGMENTS = ((1 << 24, 3), (1 << 62, 2))
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -79,7 +81,7 @@ def _key(fp: Column, i: int, shift: int, width: int) -> Column:
     return value.bitwiseOR(F.lit(i << 56).cast("long"))
 
 
-def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS[0][1]) -> DataFrame:
     """(a, b) with a < b: all pairs of different fingerprints of the column fp that differ in at most max_bits bits.
 
     Each distinct fingerprint is filed under each of its segments and probes the Hamming ball of each segment's radius;
@@ -100,14 +102,17 @@ def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGM
     return probes.join(filed, (probes["key"] == filed["key"]) & near).select("a", "b").distinct()
 
 
-def group(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+def group(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
     """(key, fp, component_id) for (key, fp): the smallest key that links reach, the row's own included.
 
     Equal fingerprints are one node, so copies cost one row each and are never paired. Rows without a key keep their
-    component. A single row, or none, is its own group.
+    component. A single row, or none, is its own group. segments: None for as many as suit the number of fingerprints.
     """
     prints = materialize(prints.select(key, "fp"), "prints")
-    nodes = prints.groupBy("fp").agg(F.min(key).alias("_first"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min(key).alias("_first")), "nodes")
+    if segments is None:
+        n = nodes.count()
+        segments = next(s for most, s in SEGMENTS if n <= most)
     roots = components(near_pairs(prints, max_bits, segments))
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("_root"))
     least = labelled.groupBy("_root").agg(F.min("_first").alias("component_id"))
@@ -388,14 +393,14 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) ->
         again = materialize(again, "again")
 
 
-def _identity(key: str, text: str) -> tuple[Column, Column]:
+def _identity(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
     """What tells rows apart: the key, a null as the smallest, and the hash of the text, a null as empty."""
-    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return integer_key(docs, key), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
 def _named(docs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
     """(id, t, rows, first) for every distinct identity: its number of rows and the smallest identity of its group."""
-    i, t = _identity(key, text)
+    i, t = _identity(docs, key, text)
     texts = docs.select(i.alias("id"), t.alias("t"), F.col(f"`{text}`").alias("text"))
     prints = materialize(wide_fingerprints(texts, ["id", "t"], "text", words), "prints")
     nodes = prints.groupBy("digest").agg(F.min(F.struct("id", "t")).alias("first"), *(F.first(c).alias(c) for c in ("size", "lanes", "free")))
@@ -422,10 +427,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group: that with the smallest key, then text hash, of several equal ones any. All columns stay."""
     groups = materialize(_named(docs, key, text, words, similarity), "groups")
-    i, t = _identity(key, text)
+    names, docs = docs.columns, by_place(docs)
+    i, t = _identity(docs, f"c{names.index(key)}", f"c{names.index(text)}")
     later = groups.where(F.struct("id", "t") != F.col("first")).select(F.col("id").alias("_later_id"), F.col("t").alias("_later_t"))
     later = F.broadcast(later) if later.count() <= BROADCAST_IDS else later
     kept = docs.join(later, (i == F.col("_later_id")) & (t == F.col("_later_t")), "left_anti")
     if groups.where((F.col("rows") > 1) & (F.struct("id", "t") == F.col("first"))).isEmpty():
-        return kept
-    return kept.withColumns({"_same_id": i, "_same_t": t}).dropDuplicates(["_same_id", "_same_t"]).select(*(f"`{c}`" for c in docs.columns))
+        return kept.toDF(*names)
+    return kept.withColumns({"_same_id": i, "_same_t": t}).dropDuplicates(["_same_id", "_same_t"]).drop("_same_id", "_same_t").toDF(*names)

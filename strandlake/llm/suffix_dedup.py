@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import arrow_map, blocks, chunks, grouped, materialize, prefix_sums, span_hash
+from strandlake.llm.common import arrow_map, blocks, chunks, grouped, integer_key, materialize, prefix_sums, span_hash
 
 LENGTH = 100
 GRAM = 32
@@ -377,7 +377,7 @@ def _cut(schema: T.StructType, columns: int, whole_chars: bool):
 def _identity(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
     """What tells documents apart, in their order: the key, a null as the smallest, and where any key is shared a hash of
     the text; else 0, as an expression of the key, so that joins and groups on both share a partitioning."""
-    own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63)))
+    own = integer_key(docs, key)
     shared = docs.groupBy(own.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return own, own.bitwiseAND(F.lit(0).cast("long")) if shared.isEmpty() else F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 

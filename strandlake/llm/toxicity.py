@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import chunks, prefix_sums, span_hash, spans_of, utf8
+from strandlake.llm.common import arrow_map, by_place, chunks, prefix_sums, span_hash, spans_of, utf8
 
 #: Hash space of each kind of terms.
 TERMS = 1 << 20
@@ -75,6 +75,20 @@ class Machine:
         return self.scores(row[known], feature[known], len(column))
 
 
+def gradient(w: np.ndarray, v: np.ndarray, row: np.ndarray, feature: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean logistic loss of rows with these distinct (row, feature) pairs, by weights (the last one the bias) and
+    vectors."""
+    n, m, factors = len(labels), len(w) - 1, v.shape[1]
+    vf = v[feature]
+    sums = np.stack([np.bincount(row, vf[:, k], n) for k in range(factors)], 1)
+    squares = np.bincount(row, (vf * vf).sum(1), n)
+    total = w[m] + np.bincount(row, w[feature], n) + 0.5 * ((sums * sums).sum(1) - squares)
+    error = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - labels) / n
+    dw = np.bincount(feature, error[row], m + 1)
+    dw[m] = error.sum()
+    return dw, np.stack([np.bincount(feature, error[row] * (sums[row, k] - vf[:, k]), m + 1) for k in range(factors)], 1)
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, epochs: int = 40, seed: int = 7) -> Machine:
     """Logistic loss, AdaGrad over mini-batches, soft thresholds on weights and shrinkage of vectors.
 
@@ -114,14 +128,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
             count = first[own + 1] - first[own]
             r = np.repeat(np.arange(len(own)), count)
             f = feature[np.repeat(first[own], count) + np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)]
-            vf = v[f]
-            sums = np.stack([np.bincount(r, vf[:, k], len(own)) for k in range(factors)], 1)
-            squares = np.bincount(r, (vf * vf).sum(1), len(own))
-            total = w[m] + np.bincount(r, w[f], len(own)) + 0.5 * ((sums * sums).sum(1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - labels[own]) / len(own)
-            dw = np.bincount(f, error[r], m + 1)
-            dw[m] = error.sum()
-            dv = np.stack([np.bincount(f, error[r] * (sums[r, k] - vf[:, k]), m + 1) for k in range(factors)], 1)
+            dw, dv = gradient(w, v, r, f, labels[own])
             gw += dw * dw
             gv += dv * dv
             w -= 0.3 * dw / np.sqrt(gw)
@@ -132,7 +139,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The hashed terms and labels of at most `rows` labelled rows. The sample of ids is broadcast; texts stay put."""
+    """The hashed terms and labels of at most `rows` labelled rows, those with the smallest hash of their id; rows equal in
+    id and text count once. The sample of ids is broadcast; texts stay put, and no more than `rows` rows leave them."""
     own = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_k").agg(F.max("_y").alias("_y"))
     own = own.orderBy(F.xxhash64("_k"), "_k").limit(rows)
     joined = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(own), F.col("_key") == F.col("_k"))
@@ -147,7 +155,8 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 
     key_type = docs.schema[key].dataType
     schema = T.StructType([T.StructField("k", key_type), T.StructField("y", T.IntegerType()), T.StructField("bag", T.BinaryType())])
-    got = sorted((r["k"], r["bag"], r["y"]) for r in joined.select("_key", "_text", "_y").mapInArrow(run, schema).toLocalIterator())[:rows]
+    bags = arrow_map(joined.select("_key", "_text", "_y"), run, schema).dropDuplicates(["k", "bag"]).orderBy(F.xxhash64("k"), "k", "bag").limit(rows)
+    got = sorted((r["k"], r["bag"], r["y"]) for r in bags.toLocalIterator())
     return [np.frombuffer(bag, "<u4") for _, bag, _ in got], np.array([y for _, _, y in got], float)
 
 
@@ -158,19 +167,27 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (None: all) and _score double, from the text alone; a null text counts as empty.
+    """The columns `keep` of docs (None: all) and _score double, in place of a column of that name, from the text alone; a
+    null text counts as empty.
 
     A map without a shuffle; repeated rows keep their number.
     """
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    kept = keep or docs.columns
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("_score", T.DoubleType())])
+    kept = [c for c in keep or docs.columns if c != "_score"]
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(kept))
             parts = [held.value.score_texts(texts.slice(a, b - a)) for a, b in chunks(texts)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(scores)], names=[*kept, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(scores)], names=schema.names)
+
+    return arrow_map(own, run, schema).toDF(*kept, "_score")
+
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_scored_text")).mapInArrow(run, schema)
+def reject(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs of which the score is below the threshold, all their columns."""
+    scored = score(by_place(docs), machine, f"c{docs.columns.index(text)}")
+    return scored.where(F.col("_score") < threshold).drop("_score").toDF(*docs.columns)

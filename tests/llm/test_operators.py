@@ -3,6 +3,7 @@ extra columns with clashing names."""
 
 import collections
 import random
+import re
 import unicodedata
 import zlib
 
@@ -25,16 +26,51 @@ def words(rng, n, vocabulary=400):
 
 def docs_of(spark, rows, more=False):
     df = spark.createDataFrame(rows, DOCS)
-    clash = ("_text", "_key", "_doc", "_t", "part", "shard", "slot", "_score", "h", "fp", "node", "lanes")
+    clash = (
+        "_text", "_key", "_doc", "_t", "part", "shard", "slot", "_score", "h", "fp", "node", "lanes", "_scored_text", "_later", "_later_id", "_kept", "_spans", "_found", "doc", "t", "_list", "c0", "c1",
+        "_n_words", "_hit_spans", "_item_ids", "_h", "_p", "_won", "_host", "_path", "_placed", "_shard", "_grown", "a.b",
+    )
     return df.select("*", *(F.lit("x").alias(c) for c in clash)) if more else df
 
 
 AWKWARD = [(0, None), (1, ""), (2, " \n"), (3, "a"), (4, "Ünïcode É́ naïve"), (5, "one two three four five six"), (6, "one two three four five six"), (9, "x" * 300), (-7, "tab\tand\nline"), (12, "🙂🙂 " * 40)]
 
 
+def test_every_operator_takes_clashing_columns(spark):
+    """All columns go in and come out; those named like a result are replaced by it."""
+    df = docs_of(spark, AWKWARD, True)
+    names, n = df.columns, len(AWKWARD)
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "far other words")], "item_id long, text string")
+    machine = toxicity.train(df, spark.createDataFrame([(3, 1), (5, 0)], "doc_id long, toxic int"))
+    for out, added in (
+        (sharding.assign_shards(df, 3), ["_shard", "_grown"]),
+        (toxicity.score(df, machine), ["_score"]),
+        (suffix_dedup.remove_repeats(df), ["_kept", "_spans"]),
+        (decontaminate.decontaminate(df, items), ["_n_words", "_hit_spans", "_item_ids"]),
+        (url_filter.judge(df, spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string"), "text"), ["_host", "_path", "_rule", "_verdict"]),
+    ):
+        rows = out.collect()
+        gone = ["text"] if "_kept" in added else []
+        assert out.columns == [c for c in names if c not in added + gone] + added and len(rows) == n
+        assert sorted((r["doc_id"], r["a.b"], r["c0"], r["lanes"]) for r in rows) == sorted((d, "x", "x", "x") for d, _ in AWKWARD)
+    for out, left in ((toxicity.reject(df, machine, threshold=2.0), n), (simhash.drop_near_duplicates(df), n - 3), (suffix_dedup.without_repeats(df), n), (decontaminate.clean(df, items), n - 2)):
+        rows = out.collect()
+        assert out.columns == names and len(rows) == left and {tuple(v for c, v in r.asDict().items() if c not in ("doc_id", "text")) for r in rows} == {("x",) * (len(names) - 2)}
+    for ordered in (suffix_dedup.remove_repeats, simhash.near_groups):
+        with pytest.raises(TypeError):
+            ordered(df, key="h")
+
+
 # sharding
 
 
+def test_keys_of_other_types(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in sharding.shard_manifest(df, 5).collect()}
+    want = {r["doc_id"]: brute.jump(r["h"], 5) if r["doc_id"] else 0 for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    assert {k: r["shard"] for k, r in got.items()} == want
+
+
 def test_jump_hash(spark):
     keys = [0, 1, -1, 7, 2**63 - 1, -(2**63), *random.Random(1).sample(range(10**12), 200)]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
@@ -120,6 +156,15 @@ def test_fold(spark):
     assert got == [(None, "y", "", ""), ("c", "u", "user", "hey"), ("c", "a", "assistant", "new"), ("c", "w", "user", "bye"), ("d", "x", "assistant", "lone")]
 
 
+def test_streamed_log_folds_to_the_same(spark):
+    rows = [(c, t, r, x) for c in range(5) for t, (r, x) in enumerate([("user", "hi"), ("assistant", "a"), ("assistant", ""), ("system", None), ("assistant", "é🙂 long answer")])]
+    own = chat.turn_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    log = chat.streamed(own)
+    assert {r["kind"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    plain, folded = ([tuple(r) for r in chat.fold(x).orderBy("conv", "msg").select("conv", "msg", "role", "text").collect()] for x in (own, log))
+    assert plain == folded and len(plain) == len(rows)
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "&lt;| &amp; <", "<", "|", "", None, "a\nb<|im_end|>\n", "é<|"]
     rows = [(c, t, r, nasty[(c + t) % len(nasty)]) for c in range(6) for t, r in enumerate(["user", "assistant", "sys\ntem", "assistant"])]
@@ -211,6 +256,34 @@ def test_largest_is_exact(spark):
         assert sorted(r["id"] for r in quality.largest(df, k, "v", "id").collect()) == sorted(r[0] for r in want)
 
 
+def test_resample_by_hand(spark):
+    """Counts, log weights, noise and the draw in plain Python."""
+    rng = random.Random(26)
+    rows = [(i, words(rng, rng.randrange(30), 20) + rng.choice(["", " ... !", " É x"])) for i in range(120)] + [(500, None), (501, "")]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)] + [(7, None)]
+    token = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\t-\r 0-9A-Za-z\x80-\xff]+")
+
+    def grams(text):
+        found = token.findall((text or "").lower().encode())
+        one = [common.span_hash(common.prefix_sums(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)])) for x in found]
+        two = [common.mix(a * np.uint64(0xD6E8FEB86659FD93) + b) for a, b in zip(one, one[1:], strict=False)]
+        return [int(h[0] % np.uint64(quality.BUCKETS)) for h in one + two]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for d, t in rows:
+        raw.update(grams(t))
+        if dict(labels).get(d) == 1:
+            target.update(grams(t))
+    size = lambda c: sum(c.values()) + quality.BUCKETS
+    weight = {d: sum(np.log((target[g] + 1) / size(target)) - np.log((raw[g] + 1) / size(raw)) for g in grams(t)) for d, t in rows}
+    hashes = {r["doc_id"]: r["h"] for r in docs_of(spark, rows).select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("h")).collect()}
+    noisy = {d: w - np.log(-np.log(((hashes[d] % 2**64 >> 11) + 0.5) / 2**53)) for d, w in weight.items()}
+    k = round(20 / 60 * len(rows))
+    got = {r["doc_id"]: r for r in quality.resample(docs_of(spark, rows, True), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert set(got) == set(sorted(noisy, key=lambda d: -noisy[d])[:k])
+    assert all(abs(r["log_weight"] - weight[d]) < 1e-6 and abs(r["gumbel_key"] - noisy[d]) < 1e-6 for d, r in got.items())
+
+
 def test_resample_prefers_target(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, 60) if i % 2 else " ".join("#$% @@!" for _ in range(40))) for i in range(200)] + [(900, None), (901, "")]
@@ -242,6 +315,38 @@ def test_toxicity_needs_the_pair(spark):
     assert np.abs(machine.vectors[:-1]).max() > 0.1
 
 
+def test_machine_is_the_plain_sum():
+    """Scores against the sum over all pairs, gradients against differences."""
+    rng = np.random.default_rng(3)
+    m, k = 7, 3
+    w, v = rng.normal(size=m + 1), rng.normal(size=(m + 1, k))
+    bags = [np.array(b, np.int64) for b in ([0, 2, 5], [1], [], [0, 1, 2, 3, 4, 5, 6])]
+    row, feature = np.repeat(np.arange(4), [len(b) for b in bags]), np.concatenate(bags)
+    y = np.array([1.0, 0, 1, 0])
+
+    def plain(w, v):
+        total = [w[m] + sum(w[i] for i in b) + sum(v[i] @ v[j] for x, i in enumerate(b) for j in b[x + 1 :]) for b in bags]
+        return 1 / (1 + np.exp(-np.array(total)))
+
+    assert np.allclose(toxicity.Machine(np.zeros(1), w, v).scores(row, feature, 4), plain(w, v))
+    loss = lambda w, v: -np.mean(y * np.log(plain(w, v)) + (1 - y) * np.log(1 - plain(w, v)))
+    dw, dv = toxicity.gradient(w, v, row, feature, y)
+    for i in range(m + 1):
+        step = np.eye(m + 1)[i] * 1e-6
+        assert abs((loss(w + step, v) - loss(w - step, v)) / 2e-6 - dw[i]) < 1e-6
+        for f in range(k if i < m else 0):
+            move = np.outer(step, np.eye(k)[f])
+            assert abs((loss(w, v + move) - loss(w, v - move)) / 2e-6 - dv[i, f]) < 1e-6
+
+
+def test_sample_is_bounded(spark):
+    """One labelled id with a great many rows sends no more rows to the driver than asked for."""
+    rows = [(1, f"copy {i}") for i in range(2000)] + [(1, "same")] * 500 + [(2, "other")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    bags, y = toxicity.sample(docs_of(spark, rows), labels, "doc_id", "text", "toxic", 10)
+    assert len(bags) == len(y) == 10
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(3, 1), (3, 0), (5, None), (77, 1)], "doc_id long, toxic int")
     machine = toxicity.train(docs_of(spark, AWKWARD), labels.limit(0))
@@ -382,6 +487,15 @@ def test_url_rules(spark):
     assert {r["_verdict"] for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_host_of_many_labels(spark):
+    """Only suffixes as long as some rule's are made, so a host of 20,000 labels is no more work than another."""
+    pages = spark.createDataFrame([(1, f"http://{'a.' * 20_000}example.net/en/x"), (2, "http://net/")], "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow")], "host string, path string, verdict string")
+    got = url_filter.judge(pages, rules)
+    assert [r["_rule"] for r in got.orderBy("page_id").collect()] == ["example.net/en/", "net/"]
+    assert got.select(F.size(url_filter.host_suffixes(F.col("_host"), [1, 2])).alias("n")).agg(F.max("n")).first()[0] == 2
+
+
 # decontamination
 
 
@@ -441,6 +555,49 @@ def test_near_pairs_are_all_found(spark, bits, segments):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= bits}
 
 
+def test_forest_is_the_shortest():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        m = int(rng.integers(1, 120))
+        a, b, length = rng.integers(0, 25, m), rng.integers(25, 50, m), rng.integers(0, 9, m)
+        parent = list(range(50))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        best = 0
+        for i in np.argsort(length, kind="stable"):
+            x, y = find(a[i]), find(b[i])
+            if x != y:
+                parent[x], best = y, best + length[i]
+        got = simhash.forest(a, b, length)
+        assert length[got].sum() == best and got.sum() == 50 - len({find(x) for x in range(50)})
+
+
+def test_candidates_grow_with_the_nodes():
+    """In one bucket of alike fingerprints a forest is given, not all pairs, also where a run is longer than a chunk."""
+    rng = np.random.default_rng(5)
+    for n in (40, 500):
+        lanes = np.zeros((n, simhash.LANES), np.int64)
+        lanes[:, -1] = rng.integers(0, 1 << 8, n)
+        rows = np.column_stack([np.arange(n), np.arange(n), np.full(n, 100), lanes])
+        packed = rows.astype("<i8").tobytes() + np.arange(n, dtype="<i4").tobytes() + np.full(n, 9, "<i8").tobytes()
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([n]), pa.array([packed])], ["bucket", "n", "packed"])
+        for forests in (1, 3):
+            found = {(r["a"], r["b"]) for b in simhash._candidates(70, 0.8, forests)(iter([batch])) for r in b.to_pylist()}
+            assert n - 1 <= len(found) <= forests * (n - 1)
+            assert n > 100 or set(brute.groups(list(range(n)), lambda a, b: (a, b) in found).values()) == {0}  # noqa: B023
+
+
+def test_more_fingerprints_take_wider_segments(spark, monkeypatch):
+    rows = near_rows(random.Random(12))
+    few = {r["doc_id"]: r["component_id"] for r in simhash.group(simhash.fingerprints(docs_of(spark, rows))).collect()}
+    monkeypatch.setattr(simhash, "SEGMENTS", ((1, 3), (1 << 62, 2)))
+    assert few == {r["doc_id"]: r["component_id"] for r in simhash.group(simhash.fingerprints(docs_of(spark, rows))).collect()}
+
+
 def test_near_groups_find_copies_and_leave_others(spark):
     rng = random.Random(14)
     rows, kin = [], {}

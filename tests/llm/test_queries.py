@@ -3,11 +3,13 @@
 import re
 
 import duckdb
+import numpy as np
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandlake.llm import queries, toxicity
+from strandlake.llm import bpe, queries, toxicity
 from tests.llm import brute
 from tests.test_entry import SF, same
 
@@ -28,6 +30,14 @@ def rows(spark, name):
     return {r["doc_id"]: r for r in queries.queries()[name](spark, SF).collect()}
 
 
+def test_op2(spark):
+    enc = bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    got = rows(spark, "op2_byte_bpe")
+    for d, t in DOCS:
+        ids = np.array(enc.encode_ordinary(t or ""), "<u4")
+        assert (got[d]["n_tokens"], got[d]["ids_sha256"], got[d]["decoded_sha256"]) == (len(ids), brute.sha(ids.tobytes()), brute.sha(t or ""))
+
+
 def test_op4(spark):
     got = rows(spark, "op4_fingerprints")
     order, seen = sorted(DOCS, reverse=True), {}
