@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, the session gets a local one."""
+    """A new folder under spark.checkpoint.dir, deleted when the driver ends. Where that is unset, a session on one
+    machine gets a temporary folder of its own; on a cluster it must be set, since executors share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = context._jsc.sc().getCheckpointDir()
         if not held.isDefined():
-            spark.sparkContext.setCheckpointDir("/tmp/strandlake-checkpoints")
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
+            held = context._jsc.sc().getCheckpointDir()
         root = held.get()
-    return f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,10 @@
 """The registered queries against their SQL on the smallest tables."""
 
 import math
+import os
+import subprocess
+import sys
+import time
 
 import duckdb
 import pytest
@@ -39,5 +43,27 @@ def test_every_query_has_sql():
     assert set(oracle.ORACLE) <= set(__spark_entry__.oracle_sql()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_entry_without_the_optional_part():
+    """Where a library of the optional part is missing, the others' queries are there."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(__spark_entry__.__file__), check=True)
+    assert out.stdout.split() == [str(len(queries.REGISTRY)), "False"]
+
+
+def test_tables_are_deleted_at_the_end(tmp_path):
+    code = (
+        "from pyspark.sql import SparkSession; from strandlake.tables import materialize; import glob\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()\n"
+        f"print(materialize(s.range(3), 'x').count(), len(glob.glob('{tmp_path}/*/x')))"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(__spark_entry__.__file__), check=True)
+    assert out.stdout.split()[-2:] == ["3", "1"]
+    for _ in range(40):
+        if not list(tmp_path.glob("strandlake-*")):
+            break
+        time.sleep(0.25)
+    assert not list(tmp_path.glob("strandlake-*"))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["sample_id", "dip_cn"]
