@@ -155,9 +155,11 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 
     key_type = docs.schema[key].dataType
     schema = T.StructType([T.StructField("k", key_type), T.StructField("y", T.IntegerType()), T.StructField("bag", T.BinaryType())])
-    bags = arrow_map(joined.select("_key", "_text", "_y"), run, schema).dropDuplicates(["k", "bag"]).orderBy(F.xxhash64("k"), "k", "bag").limit(rows)
-    got = sorted((r["k"], r["bag"], r["y"]) for r in bags.toLocalIterator())
-    return [np.frombuffer(bag, "<u4") for _, bag, _ in got], np.array([y for _, _, y in got], float)
+    bags = arrow_map(joined.select("_key", "_text", "_y"), run, schema)
+    if joined.count() > rows:
+        bags = bags.dropDuplicates(["k", "bag"]).orderBy(F.xxhash64("k"), "k", "bag").limit(rows)
+    got = sorted({(r["k"], r["bag"]): r["y"] for r in bags.toLocalIterator()}.items())
+    return [np.frombuffer(bag, "<u4") for (_, bag), _ in got], np.array([y for _, y in got], float)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Machine:
