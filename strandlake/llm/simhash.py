@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -319,14 +319,21 @@ def _candidates(limit: int, similarity: float, forests: int):
     return run
 
 
-def _pairs(nodes: DataFrame, similarity: float, forests: int = 1) -> DataFrame:
-    """The different candidates (a, b) of (node, label, size, lanes, free); nodes is counted, so written."""
-    buckets = 1 + (nodes.count() * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
+def _pairs(nodes: DataFrame, count: int, similarity: float, forests: int = 1) -> DataFrame:
+    """The different candidates (a, b) of `count` nodes (node, label, size, lanes, free)."""
+    buckets = 1 + (count * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
     packed = arrow_map(nodes.select("node", "label", "size", "lanes", "free"), _pack(buckets), "bucket long, n int, packed binary")
     find = _candidates(distance_limit(similarity), similarity, forests)
     return arrow_map(packed.repartition("bucket").sortWithinPartitions("bucket"), find, "a long, b long").distinct()
 
 
+def _counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """A written table and how many of its rows there are, or of those where `what` holds."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(F.lit(True) if what is None else what).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def shingle_sets(df: DataFrame, words: int) -> DataFrame:
     """(node, grams array) of (node, text): the 64-bit hashes of the distinct shingles; of rows with one node any one."""
 
@@ -354,36 +361,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 BROADCAST_IDS = 2_000_000
 
 
-def _links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of nodes whose sets are similar, such that they reach as far as all links do.
+def _linked(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of nodes whose sets are similar, such that they reach as far as all links do, and (node, root): what they
+    reach, for the nodes that have any.
 
     In each round the candidates that join what no link joins yet are compared, the nearest first, a forest of them for
-    each bucket. Where one is refused, others may lie between the same two groups: these groups go into the next round,
-    which looks MORE_FORESTS forests further. Rounds end when one confirms nothing. So the number of comparisons grows with the
-    nodes and rounds, not with the square of a group.
+    each bucket. Two groups between which a link was missed have each a refused candidate on the way to the other: groups
+    that have one go into the next round, which looks MORE_FORESTS forests further. Rounds end when one confirms nothing.
+    So the number of comparisons grows with the nodes and rounds, not with the square of a group.
     """
-    pairs = materialize(_pairs(nodes.withColumn("label", F.col("node")), similarity), "candidates")
+    pairs = materialize(_pairs(nodes.withColumn("label", F.col("node")), nodes.count(), similarity), "candidates")
     members = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    own = materialize(nodes.join(members, F.col("node") == F.col("_node")).select("node", F.col("first.id").alias("_id"), F.col("first.t").alias("_t")), "members")
-    own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    own, n = _counted(nodes.join(members, F.col("node") == F.col("_node")).select("node", F.col("first.id").alias("_id"), F.col("first.t").alias("_t")), "members")
+    own = F.broadcast(own) if n <= BROADCAST_IDS else own
     sets = materialize(shingle_sets(texts.join(own, (F.col("id") == F.col("_id")) & (F.col("t") == F.col("_t"))).select("node", "text"), words), "sets")
-    tested = materialize(_confirmed(pairs, sets, similarity), "tested")
-    refused, similar = tested.where(~F.col("similar")), tested.where("similar").select("a", "b")
-    if refused.isEmpty():
-        return similar
-    joined = components(tested.select("a", "b")).toDF("_in", "_group")
-    labels = components(similar).toDF("_of", "label")
-    unsettled = joined.join(refused, F.col("_in") == F.col("a")).select(F.col("_group").alias("_left")).distinct()
-    again = nodes.join(joined, F.col("node") == F.col("_in")).join(unsettled, F.col("_group") == F.col("_left"), "left_semi").join(labels, F.col("node") == F.col("_of"), "left")
-    again = materialize(again.select("node", F.coalesce("label", "node").alias("label"), "size", "lanes", "free"), "again")
+    tested, n = _counted(_confirmed(pairs, sets, similarity), "tested", ~F.col("similar"))
+    similar = tested.where("similar").select("a", "b")
+    roots = components(similar)
+    if not n:
+        return similar, roots
+    named = nodes.join(roots.toDF("_of", "label"), F.col("node") == F.col("_of"), "left").withColumn("label", F.coalesce("label", "node"))
+    refused = tested.where(~F.col("similar")).select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    unsettled = named.join(refused, F.col("node") == F.col("_node"), "left_semi").select(F.col("label").alias("_left")).distinct()
+    again, n = _counted(named.join(unsettled, F.col("label") == F.col("_left"), "left_semi").select("node", "label", "size", "lanes", "free"), "again")
     forests = 1
     while True:
         forests += MORE_FORESTS
-        more = _pairs(again, similarity, forests).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialize(_confirmed(more, sets, similarity), "more")
+        more = _pairs(again, n, similarity, forests).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more, confirmed = _counted(_confirmed(more, sets, similarity), "more", F.col("similar"))
+        if not confirmed:
+            break
         found = more.where("similar").select("a", "b")
-        if found.isEmpty():
-            return similar
         similar, tested = similar.unionByName(found), tested.unionByName(more)
         of = again.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
         for c in ("a", "b"):
@@ -391,6 +399,14 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) ->
         root = components(found).toDF("_old", "_new")
         again = again.join(root, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label"), "size", "lanes", "free")
         again = materialize(again, "again")
+    if forests == 1 + MORE_FORESTS:
+        return similar, roots
+    later = again.select("node", F.col("label").alias("root"))
+    return similar, roots.join(later, "node", "left_anti").unionByName(later)
+
+
+def _links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    return _linked(nodes, texts, words, similarity)[0]
 
 
 def _identity(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
@@ -405,7 +421,7 @@ def _named(docs: DataFrame, key: str, text: str, words: int, similarity: float)
     prints = materialize(wide_fingerprints(texts, ["id", "t"], "text", words), "prints")
     nodes = prints.groupBy("digest").agg(F.min(F.struct("id", "t")).alias("first"), *(F.first(c).alias(c) for c in ("size", "lanes", "free")))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(_links(nodes, texts, words, similarity)).withColumnRenamed("node", "_node")
+    roots = _linked(nodes, texts, words, similarity)[1].withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("root", "node").alias("root"))
     counted = prints.groupBy("id", "t", "digest").agg(F.count(F.lit(1)).alias("rows"))
     named = counted.join(rooted, F.col("digest") == F.col("_digest")).select("id", "t", "rows", "root")
@@ -430,7 +446,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     names, docs = docs.columns, by_place(docs)
     i, t = _identity(docs, f"c{names.index(key)}", f"c{names.index(text)}")
     later = groups.where(F.struct("id", "t") != F.col("first")).select(F.col("id").alias("_later_id"), F.col("t").alias("_later_t"))
-    later = F.broadcast(later) if later.count() <= BROADCAST_IDS else later
+    later, n = _counted(later, "later")
+    later = F.broadcast(later) if n <= BROADCAST_IDS else later
     kept = docs.join(later, (i == F.col("_later_id")) & (t == F.col("_later_t")), "left_anti")
     if groups.where((F.col("rows") > 1) & (F.struct("id", "t") == F.col("first"))).isEmpty():
         return kept.toDF(*names)
