@@ -92,3 +92,8 @@ def exon_count(kind: str) -> Column:
 
 def estimate(exon1a: Column, exon1b: Column) -> Column:
     return F.lit(ESTIMATE_1A) * exon1a + F.lit(ESTIMATE_1B) * exon1b - F.lit(ESTIMATE_OFFSET)
+
+
+def cigar_length(cigar: Column) -> Column:
+    """Places of the reference that an alignment covers: the lengths of M, D, N, = and X."""
+    return F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), 1), F.lit(0).cast("long"), lambda n, x: n + x.try_cast("bigint"))

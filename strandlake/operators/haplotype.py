@@ -162,3 +162,9 @@ def haplotype_cn(samples: DataFrame, edges: DataFrame, names: DataFrame, min_nei
     start = phase_init(samples, edges, min_neighbors)
     state = phase_jacobi(start, edges, n_iters) if method == "jacobi" else phase_gauss_seidel(start, edges, n_iters)
     return haplotype_output(state, edges, names)
+
+
+def phasable(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (samples, mean_irr, mean_degree) of the samples that are phased and of the nodes that have neighbours."""
+    degree = edges.agg((F.count(F.lit(1)) / F.count_distinct("node")).alias("d")).scalar()
+    return state.where("h0 is not null").agg(F.count(F.lit(1)).alias("samples"), F.avg("irr").alias("mean_irr")).withColumn("mean_degree", degree)

@@ -94,6 +94,11 @@ def variance_filter(stats: DataFrame, sigma2_max: float = 1000.0, frac_r: float
     return stats.where((known == 0) | ((F.col("ratio") >= least) & (F.col("ratio") <= sigma2_max)))
 
 
+def extreme_columns(stats: DataFrame, sigma2_max: float) -> DataFrame:
+    """One row (extreme long): regions whose ratio is above the bound; an unknown ratio is not."""
+    return stats.agg(F.count_if((F.col("ratio") > sigma2_max) & ~F.isnan("ratio")).alias("extreme"))
+
+
 def z_selected(z: DataFrame, selected: DataFrame) -> DataFrame:
     return z.join(selected.select(*KEY), KEY, "left_semi")
 

@@ -15,9 +15,19 @@ def count_reads(alignments: DataFrame, samples: DataFrame, chrom: str, start: in
     return samples.select("sample_id").join(passing, "sample_id", "left").select("sample_id", F.coalesce("reads", F.lit(0).cast("long")).alias("reads"))
 
 
+def count_reads_of_files(alignments: DataFrame, samples: DataFrame, files: DataFrame, chrom: str, start: int, end: int, flags: list[int], min_mapq: int = 1) -> DataFrame:
+    """(sample_id, reads long): as count_reads, for the samples that have alignments; null for those that have a file in
+    files(sample_id, path) but no alignment at all, so that it could not be read; samples with neither have no row."""
+    counted = count_reads(alignments, alignments.select("sample_id").distinct(), chrom, start, end, flags, min_mapq)
+    listed = files.where("path is not null").select("sample_id").unionByName(counted.select("sample_id")).distinct()
+    return samples.select("sample_id").distinct().join(listed, "sample_id", "left_semi").join(counted, "sample_id", "left").select("sample_id", "reads")
+
+
 def region_slice(alignments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
-    """The alignments that begin in a half-open region, all columns; written partitioned by sample for a batch of them."""
-    return alignments.where((F.col("chrom") == chrom) & (F.col("pos") >= start) & (F.col("pos") < end))
+    """The alignments that overlap a half-open region, all columns: those of which the column `end`, the place after the
+    last covered one, lies beyond the start. Without that column each is taken to cover one place."""
+    last = F.col("end") if "end" in alignments.columns else F.col("pos") + 1
+    return alignments.where((F.col("chrom") == chrom) & (last > start) & (F.col("pos") < end))
 
 
 def write_slices(alignments: DataFrame, path: str, chrom: str, start: int, end: int) -> None:

@@ -11,7 +11,8 @@ n AS (SELECT count(*) AS n FROM samples),
 aln AS (
   SELECT printf('S%05d', l_suppkey) AS sample_id, 'chr' || (l_orderkey % 3 + 5) AS chrom, (l_orderkey * 7919 + l_partkey * 104729) % 100000 AS pos,
     ({S.FLAG_OF_LINE}::INTEGER[])[l_linenumber] AS flag, (l_quantity::INTEGER - 1)::INTEGER AS mapq,
-    CASE WHEN l_discount >= 0.095::DOUBLE THEN 'chrX' ELSE 'chr' || (l_orderkey % 3 + 5) END AS next_chrom
+    CASE WHEN l_discount >= 0.095::DOUBLE THEN 'chrX' ELSE 'chr' || (l_orderkey % 3 + 5) END AS next_chrom,
+    (l_orderkey * 7919 + l_partkey * 104729) % 100000 + 100 + 20 * l_linenumber AS "end"
   FROM lineitem),
 bins AS (
   SELECT printf('S%05d', l_suppkey) AS sample_id, 'chr6' AS chrom, (m * 1000)::BIGINT AS start, (m * 1000 + 1000)::BIGINT AS "end",
@@ -59,7 +60,7 @@ some_reads AS (SELECT sample_id, reads FROM counted WHERE idx % 7 <> 0),
 dip AS (
   SELECT sample_id, (any_value(own) / any_value(scale)) / nullif(avg(reads / nbr_scale), 0) AS dip_cn
   FROM (SELECT n.sample_id, n.scale, o.reads AS own, r.reads, nbr_scale, row_number() OVER (PARTITION BY n.sample_id ORDER BY rank) AS nth
-        FROM neighbors n JOIN some_reads o ON o.sample_id = n.sample_id JOIN some_reads r ON r.sample_id = n.nbr_id)
+        FROM neighbors n JOIN counted o ON o.sample_id = n.sample_id JOIN counted r ON r.sample_id = n.nbr_id)
   WHERE nth <= 10 GROUP BY sample_id),
 exons AS (
   SELECT printf('S%05d', l_suppkey) AS sample_id, count_if(l_returnflag = 'A' AND l_linestatus = 'F') AS kiv3, count_if(l_returnflag = 'N' AND l_linestatus = 'O') AS kiv2,
@@ -145,7 +146,35 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, least("end", b) - greatest(start, a) AS ov FROM bins JOIN ({_REGIONS}) ON start < b AND "end" > a) GROUP BY sample_id, region"""),
     "count_reads": _sql("SELECT sample_id, reads FROM counted"),
     "count_reads_dup_flags": _sql("SELECT sample_id, 0::BIGINT AS reads FROM samples"),
-    "region_slice": _sql("SELECT * FROM aln WHERE chrom = 'chr6' AND pos >= 20000 AND pos < 24000"),
+    "region_slice": _sql("SELECT * FROM aln WHERE chrom = 'chr6' AND pos < 24000 AND \"end\" > 20000"),
+    "slices_written": _sql("SELECT * FROM aln WHERE chrom = 'chr6' AND pos < 24000 AND \"end\" > 20000"),
+    "reads_of_files": _sql("""SELECT sample_id, CASE WHEN idx % 5 <> 0 THEN reads END AS reads FROM counted WHERE idx % 9 <> 0 OR idx % 5 <> 0"""),
+    "sam_alignments": _sql("""SELECT * REPLACE ('one' AS sample_id) FROM aln WHERE chrom = 'chr7'"""),
+    "sample_list": _sql("SELECT sample_id, (row_number() OVER (ORDER BY idx) - 1)::BIGINT AS ord FROM samples"),
+    "mask_read": _sql('SELECT chrom, start::BIGINT AS start, "end"::BIGINT AS "end" FROM mask'),
+    "matrix_ratios": _sql("""SELECT (row_number() OVER (ORDER BY start, "end") - 1)::INTEGER AS at, printf('%.3f', ratio)::DOUBLE AS ratio FROM selected"""),
+    "matrix_scales": _sql("SELECT sample_id, printf('%.2f', scale)::DOUBLE AS scale FROM scales"),
+    "matrix_cells": _sql("""SELECT sample_id, place AS "at", printf('%.2f', z)::DOUBLE + 0 AS z FROM z_sel
+        JOIN (SELECT start, "end", (row_number() OVER (ORDER BY start, "end") - 1)::INTEGER AS place FROM selected) USING (start, "end")"""),
+    "neighbors_read": _sql("SELECT sample_id, printf('%.2f', scale)::DOUBLE AS scale, rank, nbr_id, printf('%.2f', nbr_scale)::DOUBLE AS nbr_scale, printf('%.2f', norm_dist)::DOUBLE AS norm_dist FROM neighbors"),
+    "counts_read": _sql("SELECT sample_id, reads::DOUBLE AS reads FROM counted WHERE idx % 5 <> 0"),
+    "exon_counts_read": _sql("SELECT * FROM exons"),
+    "exon_dipcn_read": _sql("SELECT sample_id, printf('%.6f', dip_cn)::DOUBLE AS irr FROM exon_dip WHERE kind = '1A'"),
+    "ibs_read": "SELECT printf('S%05d', l_suppkey) AS id, l_linenumber % 2 + 1 AS hap, printf('S%05d', l_partkey % 90) AS nbr_id, (l_orderkey % 2 + 1)::INTEGER AS nbr_hap FROM lineitem",
+    "ibd_read": _sql("SELECT printf('S%05d', l_suppkey) AS id1, printf('S%05d_%d', l_suppkey, l_linenumber % 2) AS hap1, printf('S%05d', l_partkey % (SELECT n FROM n)) AS id2, printf('S%05d_%d', l_partkey % (SELECT n FROM n), l_orderkey % 2) AS hap2, bp1::BIGINT AS bp1, bp2::BIGINT AS bp2, round(length, 6) AS length, round(match, 6) AS match FROM segs"),
+    "genetic_map_read": "SELECT p_partkey * 1000 AS position, round(sum(p_retailprice) OVER (ORDER BY p_partkey) / 1e5, 6) AS cm FROM part WHERE p_partkey % 10 = 0",
+    "map_written": "SELECT CASE WHEN p_partkey % 2 = 0 THEN '6' ELSE 'chr6' END AS chr, 'rs' || p_partkey AS snp, p_partkey / 8 AS cm, p_partkey * 100 AS bp FROM part WHERE p_partkey % 3 <> 0",
+    "loci_read": "SELECT 'chr6' AS chrom, p_partkey * 1000 AS start, p_partkey * 1000 + 501 AS \"end\", p_brand AS name FROM part",
+    "panel_read": "SELECT printf('S%05d', s_suppkey) AS sample_id, printf('P%d', s_nationkey) AS population FROM supplier",
+    "haplotypes_written": _sql(
+        """SELECT sample_id AS "ID", printf('%.2f', irr) AS "IRRs", coalesce(printf('%.2f', h0), 'nan') AS hap1phased, coalesce(printf('%.2f', h1), 'nan') AS hap2phased,
+          printf('%.2f', coalesce(a.m, f)) AS hap1imp, printf('%.2f', coalesce(b.m, f)) AS hap2imp
+        FROM gs JOIN samples USING (idx) LEFT JOIN gm a ON a.node = 2 * idx LEFT JOIN gm b ON b.node = 2 * idx + 1, (SELECT coalesce(avg(irr) / 2, 0) AS f FROM gs WHERE h0 IS NOT NULL)""",
+        _SWEEP,
+    ),
+    "extreme_columns": _sql("SELECT count_if(ratio > (SELECT median(ratio) FROM stats))::BIGINT AS extreme FROM stats"),
+    "phasable": _sql("SELECT count(*)::BIGINT AS samples, round(avg(irr), 6) AS mean_irr, round((SELECT count(*) FROM edges)::DOUBLE / (SELECT count(DISTINCT node) FROM edges), 6) AS mean_degree FROM start_state WHERE h IS NOT NULL"),
+    "read_totals": _sql("SELECT count(*)::BIGINT AS samples, sum(reads)::BIGINT AS reads FROM counted"),
     "mask_kb": _sql("SELECT * FROM mask_cells"),
     "bins_in_region": _sql("SELECT * FROM touching"),
     "bins_unmasked": _sql("SELECT * FROM usable"),

@@ -26,8 +26,11 @@ class Pipeline:
         steps = {
             "index": self.index, "count_reads": self.count_reads, "mosdepth": self.depth, "normalize": self.normalize,
             "neighbors": self.neighbors, "compute_diploid_genotypes": self.diploid, "compute_haploid_genotypes": self.haploid,
+            "exon_genotypes": self.exons,
         }
         done: dict[str, DataFrame] = {}
+        for name in self.config.unknown():
+            log.warning("%s is not known and has no effect", name)
         for name, step in steps.items():
             if not self.config.enabled(name):
                 continue
@@ -70,13 +73,19 @@ class Pipeline:
         return status
 
     def count_reads(self, spark: SparkSession) -> DataFrame:
-        """Alignments are Parquet: directory_loc/alignments."""
+        """Alignments are Parquet: directory_loc/alignments. Samples without alignments are left out, or counted as `Error`
+        if they have a file of the type in directory_loc."""
         own = self.config.step("count_reads")
         aln = text.read_alignments(spark, own.get("alignments", f"{self.v['directory_loc']}/alignments"))
         region = (self.v["chrom"], self.v["start_bp"], self.v["end_bp"])
-        counts = reads.count_reads(aln, self._samples(spark), *region, self.config.flags(), own["min_mapq"])
-        counts = self._kept(spark, counts, "read_counts")
+        samples = self._samples(spark)
+        found = files.find_file(text.list_files(spark, self.v["directory_loc"]), samples, self.v["file_type"])
+        counts = reads.count_reads_of_files(aln, samples, found, *region, self.config.flags(), own["min_mapq"])
+        counts = self._kept(spark, counts, "read_counts_all")
         sinks.write_counts(counts, self._out("count_reads"), *region, self.v.get("output_file_type", "tsv"))
+        counts = self._kept(spark, counts.where("reads is not null"), "read_counts")
+        self.totals = counts.agg(F.count(F.lit(1)).alias("samples"), F.sum("reads").alias("reads")).first().asDict()
+        log.info("counted %(reads)s reads of %(samples)s samples", self.totals)
         return counts
 
     def _bins(self, spark: SparkSession) -> DataFrame:
@@ -110,7 +119,10 @@ class Pipeline:
 
     def diploid(self, spark: SparkSession) -> DataFrame:
         own = self.config.step("compute_diploid_genotypes")
-        dip = self._kept(spark, dipcn.diploid_cn(self._table(spark, "neighbors"), self._table(spark, "read_counts"), own["n_nbr"]), "dipcn")
+        near, counts = self._table(spark, "neighbors"), self._table(spark, "read_counts")
+        if dipcn.sample_overlap(counts, near).isEmpty():
+            raise ValueError("no sample has both read counts and neighbours")
+        dip = self._kept(spark, dipcn.diploid_cn(near, counts, own["n_nbr"]), "dipcn")
         sinks.write_dipcn(dip, self._out("compute_diploid_genotypes"), self.v.get("output_file_type", "tsv"))
         return dip
 
@@ -132,3 +144,20 @@ class Pipeline:
         out = haplotype.haplotype_cn(names, self._kept(spark, edges, "edges"), names, own["min_neighbors"], own["n_iters"], own["iteration"])
         sinks.write_haplotypes(out, self._out("compute_haploid_genotypes"))
         return out
+
+    def exons(self, spark: SparkSession) -> DataFrame:
+        """Copy numbers of the exon types, and the estimate and its summary from them."""
+        own = self.config.step("exon_genotypes")
+        near, counts = self._table(spark, "neighbors"), self._kept(spark, text.read_exon_counts(spark, own["exon_counts_file"]), "exon_counts")
+        if dipcn.sample_overlap(counts, near).isEmpty():
+            raise ValueError("no sample has both exon counts and neighbours")
+        cn = {}
+        for kind in ("1A", "1B", "1B_KIV3", "1B_notKIV3"):
+            cn[kind] = self._kept(spark, dipcn.exon_cn(counts, near, kind, own["n_nbr"]), f"exon_{kind}")
+            sinks.write_exon_dipcn(cn[kind], f"{self._out('exon_genotypes')}.{kind}")
+        estimate = dipcn.cn_estimate(*(cn[k].withColumnRenamed("dip_cn", "cn") for k in ("1A", "1B")))
+        estimate = self._kept(spark, estimate, "estimate")
+        kind = self.v.get("output_file_type", "tsv")
+        sinks.write_table(estimate, f"{self._out('exon_genotypes')}.estimate", kind)
+        sinks.write_table(dipcn.cn_summary(estimate), f"{self._out('exon_genotypes')}.summary", kind)
+        return estimate

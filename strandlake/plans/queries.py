@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strandlake.functions import columns as C
 from strandlake.operators import coverage, dipcn, files, genmap, haplotype, intervals, knn, normalize, reads
 from strandlake.plans import synth as S
-from strandlake.tables import materialize
+from strandlake.sources import sinks, text
+from strandlake.tables import materialize, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -207,7 +208,7 @@ def embedding_knn(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def diploid_cn(spark: SparkSession, d: str) -> DataFrame:
-    return _round(dipcn.diploid_cn(_neighbors(spark, d), _some_reads(spark, d), 10), "dip_cn")
+    return _round(dipcn.diploid_cn(_neighbors(spark, d), _reads(spark, d), 10), "dip_cn")
 
 
 @query
@@ -372,4 +373,173 @@ def event_matrix(spark: SparkSession, d: str) -> DataFrame:
     return _round(normalize.region_stats(cells.withColumn("end", F.col("start") + 1)), "mu", "var", "ratio")
 
 
+def _text(df: DataFrame, line: F.Column, head: str | None = None, tail: str | None = None) -> str:
+    """The path of text lines written to the shared folder, one for each row, with a line before or after all of them."""
+    path = f"{shared_folder(df.sparkSession)}/lines"
+    one = lambda v, o: df.sparkSession.range(1).select(F.lit(v).alias("value"), F.lit(o).alias("o"))
+    lines = df.select(line.alias("value"), F.lit(1).alias("o"))
+    for v, o in ((head, 0), (tail, 2)):
+        lines = lines.unionByName(one(v, o)) if v is not None else lines
+    (lines.orderBy("o").coalesce(1) if head is not None else lines).select("value").write.text(path)
+    return path
+
+
+def _written(spark: SparkSession, write: Callable[[str], None]) -> str:
+    path = f"{shared_folder(spark)}/out"
+    write(path)
+    return path
+
+
+def _tabs(*columns: F.Column) -> F.Column:
+    return F.concat_ws("\t", *(c.cast("string") for c in columns))
+
+
+@query
+def slices_written(spark: SparkSession, d: str) -> DataFrame:
+    """Slices of all samples from position-ordered Parquet, one folder for each sample, read again."""
+    indexed = spark.read.parquet(_written(spark, lambda p: reads.write_indexed(S.alignments(spark, d), p, 8)))
+    back = spark.read.parquet(_written(spark, lambda p: reads.write_slices(indexed, p, "chr6", 20000, 24000)))
+    return back.select(S.alignments(spark, d).columns)
+
+
+@query
+def reads_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with number 0 modulo 5 have no alignments here; of those some have a file, which counts as unreadable."""
+    own = S.samples(spark, d)
+    aln = S.alignments(spark, d).join(own.where("idx % 5 <> 0"), "sample_id", "left_semi")
+    found = files.find_file(_listing(spark, d), own, "cram")
+    return reads.count_reads_of_files(aln, own, found, S.READ_CHROM, S.READ_START, S.READ_END, S.FLAGS)
+
+
+@query
+def sam_alignments(spark: SparkSession, d: str) -> DataFrame:
+    own = S.alignments(spark, d).where("chrom = 'chr7'")
+    size = F.col("end") - F.col("pos")
+    cigar = F.concat(F.lit("5S40M3I10D"), (size - 60).cast("string"), F.lit("M"), F.lit("10N"))
+    line = _tabs(F.lit("r"), F.col("flag"), F.col("chrom"), F.col("pos") + 1, F.col("mapq"), cigar, F.when(F.col("next_chrom") == F.col("chrom"), "=").otherwise(F.col("next_chrom")))
+    return text.read_sam(spark, _text(own, line, "@HD\tVN:1.6"), "one").select(own.columns)
+
+
+@query
+def sample_list(spark: SparkSession, d: str) -> DataFrame:
+    own = S.samples(spark, d).orderBy("idx").coalesce(1)
+    path = _written(spark, lambda p: own.select(F.concat(F.lit(" "), "sample_id", F.lit("\n  "))).write.text(p))
+    return text.read_samples(spark, path)
+
+
+@query
+def mask_read(spark: SparkSession, d: str) -> DataFrame:
+    line = _tabs(F.col("chrom"), F.col("start"), F.col("end"), F.lit("x"))
+    return text.read_mask(spark, _text(S.repeat_mask(spark, d), line, "# a comment", "chr6\t1"))
+
+
+def _matrix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    z, selected = _z_selected(spark, d)
+    scales = normalize.sample_scale(_valid(spark, d))
+    return text.read_normalized(spark, _written(spark, lambda p: sinks.write_normalized(selected, scales, z, p)))
+
+
+@query
+def matrix_ratios(spark: SparkSession, d: str) -> DataFrame:
+    return _matrix(spark, d)[0]
+
+
+@query
+def matrix_scales(spark: SparkSession, d: str) -> DataFrame:
+    return _matrix(spark, d)[1]
+
+
+@query
+def matrix_cells(spark: SparkSession, d: str) -> DataFrame:
+    return _matrix(spark, d)[2].withColumn("z", F.col("z") + 0.0)
+
+
+@query
+def neighbors_read(spark: SparkSession, d: str) -> DataFrame:
+    return text.read_neighbors(spark, _written(spark, lambda p: sinks.write_neighbors(_neighbors(spark, d), p)))
+
+
+@query
+def counts_read(spark: SparkSession, d: str) -> DataFrame:
+    """A null count is written as Error, which the reader drops."""
+    some = _reads(spark, d).join(S.samples(spark, d), "sample_id").select("sample_id", F.when(F.col("idx") % 5 != 0, F.col("reads")).alias("reads"))
+    return text.read_counts(spark, _written(spark, lambda p: sinks.write_counts(some.coalesce(1), p, S.READ_CHROM, S.READ_START, S.READ_END)))
+
+
+@query
+def exon_counts_read(spark: SparkSession, d: str) -> DataFrame:
+    line = _tabs(F.concat("sample_id", F.lit(".cram")), *(F.col(c) for c in ("kiv3", "kiv2", "tied", "exon1a")))
+    return text.read_exon_counts(spark, _text(S.exon_counts(spark, d), line, tail="badline"))
+
+
+@query
+def exon_dipcn_read(spark: SparkSession, d: str) -> DataFrame:
+    cn = dipcn.exon_cn(S.exon_counts(spark, d), _neighbors(spark, d), "1A", 10)
+    return text.read_dipcn(spark, _written(spark, lambda p: sinks.write_exon_dipcn(cn, p))).select("sample_id", "irr")
+
+
+@query
+def ibs_read(spark: SparkSession, d: str) -> DataFrame:
+    lines = S.table(spark, d, "lineitem")
+    line = _tabs(F.format_string("S%05d", "l_suppkey"), F.col("l_linenumber") % 2 + 1, F.lit(0), F.lit(1.5), F.lit(0.1), F.format_string("S%05d", F.col("l_partkey") % 90), F.col("l_orderkey") % 2 + 1)
+    return text.read_ibs(spark, _text(lines, line, "ID\thap\tnbrInd\tcMlen\tcMedge\tIDnbr\thapNbr")).drop("line_no")
+
+
+@query
+def ibd_read(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col
+    line = _tabs(at("id1"), at("hap1"), at("id2"), at("hap2"), F.lit(6), at("bp1"), at("bp2"), F.lit("x"), F.lit("y"), F.round("length", 6), F.round("match", 6))
+    return text.read_ibd(spark, _text(S.ibd(spark, d), line)).drop("line_no")
+
+
+@query
+def genetic_map_read(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat_ws(" ", F.col("position").cast("string"), F.lit("0.5"), F.round("cm", 6).cast("string"))
+    return text.read_genetic_map(spark, _text(S.genetic_map(spark, d), line, "position rate Genetic_Map(cM)"))
+
+
+@query
+def map_written(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey")
+    chrom = F.when(key % 3 == 0, "chr16").when(key % 2 == 0, "6").otherwise("chr6")
+    rows = S.table(spark, d, "part").select(chrom.alias("chr"), F.concat(F.lit("rs"), key).alias("snp"), (key / 8).alias("cm"), (key * 100).alias("bp"))
+    return text.map_of_chromosome(text.read_map(spark, _written(spark, lambda p: sinks.write_map(rows, p))), "chr6")
+
+
+@query
+def loci_read(spark: SparkSession, d: str) -> DataFrame:
+    start = F.col("p_partkey") * 1000
+    line = _tabs(F.lit("chr6"), start, start + 501, F.lit("."), F.lit("."), F.lit("+"), F.col("p_brand"))
+    return text.read_loci(spark, _text(S.table(spark, d, "part"), line)).drop("line_no")
+
+
+@query
+def panel_read(spark: SparkSession, d: str) -> DataFrame:
+    line = _tabs(F.format_string("S%05d", "s_suppkey"), F.format_string("P%d", "s_nationkey"), F.lit("x"))
+    return text.read_panel(spark, _text(S.table(spark, d, "supplier"), line, "sample\tpop"))
+
+
+@query
+def haplotypes_written(spark: SparkSession, d: str) -> DataFrame:
+    state, edges = _phasing(spark, d)
+    out = haplotype.haplotype_output(haplotype.phase_gauss_seidel(state, edges, 4), edges, S.samples(spark, d))
+    return spark.read.option("sep", "\t").option("header", True).csv(_written(spark, lambda p: sinks.write_haplotypes(out, p)))
+
+
+@query
+def extreme_columns(spark: SparkSession, d: str) -> DataFrame:
+    stats = materialize(_stats(spark, d), "stats")
+    return normalize.extreme_columns(stats, stats.agg(F.median("ratio")).first()[0])
+
+
+@query
+def phasable(spark: SparkSession, d: str) -> DataFrame:
+    return _round(haplotype.phasable(*_phasing(spark, d)), "mean_irr", "mean_degree")
+
+
+@query
+def read_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d).agg(F.count(F.lit(1)).alias("samples"), F.sum("reads").alias("reads"))
+
+
 flagship = diploid_cn

@@ -30,6 +30,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         _name("l_suppkey").alias("sample_id"), chrom.alias("chrom"), ((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729) % 100000).alias("pos"),
         F.element_at(F.array(*(F.lit(f) for f in FLAG_OF_LINE)), F.col("l_linenumber")).alias("flag"), (F.col("l_quantity").cast("int") - 1).alias("mapq"),
         F.when(F.col("l_discount") >= 0.095, "chrX").otherwise(chrom).alias("next_chrom"),
+        ((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729) % 100000 + 100 + 20 * F.col("l_linenumber")).alias("end"),
     )
 
 

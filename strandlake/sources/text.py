@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.functions.columns import norm_chrom, normalize_sample_id
+from strandlake.functions.columns import cigar_length, norm_chrom, normalize_sample_id
 from strandlake.operators.files import longest_prefix_sample
 
 
@@ -53,12 +53,14 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str, sample_id: str) -> DataFrame:
-    """Alignments of a SAM text file: headers skipped, positions from 0, `=` as the own reference."""
+    """Alignments of a SAM text file: headers skipped, positions from 0, `=` as the own reference; `end` is the place after
+    the last that the CIGAR covers, of one that covers none the next place."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.startswith(F.col("value"), F.lit("@"))).where(F.size(f) >= 7)
     return rows.select(
         F.lit(sample_id).alias("sample_id"), f[2].alias("chrom"), (_cast(f[3], "bigint") - 1).alias("pos"), _cast(f[1], "int").alias("flag"),
         _cast(f[4], "int").alias("mapq"), F.when(f[6] == "=", f[2]).otherwise(f[6]).alias("next_chrom"),
+        (_cast(f[3], "bigint") - 1 + F.greatest(F.lit(1).cast("long"), cigar_length(f[5]))).alias("end"),
     ).dropna(subset=["pos", "flag", "mapq"])
 
 

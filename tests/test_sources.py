@@ -8,6 +8,7 @@ import yaml
 
 from strandlake.__main__ import main
 from strandlake.config import Config
+from strandlake.operators import reads
 from strandlake.plans.pipeline import Pipeline
 from strandlake.sources import sinks, text
 from strandlake.streaming import arrivals
@@ -41,7 +42,7 @@ def test_readers(spark, tmp_path):
     whole = text.read_map(spark, write(tmp_path / "m.map", "6\trs1\t0\t10\nchr6\trs2\t0\t20\n7\trs3\t0\t5\nbad\n"))
     assert [r[1] for r in rows(text.map_of_chromosome(whole, "chr6"))] == ["rs1", "rs2"]
     sam = write(tmp_path / "a.sam", "@HD\nq\t83\tchr6\t101\t60\t10M\t=\t5\nbad\n")
-    assert rows(text.read_sam(spark, sam, "S")) == [("S", "chr6", 100, 83, 60, "chr6")]
+    assert rows(text.read_sam(spark, sam, "S")) == [("S", "chr6", 100, 83, 60, "chr6", 110)]
 
 
 def test_depth_goes_to_the_longest_known_sample(spark, tmp_path):
@@ -93,6 +94,89 @@ def test_config(tmp_path):
     assert main(["check", path]) == 0
 
 
+EXAMPLE = """
+samples_file: "{0}/s.txt"
+directory_loc: "{0}/data"
+reference_genome: "{0}/ref.fa"
+output_dir: "{0}/out"
+threads: 4
+file_type: "cram"
+chrom: "chr6"
+start_bp: 0
+end_bp: 8000
+output_file_type: "tsv"
+index: {{run: False, output_file_prefix: "index_file_results"}}
+count_reads: {{run: True, output_file_prefix: "read_counts", min_mapq: 1, flags: [83, 147]}}
+mosdepth:
+  run: True
+  output_file_prefix: "mosdepth_results"
+  bin_size: 1000
+  mode: "fast"
+  region_name: "LPA"
+  work_dir: "{0}/depth/*.bed.gz"
+  remove_intermediate: False
+  normalize: {{run: True, min_depth: 20, max_depth: 100, top_frac: 0.1, output_file_prefix: "normalized", repeat_mask_file: "{0}/mask.bed"}}
+  neighbors: {{run: True, output_file_prefix: "neighbor_coverage", num_neighbors: 3, zmax: 2.0, sigma2_max: 1000}}
+compute_diploid_genotypes: {{run: True, output_file_prefix: "diploid_genotypes", n_nbr: 300}}
+compute_haploid_genotypes: {{run: True, output_file_prefix: "haploid_genotypes", method: "ibs", min_neighbors: 1, max_neighbors: 10, n_iters: 4, ibs_output: "{0}/ibs.txt"}}
+exon_genotypes: {{run: True, exon_counts_file: "{0}/exons.tsv", output_file_prefix: "exon", n_nbr: 3}}
+"""
+
+
+def example(spark, tmp_path, names, with_alignments):
+    import random
+
+    rng = random.Random(4)
+    for folder in ("depth", "data"):
+        os.makedirs(tmp_path / folder)
+    write(tmp_path / "ref.fa", "x")
+    write(tmp_path / "s.txt", "\n".join(names))
+    write(tmp_path / "mask.bed", "chr6\t3100\t3200\n")
+    write(tmp_path / "exons.tsv", "".join(f"{n}.cram\t{rng.randrange(5, 9)}\t5\t3\t7\n" for n in names))
+    write(tmp_path / "ibs.txt", "ID\thap\tn\tl\te\tnbr\thn\n" + "".join(f"{a}\t{h}\t0\t1\t1\t{rng.choice(names)}\t{rng.choice((1, 2))}\n" for a in names for h in (1, 2) for _ in range(3)))
+    for n in names:
+        write(tmp_path / "depth" / f"{n}.regions.bed.gz", "".join(f"chr6\t{j * 1000}\t{j * 1000 + 1000}\t{rng.uniform(25, 60):.2f}\n" for j in range(8)))
+    aln = [(n, "chr6", 10 * i, 83, 60, "chr6", 10 * i + 100) for n in with_alignments for i in range(30)]
+    spark.createDataFrame(aln, 'sample_id string, chrom string, pos long, flag int, mapq int, next_chrom string, end long').write.parquet(str(tmp_path / "data" / "alignments"))
+    return Config.read(write(tmp_path / "c.yaml", EXAMPLE.format(tmp_path)))
+
+
+def test_nested_sections_run(spark, tmp_path):
+    """Normalisation and neighbours inside the depth step, the haploid input by its method; samples without a file are
+    left out, such with a file that gives nothing are errors, and neither counts as 0 reads."""
+    names = [f"S{i:02d}" for i in range(8)]
+    config = example(spark, tmp_path, names, names[2:])
+    write(tmp_path / "data" / "S01.cram", "x")
+    report = config.validate()
+    assert report.errors == [] and not any("not known" in w for w in report.warnings)
+    done = Pipeline(config).run(spark)
+    assert list(done) == ["count_reads", "mosdepth", "normalize", "neighbors", "compute_diploid_genotypes", "compute_haploid_genotypes", "exon_genotypes"]
+    assert rows(done["count_reads"]) == [(n, 30) for n in names[2:]]
+    lines = [x for p in (tmp_path / "out" / "read_counts").glob("part-*") for x in p.read_text().splitlines()]
+    assert "S01\tError" in lines and not any(x.startswith("S00") for x in lines)
+    assert {r["sample_id"] for r in done["compute_diploid_genotypes"].collect()} == set(names[2:]) and done["exon_genotypes"].count() == 8
+    write(tmp_path / "exons.tsv", "other\t1\t1\t1\t1\n")
+    with pytest.raises(ValueError, match="no sample"):
+        Pipeline(config).exons(spark)
+
+
+def test_unknown_names_are_told(tmp_path):
+    base = good(tmp_path)
+    warnings = Config({**base, "colour": 1, "mosdepth": {"run": True, "binsize": 5, "normalize": {"run": False, "max": 3}}}).validate().warnings
+    assert sum("not known" in w for w in warnings) == 3
+    both = Config({**base, "mosdepth": {"neighbors": {"run": True, "num_neighbors": 7}}})
+    assert both.enabled("neighbors") and both.step("neighbors")["num_neighbors"] == 7 and both.step("mosdepth")["work_dir"] == f"{base['output_dir']}/mosdepth_workdir"
+    assert Config({"compute_haploid_genotypes": {"method": "ibd", "ibd_output": "x", "ibs_output": "y"}}).step("compute_haploid_genotypes")["neighbor_file"] == "x"
+
+
+def test_sam_ends_and_overlap(spark, tmp_path):
+    lines = ["@HD", "r\t83\tchr6\t101\t60\t10S90M2D8M\t=", "r\t83\tchr6\t195\t60\t*\tchr7", "r\t83\tchr6\t300\t60\t5M100N5M\t="]
+    own = text.read_sam(spark, write(tmp_path / "a.sam", "\n".join(lines)), "S")
+    assert [(r["pos"], r["end"]) for r in own.orderBy("pos").collect()] == [(100, 200), (194, 195), (299, 409)]
+    assert [r["pos"] for r in reads.region_slice(own, "chr6", 195, 305).orderBy("pos").collect()] == [100, 299]
+    assert [r["pos"] for r in reads.region_slice(own.drop("end"), "chr6", 194, 300).orderBy("pos").collect()] == [194, 299]
+
+
 def test_whole_run_over_files(spark, tmp_path):
     import random
 
