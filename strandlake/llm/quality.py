@@ -7,6 +7,7 @@ replacement, in proportion to their weights.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,13 @@ from pyspark.sql import types as T
 
 from strandlake.llm.common import arrow_map, chunks, materialize, mix, prefix_sums, span_hash, spans_of, utf8
 
-#: Buckets of hashed n-grams (n up to 2) of each model.
-BUCKETS = 1 << 14
-#: Labelled rows of which the target model is made; of more, those with the smallest hash of their id.
-TARGET_ROWS = 50_000
+#: Buckets of hashed n-grams (n up to 2) of each model for texts of up to BUCKET_BYTES in all. Of more text there are
+#: more, with the square root of its bytes, about as the number of different words grows: 2**19 for 30 GB.
+BUCKETS, BUCKET_BYTES = 1 << 14, 1 << 25
+#: Size of the target's ids, as measured, up to which they are broadcast; beyond, texts and ids are shuffled by key.
+BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch of counts.
+COUNT_ROWS = 1 << 16
 #: Equal parts into which the range of keys is cut when the k-th largest is looked for, and rows that end the search.
 BINS, FEW = 1024, 20_000
 
@@ -30,7 +34,12 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 2
 
 
-def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(n_bytes: int) -> int:
+    """Buckets of each model for so many bytes of text: a power of two."""
+    return BUCKETS << max(0, math.ceil(math.log2(max(1, n_bytes) / BUCKET_BYTES) / 2))
+
+
+def ngrams(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of all words, runs of punctuation and pairs of neighbours among them, lower-cased."""
     data, offsets = utf8(pc.utf8_lower(column))
     kind = _CLASS[data]
@@ -42,34 +51,38 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     one = span_hash(prefix_sums(data), start, end)
     two = mix(one[:-1] * np.uint64(0xD6E8FEB86659FD93) + one[1:])
     same = row[1:] == row[:-1]
-    bucket = np.concatenate([one, two[same]]) % np.uint64(BUCKETS)
+    bucket = np.concatenate([one, two[same]]) % np.uint64(buckets)
     return np.concatenate([row, row[:-1][same]]), bucket.astype(np.int64)
 
 
-def counts(docs: DataFrame, text: str, member: str) -> DataFrame:
-    """(bucket, raw, target): how often each bucket occurs in all texts and in those where `member` is true."""
+def counts(docs: DataFrame, text: str, member: str, buckets: int) -> DataFrame:
+    """(bucket, raw, target): how often each bucket that occurs does so in all texts and in those where `member` is true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, buckets), np.int64)
         for batch in batches:
             chosen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in chunks(batch.column(0)):
-                row, bucket = ngrams(batch.column(0).slice(a, b - a))
-                total[0] += np.bincount(bucket, minlength=BUCKETS)
-                total[1] += np.bincount(bucket[chosen[a:b][row]], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], ["bucket", "raw", "target"])
+                row, bucket = ngrams(batch.column(0).slice(a, b - a), buckets)
+                for n, part in zip(total, (bucket, bucket[chosen[a:b][row]]), strict=True):
+                    each, times = np.unique(part, return_counts=True)
+                    n[each] += times
+        seen = np.flatnonzero(total[0])
+        for at in range(0, len(seen), COUNT_ROWS):
+            part = seen[at : at + COUNT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0][part]), pa.array(total[1][part])], ["bucket", "raw", "target"])
 
     parts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), F.coalesce(F.col(member), F.lit(False)).alias("_in"))
     parts = arrow_map(parts, run, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counted: DataFrame) -> np.ndarray:
+def log_ratios(counted: DataFrame, buckets: int) -> np.ndarray:
     """log(target / raw) of each bucket, both models smoothed by one occurrence of every bucket."""
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    for r in counted.collect():
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
+    bucket, *found = (c.to_numpy() for c in counted.select("bucket", "raw", "target").toArrow().columns)
+    raw, target = np.ones((2, buckets))
+    raw[bucket] += found[0]
+    target[bucket] += found[1]
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
@@ -81,7 +94,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, key: str, text: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(1)):
-                row, bucket = ngrams(batch.column(1).slice(a, b - a))
+                row, bucket = ngrams(batch.column(1).slice(a, b - a), len(held.value))
                 sums = np.bincount(row, held.value[bucket], b - a).astype(float)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sums), pa.array(np.bincount(row, minlength=b - a).astype(np.int64))], names=schema.names)
 
@@ -90,7 +103,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, key: str, text: str) -> DataFrame
 
 def largest(rows: DataFrame, k: int, by: str, ties: str) -> DataFrame:
     """The k rows with the largest `by` (of equal ones those with the smaller `ties`), found by histograms: no task
-    sorts more than a part of the range."""
+    sorts more than FEW rows. More than FEW rows with one and the same `by` are copies of a row: any of them are taken."""
     low, high, n = rows.agg(F.min(by), F.max(by), F.count(by)).first()
     if n <= k or low is None:
         return rows
@@ -113,22 +126,31 @@ def largest(rows: DataFrame, k: int, by: str, ties: str) -> DataFrame:
         if rest == 0 or count <= FEW or low == high:
             break
     above = rows.where(F.col(by) >= sure) if sure is not None else rows.limit(0)
-    return above if rest == 0 else above.unionByName(rows.where(inside & (F.col(by) < sure) if sure is not None else inside).orderBy(F.desc(by), ties).limit(rest))
+    if rest == 0:
+        return above
+    part = rows.where(inside & (F.col(by) < sure) if sure is not None else inside)
+    return above.unionByName((part if count > FEW else part.orderBy(F.desc(by), ties)).limit(rest))
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", target_rows: int = TARGET_ROWS, share: float | None = None, seed: int = 17) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", target_rows: int | None = None, share: float | None = None, seed: int = 17) -> DataFrame:
     """(key, log_weight, gumbel_key) of the documents drawn.
 
-    Target: labelled documents whose largest label is 1, at most target_rows of them; raw: all documents. share of the
+    Target: labelled documents whose largest label is 1 (of more than target_rows ids, where that is given, those with
+    the smallest hash); raw: all documents. share of the
     documents are drawn; None: as large a share as the labelled documents' with label 1. A null or empty text weighs 1
     (log 0). The noise comes from a hash of key and seed, so copies under one key are drawn together or by order of the
     key. No labels draw nothing, unless a share is given.
     """
     own = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_k").agg(F.max("_y").alias("_y"))
-    labelled, good = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
-    ids = own.where("_y = 1").orderBy(F.xxhash64("_k"), "_k").limit(target_rows).select("_k", F.lit(True).alias("_in"))
-    joined = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_t")).join(F.broadcast(ids), F.col("_key") == F.col("_k"), "left")
-    ratios = log_ratios(counts(joined, "_t", "_in"))
+    size = F.sum(F.when(F.col("_y") == 1, 16 + F.octet_length(F.col("_k").cast("string"))))
+    labelled, good, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0)), F.coalesce(size, F.lit(0))).first()
+    ids = own.where("_y = 1").select("_k", F.lit(True).alias("_in"))
+    if target_rows is not None and target_rows < good:
+        ids = ids.orderBy(F.xxhash64("_k"), "_k").limit(target_rows)
+    texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_t"))
+    buckets = buckets_for(texts.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0])
+    joined = texts.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, F.col("_key") == F.col("_k"), "left")
+    ratios = log_ratios(counts(joined, "_t", "_in", buckets), buckets)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") + 0.5) / float(1 << 53)
     weighed = materialize(weigh(docs, ratios, key, text).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weighed")
     k = round((share if share is not None else good / max(1, labelled)) * weighed.count())

@@ -256,25 +256,46 @@ def test_largest_is_exact(spark):
         assert sorted(r["id"] for r in quality.largest(df, k, "v", "id").collect()) == sorted(r[0] for r in want)
 
 
-def test_resample_by_hand(spark):
-    """Counts, log weights, noise and the draw in plain Python."""
+def test_largest_among_copies(spark, monkeypatch):
+    """More rows with one key than a task sorts."""
+    monkeypatch.setattr(quality, "FEW", 50)
+    rows = [(i, float(i)) for i in range(300)] + [(1000, 150.5)] * 400
+    df = spark.createDataFrame(rows, "id long, v double")
+    for k in (100, 149, 150, 400, 549, 550, 699):
+        want = sorted(rows, key=lambda r: -r[1])[:k]
+        assert sorted(r["id"] for r in quality.largest(df, k, "v", "id").collect()) == sorted(r[0] for r in want)
+
+
+def test_buckets_grow_with_the_texts():
+    sizes = [quality.buckets_for(n) for n in (0, 1, quality.BUCKET_BYTES, quality.BUCKET_BYTES + 1, 10**9, 3 * 10**10, 10**14)]
+    assert sizes[:4] == [quality.BUCKETS] * 3 + [2 * quality.BUCKETS] and sizes == sorted(sizes) and sizes[5:] == [1 << 19, 1 << 25]
+
+
+@pytest.mark.parametrize(("bucket_bytes", "broadcast_bytes"), [(quality.BUCKET_BYTES, quality.BROADCAST_BYTES), (100, 0)])
+def test_resample_by_hand(spark, monkeypatch, bucket_bytes, broadcast_bytes):
+    """Counts, log weights, noise and the draw in plain Python; with buckets by the size of the texts, and ids that are
+    too large to broadcast."""
+    monkeypatch.setattr(quality, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", broadcast_bytes)
     rng = random.Random(26)
     rows = [(i, words(rng, rng.randrange(30), 20) + rng.choice(["", " ... !", " É x"])) for i in range(120)] + [(500, None), (501, "")]
     labels = [(i, int(i % 3 == 0)) for i in range(60)] + [(7, None)]
+    buckets = quality.buckets_for(sum(len((t or "").encode()) for _, t in rows))
+    assert (buckets > quality.BUCKETS) == (bucket_bytes == 100)
     token = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\t-\r 0-9A-Za-z\x80-\xff]+")
 
     def grams(text):
         found = token.findall((text or "").lower().encode())
         one = [common.span_hash(common.prefix_sums(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)])) for x in found]
         two = [common.mix(a * np.uint64(0xD6E8FEB86659FD93) + b) for a, b in zip(one, one[1:], strict=False)]
-        return [int(h[0] % np.uint64(quality.BUCKETS)) for h in one + two]
+        return [int(h[0] % np.uint64(buckets)) for h in one + two]
 
     raw, target = collections.Counter(), collections.Counter()
     for d, t in rows:
         raw.update(grams(t))
         if dict(labels).get(d) == 1:
             target.update(grams(t))
-    size = lambda c: sum(c.values()) + quality.BUCKETS
+    size = lambda c: sum(c.values()) + buckets
     weight = {d: sum(np.log((target[g] + 1) / size(target)) - np.log((raw[g] + 1) / size(raw)) for g in grams(t)) for d, t in rows}
     hashes = {r["doc_id"]: r["h"] for r in docs_of(spark, rows).select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("h")).collect()}
     noisy = {d: w - np.log(-np.log(((hashes[d] % 2**64 >> 11) + 0.5) / 2**53)) for d, w in weight.items()}
