@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandlake.llm import bpe, chat, decontaminate, fingerprint, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
+from strandlake.llm import align, binary, bpe, chat, decontaminate, fingerprint, infill, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
+from strandlake.tables import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +118,29 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("_output"), F.col("_form"))
+    return out.select(
+        "doc_id", F.col("_n").alias("n"), F.col("_form").alias("form"), F.col("_prefix_chars").alias("prefix_chars"), F.col("_middle_chars").alias("middle_chars"),
+        F.sha2("_output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = shared_folder(spark)
+    binary.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
+    return binary.documents(spark, out).withColumnRenamed("key", "doc_id")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP1_SQL = """
 WITH RECURSIVE bits(b, v, k) AS (
   SELECT range, range::BIGINT, 0 FROM range(256)
@@ -190,10 +214,29 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 
+OP11_SQL = r"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d,
+    regexp_extract_all(coalesce(text, ''), '[ \t-\r]*[^ \t-\r]+|[ \t-\r]+') AS w FROM documents
+), drawn AS (
+  SELECT *, len(w) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM own
+), formed AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j FROM drawn
+), cut AS (
+  SELECT *, array_to_string(w[1:i], '') AS p, array_to_string(w[i + 1:j], '') AS m, array_to_string(w[j + 1:], '') AS s FROM formed
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op4_fingerprints, op5_importance, op6_toxicity, op7_suffix_dedup, op8_url_rules, op9_winnowing, op10_simhash)}
+    own = {f.__name__: f for f in (op1_jump_hash, op2_byte_bpe, op3_chat, op4_fingerprints, op5_importance, op6_toxicity, op7_suffix_dedup, op8_url_rules, op9_winnowing, op10_simhash, op11_infill, op12_token_files, op13_alignment)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jump_hash": OP1_SQL, "op3_chat": OP3_SQL, "op8_url_rules": OP8_SQL, "op9_winnowing": OP9_SQL}
+    return {"op1_jump_hash": OP1_SQL, "op3_chat": OP3_SQL, "op8_url_rules": OP8_SQL, "op9_winnowing": OP9_SQL, "op11_infill": OP11_SQL}

@@ -91,3 +91,44 @@ def canonical(text):
 
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def infill(key, text, seed=42):
+    """(n, form, prefix_chars, middle_chars, output) of a document."""
+    text = text or ""
+    units = re.findall("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+", text)
+    digest = sha(f"{seed}:{'' if key is None else key}")
+    h = [int(digest[i : i + 8], 16) for i in range(0, 32, 8)]
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return len(units), "plain", None, None, text
+    i, j = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, s = "".join(units[:i]), "".join(units[i:j]), "".join(units[j:])
+    spm = h[3] % 100 < 80
+    return len(units), "spm" if spm else "psm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}" if spm else f"<P>{p}<S>{s}<M>{m}"
+
+
+def alignment(texts, a, b, a_bytes, b_bytes):
+    """Rows (n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of texts; a and b encode, *_bytes spell ids."""
+    held, count = [], {}
+    for text in texts:
+        x, y, want = a(" " + (text or "")), b(text or ""), (" " + (text or "")).encode()
+        groups = []
+        if text and b"".join(map(a_bytes, x)) == want == b"".join(map(b_bytes, y)):
+            ends = [{sum(len(f(i)) for i in ids[: k + 1]): k + 1 for k in range(len(ids))} for ids, f in ((x, a_bytes), (y, b_bytes))]
+            i = j = 0
+            for e in sorted(set(ends[0]) & set(ends[1])):
+                groups.append((x[i : ends[0][e]], y[j : ends[1][e]]))
+                i, j = ends[0][e], ends[1][e]
+        links = [(p, q) for g in groups for p in g[0] for q in g[1]]
+        for pair in set(links):
+            count[pair] = count.get(pair, 0) + 1
+        held.append((groups, links))
+    most = {}
+    for (p, _), c in count.items():
+        most[p] = max(most.get(p, 0), c)
+    for groups, links in held:
+        told = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups)
+        yield (
+            sum(len(g) for g, _ in groups), sum(len(h) for _, h in groups), len(groups), len(links),
+            sum(count[k] == most[k[0]] for k in links), sum(count[k] for k in links), sha(told) if groups else "",
+        )
