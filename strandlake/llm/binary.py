@@ -100,7 +100,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, key: str = "doc_id
     by = own.withColumns({"t": F.xxhash64("text"), "m": F.monotonically_increasing_id()})
     dealt = by.repartitionByRange(n, "key", "t", "m").sortWithinPartitions("key", "t", "m").select("key", "text")
     settings = {
-        "orc.stripe.size": str(STRIPE_BYTES), "orc.row.index.stride": str(INDEX_ROWS), "orc.create.index": "true",
+        "orc.stripe.size": str(STRIPE_BYTES), "orc.row.index.stride": str(INDEX_ROWS), "orc.create.index": "true", "orc.rows.between.memory.checks": "200",
         "orc.bloom.filter.columns": "key", "orc.bloom.filter.fpp": str(FALSE_POSITIVES),
     }
     arrow_map(dealt, _encoder(tokenizer_path, special, end_id), _ROW).write.options(**settings).orc(f"{out}/ids")

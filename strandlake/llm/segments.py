@@ -162,11 +162,13 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.cut = not any(re.search("[^▁]▁", n) for n in names) and self.model.encode("a  b ") == self.model.encode("a") + self.model.encode(" b ")
+        self.space = np.array(self.model.encode("a ")[len(self.model.encode("a")) :], np.uint32)  # of a space at the end
         self.entry = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.size = np.array([len(e) for e in self.entry], np.int64)
 
     def encode(self, segments: list[bytes]) -> list[np.ndarray]:
-        return [np.array(ids, np.uint32) for ids in self.model.encode([s[1:].decode() for s in segments], num_threads=1)]
+        ids = self.model.encode([s[1:].decode() for s in segments], num_threads=1)
+        return [self.space if s == b" " else np.array(x, np.uint32) for s, x in zip(segments, ids, strict=True)]
 
 
 @lru_cache(maxsize=4)

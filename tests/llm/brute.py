@@ -1,6 +1,7 @@
 """Plain restatements of what the training-data operators return."""
 
 import hashlib
+import itertools
 import re
 import unicodedata
 
@@ -114,7 +115,7 @@ def alignment(texts, a, b, a_bytes, b_bytes):
         x, y, want = a(" " + (text or "")), b(text or ""), (" " + (text or "")).encode()
         groups = []
         if text and b"".join(map(a_bytes, x)) == want == b"".join(map(b_bytes, y)):
-            ends = [{sum(len(f(i)) for i in ids[: k + 1]): k + 1 for k in range(len(ids))} for ids, f in ((x, a_bytes), (y, b_bytes))]
+            ends = [{e: k + 1 for k, e in enumerate(itertools.accumulate(len(f(i)) for i in ids))} for ids, f in ((x, a_bytes), (y, b_bytes))]
             i = j = 0
             for e in sorted(set(ends[0]) & set(ends[1])):
                 groups.append((x[i : ends[0][e]], y[j : ends[1][e]]))

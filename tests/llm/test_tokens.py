@@ -223,7 +223,7 @@ def test_joined_crc():
 def test_files_have_stripes_an_index_and_filters(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(binary, "STRIPE_BYTES", 1 << 14)
     rng = random.Random(6)
-    docs = docs_of(spark, [(i * 3, words(rng, 1500)) for i in range(400)])
+    docs = docs_of(spark, [(i * 3, words(rng, 30)) for i in range(12000)])
     out = f"file://{tmp_path}/out"
     binary.write_ids(docs, A_PATH, out)
     files = sorted((tmp_path / "out/ids").glob("*.orc"))
@@ -257,8 +257,8 @@ def test_alignment(spark, clash):
 def test_alignment_in_parts(spark, monkeypatch):
     """Long texts over several parcels, sound and not, and ids dealt to several tasks, give what whole ones give."""
     rng = random.Random(12)
-    long = words(rng, 260000, 300)
-    docs = [(1, long), (2, long[:1500000] + " ▁x"), (3, "w1 w2 w3"), (4, long[900000:]), *((i, words(rng, 30, 20)) for i in range(5, 60))]
+    long = words(rng, 220000, 300)
+    docs = [(1, long), (2, long[:800000] + " ▁x"), (3, "w1 w2 w3"), (4, long[500000:]), *((i, words(rng, 30, 20)) for i in range(5, 60))]
     want = [(d, *w) for (d, _), w in zip(docs, aligned([t for _, t in docs]), strict=True)]
     for entries in (1 << 20, 8):
         got = align.align(docs_of(spark, docs).repartition(7), A_PATH, B_PATH, id_entries=entries).collect()
