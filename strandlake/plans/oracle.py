@@ -147,6 +147,9 @@ ORACLE: dict[str, str] = {
     "count_reads": _sql("SELECT sample_id, reads FROM counted"),
     "count_reads_dup_flags": _sql("SELECT sample_id, 0::BIGINT AS reads FROM samples"),
     "region_slice": _sql("SELECT * FROM aln WHERE chrom = 'chr6' AND pos < 24000 AND \"end\" > 20000"),
+    "bam_region": _sql("SELECT * FROM aln WHERE chrom = 'chr6' AND pos < 24000 AND \"end\" > 20000"),
+    "bam_counts": _sql("SELECT sample_id, reads FROM counted"),
+    "depth_read": _sql('SELECT sample_id, chrom, start, "end", depth FROM bins'),
     "slices_written": _sql("SELECT * FROM aln WHERE chrom = 'chr6' AND pos < 24000 AND \"end\" > 20000"),
     "reads_of_files": _sql("""SELECT sample_id, CASE WHEN idx % 5 <> 0 THEN reads END AS reads FROM counted WHERE idx % 9 <> 0 OR idx % 5 <> 0"""),
     "sam_alignments": _sql("""SELECT * REPLACE ('one' AS sample_id) FROM aln WHERE chrom = 'chr7'"""),

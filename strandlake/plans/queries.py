@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import columns as C
 from strandlake.operators import coverage, dipcn, files, genmap, haplotype, intervals, knn, normalize, reads
 from strandlake.plans import synth as S
-from strandlake.sources import sinks, text
+from strandlake.sources import bam, bgzf, sinks, text
 from strandlake.tables import materialize, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -420,6 +420,35 @@ def sam_alignments(spark: SparkSession, d: str) -> DataFrame:
     return text.read_sam(spark, _text(own, line, "@HD\tVN:1.6"), "one").select(own.columns)
 
 
+#: Names and lengths of the references of the alignments' BAM files.
+REFERENCES = {"chr5": 101_000, "chr6": 101_000, "chr7": 101_000, "chrX": 101_000}
+
+
+@query
+def bam_region(spark: SparkSession, d: str) -> DataFrame:
+    """All alignments as BAM files with an index, and a region of them read back by way of it."""
+    path = _written(spark, lambda p: bam.write_bam(S.alignments(spark, d), p, REFERENCES))
+    return bam.read_bam(spark, path, ("chr6", 20000, 24000)).select(S.alignments(spark, d).columns)
+
+
+@query
+def bam_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Filtered read counts from BAM files, read whole and in splits."""
+    path = _written(spark, lambda p: bam.write_bam(S.alignments(spark, d), p, REFERENCES))
+    own = bam.read_bam(spark, path, split_bytes=1 << 16)
+    return reads.count_reads(own, S.samples(spark, d), S.READ_CHROM, S.READ_START, S.READ_END, S.FLAGS)
+
+
+@query
+def depth_read(spark: SparkSession, d: str) -> DataFrame:
+    """Depth files as blocked gzip, one for each sample, read in splits that do not end where lines do."""
+    bins = S.depth_bins(spark, d)
+    line = _tabs(*(F.col(c) for c in ("chrom", "start", "end", "depth")))
+    rows = bins.select(F.concat("sample_id", F.lit(".regions.bed.gz")).alias("name"), line.alias("value"), "start")
+    path = _written(spark, lambda p: bgzf.write_lines(rows, p, ["start"]))
+    return text.read_depth(spark, path, S.samples(spark, d), split_bytes=1 << 12)
+
+
 @query
 def sample_list(spark: SparkSession, d: str) -> DataFrame:
     own = S.samples(spark, d).orderBy("idx").coalesce(1)

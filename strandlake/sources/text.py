@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from strandlake.functions.columns import cigar_length, norm_chrom, normalize_sample_id
 from strandlake.operators.files import longest_prefix_sample
+from strandlake.sources.bgzf import read_lines
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -69,11 +70,16 @@ def read_sam(spark: SparkSession, path: str, sample_id: str) -> DataFrame:
     ).dropna(subset=["pos", "flag", "mapq"])
 
 
-def read_depth(spark: SparkSession, path: str, samples: DataFrame | None = None) -> DataFrame:
+def read_depth(spark: SparkSession, path: str, samples: DataFrame | None = None, suffix: str = ".bed.gz", split_bytes: int | None = None) -> DataFrame:
     """(sample_id, chrom, start, end, depth) of BED files with four columns or more. The sample is the longest known
-    prefix of the file's name, or without samples the name up to its first dot. One task reads one compressed file."""
+    prefix of the file's name, or without samples the name up to its first dot.
+
+    split_bytes: files of the folder with that suffix are read in splits of so many bytes where they are blocked gzip, so
+    that a large file keeps several tasks busy; None leaves them to Spark's reader, one task for a compressed file.
+    """
     f = F.split("value", "\t")
-    rows = spark.read.text(path).withColumn("path", F.input_file_name()).where(F.size(f) >= 4)
+    lines = read_lines(spark, path, suffix, split_bytes) if split_bytes else spark.read.text(path).withColumn("path", F.input_file_name())
+    rows = lines.where(F.size(f) >= 4)
     cells = rows.select("path", _at(f, 0).alias("chrom"), _cast(_at(f, 1), "bigint").alias("start"), _cast(_at(f, 2), "bigint").alias("end"), _number(_at(f, 3)).alias("depth")).dropna(subset=["start", "end", "depth"])
     if samples is None:
         name = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
