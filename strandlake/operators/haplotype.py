@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.functions.columns import PRIOR_WEIGHT, hap_node, lorentzian, segment_distance
-from strandlake.operators.graph import components
 from strandlake.tables import materialize
 
-#: Samples up to which one task sweeps them all; beyond, each connected component is swept apart, with the same result.
-ONE_SWEEP = 200_000
-#: Rounds of the distributed iteration between written tables.
-ROUNDS = 5
+#: Rounds of simultaneous sweeps between written tables (a round reads the state twice, so plans double with each), and
+#: sequential sweeps that are solved together.
+ROUNDS, SWEEPS = 2, 8
+#: Greatest change of a value, relative to the sample's total, in a round after which nothing is left to solve.
+SETTLED = 1e-13
 
 
 def ibs_edges(ibs: DataFrame, index: DataFrame, cap: int = 10) -> DataFrame:
@@ -91,6 +89,7 @@ def _updated(state: DataFrame, edges: DataFrame) -> DataFrame:
 
 def phase_jacobi(state: DataFrame, edges: DataFrame, n_iters: int) -> DataFrame:
     """Simultaneous sweeps: each round is two joins over all nodes; every few rounds a table cuts the lineage."""
+    edges = materialize(edges, "edges") if n_iters > 1 else edges
     for i in range(1, n_iters + 1):
         state = _updated(state, edges)
         if i % ROUNDS == 0 and i < n_iters:
@@ -98,54 +97,67 @@ def phase_jacobi(state: DataFrame, edges: DataFrame, n_iters: int) -> DataFrame:
     return state
 
 
-def _sweep(n_iters: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx", kind="stable").reset_index(drop=True)
-        place = {2 * int(x) + h: 2 * i + h for i, x in enumerate(rows["idx"]) for h in (0, 1)}
-        value = rows[["h0", "h1"]].to_numpy(float).ravel()
-        lists = []
-        for edges in rows["edges"]:
-            own: list[list[tuple[int, float]]] = [[], []]
-            for e in sorted(edges if edges is not None else (), key=lambda e: e["rank"]):
-                if e["nbr"] in place:
-                    own[e["node"] % 2].append((place[e["nbr"]], e["w"]))
-            lists.append([(np.array([p for p, _ in x], int), np.array([w for _, w in x], float)) for x in own])
-        irr = rows["irr"].to_numpy(float)
-        for _ in range(n_iters):
-            for i, both in enumerate(lists):
-                if np.isnan(value[2 * i]):
-                    continue
-                means = []
-                for at, w in both:
-                    v = value[at]
-                    known = ~np.isnan(v)
-                    means.append((w[known] * v[known]).sum() / (PRIOR_WEIGHT + w[known].sum()))
-                total = means[0] + means[1]
-                if total > 0:
-                    value[2 * i], value[2 * i + 1] = irr[i] * means[0] / total, irr[i] * means[1] / total
-        rows["h0"], rows["h1"] = value[0::2], value[1::2]
-        return rows[["idx", "irr", "h0", "h1"]]
-
-    return run
-
-
-def phase_gauss_seidel(state: DataFrame, edges: DataFrame, n_iters: int, one_sweep: int = ONE_SWEEP) -> DataFrame:
-    """Sweeps in the order of the samples, each using what the earlier ones of the same sweep have written.
-
-    An update depends on neighbours only, so connected components are swept apart in parallel; a small cohort is one
-    group without looking for components. A component is sequential by definition; its state is two numbers a sample.
+def _path(start: Column, n: int) -> Column:
+    """A value before and after each of n sweeps, as a first guess all the same."""
+    return F.when(start.isNotNull(), F.array_repeat(start, n + 1))
+
+
+def _improved(state: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """One round: every value of every sweep anew from the neighbours' values as they are now known.
+
+    state(idx, irr, p0, p1) with paths; edges(node, rank, nbr, w, earlier), earlier: the neighbour's sample comes first in
+    a sweep. Of such a neighbour the value of the same sweep counts, of others that of the sweep before. Sums go by rank,
+    so that a round with the same input gives the same bits. A node's edges are capped, so its list is bounded.
+    """
+    sides = F.explode(F.array(*(F.struct((F.col("idx") * 2 + h).alias("nbr"), F.col(f"p{h}").alias("p")) for h in (0, 1))))
+    known = state.where("p0 is not null").select(sides.alias("x")).select("x.*")
+    path = F.slice("p", F.when(F.col("earlier"), 2).otherwise(1), F.lit(n))
+    met = edges.join(known, "nbr").select(F.floor(F.col("node") / 2).alias("idx"), F.struct((F.col("node") % 2).alias("side"), "rank", "nbr", "w", path.alias("v")).alias("e"))
+    lists = met.groupBy("idx").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    joined = state.join(lists, "idx", "left")
+    zeros = F.array_repeat(F.lit(0.0), n)
+
+    def means(side: int) -> Column:
+        own = F.filter(F.coalesce("es", F.array().cast(lists.schema["es"].dataType)), lambda e: e["side"] == side)
+        weight = F.aggregate(own, F.lit(0.0), lambda s, e: s + e["w"]) + F.lit(PRIOR_WEIGHT)
+        return F.transform(F.aggregate(own, zeros, lambda s, e: F.zip_with(s, e["v"], lambda x, v: x + e["w"] * v)), lambda x: x / weight)
+
+    both = joined.withColumns({"m0": means(0), "m1": means(1)})
+    total = F.zip_with("m0", "m1", lambda a, b: a + b)
+
+    def path_of(h: int) -> Column:
+        share = F.transform(F.zip_with(f"m{h}", total, lambda m, t: F.struct(m.alias("m"), t.alias("t"))), lambda x, i: F.when(x["t"] > 0, F.col("irr") * x["m"] / x["t"]).otherwise(F.get(f"p{h}", i)))
+        return F.when(F.col(f"p{h}").isNotNull(), F.concat(F.slice(f"p{h}", 1, 1), share))
+
+    moved = F.array_max(F.zip_with("p0", path_of(0), lambda a, b: F.abs(a - b))) / F.abs("irr")
+    return both.select("idx", "irr", path_of(0).alias("p0"), path_of(1).alias("p1"), F.when(F.col("irr") != 0, moved).alias("moved"))
+
+
+def phase_gauss_seidel(state: DataFrame, edges: DataFrame, n_iters: int, sweeps: int = SWEEPS, settled: float = SETTLED) -> DataFrame:
+    """Sweeps in the order of the samples, each using what the earlier ones of the same sweep have written; distributed,
+    with the result of the sequential sweep.
+
+    A value of a sweep depends on earlier samples' values of the sweep and on later ones' of the sweep before, and on
+    nothing in a circle: the values of several sweeps are one system of equations with one solution. Each round takes
+    every right side anew; those that depend on nothing are right after one round, those on them after two, and so on by
+    levels. When a round changes nothing (more than `settled`, which rounding does), every equation holds. Averages forget
+    what is far away, so that this comes long before as many rounds as there are levels. `sweeps` are solved at once, and
+    each round is a written table of two short lists a sample.
     """
-    lists = edges.groupBy(F.floor(F.col("node") / 2).alias("idx")).agg(F.collect_list(F.struct("node", "rank", "nbr", "w")).alias("edges"))
-    rows = state.join(lists, "idx", "left")
-    if state.count() <= one_sweep:
-        rows = rows.withColumn("root", F.lit(0).cast("long"))
-    else:
-        links = edges.select(F.floor(F.col("node") / 2).alias("a"), F.floor(F.col("nbr") / 2).alias("b"))
-        roots = components(links)
-        rows = rows.join(roots.withColumnRenamed("node", "idx"), "idx", "left").withColumn("root", F.coalesce("root", "idx"))
-    swept = rows.groupBy("root").applyInPandas(lambda pdf: _sweep(n_iters)(pdf), "idx long, irr double, h0 double, h1 double")
     known = lambda c: F.nanvl(c, F.lit(None).cast("double"))
-    return swept.select("idx", known("irr").alias("irr"), known("h0").alias("h0"), known("h1").alias("h1"))
+    later = F.floor(F.col("nbr") / 2) < F.floor(F.col("node") / 2)
+    edges = materialize(edges.select("node", "rank", "nbr", "w", later.alias("earlier")), "edges")
+    own = state.select("idx", known("irr").alias("irr"), known("h0").alias("h0"), known("h1").alias("h1"))
+    for done in range(0, n_iters, sweeps):
+        n = min(sweeps, n_iters - done)
+        paths = own.select("idx", "irr", _path(F.col("h0"), n).alias("p0"), _path(F.col("h1"), n).alias("p1"))
+        while True:
+            seen = Observation()
+            paths = materialize(_improved(paths, edges, n).observe(seen, F.max("moved").alias("moved")).drop("moved"), "paths")
+            if (seen.get["moved"] or 0.0) <= settled:
+                break
+        own = paths.select("idx", "irr", *(F.get(f"p{h}", F.lit(n)).alias(f"h{h}") for h in (0, 1)))
+    return own
 
 
 def haplotype_output(state: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:

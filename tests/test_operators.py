@@ -201,19 +201,33 @@ def _sweep(irr, edges, n, start):
     return h
 
 
-@pytest.mark.parametrize("one_sweep", [200_000, 0])
-def test_gauss_seidel_by_components(spark, one_sweep):
-    rng = random.Random(2)
-    irr = [rng.uniform(1, 9) for _ in range(12)]
-    edges = [(2 * i + k, r, 2 * (j := (i // 6) * 6 + rng.randrange(6)) + rng.randrange(2), rng.uniform(0.5, 2)) for i in range(12) if i != 4 for k in (0, 1) for r in (1, 2, 3)]
+@pytest.mark.parametrize(("kind", "n", "sweeps"), [("random", 3, 2), ("chain", 2, 8), ("self", 2, 8), ("zero", 2, 8), ("none", 2, 8), ("alone", 0, 8)])
+def test_gauss_seidel_is_the_sequential_sweep(spark, kind, n, sweeps):
+    """To the last places, on graphs with loops, with a chain through all samples in order, with itself as a neighbour,
+    with values and sums of 0, and without edges."""
+    rng = random.Random(n * 7 + len(kind))
+    size = 20
+    irr = [0.0 if kind == "zero" and i % 3 else rng.uniform(1, 9) for i in range(size)]
+    if kind == "chain":
+        near = {i: [i - 1 if i else size - 1] * 2 for i in range(size)}
+    else:
+        near = {i: [i if kind == "self" and i % 2 else rng.randrange(size) for _ in range(4)] for i in range(size) if i != 4}
+    edges = [] if kind == "none" else [(2 * i + k, r, 2 * j + rng.randrange(2), rng.uniform(0.5, 2)) for i, js in near.items() for k in (0, 1) for r, j in enumerate(js, 1)]
     e = spark.createDataFrame(edges, "node long, rank int, nbr long, w double")
     state = haplotype.phase_init(spark.createDataFrame(list(enumerate(irr)), "idx long, irr double"), e)
     begin = [x for r in state.orderBy("idx").collect() for x in (r["h0"], r["h1"])]
-    assert begin[8] is None and begin[0] == irr[0] / 2
-    got = [x for r in haplotype.phase_gauss_seidel(state, e, 5, one_sweep).orderBy("idx").collect() for x in (r["h0"], r["h1"])]
-    want = _sweep(irr, edges, 5, begin)
-    assert [g is None for g in got] == [w is None for w in want]
-    assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None])
+    got = [x for r in haplotype.phase_gauss_seidel(state, e, n, sweeps).orderBy("idx").collect() for x in (r["h0"], r["h1"])]
+    want = _sweep(irr, edges, n, begin)
+    assert [g is None for g in got] == [w is None for w in want] and (kind != "random" or begin[8] is None)
+    assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None], rel=1e-12, abs=0)
+
+
+def test_gauss_seidel_has_no_single_group(spark):
+    """No step deals all rows to one task: each exchange of the last round is by a column."""
+    e = spark.createDataFrame([(2 * i, 1, (2 * i + 3) % 40, 1.0) for i in range(20)], "node long, rank int, nbr long, w double")
+    state = haplotype.phase_init(spark.createDataFrame([(i, 1.0) for i in range(20)], "idx long, irr double"), e, 0)
+    plan = haplotype._improved(state.select("idx", "irr", F.array("h0", "h0").alias("p0"), F.array("h1", "h1").alias("p1")), e.withColumn("earlier", F.lit(True)), 1)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "FlatMapGroups" not in plan
 
 
 def test_imputation_fallback(spark):
