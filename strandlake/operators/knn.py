@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.functions.columns import clip
+from strandlake.tables import materialize
 
-#: Bytes of vectors up to which all of them are broadcast; beyond, blocks of that size meet in pairs.
-BROADCAST_BYTES = 64 << 20
-#: Bytes of differences that a kernel holds at once.
+#: Fewest and most rows of a block, pivots, and how many vectors are looked at for each pivot.
+BLOCK_ROWS, PIVOTS, SAMPLE_EACH = (256, 2048), 16, 16
+#: Bytes of distances that a kernel holds at once.
 CHUNK_BYTES = 32 << 20
+#: How far a distance by matrix product may be off, as a share of the squared lengths.
+ROUNDING = 1e-11
 
 
 def features(z: DataFrame, regions: DataFrame, zmax: float = 2.0) -> tuple[DataFrame, int]:
@@ -30,66 +32,152 @@ def features(z: DataFrame, regions: DataFrame, zmax: float = 2.0) -> tuple[DataF
     return every.select("sample_id", F.coalesce(filled, F.array_repeat(F.lit(0.0), n)).alias("vec")), n
 
 
-def _nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, squared distance) of the k nearest, the same id excluded; ties by id."""
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A list column as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
+
+
+def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist())
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by matrix product; off by rounding."""
+    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2.0 * (a @ b.T)
+
+
+def _nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, squared distance) of the k nearest, the same id excluded; ties by id; none beyond the bound of
+    its row. Candidates come from products, with room for rounding; what is returned is summed from the differences."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, CHUNK_BYTES // max(1, b.size * 8))
-    for at in range(0, len(a), step):
+    step = max(1, CHUNK_BYTES // max(1, len(b) * 8))
+    for at in range(0, len(a) if k > 0 and len(b) else 0, step):
         part = a[at : at + step]
-        d = ((part[:, None, :] - b[None]) ** 2).sum(axis=2)
-        for i, row in enumerate(d):
-            row = np.where(others == ids[at + i], np.inf, row)
-            reach = np.partition(row, k - 1)[k - 1] if k < len(row) else np.inf
-            near = np.flatnonzero((row <= reach) & np.isfinite(row))
-            near = near[np.lexsort((others[near], row[near]))][:k]
-            found.append((np.full(len(near), at + i), near, row[near]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
-
-
-def nearest_neighbors(vectors: DataFrame, k: int, key: str = "sample_id", vec: str = "vec", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(key, rank int from 1, nbr_id, sq_dist): the k nearest other rows by squared Euclidean distance, ties by id.
-
-    The size of all vectors is measured. While they fit, they are broadcast and each task compares its rows with them;
-    beyond, both sides are cut into blocks of that size, every pair of blocks meets in one task, which keeps k rows for
-    each of its own, and the blocks' results are merged. Keys must be distinct; vectors must be of one length.
+        near = _products(part, b)
+        near[ids[at : at + step, None] == others[None]] = np.inf
+        reach = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(b) else np.full(len(part), np.inf)
+        if bound is not None:
+            reach = np.minimum(reach, bound[at : at + step])
+        room = ROUNDING * ((part * part).sum(axis=1) + (b * b).sum(axis=1).max())
+        i, j = np.nonzero((near <= (reach + 2 * room)[:, None]) & np.isfinite(near))
+        exact = np.empty(len(i))
+        each = max(1, CHUNK_BYTES // max(8, b.shape[1] * 8))
+        for p in range(0, len(i), each):
+            exact[p : p + each] = ((part[i[p : p + each]] - b[j[p : p + each]]) ** 2).sum(axis=1)
+        if bound is not None:
+            inside = exact <= bound[at + i]
+            i, j, exact = i[inside], j[inside], exact[inside]
+        order = np.lexsort((others[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+        nth = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+        found.append((at + i[nth < k], j[nth < k], exact[nth < k]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _pivots(rows: DataFrame, n: int) -> np.ndarray:
+    """At most n of the vectors, each far from those before, out of SAMPLE_EACH times as many that a hash picks."""
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(n * SAMPLE_EACH).select("vec").toArrow().column(0)
+    own = _vectors(some)
+    picked, least = [0] if len(own) else [], np.full(len(own), np.inf)
+    while len(picked) < min(n, len(own)):
+        least = np.minimum(least, _products(own, own[picked[-1:]])[:, 0])
+        picked.append(int(least.argmax()))
+    return own[picked]
+
+
+def neighbor_blocks(vectors: DataFrame, k: int, key: str = "sample_id", vec: str = "vec", block_rows: int | None = None, pivots: int = PIVOTS) -> DataFrame:
+    """(id, vec, block, bound, near, away): the vectors in blocks of about block_rows that lie together.
+
+    Rows are dealt by range of their nearest pivot and the distance to it. near: the k nearest within the block; bound:
+    the squared distance of the k-th, null if there are fewer; away: the distances to all pivots. Only the pivots, a
+    fixed number, are looked at by the driver.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    size = rows.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0
+    n = rows.count()
+    size = block_rows or min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    held = spark.sparkContext.broadcast(_pivots(rows, pivots))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away = np.sqrt(np.maximum(_products(_vectors(batch.column(1)), held.value), 0.0)) if batch.num_rows else np.zeros((0, len(held.value)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(away) + 1) * len(held.value), pa.int32()), pa.array(away.ravel()))
+            nearest = away.argmin(axis=1) if away.size else np.zeros(len(away), int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(nearest.astype(np.int32)), pa.array(away.min(axis=1) if away.size else np.zeros(len(away)))], names=["id", "vec", "away", "pivot", "reach"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b for b in batches if b.num_rows]
+        if not own:
+            return
+        whole = pa.Table.from_batches(own)
+        ids, a = _ids(whole.column("id")), _vectors(whole.column("vec"))
+        i, j, d = _nearest(ids, a, ids, a, k)
+        count = np.bincount(i, minlength=len(ids))
+        ends = np.append(0, np.cumsum(count))
+        bound = [float(d[e - 1]) if c == k and k else None for e, c in zip(ends[1:].tolist(), count.tolist(), strict=True)]
+        near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([whole.column("id").combine_chunks().take(pa.array(j)), pa.array(d)], names=["nbr_id", "sq_dist"]))
+        out = whole.append_column("bound", pa.array(bound, pa.float64())).append_column("near", near)
+        yield from out.select(["id", "vec", "away", "bound", "near"]).to_batches()
+
+    placed = rows.mapInArrow(place, f"id {kind}, vec array<double>, away array<double>, pivot int, reach double")
+    dealt = placed.repartitionByRange(max(1, -(-n // size)), "pivot", "reach", F.xxhash64("id"))
+    blocks = dealt.mapInArrow(within, f"id {kind}, vec array<double>, away array<double>, bound double, near array<struct<nbr_id: {kind}, sq_dist: double>>")
+    return materialize(blocks.withColumn("block", F.spark_partition_id()), "blocks")
+
+
+def block_pairs(blocks: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """(i, j, low, high): the pairs of different blocks of which j can hold one of the k nearest of a row of i, with the
+    least and greatest distances of j's rows to the pivots.
+
+    By the triangle inequality two rows are at least as far apart as their distances to any pivot differ. A pair is left
+    out where that is more than the largest bound of i. What meets here is one short row a block.
+    """
+    held = F.array(*(F.min(F.get("away", F.lit(p))) for p in range(pivots))), F.array(*(F.max(F.get("away", F.lit(p))) for p in range(pivots)))
+    open_ = F.max(F.col("bound").isNull())
+    told = blocks.groupBy("block").agg(held[0].alias("low"), held[1].alias("high"), F.when(~open_, F.max("bound")).alias("bound"))
+    one, two = (told.select(*(F.col(c).alias(f"{n}_{c}") for c in told.columns)) for n in ("i", "j"))
+    apart = F.zip_with(F.zip_with("i_low", "j_high", lambda a, b: a - b), F.zip_with("j_low", "i_high", lambda a, b: a - b), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    least = F.coalesce(F.array_max(apart), F.lit(0.0))
+    met = one.join(two, (F.col("i_block") != F.col("j_block")) & (F.col("i_bound").isNull() | _may_reach(least, F.col("i_bound"), F.array_max("j_high"))))
+    return met.select(F.col("i_block").alias("i"), F.col("j_block").alias("j"), F.col("j_low").alias("low"), F.col("j_high").alias("high"))
+
+
+def _may_reach(least: Column, bound: Column, scale: Column) -> Column:
+    """Whether a distance of at least `least` can be within the squared bound; distances to pivots are off by rounding."""
+    room = F.lit(1e-6) * (F.lit(1e-3) + F.coalesce(scale, F.lit(0.0)))
+    return F.greatest(least - room, F.lit(0.0)) <= F.sqrt(bound) * (1 + 1e-9)
+
+
+def nearest_neighbors(vectors: DataFrame, k: int, key: str = "sample_id", vec: str = "vec", block_rows: int | None = None, pivots: int = PIVOTS) -> DataFrame:
+    """(key, rank int from 1, nbr_id, sq_dist): the k nearest other rows by squared Euclidean distance, ties by id. Exact.
+
+    Vectors that lie together make blocks; each row's k nearest within its block bound what is still wanted. Of the pairs
+    of blocks only those meet that can hold something nearer by the distances to a few pivots, and of a block only the
+    rows that can: `block_pairs`. Keys must be distinct, vectors of one length; an empty table gives no rows.
+    """
+    blocks = neighbor_blocks(vectors, k, key, vec, block_rows, pivots)
     kind = vectors.schema[key].dataType.simpleString()
     schema = f"id {kind}, nbr_id {kind}, sq_dist double"
-
-    def table(ids: np.ndarray, others: np.ndarray, found: tuple) -> dict:
-        return {"id": ids[found[0].astype(int)], "nbr_id": others[found[1].astype(int)], "sq_dist": found[2].astype(float)}
-
-    if size <= broadcast_bytes:
-        all_rows = rows.orderBy("id").collect()
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in all_rows]), np.array([r[1] for r in all_rows], float)))
-
-        def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            others, b = held.value
-            for batch in batches:
-                ids, a = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), float)
-                if len(ids):
-                    yield pa.RecordBatch.from_pydict(table(ids, others, _nearest(ids, a, others, b, k)))
-
-        found = rows.repartition(spark.sparkContext.defaultParallelism, "id").mapInArrow(against, schema)
-    else:
-        blocks = -(-size // broadcast_bytes)
-        own = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        left = own.withColumnRenamed("block", "i").withColumn("j", every)
-        right = own.withColumnRenamed("block", "j").withColumn("i", every)
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame({"id": [], "nbr_id": [], "sq_dist": []})
-            ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-            return pd.DataFrame(table(ids, others, _nearest(ids, np.stack(a["vec"]), others, np.stack(b["vec"]), k)))
-
-        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, schema)
+    pairs = materialize(block_pairs(blocks, pivots), "pairs")
+    apart = F.zip_with(F.zip_with("away", "high", lambda a, b: a - b), F.zip_with("low", "away", lambda a, b: a - b), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    wanted = F.col("bound").isNull() | _may_reach(F.coalesce(F.array_max(apart), F.lit(0.0)), F.col("bound"), F.array_max("high"))
+    left = blocks.join(pairs, F.col("block") == F.col("i")).where(wanted).select("i", "j", "id", "vec", "bound")
+    right = blocks.join(pairs.select("i", "j"), F.col("block") == F.col("j")).select(*(F.col(c).alias(f"_{c}") for c in ("i", "j", "id", "vec")))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, others = _ids(a.column("id")), _ids(b.column("_id"))
+        bound = a.column("bound").to_numpy()
+        x, y, d = _nearest(ids, _vectors(a.column("vec")), others, _vectors(b.column("_vec")), k, np.where(np.isnan(bound), np.inf, bound)) if a.num_rows and b.num_rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"id": a.column("id").take(pa.array(x)), "nbr_id": b.column("_id").take(pa.array(y)), "sq_dist": pa.array(d)})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("_i", "_j")).applyInArrow(meet, schema)
+    every = blocks.select("id", F.explode("near").alias("n")).select("id", "n.nbr_id", "n.sq_dist").unionByName(found)
     order = Window.partitionBy("id").orderBy("sq_dist", "nbr_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias(key), "rank", "nbr_id", "sq_dist")
 
 
