@@ -52,13 +52,14 @@ class Aligner:
         """(packed links, groups as text, (tokens of A, tokens of B, groups)) of each segment; False where the bytes of a
         side's tokens are not the segment's."""
         a, b = self.a.encode(segments), self.b.encode(segments)
-        ok = [b"".join([self.a.entry[i] for i in x.tolist()]) == s == b"".join([self.b.entry[i] for i in y.tolist()]) for x, y, s in zip(a, b, segments, strict=True)]
+        ids = lambda x: memoryview(x).cast("I")
+        ok = [b"".join([self.a.entry[i] for i in ids(x)]) == s == b"".join([self.b.entry[i] for i in ids(y)]) for x, y, s in zip(a, b, segments, strict=True)]
         out: list = [False] * len(segments)
         good = [i for i, o in enumerate(ok) if o]
         if not good:
             return out
-        n_a, n_b = (np.array([len(side[i]) for i in good]) for side in (a, b))
-        a_ids, b_ids = (np.concatenate([side[i] for i in good]) for side in (a, b))
+        n_a, n_b = (np.array([len(side[i]) // 4 for i in good]) for side in (a, b))
+        a_ids, b_ids = (np.frombuffer(b"".join([side[i] for i in good]), np.uint32) for side in (a, b))
         a_end, b_end = np.cumsum(self.a.size[a_ids]), np.cumsum(self.b.size[b_ids])
         both = np.intersect1d(a_end, b_end, assume_unique=False)
         a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)

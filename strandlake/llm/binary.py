@@ -40,7 +40,7 @@ def _encoder(path: str, special: bool, end_id: int):
         from pyspark import TaskContext
 
         coder = byte_level(path, special)
-        memo = Memo(lambda keys: [ids.tobytes() for ids in coder.encode(keys)])
+        memo = Memo(coder.encode)
         part, order, first, piece = TaskContext.get().partitionId(), 0, 0, 0
         held = np.zeros(0, np.uint32)  # ids of a long document that do not fill a row yet
         for batch in batches:

@@ -1,8 +1,9 @@
 """Texts cut where a tokenizer starts afresh whatever stands around, so that each distinct segment is encoded once.
 
-A cut lies before a space (or line break) that follows anything but white space. A byte-level tokenizer that matches words
-with one leading space ends a match there, and so does a piece model without pieces that hold a space behind another
-character; for other models `cut` is False and whole texts are segments.
+A cut lies before a space that follows anything but white space, and with `lines` also before such a line break and
+between an ASCII letter and an ASCII character that is none. A byte-level tokenizer that matches words with one leading
+space ends a match at all of these; a piece model without pieces that hold a space behind another character at the first
+kind. For other models `cut` is False and whole texts are segments.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from strandlake.llm.common import chunks, prefix_sums, span_hash, utf8
 
 #: Bytes of text whose segments are looked up together; a longer text goes in parts that end at cuts.
-PARCEL_BYTES = 1 << 20
+PARCEL_BYTES = 1 << 21
 #: Segments that a worker remembers, twice over, and the longest of them in bytes.
 REMEMBERED, LONGEST = 1 << 18, 64
 
@@ -29,7 +30,21 @@ def cuts(data: np.ndarray, lines: bool) -> np.ndarray:
     last = data[at - 1]
     before = np.where(at > 1, data[at - 2], 0)
     wide = ((before == 0xC2) & ((last == 0x85) | (last == 0xA0))) | (before == 0x9A) | (before == 0x80) | (before == 0x81) | ((before == 0x96) & (last == 0x81))
-    return at[((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~wide)]
+    at = at[((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~wide)]
+    if not lines:
+        return at
+    word = np.flatnonzero(_LETTER[data[:-1]] & _OTHER[data[1:]]) + 1
+    return _merged(at, word)
+
+
+_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_OTHER = ~_LETTER & (np.arange(256) < 0x80)
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The different numbers of both, in order."""
+    both = np.sort(np.concatenate([a, b]))
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
 
 
 def parcels(column: pa.Array, lines: bool, cut: bool, limit: int = PARCEL_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
@@ -56,7 +71,7 @@ def distinct(data: np.ndarray, offsets: np.ndarray, lines: bool, cut: bool) -> t
     """(number of segments of each row, their places in the list, the different segments). Equal hashes are not trusted:
     every segment is compared with the one that stands for it."""
     inner = cuts(data, lines) if cut else np.zeros(0, np.int64)
-    starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], inner)
+    starts = _merged(offsets[:-1][np.diff(offsets) > 0], inner)
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     per_row = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
     if not len(starts):
@@ -131,20 +146,22 @@ class ByteLevel:
             self.entry[i] = token.encode() if token in added else bytes(byte[c] for c in token)
         self.size = np.array([len(e) for e in self.entry], np.int64)
 
-    def encode(self, segments: list[bytes]) -> list[np.ndarray]:
-        """Ids of each segment. Those that begin and end at cuts on both sides are encoded as one text."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(segments)
+    def encode(self, segments: list[bytes]) -> list[bytes]:
+        """Ids of each segment as packed 32-bit integers. Those between which a cut lies are encoded as one text."""
+        out = [b""] * len(segments)
         joined, alone = [], []
         for i, s in enumerate(segments):
             (joined if self.cut and s[0] in b" \n" and 0x20 < s[-1] < 0x7F else alone).append(i)
         for at in range(0, len(joined), 4096):
             some = joined[at : at + 4096]
             ids = self._ids([b"".join([segments[i] for i in some])])[0]
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(segments[i]) for i in some]), side="left") + 1
-            for i, part in zip(some, np.split(ids, ends[:-1]), strict=True):
-                out[i] = part
+            ends = 4 * np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(segments[i]) for i in some]), side="left") + 4
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(some, ends.tolist(), strict=True):
+                out[i] = raw[at:end]
+                at = end
         for i, ids in zip(alone, self._ids([segments[i] for i in alone]), strict=True):
-            out[i] = ids
+            out[i] = ids.tobytes()
         return out
 
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -162,13 +179,13 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.cut = not any(re.search("[^▁]▁", n) for n in names) and self.model.encode("a  b ") == self.model.encode("a") + self.model.encode(" b ")
-        self.space = np.array(self.model.encode("a ")[len(self.model.encode("a")) :], np.uint32)  # of a space at the end
+        self.space = self.model.encode("a ")[len(self.model.encode("a")) :]  # of a space at the end
         self.entry = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.size = np.array([len(e) for e in self.entry], np.int64)
 
-    def encode(self, segments: list[bytes]) -> list[np.ndarray]:
+    def encode(self, segments: list[bytes]) -> list[bytes]:
         ids = self.model.encode([s[1:].decode() for s in segments], num_threads=1)
-        return [self.space if s == b" " else np.array(x, np.uint32) for s, x in zip(segments, ids, strict=True)]
+        return [np.array(self.space if s == b" " else x, np.uint32).tobytes() for s, x in zip(segments, ids, strict=True)]
 
 
 @lru_cache(maxsize=4)
