@@ -30,6 +30,7 @@ ID_ENTRIES = 1 << 20
 #: An id pair as one number: ids of side B have fewer than 2**20 values.
 _B_BITS = 20
 
+_PART = np.dtype([("doc", "u2"), ("n_best", "i8"), ("count_sum", "i8")])
 _LINKED = np.dtype([("a", "u4"), ("b", "u4")])
 _TOLD = T.StructType([T.StructField(n, T.LongType()) for n in ("ref", "n_a", "n_b", "n_groups", "n_links")] + [T.StructField("groups", T.BinaryType())])
 _POSTING = T.StructType([
@@ -223,20 +224,24 @@ _STREAM = ["a", "part", "told", "b", "n", "base", "docs", "times"]
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (a, part, told, b, n, base, docs, times): of each (a, part) first counts by b, then postings. Gives
-    (ref, n_best, count_sum), summed over what is held."""
+    (base, packed): of each block of documents the parts that its documents get, summed over what is held."""
     who = None
     ids: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     table: tuple[np.ndarray, np.ndarray, int] | None = None
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        ref, best, total = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(ref, kind="stable")
-        ref, best, total = ref[order], best[order], total[order]
-        first = np.flatnonzero(np.append(True, ref[1:] != ref[:-1]))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ref[first], np.add.reduceat(best, first), np.add.reduceat(total, first))], names=["ref", "n_best", "count_sum"])
+        base, doc, best, total = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((doc, base))
+        base, doc, best, total = base[order], doc[order], best[order], total[order]
+        first = np.flatnonzero(np.append(True, (base[1:] != base[:-1]) | (doc[1:] != doc[:-1])))
+        x = np.empty(len(first), _PART)
+        x["doc"], x["n_best"], x["count_sum"] = doc[first], np.add.reduceat(best, first), np.add.reduceat(total, first)
+        base = base[first]
+        cut = np.append(np.flatnonzero(np.append(True, base[1:] != base[:-1])), len(base))
+        return pa.RecordBatch.from_arrays([pa.array(base[cut[:-1]]), _binary(x, cut)], names=["base", "packed"])
 
     for batch in batches:
         a, part, b, n = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
@@ -256,14 +261,14 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs, times = batch.column(6).slice(begin, end - begin), batch.column(7).slice(begin, end - begin)
             entries = (_spans(docs) // 2).astype(np.int64)
             narrow = _spans(times) == entries
-            ref = _values(docs, np.uint16).astype(np.int64) + np.repeat(batch.column(5).to_numpy()[begin:end], entries)
+            base = np.repeat(batch.column(5).to_numpy()[begin:end], entries)
             if narrow.all():
                 m = _values(times, np.uint8).astype(np.int64)
             else:
                 m = np.concatenate([np.frombuffer(x, np.uint8 if k else np.int64).astype(np.int64) for x, k in zip(times.to_pylist(), narrow.tolist(), strict=True)])
             weight = np.repeat(c, entries)
-            held.append((ref, np.where(weight == table[2], m, 0), m * weight))
-            size += len(ref)
+            held.append((base, _values(docs, np.uint16), np.where(weight == table[2], m, 0), m * weight))
+            size += len(base)
             if size >= 2 * ENTRIES:
                 yield flush()
                 held, size = [], 0
@@ -271,6 +276,29 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (base, packed) to (ref, n_best, count_sum) of each document."""
+    who, sums, known = None, np.zeros((BLOCK_ROWS, 2), np.int64), np.zeros(BLOCK_ROWS, bool)
+
+    def done() -> pa.RecordBatch:
+        docs = np.flatnonzero(known)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (who + docs, sums[docs, 0].copy(), sums[docs, 1].copy())], names=["ref", "n_best", "count_sum"])
+
+    for batch in batches:
+        for base, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if base != who:
+                if who is not None:
+                    yield done()
+                who = base
+                sums[:], known[:] = 0, False
+            x = np.frombuffer(packed.as_buffer(), _PART)
+            sums[x["doc"], 0] += x["n_best"]
+            sums[x["doc"], 1] += x["count_sum"]
+            known[x["doc"]] = True
+    if who is not None:
+        yield done()
+
+
 def _spans(column: pa.Array) -> np.ndarray:
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     return np.diff(at)
@@ -300,13 +328,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: l
     counts = materialize(postings.groupBy("a", "b").agg(F.sum("n").alias("n")), "counts")
     # One row for each id of side A: no more than its vocabulary.
     dealt = counts.groupBy("a").agg(F.ceil(F.sum("n") / id_entries).cast("int").alias("parts"))
-    parts = F.broadcast(dealt)
+    tasks = F.broadcast(dealt)
     none = [F.lit(0).cast("long").alias("base"), *(F.lit(None).cast("binary").alias(c) for c in ("docs", "times"))]
-    told = counts.join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("told"), "b", "n", *none)
-    spread = postings.join(parts, "a").select("a", F.pmod(F.xxhash64("base"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("told"), "b", F.col("n").cast("long").alias("n"), "base", "docs", "times")
+    told = counts.join(tasks, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("told"), "b", "n", *none)
+    spread = postings.join(tasks, "a").select("a", F.pmod(F.xxhash64("base"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("told"), "b", F.col("n").cast("long").alias("n"), "base", "docs", "times")
     n = max(found.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     streams = told.unionByName(spread).repartition(n, "a", "part").sortWithinPartitions("a", "part", "told", "b").select(*_STREAM)
-    given = arrow_map(streams, _stream, "ref long, n_best long, count_sum long").groupBy("ref").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    parts = arrow_map(streams, _stream, "base long, packed binary").repartition(n, "base").sortWithinPartitions("base")
+    given = arrow_map(parts, _summed, "ref long, n_best long, count_sum long")
     each = found.where("ref is not null").select(*(f"c{i}" for i in range(len(keep))), *_TOLD.names)
     out = each.join(given, "ref", "left").select(
         *(f"c{i}" for i in range(len(keep))), "n_a", "n_b", "n_groups", "n_links",
