@@ -97,3 +97,20 @@ def estimate(exon1a: Column, exon1b: Column) -> Column:
 def cigar_length(cigar: Column) -> Column:
     """Places of the reference that an alignment covers: the lengths of M, D, N, = and X."""
     return F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), 1), F.lit(0).cast("long"), lambda n, x: n + x.try_cast("bigint"))
+
+
+def covered_blocks(pos: Column, cigar: Column) -> Column:
+    """The half-open ranges of the reference under the operations M, = and X of an alignment that begins at pos."""
+    parts = F.transform(
+        F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), 0),
+        lambda x: F.struct(F.substring(x, F.lit(1), F.length(x) - 1).try_cast("bigint").alias("n"), F.right(x, F.lit(1)).alias("op")),
+    )
+    begin = F.struct(pos.cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("blocks"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = F.coalesce(x["n"], F.lit(0).cast("long"))
+        after = F.when(x["op"].isin("M", "D", "N", "=", "X"), s["at"] + n).otherwise(s["at"])
+        own = F.struct(s["at"].alias("start"), (s["at"] + n).alias("end"))
+        return F.struct(after.alias("at"), F.when(x["op"].isin("M", "=", "X") & (n > 0), F.array_append(s["blocks"], own)).otherwise(s["blocks"]).alias("blocks"))
+
+    return F.aggregate(parts, begin, step, lambda s: s["blocks"])

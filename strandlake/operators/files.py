@@ -27,11 +27,39 @@ def longest_prefix_sample(files: DataFrame, samples: DataFrame) -> DataFrame:
     return tried.join(samples.select("sample_id").distinct(), "sample_id").groupBy("path").agg(F.min_by("sample_id", "nth").alias("sample_id"))
 
 
-def find_file(files: DataFrame, samples: DataFrame, file_type: str) -> DataFrame:
-    """(sample_id, path): the first path of the type that belongs to the sample, null without one."""
-    typed = files.where(F.endswith(F.col("path"), F.lit(f".{file_type}")))
-    owned = longest_prefix_sample(typed, samples).groupBy("sample_id").agg(F.min("path").alias("path"))
-    return samples.select("sample_id").distinct().join(owned, "sample_id", "left")
+def names_inside(files: DataFrame, samples: DataFrame) -> DataFrame:
+    """(path, sample_id): all known names that occur anywhere in a file's name up to its last dot.
+
+    All patterns are looked for at once: a name's parts of each length that a sample's name has meet the samples by
+    equality, so neither side is broadcast and no file is compared with each sample. Lengths are few, file names short.
+    """
+    known = samples.select("sample_id").where("sample_id <> ''").distinct()
+    sizes = known.agg(F.array_sort(F.collect_set(F.length("sample_id")))).scalar()
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    sized = files.select("path", name.alias("name")).distinct().select("path", "name", F.explode(sizes).alias("n")).where(F.col("n") <= F.length("name"))
+    parts = sized.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring(F.col("name"), i, F.col("n")))).alias("sample_id"))
+    return parts.distinct().join(known, "sample_id").select("path", "sample_id")
+
+
+def find_file_contains(files: DataFrame, samples: DataFrame, file_type: str | None) -> DataFrame:
+    """(sample_id, path): the first path of the type whose file name has the sample's name anywhere before the suffix, null
+    without one, or without a type. Names may overlap: S1 is in the file of S10 too."""
+    typed = files.where(F.endswith(F.col("path"), F.lit(f".{file_type}"))) if file_type else files.where("false")
+    found = names_inside(typed, samples).groupBy("sample_id").agg(F.min("path").alias("path"))
+    return samples.select("sample_id").distinct().join(found, "sample_id", "left")
+
+
+def find_file(files: DataFrame, samples: DataFrame, file_type: str | None) -> DataFrame:
+    """(sample_id, path): the first path of the type that belongs to the sample, null without one.
+
+    A file whose name begins with a sample's name belongs to the longest such name. A sample without such a file has the
+    first that holds its name and begins with no sample's name, such as run7_S1_x.cram for S1.
+    """
+    typed = files.where(F.endswith(F.col("path"), F.lit(f".{file_type}"))) if file_type else files.where("false")
+    begun = longest_prefix_sample(typed, samples)
+    owned = begun.groupBy("sample_id").agg(F.min("path").alias("path"))
+    others = names_inside(typed.join(begun.select("path"), "path", "left_anti"), samples).groupBy("sample_id").agg(F.min("path").alias("inside"))
+    return samples.select("sample_id").distinct().join(owned, "sample_id", "left").join(others, "sample_id", "left").select("sample_id", F.coalesce("path", "inside").alias("path"))
 
 
 def file_status(samples: DataFrame, files: DataFrame, file_type: str) -> DataFrame:

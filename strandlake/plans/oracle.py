@@ -148,6 +148,14 @@ ORACLE: dict[str, str] = {
     "count_reads_dup_flags": _sql("SELECT sample_id, 0::BIGINT AS reads FROM samples"),
     "region_slice": _sql("SELECT * FROM aln WHERE chrom = 'chr6' AND pos < 24000 AND \"end\" > 20000"),
     "bam_region": _sql("SELECT * FROM aln WHERE chrom = 'chr6' AND pos < 24000 AND \"end\" > 20000"),
+    "bam_depth": _sql("""SELECT s.sample_id, chrom, (b * 1000)::BIGINT AS start, least(b * 1000 + 1000, 100500)::BIGINT AS "end", round(coalesce(n, 0)::DOUBLE / least(1000, 100500 - b * 1000), 6) AS depth
+        FROM (SELECT sample_id FROM samples) s CROSS JOIN (SELECT unnest(['chr5', 'chr6', 'chr7']) AS chrom) CROSS JOIN (SELECT range AS b FROM range(101)) LEFT JOIN (
+          SELECT sample_id, chrom, place // 1000 AS b, count(*) AS n
+          FROM (SELECT sample_id, chrom, unnest(range(pos, pos + 40) || range(pos + 50, "end" - 10)) AS place FROM aln) WHERE place < 100500 GROUP BY ALL) USING (sample_id, chrom, b)"""),
+    "find_file_contains": _sql("""SELECT n.sample_id, min(path) AS path
+        FROM (SELECT sample_id FROM samples UNION SELECT 'S' || idx FROM samples UNION SELECT printf('%03d', idx % 1000) FROM samples) n
+        LEFT JOIN (SELECT '/data/run' || idx % 7 || CASE WHEN idx % 2 = 0 THEN '_' ELSE '-S' END || idx || '.' || sample_id || '_x.cram' AS path FROM samples WHERE idx % 5 <> 0) f
+          ON replace(path, '/data/', '') LIKE '%' || n.sample_id || '%.cram' GROUP BY n.sample_id"""),
     "bam_counts": _sql("SELECT sample_id, reads FROM counted"),
     "depth_read": _sql('SELECT sample_id, chrom, start, "end", depth FROM bins'),
     "slices_written": _sql("SELECT * FROM aln WHERE chrom = 'chr6' AND pos < 24000 AND \"end\" > 20000"),

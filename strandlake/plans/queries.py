@@ -244,6 +244,15 @@ def _listing(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.explode(F.array_compact(F.array(F.concat(base, F.lit(".cram")), index))).alias("path"))
 
 
+@query
+def find_file_contains(spark: SparkSession, d: str) -> DataFrame:
+    """Files named after a run and a sample; short names of samples are in files of longer ones too."""
+    own = S.samples(spark, d)
+    names = own.select("sample_id").unionByName(own.select(F.concat(F.lit("S"), F.col("idx").cast("string")).alias("sample_id"))).unionByName(own.select(F.format_string("%03d", F.col("idx") % 1000).alias("sample_id"))).distinct()
+    paths = own.select(F.concat(F.lit("/data/run"), (F.col("idx") % 7).cast("string"), F.when(F.col("idx") % 2 == 0, "_").otherwise("-S"), F.col("idx").cast("string"), F.lit("."), "sample_id", F.when(F.col("idx") % 5 == 0, ".bam").otherwise("_x.cram")).alias("path"))
+    return files.find_file_contains(paths, names, "cram")
+
+
 @query
 def file_status(spark: SparkSession, d: str) -> DataFrame:
     return files.file_status(S.samples(spark, d), _listing(spark, d), "cram")
@@ -439,6 +448,15 @@ def bam_counts(spark: SparkSession, d: str) -> DataFrame:
     return reads.count_reads(own, S.samples(spark, d), S.READ_CHROM, S.READ_START, S.READ_END, S.FLAGS)
 
 
+@query
+def bam_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Binned depth of the covered blocks of alignments from BAM files: deletions and skips leave holes."""
+    cigar = F.concat(F.lit("5S40M3I10D"), (F.col("end") - F.col("pos") - 60).cast("string"), F.lit("M10N"))
+    path = _written(spark, lambda p: bam.write_bam(S.alignments(spark, d).withColumn("cigar", cigar), p, REFERENCES))
+    lengths = spark.createDataFrame([(c, n - 500) for c, n in REFERENCES.items() if c != "chrX"], "chrom string, length long")
+    return _round(coverage.binned_depth_by_blocks(bam.read_bam(spark, path), S.samples(spark, d), 1000, lengths, 8000), "depth")
+
+
 @query
 def depth_read(spark: SparkSession, d: str) -> DataFrame:
     """Depth files as blocked gzip, one for each sample, read in splits that do not end where lines do."""

@@ -126,7 +126,7 @@ def test_neighbors_by_broadcast_and_by_blocks_agree_with_numpy(spark):
         order = [j for j in np.lexsort((np.arange(50), d)) if j != i][:4]
         want += [(f"S{i:02d}", r, f"S{j:02d}", d[j]) for r, j in enumerate(order, 1)]
     assert rows(knn.nearest_neighbors(df, 4)) == want
-    assert rows(knn.nearest_neighbors(df, 4, broadcast_bytes=1000)) == want
+    assert rows(knn.nearest_neighbors(df, 4, block_rows=7)) == want
 
 
 def test_neighbors_small(spark):
@@ -186,6 +186,46 @@ def test_ibd_edges(spark):
     assert weighted[(0, 2, 3)] == pytest.approx(100 / 200 * 0.95)
 
 
+def _brute_neighbors(points, k):
+    out = []
+    for i, a in points:
+        near = sorted((float(((np.array(a) - np.array(b)) ** 2).sum()), j) for j, b in points if j != i)
+        out += [(i, r, j, d) for r, (d, j) in enumerate(near[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("kind", "k", "block_rows"), [("clusters", 5, 20), ("clusters", 30, 20), ("same", 4, 10), ("line", 3, 16), ("few", 9, 64)])
+def test_neighbors_by_blocks(spark, kind, k, block_rows):
+    """Exact also where many points are one, where distances tie, where a block has fewer points than are wanted; and of
+    far clusters most pairs of blocks never meet."""
+    rng = random.Random(7)
+    n = 5 if kind == "few" else 160
+    place = {
+        "clusters": lambda i: [1000.0 * (i % 8) + rng.gauss(0, 1), 500.0 * (i % 4) + rng.gauss(0, 1), rng.gauss(0, 1)], "same": lambda i: [float(i % 3 == 0), 2.0],
+        "line": lambda i: [float(i)], "few": lambda i: [float(i * i), 0.0],
+    }[kind]
+    points = [(i * 7 % 1009, place(i)) for i in range(n)]
+    df = spark.createDataFrame(points, "sample_id long, vec array<double>").repartition(3)
+    got = sorted((r["sample_id"], r["rank"], r["nbr_id"], r["sq_dist"]) for r in knn.nearest_neighbors(df, k, block_rows=block_rows).collect())
+    assert got == _brute_neighbors(points, k)
+
+
+def test_pairs_of_far_blocks_do_not_meet(spark):
+    rng = random.Random(8)
+    points = [(i, [1000.0 * (i % 8) + rng.gauss(0, 1), 500.0 * (i % 4) + rng.gauss(0, 1)]) for i in range(800)]
+    df = spark.createDataFrame(points, "sample_id long, vec array<double>")
+    blocks = knn.neighbor_blocks(df, 3, block_rows=25)
+    count = blocks.select("block").distinct().count()
+    assert count >= 24 and knn.block_pairs(blocks).count() < 0.5 * count * (count - 1)
+    got = sorted((r["sample_id"], r["rank"], r["nbr_id"], r["sq_dist"]) for r in knn.nearest_neighbors(df, 3, block_rows=25).collect())
+    assert got == _brute_neighbors(points, 3)
+
+
+def test_neighbors_of_nothing(spark):
+    assert knn.nearest_neighbors(spark.createDataFrame([], "sample_id string, vec array<double>"), 3).collect() == []
+    assert knn.nearest_neighbors(spark.createDataFrame([("A", [])], "sample_id string, vec array<double>"), 3).collect() == []
+
+
 def _sweep(irr, edges, n, start):
     h = list(start)
     for _ in range(n):
@@ -268,3 +308,44 @@ def test_components(spark):
     want = sorted((x, find(x)) for x in {n for a, b in links if a != b for n in (a, b)})
     assert rows(graph.components(spark.createDataFrame(links, "a long, b long"))) == want
     assert rows(graph.components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+@pytest.mark.parametrize(("bin_size", "cell"), [(10, 40), (7, 1), (1000, 1 << 20), (3, 30)])
+def test_depth_by_covered_blocks(spark, bin_size, cell):
+    """Against a count at every place: deletions, skips, clips, reads over the ends, far from each other and on two
+    chromosomes; samples without reads have bins too."""
+    import re
+
+    rng = random.Random(bin_size)
+    lengths = {"chr1": 203, "chr2": 95, "chr3": 50}
+    reads = [("A", rng.choice(["chr1", "chr2", "chr9"]), rng.choice([rng.randrange(200), 0, 90]), rng.choice(["10M", "5S4M2D6M3I2=1X9H", "3M120N4M", "8I", "*", "300M", "0M5M", None])) for _ in range(60)]
+    reads += [("B", "chr1", -1, "5M"), ("B", "chr1", 202, "5M"), ("B", "chr1", 203, "5M"), ("B", "chr2", 1, "1M")]
+    want = {}
+    for s, c, p, cigar in reads:
+        at = p
+        for n, op in re.findall(r"(\d+)(.)", cigar or ""):
+            if op in "M=X" and p >= 0:
+                for x in range(at, at + int(n)):
+                    want[s, c, x] = want.get((s, c, x), 0) + 1
+            at += int(n) if op in "MDN=X" else 0
+    got = coverage.binned_depth_by_blocks(
+        spark.createDataFrame(reads, "sample_id string, chrom string, pos long, cigar string"), spark.createDataFrame([("A",), ("B",), ("C",)], "sample_id string"), bin_size,
+        spark.createDataFrame(list(lengths.items()), "chrom string, length int"), cell,
+    ).collect()
+    assert len(got) == sum(3 * -(-n // bin_size) for n in lengths.values())
+    for r in got:
+        assert r["end"] == min(r["start"] + bin_size, lengths[r["chrom"]])
+        places = range(r["start"], r["end"])
+        assert r["depth"] == pytest.approx(sum(want.get((r["sample_id"], r["chrom"], x), 0) for x in places) / len(places))
+
+
+def test_files_by_names_inside(spark):
+    """A file that begins with a sample's name is that sample's alone; a run's name before it does not hide the sample."""
+    paths = ["/d/run7_S1_x.cram", "/d/S10_a.cram", "/d/S10.b.cram", "/d/run_S3.bam", "/S4/none.cram", "/d/x.S5.cram", "/d/cram", "/d/.cram", "/d/S6_x.cram"]
+    own = spark.createDataFrame([("S1",), ("S10",), ("S3",), ("S4",), ("S5",), ("S6",), ("S6_x",), ("",)], "sample_id string")
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    found = {r["sample_id"]: r["path"] for r in files.find_file(df, own, "cram").collect()}
+    assert found == {"S1": "/d/run7_S1_x.cram", "S10": "/d/S10.b.cram", "S3": None, "S4": None, "S5": "/d/x.S5.cram", "S6": None, "S6_x": "/d/S6_x.cram", "": found[""]}
+    inside = {r["sample_id"]: r["path"] for r in files.find_file_contains(df, own, "cram").collect()}
+    assert inside == {"S1": "/d/S10.b.cram", "S10": "/d/S10.b.cram", "S3": None, "S4": None, "S5": "/d/x.S5.cram", "S6": "/d/S6_x.cram", "S6_x": "/d/S6_x.cram", "": None}
+    assert {r["path"] for r in files.find_file_contains(df, own, None).collect()} == {None}
