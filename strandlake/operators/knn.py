@@ -14,7 +14,7 @@ from strandlake.functions.columns import clip
 from strandlake.tables import materialize
 
 #: Fewest and most rows of a block, pivots, and how many vectors are looked at for each pivot.
-BLOCK_ROWS, PIVOTS, SAMPLE_EACH = (256, 2048), 16, 16
+BLOCK_ROWS, PIVOTS, SAMPLE_EACH = (512, 4096), 16, 16
 #: Bytes of distances that a kernel holds at once.
 CHUNK_BYTES = 32 << 20
 #: How far a distance by matrix product may be off, as a share of the squared lengths.

@@ -171,6 +171,7 @@ ORACLE: dict[str, str] = {
     "counts_read": _sql("SELECT sample_id, reads::DOUBLE AS reads FROM counted WHERE idx % 5 <> 0"),
     "exon_counts_read": _sql("SELECT * FROM exons"),
     "exon_dipcn_read": _sql("SELECT sample_id, printf('%.6f', dip_cn)::DOUBLE AS irr FROM exon_dip WHERE kind = '1A'"),
+    "dipcn_read": _sql("SELECT sample_id, (row_number() OVER (ORDER BY sample_id) - 1)::BIGINT AS idx, printf('%.6f', dip_cn)::DOUBLE AS irr FROM exon_dip WHERE kind = '1B'"),
     "ibs_read": "SELECT printf('S%05d', l_suppkey) AS id, l_linenumber % 2 + 1 AS hap, printf('S%05d', l_partkey % 90) AS nbr_id, (l_orderkey % 2 + 1)::INTEGER AS nbr_hap FROM lineitem",
     "ibd_read": _sql("SELECT printf('S%05d', l_suppkey) AS id1, printf('S%05d_%d', l_suppkey, l_linenumber % 2) AS hap1, printf('S%05d', l_partkey % (SELECT n FROM n)) AS id2, printf('S%05d_%d', l_partkey % (SELECT n FROM n), l_orderkey % 2) AS hap2, bp1::BIGINT AS bp1, bp2::BIGINT AS bp2, round(length, 6) AS length, round(match, 6) AS match FROM segs"),
     "genetic_map_read": "SELECT p_partkey * 1000 AS position, round(sum(p_retailprice) OVER (ORDER BY p_partkey) / 1e5, 6) AS cm FROM part WHERE p_partkey % 10 = 0",

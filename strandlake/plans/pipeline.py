@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.config import Config
-from strandlake.operators import coverage, dipcn, files, haplotype, intervals, knn, normalize, reads
+from strandlake.operators import coverage, dipcn, files, haplotype, intervals, knn, normalize, numbering, reads
 from strandlake.sources import sinks, text
 
 log = logging.getLogger(__name__)
@@ -127,11 +127,9 @@ class Pipeline:
         return dip
 
     def haploid(self, spark: SparkSession) -> DataFrame:
-        from pyspark.sql.window import Window
-
         own = self.config.step("compute_haploid_genotypes")
         dip = self._table(spark, "dipcn")
-        names = self._kept(spark, dip.select("sample_id", (F.row_number().over(Window.orderBy("sample_id")) - 1).cast("long").alias("idx"), F.col("dip_cn").alias("irr")), "names")
+        names = self._kept(spark, numbering.numbered(dip.select("sample_id", F.col("dip_cn").alias("irr")), ["sample_id"], "idx"), "names")
         method = str(own["method"]).lower()
         if method == "ibs":
             edges = haplotype.ibs_edges(text.read_ibs(spark, own["neighbor_file"]), names, own["max_neighbors"])

@@ -525,6 +525,13 @@ def exon_dipcn_read(spark: SparkSession, d: str) -> DataFrame:
     return text.read_dipcn(spark, _written(spark, lambda p: sinks.write_exon_dipcn(cn, p))).select("sample_id", "irr")
 
 
+@query
+def dipcn_read(spark: SparkSession, d: str) -> DataFrame:
+    """The same file with the numbers of its lines, which are those of the samples in order."""
+    cn = dipcn.exon_cn(S.exon_counts(spark, d), _neighbors(spark, d), "1B", 10)
+    return text.read_dipcn(spark, _written(spark, lambda p: sinks.write_exon_dipcn(cn, p)))
+
+
 @query
 def ibs_read(spark: SparkSession, d: str) -> DataFrame:
     lines = S.table(spark, d, "lineitem")

@@ -6,6 +6,7 @@ begin; the split before reads on into the next block for the rest of its last li
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,8 +25,10 @@ WINDOW, SPLIT_BYTES, BATCH_LINES = 1 << 17, 64 << 20, 1 << 16
 
 
 def open_files(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system and the path in it, of an absolute path or a URI."""
-    return (pyarrow.fs.LocalFileSystem(), uri) if uri.startswith("/") else pyarrow.fs.FileSystem.from_uri(uri)
+    """The file system and the path in it, of a path or a URI."""
+    if ":" in uri.split("/", 1)[0]:
+        return pyarrow.fs.FileSystem.from_uri(uri)
+    return pyarrow.fs.LocalFileSystem(), os.path.abspath(uri)
 
 
 def listed(uri: str, suffix: str = "") -> list[tuple[str, int]]:
@@ -231,8 +234,8 @@ class _Parts(WriterCommitMessage):
 
 
 class _LinesWriter(DataSourceArrowWriter):
-    """Each task writes its lines of each file as members of a part; the commit puts parts one behind another, which is a
-    file of the same format. A file with one part is only renamed."""
+    """Each task writes its lines of each file as members of a part, or as they are where the name does not end in .gz; the
+    commit puts parts one behind another, which is a file of the same format. A file with one part is only renamed."""
 
     def __init__(self, path: str):
         self.path = path
@@ -246,24 +249,33 @@ class _LinesWriter(DataSourceArrowWriter):
         done: list[tuple[str, int, str]] = []
         out, held = None, b""
 
-        def close() -> None:
-            out.write(b"".join([member(held)] * bool(held) + [member(b"")]))
-            out.close()
+        def put(data: bytes, last: bool) -> bytes:
+            """Writes what fills members, or all of it with the end mark; gives the rest."""
+            if not done[-1][0].endswith(".gz"):
+                out.write(data)
+                return b""
+            while len(data) >= PAYLOAD or (last and data):
+                out.write(member(data[:PAYLOAD]))
+                data = data[PAYLOAD:]
+            if last:
+                out.write(member(b""))
+            return data
 
         for batch in batches:
             for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
                 if not done or done[-1][0] != name:
                     if out is not None:
-                        close()
+                        put(held, True)
+                        out.close()
                     part = f"{inner}/_{name}.{task:06d}-{attempt}.{len(done)}"
                     done.append((name, task, part))
                     out, held = system.open_output_stream(part), b""
                 held += (value or "").encode() + b"\n"
-                while len(held) >= PAYLOAD:
-                    out.write(member(held[:PAYLOAD]))
-                    held = held[PAYLOAD:]
+                if len(held) >= PAYLOAD:
+                    held = put(held, False)
         if out is not None:
-            close()
+            put(held, True)
+            out.close()
         return _Parts(done)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -294,10 +306,13 @@ class _LinesWriter(DataSourceArrowWriter):
 
 
 def write_lines(rows: DataFrame, path: str, by: list[str], partitions: int | None = None) -> None:
-    """Writes rows(name, value, and the columns `by`) as blocked gzip files of a folder, one for each name, their lines in
-    the order of `by`. Ranges of (name, by) are sorted and compressed by several tasks; the parts of a file are then put
-    together as they are."""
+    """Writes rows(name, value, and the columns `by`) as files of a folder, in place of what was there: one for each name,
+    blocked gzip where it ends in .gz, with lines in the order of `by`. Ranges of (name, by) are sorted and compressed by
+    several tasks; the parts of a file are then put together as they are, bytes after bytes, by the driver."""
     spark = rows.sparkSession
+    system, inner = open_files(path)
+    if system.get_file_info(inner).type == pyarrow.fs.FileType.Directory:
+        system.delete_dir(inner)
     spark.dataSource.register(LinesSource)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "name", *by).sortWithinPartitions("name", *by)

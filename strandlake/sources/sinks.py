@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.columns import region_string
+from strandlake.sources.bgzf import write_lines
 
 
 def fixed(places: int, missing: str = "NA"):
@@ -47,7 +48,8 @@ def _row(first: list[Column], values: Column) -> Column:
 
 def write_normalized(stats: DataFrame, scales: DataFrame, z: DataFrame, path: str) -> None:
     """The normalised matrix: a line of means and one of ratios, each after the numbers of samples and regions, then one
-    line for each sample with scale and z in the order of the regions; NA for missing."""
+    line for each sample, by name, with scale and z in the order of the regions; NA for missing. One file, whose lines
+    several tasks write."""
     three, two = fixed(3), fixed(2)
     order = F.struct("start", "end")
     n, r = scales.agg(F.count(F.lit(1))).scalar().cast("string"), stats.agg(F.count(F.lit(1))).scalar().cast("string")
@@ -58,7 +60,7 @@ def write_normalized(stats: DataFrame, scales: DataFrame, z: DataFrame, path: st
     lines = scales.join(cells, "sample_id", "left").withColumn("ks", regions).select(
         F.lit(2).alias("o"), F.col("sample_id").alias("s"),
         _row([F.col("sample_id"), two("scale")], F.transform("ks", lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit("NA")))).alias("value"))
-    sides[0].unionByName(sides[1]).unionByName(lines).orderBy("o", "s").coalesce(1).select("value").write.mode("overwrite").option("compression", "gzip").text(path)
+    write_lines(sides[0].unionByName(sides[1]).unionByName(lines).withColumn("name", F.lit("part-00000.tsv.gz")), path, ["o", "s"])
 
 
 def write_neighbors(neighbors: DataFrame, path: str) -> None:
@@ -75,8 +77,10 @@ def write_dipcn(dip: DataFrame, path: str, kind: str = "tsv") -> None:
 
 
 def write_exon_dipcn(dip: DataFrame, path: str) -> None:
-    """ID and dipCN to six places, one file sorted by ID."""
-    write_table(dip.orderBy("sample_id").coalesce(1).select(F.col("sample_id").alias("ID"), fixed(6)("dip_cn").alias("dipCN")), path)
+    """ID and dipCN to six places, one file sorted by ID; a null is NA."""
+    lines = dip.select(F.lit(1).alias("o"), F.col("sample_id").alias("s"), F.concat_ws("\t", "sample_id", fixed(6)("dip_cn")).alias("value"))
+    head = dip.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit("").alias("s"), F.lit("ID\tdipCN").alias("value"))
+    write_lines(head.unionByName(lines).withColumn("name", F.lit("part-00000.tsv")), path, ["o", "s"])
 
 
 def write_haplotypes(out: DataFrame, path: str) -> None:

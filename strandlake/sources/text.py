@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandlake.functions.columns import cigar_length, norm_chrom, normalize_sample_id
 from strandlake.operators.files import longest_prefix_sample
+from strandlake.operators.numbering import numbered
 from strandlake.sources.bgzf import read_lines
 
 
@@ -23,11 +23,6 @@ def _without_first(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line_no") > lines.agg(F.min("line_no")).scalar())
 
 
-def _counted(rows: DataFrame) -> Column:
-    """Place of a row among those that stay, from 0: for lists of samples, which one task can order."""
-    return (F.row_number().over(Window.orderBy("line_no")) - 1).cast("long")
-
-
 def _at(fields: Column, i: int) -> Column:
     """A field, null where a line has fewer: conditions on fields may be evaluated before that on their number."""
     return F.get(fields, F.lit(i))
@@ -45,7 +40,7 @@ def _number(c: Column) -> Column:
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, ord): trimmed, blank lines dropped, in file order."""
     rows = _lines(spark, path).select("line_no", F.trim("value").alias("sample_id")).where("sample_id <> ''")
-    return rows.select("sample_id", _counted(rows).alias("ord"))
+    return numbered(rows, ["line_no"], "ord").select("sample_id", "ord")
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -141,7 +136,7 @@ def read_dipcn(spark: SparkSession, path: str) -> DataFrame:
     the rows that stay."""
     f = F.split(F.trim("value"), r"\s+")
     rows = _lines(spark, path).where(F.size(f) >= 2).select("line_no", _at(f, 0).alias("sample_id"), _number(_at(f, 1)).alias("irr")).where("irr is not null")
-    return rows.select("sample_id", _counted(rows).alias("idx"), "irr")
+    return numbered(rows, ["line_no"], "idx").select("sample_id", "idx", "irr")
 
 
 def read_ibs(spark: SparkSession, path: str) -> DataFrame:

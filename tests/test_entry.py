@@ -14,7 +14,7 @@ from strandlake.plans import oracle, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHEAP = ["region_coverage", "regions_coverage", "count_reads", "bins_unmasked", "region_stats", "matrix_pivot", "ibs_edges", "ibd_weighted", "phase_gauss_seidel", "haplotype_output", "genetic_map_interp", "file_status", "diploid_cn", "missing_neighbors", "cn_summary", "bam_region", "bam_counts", "depth_read", "bam_depth", "find_file_contains"]
+CHEAP = ["region_coverage", "regions_coverage", "count_reads", "bins_unmasked", "region_stats", "matrix_pivot", "ibs_edges", "ibd_weighted", "phase_gauss_seidel", "haplotype_output", "genetic_map_interp", "file_status", "diploid_cn", "missing_neighbors", "cn_summary", "bam_region", "bam_counts", "depth_read", "bam_depth", "find_file_contains", "sample_list", "dipcn_read", "matrix_cells"]
 
 
 def show(v):

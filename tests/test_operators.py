@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
-from strandlake.operators import coverage, dipcn, files, genmap, graph, haplotype, intervals, knn, normalize, reads
+from strandlake.operators import coverage, dipcn, files, genmap, graph, haplotype, intervals, knn, normalize, numbering, reads
 
 
 def rows(df, *order):
@@ -349,3 +349,12 @@ def test_files_by_names_inside(spark):
     inside = {r["sample_id"]: r["path"] for r in files.find_file_contains(df, own, "cram").collect()}
     assert inside == {"S1": "/d/S10.b.cram", "S10": "/d/S10.b.cram", "S3": None, "S4": None, "S5": "/d/x.S5.cram", "S6": "/d/S6_x.cram", "S6_x": "/d/S6_x.cram", "": None}
     assert {r["path"] for r in files.find_file_contains(df, own, None).collect()} == {None}
+
+
+def test_numbers_are_gapless_in_order(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.randrange(40), f"r{i}") for i in range(300)], "k int, v string").repartition(6)
+    out = numbering.numbered(df, ["k"], "at")
+    got = sorted((r["at"], r["k"]) for r in out.collect())
+    assert out.columns == ["k", "v", "at"] and [a for a, _ in got] == list(range(300)) and [k for _, k in got] == sorted(k for _, k in got)
+    assert numbering.numbered(df.where("k < 0"), ["k"], "at").collect() == []
