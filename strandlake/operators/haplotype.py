@@ -13,7 +13,7 @@ from strandlake.tables import materialize
 #: sequential sweeps that are solved together.
 ROUNDS, SWEEPS = 2, 8
 #: Greatest change of a value, relative to the sample's total, in a round after which nothing is left to solve.
-SETTLED = 1e-13
+SETTLED = 1e-12
 
 
 def ibs_edges(ibs: DataFrame, index: DataFrame, cap: int = 10) -> DataFrame:

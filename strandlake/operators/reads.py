@@ -17,10 +17,12 @@ def count_reads(alignments: DataFrame, samples: DataFrame, chrom: str, start: in
 
 def count_reads_of_files(alignments: DataFrame, samples: DataFrame, files: DataFrame, chrom: str, start: int, end: int, flags: list[int], min_mapq: int = 1) -> DataFrame:
     """(sample_id, reads long): as count_reads, for the samples that have alignments; null for those that have a file in
-    files(sample_id, path) but no alignment at all, so that it could not be read; samples with neither have no row."""
-    counted = count_reads(alignments, alignments.select("sample_id").distinct(), chrom, start, end, flags, min_mapq)
-    listed = files.where("path is not null").select("sample_id").unionByName(counted.select("sample_id")).distinct()
-    return samples.select("sample_id").distinct().join(listed, "sample_id", "left_semi").join(counted, "sample_id", "left").select("sample_id", "reads")
+    files(sample_id, path) but no alignment at all, so that it could not be read; samples with neither have no row. One
+    pass counts the passing reads and tells which samples have any."""
+    counted = alignments.groupBy("sample_id").agg(F.count_if(F.coalesce(reads_pass(flags, min_mapq, chrom, start, end), F.lit(False))).alias("reads"))
+    listed = files.where("path is not null").select("sample_id").distinct().withColumn("listed", F.lit(True))
+    known = samples.select("sample_id").distinct().join(counted, "sample_id", "left").join(listed, "sample_id", "left")
+    return known.where("reads is not null or listed").select("sample_id", "reads")
 
 
 def region_slice(alignments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:

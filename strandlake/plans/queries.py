@@ -39,25 +39,26 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
     return normalize.region_stats(_valid(spark, d))
 
 
-def _z_selected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Normalised cells of the selected regions, and these. Cells and statistics are written once: each is read by
+def _z_selected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Normalised cells of the selected regions, these, and all valid cells. Cells and statistics are written once: each is read by
     several later steps, and none of them should count the alignments again."""
     cells = materialize(_valid(spark, d), "cells")
     stats = materialize(normalize.region_stats(cells), "stats")
     selected = materialize(normalize.selected_regions(stats, S.TOP_FRAC), "selected")
-    return normalize.z_selected(normalize.z_matrix(cells, stats), selected), selected
+    return normalize.z_selected(normalize.z_matrix(cells, stats), selected), selected, cells
 
 
-def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    z, selected = _z_selected(spark, d)
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, int, DataFrame]:
+    """The vectors, how many regions they have, and all valid cells."""
+    z, selected, cells = _z_selected(spark, d)
     vectors, n = knn.features(z, normalize.variance_filter(selected), S.ZMAX)
-    return materialize(vectors, "vectors"), n
+    return materialize(vectors, "vectors"), n, cells
 
 
 def _neighbors(spark: SparkSession, d: str) -> DataFrame:
-    vectors, n = _vectors(spark, d)
+    vectors, n, cells = _vectors(spark, d)
     near = materialize(knn.nearest_neighbors(vectors, S.K), "near")
-    return knn.with_scales(near, normalize.sample_scale(_valid(spark, d)), n)
+    return knn.with_scales(near, normalize.sample_scale(cells), n)
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +170,7 @@ def matrix_pivot(spark: SparkSession, d: str) -> DataFrame:
 @query
 def clip_impute(spark: SparkSession, d: str) -> DataFrame:
     """Every sample with every selected region, missing as 0."""
-    z, selected = _z_selected(spark, d)
+    z, selected, _ = _z_selected(spark, d)
     regions = selected.agg(F.collect_list(F.struct("start", "end"))).scalar()
     cells = z.select("sample_id").distinct().select("sample_id", F.explode(regions).alias("r")).select("sample_id", "r.start", "r.end").join(z, ["sample_id", "start", "end"], "left")
     return _round(cells.select("sample_id", "start", "end", C.clip(F.col("z"), S.ZMAX).alias("f")), "f")
@@ -190,7 +191,7 @@ def variance_filter_frac(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
     """Each sample and the one after it."""
-    vectors, _ = _vectors(spark, d)
+    vectors, _, _ = _vectors(spark, d)
     pairs = S.samples(spark, d).select(F.col("sample_id").alias("a"), F.format_string("S%05d", F.col("idx") + 1).alias("b"))
     return _round(knn.pairwise_distance(vectors, pairs), "sq_dist")
 
@@ -481,8 +482,8 @@ def mask_read(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    z, selected = _z_selected(spark, d)
-    scales = normalize.sample_scale(_valid(spark, d))
+    z, selected, cells = _z_selected(spark, d)
+    scales = normalize.sample_scale(cells)
     return text.read_normalized(spark, _written(spark, lambda p: sinks.write_normalized(selected, scales, z, p)))
 
 
