@@ -15,14 +15,16 @@ def count_reads(alignments: DataFrame, samples: DataFrame, chrom: str, start: in
     return samples.select("sample_id").join(passing, "sample_id", "left").select("sample_id", F.coalesce("reads", F.lit(0).cast("long")).alias("reads"))
 
 
-def count_reads_of_files(alignments: DataFrame, samples: DataFrame, files: DataFrame, chrom: str, start: int, end: int, flags: list[int], min_mapq: int = 1) -> DataFrame:
-    """(sample_id, reads long): as count_reads, for the samples that have alignments; null for those that have a file in
-    files(sample_id, path) but no alignment at all, so that it could not be read; samples with neither have no row. One
-    pass counts the passing reads and tells which samples have any."""
-    counted = alignments.groupBy("sample_id").agg(F.count_if(F.coalesce(reads_pass(flags, min_mapq, chrom, start, end), F.lit(False))).alias("reads"))
+def count_reads_of_files(alignments: DataFrame, samples: DataFrame, files: DataFrame, chrom: str, start: int, end: int, flags: list[int], min_mapq: int = 1, empty: int | None = None) -> DataFrame:
+    """(sample_id, reads long): as count_reads, for the samples that have alignments; null for those with a row without a
+    flag, the mark of a file that could not be read; `empty` for those that have a file in files(sample_id, path) but no
+    row: null where a table of alignments does not tell why, 0 where the reader marks what it cannot read. Samples with
+    neither have no row. One pass counts the passing reads and tells which samples have any."""
+    sound = F.count_if(F.coalesce(reads_pass(flags, min_mapq, chrom, start, end), F.lit(False)))
+    counted = alignments.groupBy("sample_id").agg(F.when(F.count_if(F.col("flag").isNull()) == 0, sound).alias("reads"), F.lit(True).alias("counted"))
     listed = files.where("path is not null").select("sample_id").distinct().withColumn("listed", F.lit(True))
     known = samples.select("sample_id").distinct().join(counted, "sample_id", "left").join(listed, "sample_id", "left")
-    return known.where("reads is not null or listed").select("sample_id", "reads")
+    return known.where("counted or listed").select("sample_id", F.when(F.col("counted"), F.col("reads")).otherwise(F.lit(empty).cast("long")).alias("reads"))
 
 
 def region_slice(alignments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.config import Config
 from strandlake.operators import coverage, dipcn, files, haplotype, intervals, knn, normalize, numbering, reads
-from strandlake.sources import sinks, text
+from strandlake.sources import bam, sinks, text
 
 log = logging.getLogger(__name__)
 
@@ -73,14 +73,22 @@ class Pipeline:
         return status
 
     def count_reads(self, spark: SparkSession) -> DataFrame:
-        """Alignments are Parquet: directory_loc/alignments. Samples without alignments are left out, or counted as `Error`
-        if they have a file of the type in directory_loc."""
+        """Alignments are BAM files in directory_loc where that is the file type and no table of alignments is named: of each
+        the region is read by its index, a damaged one is `Error`. Else they are Parquet, by default directory_loc/alignments;
+        then a sample with a file but without alignments is `Error`. Samples without either are left out."""
         own = self.config.step("count_reads")
-        aln = text.read_alignments(spark, own.get("alignments", f"{self.v['directory_loc']}/alignments"))
         region = (self.v["chrom"], self.v["start_bp"], self.v["end_bp"])
         samples = self._samples(spark)
         found = files.find_file(text.list_files(spark, self.v["directory_loc"]), samples, self.v["file_type"])
-        counts = reads.count_reads_of_files(aln, samples, found, *region, self.config.flags(), own["min_mapq"])
+        if str(self.v["file_type"]).lower() == "bam" and not own.get("alignments"):
+            # Several files of one sample are parts of it; names of files lead to samples as in find_file.
+            owner = files.longest_prefix_sample(text.list_files(spark, self.v["directory_loc"]).where("path like '%.bam'"), samples).unionByName(found.where("path is not null").select("path", "sample_id"))
+            names = owner.select(files.stem(F.col("path")).alias("stem"), F.col("sample_id").alias("owner")).distinct()
+            aln = bam.read_bam(spark, self.v["directory_loc"], region, mark_broken=True).join(names, F.col("sample_id") == F.col("stem")).withColumn("sample_id", F.col("owner"))
+            counts = reads.count_reads_of_files(aln, samples, found, *region, self.config.flags(), own["min_mapq"], empty=0)
+        else:
+            aln = text.read_alignments(spark, own.get("alignments", f"{self.v['directory_loc']}/alignments"))
+            counts = reads.count_reads_of_files(aln, samples, found, *region, self.config.flags(), own["min_mapq"])
         counts = self._kept(spark, counts, "read_counts_all")
         sinks.write_counts(counts, self._out("count_reads"), *region, self.v.get("output_file_type", "tsv"))
         counts = self._kept(spark, counts.where("reads is not null"), "read_counts")

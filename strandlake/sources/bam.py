@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import struct
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ WINDOW_BITS, LEVELS, OPERATIONS, COVERING = 14, 6, "MIDNSHP=X", (0, 2, 3, 7, 8)
 #: Bytes of records that are decoded together.
 DECODED = 4 << 20
 
+FIELDS = ("sample_id", "chrom", "pos", "flag", "mapq", "next_chrom", "end", "cigar")
 SCHEMA = "sample_id string, chrom string, pos long, flag int, mapq int, next_chrom string, end long, cigar string"
 
 _FIXED = np.dtype([
@@ -241,7 +243,8 @@ class _Part(InputPartition):
 
 
 class BamSource(DataSource):
-    """Format `bam`. Reading: options path (a file or a folder), region as chrom:start-end (half-open, from 0), splitBytes.
+    """Format `bam`. Reading: options path (a file or a folder), region as chrom:start-end (half-open, from 0), splitBytes,
+    broken (`mark`: a file that is no sound BAM gives a row with its sample alone in place of an error).
     Writing: references, a JSON object of names and lengths; rows must come in order of sample, reference and position."""
 
     @classmethod
@@ -275,8 +278,14 @@ class _BamReader(DataSourceReader):
         system, inner = open_files(part.path)
         beside = [p for p in (f"{part.path}.bai", f"{part.path[:-4]}.bai") if system.get_file_info(open_files(p)[1]).type == pa.fs.FileType.File]
         sample = inner.rsplit("/", 1)[-1].split(".", 1)[0]
-        with Blocks(part.path) as blocks:
-            yield from read_part(blocks, Index.read(beside[0]) if beside else None, sample, part.begin, part.end, self.region)
+        try:
+            with Blocks(part.path) as blocks:
+                yield from read_part(blocks, Index.read(beside[0]) if beside else None, sample, part.begin, part.end, self.region)
+        except (ValueError, IndexError, UnicodeDecodeError, struct.error, zlib.error) as e:
+            if self.options.get("broken") != "mark":
+                raise ValueError(f"{part.path}: {e}") from e
+            row = {f: pa.array([sample if f == "sample_id" else None], pa.string() if f in ("sample_id", "chrom", "next_chrom", "cigar") else pa.int64() if f in ("pos", "end") else pa.int32()) for f in FIELDS}
+            yield pa.RecordBatch.from_pydict(row)
 
 
 class _File:
@@ -467,10 +476,11 @@ def write_bam(alignments: DataFrame, path: str, references: dict[str, int], part
     own.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_ref").write.format("bam").mode("append").option("path", path).option("references", json.dumps(references)).save()
 
 
-def read_bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None, split_bytes: int = SPLIT_BYTES, mark_broken: bool = False) -> DataFrame:
     """(sample_id, chrom, pos, flag, mapq, next_chrom, end, cigar) of the BAM files of a folder, or of one; the sample is
     the name up to its first dot. region (chrom, start, end), half-open: only what overlaps it, and with an index beside
-    the file only the chunks that can are opened."""
+    the file only the chunks that can are opened. mark_broken: a damaged file gives, besides what was read of it, a row
+    in which only the sample is known; else it ends the job."""
     spark.dataSource.register(BamSource)
-    reader = spark.read.format("bam").option("path", path).option("splitBytes", str(split_bytes))
+    reader = spark.read.format("bam").option("path", path).option("splitBytes", str(split_bytes)).option("broken", "mark" if mark_broken else "fail")
     return (reader.option("region", f"{region[0]}:{region[1]}-{region[2]}") if region else reader).load()

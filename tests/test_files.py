@@ -10,7 +10,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.config import Config
 from strandlake.operators import reads
+from strandlake.plans.pipeline import Pipeline
 from strandlake.sources import bam, bgzf, text
 
 REFERENCES = {"chr5": 2_000_000, "chr6": 3_000_000, "chrX": 1000}
@@ -176,3 +178,24 @@ def test_bam_refuses(spark, tmp_path):
 def test_bam_of_nothing(spark, tmp_path):
     bam.write_bam(alignments_of(spark, 10).where("flag < 0"), str(tmp_path / "b"), REFERENCES, 2)
     assert bam.read_bam(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_counts_of_bam_files(spark, tmp_path):
+    """A sound file without reads in the region counts 0, a damaged one is an error, one without a file has no row; a file
+    that is named after a run belongs to the sample inside its name."""
+    (tmp_path / "data").mkdir()
+    own = alignments_of(spark, 600, 4)
+    bam.write_bam(own.where("sample_id <> 'S2'").withColumn("sample_id", F.when(F.col("sample_id") == "S1", "run7_S1_x").otherwise(F.col("sample_id"))), str(tmp_path / "data"), REFERENCES, 1)
+    bam.write_bam(own.where("sample_id = 'S2' and chrom = 'chr5'"), str(tmp_path / "data"), REFERENCES, 1)
+    (tmp_path / "data" / "S4_v1.bam").write_bytes(bgzf.member(b"BAM\1 and then nothing sound"))
+    (tmp_path / "s.txt").write_text("S0\nS1\nS2\nS3\nS4\n")
+    values = {
+        "samples_file": str(tmp_path / "s.txt"), "directory_loc": str(tmp_path / "data"), "output_dir": str(tmp_path / "out"), "file_type": "bam", "chrom": "chr6", "start_bp": 0, "end_bp": 900_000,
+        "count_reads": {"run": True, "flags": [83, 99], "output_file_prefix": "counts"},
+    }
+    pipeline = Pipeline(Config(values))
+    flags = pipeline.config.flags()
+    done = {r["sample_id"]: r["reads"] for r in pipeline.count_reads(spark).collect()}
+    want = {r["sample_id"]: r["reads"] for r in reads.count_reads(own, spark.createDataFrame([("S0",), ("S1",)], "sample_id string"), "chr6", 0, 900_000, flags).collect()}
+    assert flags and min(want.values()) > 5 and done == {**want, "S2": 0}
+    assert "S4\tError" in [x for p in (tmp_path / "out" / "counts").glob("part-*") for x in p.read_text().splitlines()]
