@@ -157,8 +157,8 @@ def _mapper(a_path: str, b_path: str, schema: T.StructType, columns: int):
                 yield _wide(schema, dict(zip(rows.schema.names, rows.columns, strict=True)), rows.num_rows)
 
         for batch in (whole.slice(at, BLOCK_ROWS // 4) for whole in batches for at in range(0, whole.num_rows, BLOCK_ROWS // 4)):
-            for row, data, offsets, goes_on in parcels(batch.column(columns), False, own.cut):
-                per_row, place, segments = distinct(data, offsets, False, own.cut)
+            for row, data, offsets, goes_on in parcels(batch.column(columns), None, own.cut):
+                per_row, place, segments = distinct(data, offsets, None, own.cut)
                 values = own.memo(segments)
                 bad = np.array([v is False for v in values], bool)
                 fixed = [(b"", b"", (0, 0, 0)) if v is False else v for v in values]

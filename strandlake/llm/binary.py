@@ -45,8 +45,8 @@ def _encoder(path: str, special: bool, end_id: int):
         held = np.zeros(0, np.uint32)  # ids of a long document that do not fill a row yet
         for batch in batches:
             keys = batch.column(0)
-            for row, data, offsets, goes_on in parcels(batch.column(1), True, coder.cut):
-                per_row, place, segments = distinct(data, offsets, True, coder.cut)
+            for row, data, offsets, goes_on in parcels(batch.column(1), coder.other, coder.cut):
+                per_row, place, segments = distinct(data, offsets, coder.other, coder.cut)
                 packed = memo(segments)
                 pool = np.frombuffer(b"".join(packed), np.uint32)
                 size = np.array([len(p) for p in packed], np.int64) // 4

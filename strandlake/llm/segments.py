@@ -1,7 +1,7 @@
 """Texts cut where a tokenizer starts afresh whatever stands around, so that each distinct segment is encoded once.
 
-A cut lies before a space that follows anything but white space, and with `lines` also before such a line break and
-between an ASCII letter and an ASCII character that is none. A byte-level tokenizer that matches words with one leading
+A cut lies before a space that follows anything but white space, and with a table `other` also before such a line break
+and between an ASCII letter and an ASCII character of the table, which is no letter. A byte-level tokenizer that matches words with one leading
 space ends a match at all of these; a piece model without pieces that hold a space behind another character at the first
 kind. For other models `cut` is False and whole texts are segments.
 """
@@ -23,17 +23,18 @@ PARCEL_BYTES = 1 << 21
 REMEMBERED, LONGEST = 1 << 18, 64
 
 
-def cuts(data: np.ndarray, lines: bool) -> np.ndarray:
-    """Places in data before which a text may be cut. White space beyond ASCII, and U+2581, count as white space."""
-    at = np.flatnonzero((data == 0x20) | (data == 0x0A) if lines else data == 0x20)
+def cuts(data: np.ndarray, other: np.ndarray | None) -> np.ndarray:
+    """Places in data before which a text may be cut. White space beyond ASCII, and U+2581, count as white space. other: a
+    table of the bytes before which a text may be cut behind a letter; with it also line breaks count."""
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A) if other is not None else data == 0x20)
     at = at[at > 0]
     last = data[at - 1]
     before = np.where(at > 1, data[at - 2], 0)
     wide = ((before == 0xC2) & ((last == 0x85) | (last == 0xA0))) | (before == 0x9A) | (before == 0x80) | (before == 0x81) | ((before == 0x96) & (last == 0x81))
     at = at[((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~wide)]
-    if not lines:
+    if other is None:
         return at
-    word = np.flatnonzero(_LETTER[data[:-1]] & _OTHER[data[1:]]) + 1
+    word = np.flatnonzero(_LETTER[data[:-1]] & other[data[1:]]) + 1
     return _merged(at, word)
 
 
@@ -47,16 +48,16 @@ def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
 
 
-def parcels(column: pa.Array, lines: bool, cut: bool, limit: int = PARCEL_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+def parcels(column: pa.Array, other: np.ndarray | None, cut: bool, limit: int = PARCEL_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
     """(first row, bytes, offsets, whether the row goes on): several whole rows, or a part of one long row."""
     for a, b in chunks(column, limit):
         data, offsets = utf8(column.slice(a, b - a))
         while cut and len(data) > limit and b == a + 1:
             reach = 2 * limit
-            found = cuts(data[:reach], lines)
+            found = cuts(data[:reach], other)
             while not len(found) and reach < len(data):
                 reach *= 2
-                found = cuts(data[:reach], lines)
+                found = cuts(data[:reach], other)
             inside = found[found <= limit]
             end = int(inside[-1]) if len(inside) else int(found[0]) if len(found) else len(data)
             if end == len(data):
@@ -67,10 +68,10 @@ def parcels(column: pa.Array, lines: bool, cut: bool, limit: int = PARCEL_BYTES)
         yield a, data, offsets, False
 
 
-def distinct(data: np.ndarray, offsets: np.ndarray, lines: bool, cut: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def distinct(data: np.ndarray, offsets: np.ndarray, other: np.ndarray | None, cut: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(number of segments of each row, their places in the list, the different segments). Equal hashes are not trusted:
     every segment is compared with the one that stands for it."""
-    inner = cuts(data, lines) if cut else np.zeros(0, np.int64)
+    inner = cuts(data, other) if cut else np.zeros(0, np.int64)
     starts = _merged(offsets[:-1][np.diff(offsets) > 0], inner)
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     per_row = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
@@ -145,6 +146,11 @@ class ByteLevel:
         for token, i in self.model.get_vocab().items():
             self.entry[i] = token.encode() if token in added else bytes(byte[c] for c in token)
         self.size = np.array([len(e) for e in self.entry], np.int64)
+        # Where special tokens are looked for in a text, none of them may be cut.
+        self.other = _OTHER.copy()
+        for t in added if special else ():
+            self.cut &= not set(t) & set(" \n")
+            self.other[[b for a, b in zip(t.encode(), t.encode()[1:], strict=False) if _LETTER[a] and _OTHER[b]]] = False
 
     def encode(self, segments: list[bytes]) -> list[bytes]:
         """Ids of each segment as packed 32-bit integers. Those between which a cut lies are encoded as one text."""

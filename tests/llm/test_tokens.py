@@ -76,26 +76,28 @@ def test_segments_spell_the_text_and_encode_alike():
     texts = HARD + random_texts(rng, 400) + [words(rng, 3000, 9000)]
     coder, other = segments.byte_level(A_PATH), segments.pieces(B_PATH)
     assert coder.cut and other.cut
-    for lines, front, limit in ((True, "", 1 << 20), (True, "", 64), (False, " ", 64)):
+    for special, front, limit in ((False, "", 1 << 20), (True, "", 64), (False, "", 64), (None, " ", 64)):
+        coder = segments.byte_level(A_PATH, bool(special))
+        table = None if special is None else coder.other
         for t in texts:
             got, back, spelling = [], [], b""
-            for _, data, offsets, _ in segments.parcels(pa.array([front + t]), lines, True, limit):
-                _, place, keys = segments.distinct(data, offsets, lines, True)
+            for _, data, offsets, _ in segments.parcels(pa.array([front + t]), table, True, limit):
+                _, place, keys = segments.distinct(data, offsets, table, True)
                 ids = [np.frombuffer(x, np.uint32) for x in coder.encode(keys)]
                 got += [i for p in place.tolist() for i in ids[p].tolist()]
                 spelling += b"".join(keys[p] for p in place.tolist())
                 if front and "▁" not in t:
                     ids = [np.frombuffer(x, np.uint32) for x in other.encode(keys)]
                     back += [i for p in place.tolist() for i in ids[p].tolist()]
-            assert spelling == (front + t).encode() and got == a_encode(front + t)
+            assert spelling == (front + t).encode() and got == a_encode(front + t, bool(special))
             assert not front or "▁" in t or not t or back == b_model().encode(t)
 
 
 def test_distinct_segments_do_not_trust_hashes(monkeypatch):
     data, offsets = segments.utf8(pa.array(["one two one", "two three"]))
-    want = segments.distinct(data, offsets, True, True)
+    want = segments.distinct(data, offsets, None, True)
     monkeypatch.setattr(segments, "span_hash", lambda sums, a, b: np.zeros(len(a), np.uint64))
-    got = segments.distinct(data, offsets, True, True)
+    got = segments.distinct(data, offsets, None, True)
     assert [want[2][i] for i in want[1]] == [got[2][i] for i in got[1]] == [b"one", b" two", b" one", b"two", b" three"]
     assert got[0].tolist() == want[0].tolist() == [3, 2]
 
