@@ -89,11 +89,12 @@ def _pivots(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def neighbor_blocks(vectors: DataFrame, k: int, key: str = "sample_id", vec: str = "vec", block_rows: int | None = None, pivots: int = PIVOTS) -> DataFrame:
-    """(id, vec, block, bound, near, away): the vectors in blocks of about block_rows that lie together.
+    """(block, ids, vecs, bounds, bound, low, high, near): one row for each block of about block_rows vectors that lie
+    together, the vectors one after another in `vecs`.
 
-    Rows are dealt by range of their nearest pivot and the distance to it. near: the k nearest within the block; bound:
-    the squared distance of the k-th, null if there are fewer; away: the distances to all pivots. Only the pivots, a
-    fixed number, are looked at by the driver.
+    Rows are dealt by range of their nearest pivot and the distance to it. near: the k nearest within the block; bounds:
+    the squared distance of each row's k-th, infinite if there are fewer; bound: the greatest of them; low, high: the
+    least and greatest distance to each pivot. Only the pivots, a fixed number, are looked at by the driver.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
@@ -102,48 +103,52 @@ def neighbor_blocks(vectors: DataFrame, k: int, key: str = "sample_id", vec: str
     held = spark.sparkContext.broadcast(_pivots(rows, pivots))
     kind = rows.schema["id"].dataType.simpleString()
 
+    def away(vecs: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(_products(vecs, held.value), 0.0))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            away = np.sqrt(np.maximum(_products(_vectors(batch.column(1)), held.value), 0.0)) if batch.num_rows else np.zeros((0, len(held.value)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(away) + 1) * len(held.value), pa.int32()), pa.array(away.ravel()))
-            nearest = away.argmin(axis=1) if away.size else np.zeros(len(away), int)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(nearest.astype(np.int32)), pa.array(away.min(axis=1) if away.size else np.zeros(len(away)))], names=["id", "vec", "away", "pivot", "reach"])
+            if batch.num_rows:
+                d = away(_vectors(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1))], names=["id", "vec", "pivot", "reach"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         own = [b for b in batches if b.num_rows]
         if not own:
             return
         whole = pa.Table.from_batches(own)
         ids, a = _ids(whole.column("id")), _vectors(whole.column("vec"))
         i, j, d = _nearest(ids, a, ids, a, k)
-        count = np.bincount(i, minlength=len(ids))
-        ends = np.append(0, np.cumsum(count))
-        bound = [float(d[e - 1]) if c == k and k else None for e, c in zip(ends[1:].tolist(), count.tolist(), strict=True)]
-        near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([whole.column("id").combine_chunks().take(pa.array(j)), pa.array(d)], names=["nbr_id", "sq_dist"]))
-        out = whole.append_column("bound", pa.array(bound, pa.float64())).append_column("near", near)
-        yield from out.select(["id", "vec", "away", "bound", "near"]).to_batches()
-
-    placed = rows.mapInArrow(place, f"id {kind}, vec array<double>, away array<double>, pivot int, reach double")
+        bounds = np.full(len(ids), np.inf)
+        ends = np.cumsum(np.bincount(i, minlength=len(ids)))
+        full = np.flatnonzero(np.bincount(i, minlength=len(ids)) == k) if k else np.zeros(0, int)
+        bounds[full] = d[ends[full] - 1]
+        names, reach = whole.column("id").combine_chunks(), away(a)
+        near = pa.StructArray.from_arrays([names.take(pa.array(i)), names.take(pa.array(j)), pa.array(d)], names=["id", "nbr_id", "sq_dist"])
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
+        block = pa.array([TaskContext.get().partitionId()], pa.int32())
+        columns = [block, one(names), one(a.ravel()), one(bounds), pa.array([float(bounds.max())]), one(reach.min(axis=0)), one(reach.max(axis=0)), one(near)]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "vecs", "bounds", "bound", "low", "high", "near"])
+
+    placed = rows.mapInArrow(place, f"id {kind}, vec array<double>, pivot int, reach double")
     dealt = placed.repartitionByRange(max(1, -(-n // size)), "pivot", "reach", F.xxhash64("id"))
-    blocks = dealt.mapInArrow(within, f"id {kind}, vec array<double>, away array<double>, bound double, near array<struct<nbr_id: {kind}, sq_dist: double>>")
-    return materialize(blocks.withColumn("block", F.spark_partition_id()), "blocks")
+    lists = "vecs array<double>, bounds array<double>, bound double, low array<double>, high array<double>"
+    blocks = dealt.mapInArrow(within, f"block int, ids array<{kind}>, {lists}, near array<struct<id: {kind}, nbr_id: {kind}, sq_dist: double>>")
+    return materialize(blocks, "blocks")
 
 
-def block_pairs(blocks: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """(i, j, low, high): the pairs of different blocks of which j can hold one of the k nearest of a row of i, with the
-    least and greatest distances of j's rows to the pivots.
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """(i, j): the pairs of different blocks of which j can hold one of the k nearest of a row of i.
 
     By the triangle inequality two rows are at least as far apart as their distances to any pivot differ. A pair is left
     out where that is more than the largest bound of i. What meets here is one short row a block.
     """
-    held = F.array(*(F.min(F.get("away", F.lit(p))) for p in range(pivots))), F.array(*(F.max(F.get("away", F.lit(p))) for p in range(pivots)))
-    open_ = F.max(F.col("bound").isNull())
-    told = blocks.groupBy("block").agg(held[0].alias("low"), held[1].alias("high"), F.when(~open_, F.max("bound")).alias("bound"))
-    one, two = (told.select(*(F.col(c).alias(f"{n}_{c}") for c in told.columns)) for n in ("i", "j"))
+    one, two = (blocks.select(*(F.col(c).alias(f"{n}_{c}") for c in ("block", "bound", "low", "high"))) for n in ("i", "j"))
     apart = F.zip_with(F.zip_with("i_low", "j_high", lambda a, b: a - b), F.zip_with("j_low", "i_high", lambda a, b: a - b), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    least = F.coalesce(F.array_max(apart), F.lit(0.0))
-    met = one.join(two, (F.col("i_block") != F.col("j_block")) & (F.col("i_bound").isNull() | _may_reach(least, F.col("i_bound"), F.array_max("j_high"))))
-    return met.select(F.col("i_block").alias("i"), F.col("j_block").alias("j"), F.col("j_low").alias("low"), F.col("j_high").alias("high"))
+    near = _may_reach(F.coalesce(F.array_max(apart), F.lit(0.0)), F.col("i_bound"), F.array_max("j_high"))
+    return one.join(two, (F.col("i_block") != F.col("j_block")) & near).select(F.col("i_block").alias("i"), F.col("j_block").alias("j"))
 
 
 def _may_reach(least: Column, bound: Column, scale: Column) -> Column:
@@ -155,27 +160,26 @@ def _may_reach(least: Column, bound: Column, scale: Column) -> Column:
 def nearest_neighbors(vectors: DataFrame, k: int, key: str = "sample_id", vec: str = "vec", block_rows: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """(key, rank int from 1, nbr_id, sq_dist): the k nearest other rows by squared Euclidean distance, ties by id. Exact.
 
-    Vectors that lie together make blocks; each row's k nearest within its block bound what is still wanted. Of the pairs
-    of blocks only those meet that can hold something nearer by the distances to a few pivots, and of a block only the
-    rows that can: `block_pairs`. Keys must be distinct, vectors of one length; an empty table gives no rows.
+    Vectors that lie together make blocks, each one row; each vector's k nearest within its block bound what is still
+    wanted. Of the pairs of blocks only those meet that can hold something nearer by the distances to a few pivots:
+    `block_pairs`. Keys must be distinct, vectors of one length; an empty table gives no rows.
     """
     blocks = neighbor_blocks(vectors, k, key, vec, block_rows, pivots)
     kind = vectors.schema[key].dataType.simpleString()
-    schema = f"id {kind}, nbr_id {kind}, sq_dist double"
-    pairs = materialize(block_pairs(blocks, pivots), "pairs")
-    apart = F.zip_with(F.zip_with("away", "high", lambda a, b: a - b), F.zip_with("low", "away", lambda a, b: a - b), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    wanted = F.col("bound").isNull() | _may_reach(F.coalesce(F.array_max(apart), F.lit(0.0)), F.col("bound"), F.array_max("high"))
-    left = blocks.join(pairs, F.col("block") == F.col("i")).where(wanted).select("i", "j", "id", "vec", "bound")
-    right = blocks.join(pairs.select("i", "j"), F.col("block") == F.col("j")).select(*(F.col(c).alias(f"_{c}") for c in ("i", "j", "id", "vec")))
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, others = _ids(a.column("id")), _ids(b.column("_id"))
-        bound = a.column("bound").to_numpy()
-        x, y, d = _nearest(ids, _vectors(a.column("vec")), others, _vectors(b.column("_vec")), k, np.where(np.isnan(bound), np.inf, bound)) if a.num_rows and b.num_rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"id": a.column("id").take(pa.array(x)), "nbr_id": b.column("_id").take(pa.array(y)), "sq_dist": pa.array(d)})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("_i", "_j")).applyInArrow(meet, schema)
-    every = blocks.select("id", F.explode("near").alias("n")).select("id", "n.nbr_id", "n.sq_dist").unionByName(found)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                names, others, bounds = (batch.column(c).slice(at, 1).flatten() for c in ("ids", "_ids", "bounds"))
+                a, b = (batch.column(c).slice(at, 1).flatten().to_numpy().reshape(len(x), -1 if len(batch.column(c).slice(at, 1).flatten()) else 0) for c, x in (("vecs", names), ("_vecs", others)))
+                x, y, d = _nearest(_ids(names), a, _ids(others), b, k, bounds.to_numpy())
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), others.take(pa.array(y)), pa.array(d)], names=["id", "nbr_id", "sq_dist"])
+
+    left = blocks.select(F.col("block").alias("i"), "ids", "vecs", "bounds")
+    right = blocks.select(F.col("block").alias("j"), F.col("ids").alias("_ids"), F.col("vecs").alias("_vecs"))
+    met = block_pairs(blocks).join(left, "i").join(right, "j")
+    found = met.select("ids", "vecs", "bounds", "_ids", "_vecs").mapInArrow(meet, f"id {kind}, nbr_id {kind}, sq_dist double")
+    every = blocks.select(F.explode("near").alias("n")).select("n.*").unionByName(found)
     order = Window.partitionBy("id").orderBy("sq_dist", "nbr_id")
     ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias(key), "rank", "nbr_id", "sq_dist")
