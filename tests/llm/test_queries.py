@@ -1,6 +1,7 @@
 """The registered queries on the smallest tables, against SQL where there is some, and against brute force."""
 
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -63,6 +64,17 @@ def test_op6(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
 
 
+def test_op6_on_rows_it_did_not_learn_from(spark):
+    """Of held-out labelled rows most toxic ones reach the threshold and hardly a clean one does."""
+    sf = SF.replace("0.001", "0.1")
+    got = {r["doc_id"]: r for r in queries.op6_toxicity(spark, sf).collect()}
+    labels = duckdb.connect().execute(f"select doc_id, toxic from '{sf}/labels.parquet'").fetchall()
+    held = [(got[d]["predicted"], toxic) for d, toxic in labels if d in got and got[d]["held_out"] and toxic is not None]
+    caught, wrong = [p for p, t in held if t], [p for p, t in held if not t]
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in got.items())
+    assert len(caught) > 100 and sum(caught) >= 0.8 * len(caught) and sum(wrong) <= 0.01 * len(wrong)
+
+
 def test_op7(spark):
     for d, (n, removed, spans, kept) in brute.repeats(DOCS).items():
         r = rows_op7(spark)[d]
