@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.llm.common import arrow_map, integer_key
-from strandlake.llm.segments import Memo, byte_level, distinct, parcels, ragged
+from strandlake.llm.segments import byte_level, distinct, parcels, ragged
 
 #: Ids of a row.
 PIECE_IDS = 2048
@@ -40,14 +40,13 @@ def _encoder(path: str, special: bool, end_id: int):
         from pyspark import TaskContext
 
         coder = byte_level(path, special)
-        memo = Memo(coder.encode)
         part, order, first, piece = TaskContext.get().partitionId(), 0, 0, 0
         held = np.zeros(0, np.uint32)  # ids of a long document that do not fill a row yet
         for batch in batches:
             keys = batch.column(0)
             for row, data, offsets, goes_on in parcels(batch.column(1), coder.other, coder.cut):
                 per_row, place, segments = distinct(data, offsets, coder.other, coder.cut)
-                packed = memo(segments)
+                packed = coder.memo(segments)
                 pool = np.frombuffer(b"".join(packed), np.uint32)
                 size = np.array([len(p) for p in packed], np.int64) // 4
                 ids = pool[ragged((np.cumsum(size) - size)[place], size[place])] if len(place) else np.zeros(0, np.uint32)

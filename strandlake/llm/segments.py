@@ -90,10 +90,10 @@ def distinct(data: np.ndarray, offsets: np.ndarray, other: np.ndarray | None, cu
 
 
 class Memo:
-    """Values of segments, made for many at once; the last REMEMBERED new ones and those before them are kept."""
+    """Values of segments, made for many at once; the last `limit` new ones and those before them are kept."""
 
-    def __init__(self, make: Callable[[list[bytes]], list]):
-        self.make, self.young, self.old = make, {}, {}
+    def __init__(self, make: Callable[[list[bytes]], list], limit: int = REMEMBERED):
+        self.make, self.limit, self.young, self.old = make, limit, {}, {}
 
     def __call__(self, keys: list[bytes]) -> list:
         young, old = self.young, self.old
@@ -111,7 +111,7 @@ class Memo:
                 out[i] = value
                 if len(keys[i]) <= LONGEST:
                     young[keys[i]] = value
-        if len(young) > REMEMBERED:
+        if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
 
@@ -146,6 +146,7 @@ class ByteLevel:
         for token, i in self.model.get_vocab().items():
             self.entry[i] = token.encode() if token in added else bytes(byte[c] for c in token)
         self.size = np.array([len(e) for e in self.entry], np.int64)
+        self.memo = Memo(self.encode, 2 * REMEMBERED)  # as long as the worker lives, over its tasks
         # Where special tokens are looked for in a text, none of them may be cut.
         self.other = _OTHER.copy()
         for t in added if special else ():

@@ -102,9 +102,8 @@ def test_distinct_segments_do_not_trust_hashes(monkeypatch):
     assert got[0].tolist() == want[0].tolist() == [3, 2]
 
 
-def test_memo_forgets_but_answers(monkeypatch):
-    monkeypatch.setattr(segments, "REMEMBERED", 8)
-    memo = segments.Memo(lambda keys: [k * 2 for k in keys])
+def test_memo_forgets_but_answers():
+    memo = segments.Memo(lambda keys: [k * 2 for k in keys], 8)
     rng = random.Random(1)
     for _ in range(50):
         keys = [b"%d" % i for i in rng.sample(range(40), 7)]
