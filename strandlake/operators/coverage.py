@@ -45,16 +45,16 @@ def binned_depth_by_blocks(alignments: DataFrame, samples: DataFrame, bin_size:
     and skips leave holes, insertions and clips cover nothing. What reaches beyond a chromosome's ends is cut off; reads
     without a position, with an unknown chromosome or a CIGAR that covers nothing count nowhere.
 
-    Each edge of a covered block is an event of +1 or -1. Equal places are summed before the shuffle, so deep places are
-    one row for each task. Events are summed by bin: those in a bin by how much of it they leave, and all of them for the
-    depth that goes on into later bins. That running sum has two levels, within cells of bins and over the cells of a
-    chromosome, so no task has more than a cell's bins or a chromosome's cells of one sample.
+    Each edge of a covered block is an event of +1 or -1. Events are summed by bin before the shuffle, so that a bin is one
+    row for each task however deep it is: those in a bin by how much of it they leave, and all of them for the depth that
+    goes on into later bins. That running sum has two levels, within cells of bins and over the cells of a chromosome, so
+    no task has more than a cell's bins or a chromosome's cells of one sample.
     """
     known = F.broadcast(lengths.select("chrom", F.col("length").cast("long").alias("length")))
     each = alignments.where("pos >= 0").join(known, "chrom").select("sample_id", "chrom", "length", F.explode(covered_blocks(F.col("pos"), F.col("cigar"))).alias("b"))
     block = each.select("sample_id", "chrom", F.least("b.start", "length").alias("a"), F.least("b.end", "length").alias("b")).where("a < b")
     edges = block.select("sample_id", "chrom", F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    events = edges.groupBy("sample_id", "chrom", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).where("d <> 0")
+    events = edges.select("sample_id", "chrom", F.col("e.at").alias("at"), F.col("e.d").alias("d"))
     at_bin = F.floor(F.col("at") / bin_size)
     # In its own bin an event counts for the places from it to the bin's end, in all later bins for each of theirs.
     sums = events.groupBy("sample_id", "chrom", at_bin.alias("bin")).agg(F.sum(F.col("d") * ((at_bin + 1) * bin_size - F.col("at"))).alias("own"), F.sum("d").alias("go_on"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from strandlake.sources.bgzf import PAYLOAD, SPLIT_BYTES, Blocks, listed, member, open_files
+from strandlake.sources.bgzf import PAYLOAD, SPLIT_BYTES, Blocks, Splits, cleared, dealt, joined, listed, member, open_files, staging, tasks_wanted
 
 #: Fixed values of the format: bits of the smallest bin and of a window, levels of bins, letters of CIGAR operations, and
 #: those that cover places of the reference.
@@ -237,14 +237,10 @@ def read_part(blocks: Blocks, index: Index | None, sample: str, begin: int = 0,
                 break
 
 
-class _Part(InputPartition):
-    def __init__(self, path: str, begin: int, end: int | None):
-        self.path, self.begin, self.end = path, begin, end
-
-
 class BamSource(DataSource):
     """Format `bam`. Reading: options path (a file or a folder), region as chrom:start-end (half-open, from 0), splitBytes,
-    broken (`mark`: a file that is no sound BAM gives a row with its sample alone in place of an error).
+    tasks (fewest tasks, if there are as many splits), broken (`mark`: a file that is no sound BAM gives a row with its
+    sample alone in place of an error).
     Writing: references, a JSON object of names and lengths; rows must come in order of sample, reference and position."""
 
     @classmethod
@@ -270,20 +266,24 @@ class _BamReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         step = int(self.options.get("splitbytes") or SPLIT_BYTES)
-        return [_Part(path, at, at + step if at + step < size else None) for path, size in listed(self.options["path"], ".bam") for at in range(0, max(1, size), step)]
+        each = [(path, at, size) for path, size in listed(self.options["path"], ".bam") for at in range(0, max(1, size), step)]
+        splits = [(path, at, at + step if at + step < size else None) for path, at, size in each]
+        return dealt(splits, [min(step, size - at) for _, at, size in each], int(self.options.get("tasks") or 1))
 
-    def read(self, part: _Part | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # no files
-            return
-        system, inner = open_files(part.path)
-        beside = [p for p in (f"{part.path}.bai", f"{part.path[:-4]}.bai") if system.get_file_info(open_files(p)[1]).type == pa.fs.FileType.File]
+    def read(self, part: Splits | None) -> Iterator[pa.RecordBatch]:
+        if part is not None:  # None: no files
+            yield from joined(batch for split in part.splits for batch in self._batches(*split))
+
+    def _batches(self, path: str, begin: int, end: int | None) -> Iterator[pa.RecordBatch]:
+        system, inner = open_files(path)
+        beside = [p for p in (f"{path}.bai", f"{path[:-4]}.bai") if system.get_file_info(open_files(p)[1]).type == pa.fs.FileType.File]
         sample = inner.rsplit("/", 1)[-1].split(".", 1)[0]
         try:
-            with Blocks(part.path) as blocks:
-                yield from read_part(blocks, Index.read(beside[0]) if beside else None, sample, part.begin, part.end, self.region)
+            with Blocks(path) as blocks:
+                yield from read_part(blocks, Index.read(beside[0]) if beside else None, sample, begin, end, self.region)
         except (ValueError, IndexError, UnicodeDecodeError, struct.error, zlib.error) as e:
             if self.options.get("broken") != "mark":
-                raise ValueError(f"{part.path}: {e}") from e
+                raise ValueError(f"{path}: {e}") from e
             row = {f: pa.array([sample if f == "sample_id" else None], pa.string() if f in ("sample_id", "chrom", "next_chrom", "cigar") else pa.int64() if f in ("pos", "end") else pa.int32()) for f in FIELDS}
             yield pa.RecordBatch.from_pydict(row)
 
@@ -294,7 +294,7 @@ class _File:
     def __init__(self, path: str, names: list[str], lengths: list[int]):
         self.path, self.names = path, names
         self.system, self.inner = open_files(path)
-        self.out = self.system.open_output_stream(f"{self.inner}.part")
+        self.out = self.system.open_output_stream(self.inner)
         text = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in zip(names, lengths, strict=True))
         own = b"".join(struct.pack(f"<i{len(n) + 1}si", len(n) + 1, n.encode(), size) for n, size in zip(names, lengths, strict=True))
         self.held, self.places, self.written, self.gone, self.count = b"", [], 0, 0, 0
@@ -357,7 +357,7 @@ class _File:
             own = windows[ref]
             own += [0] * (w + 1 - len(own))
             own[w] = own[w] or v
-        with self.system.open_output_stream(f"{self.inner}.bai.part") as out:
+        with self.system.open_output_stream(f"{self.inner}.bai") as out:
             out.write(Index(bins, windows).packed())
         return self.inner, self.count, self.written
 
@@ -407,12 +407,12 @@ def _operations(cigar: str | None, letters: dict[str, int]) -> list[int]:
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, int, int]]):
-        self.files = files
+    def __init__(self, files: list[tuple[str, int, int]], folder: str):
+        self.files, self.folder = files, folder
 
 
 class _BamWriter(DataSourceArrowWriter):
-    """One file with its index for each sample and task; names are final once the job commits."""
+    """One file with its index for each sample and task, in the task's folder until the job commits."""
 
     def __init__(self, options: dict):
         self.path, self.references = options["path"], json.loads(options["references"])
@@ -422,7 +422,8 @@ class _BamWriter(DataSourceArrowWriter):
 
         task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         system, inner = open_files(self.path)
-        system.create_dir(inner)
+        folder = staging(system, inner)
+        base = self.path.rstrip("/") + folder[len(inner.rstrip("/")) :]
         number = {n: i for i, n in enumerate(self.references)}
         file, sample, before, done = None, None, 0, []
         for whole in batches:
@@ -433,7 +434,7 @@ class _BamWriter(DataSourceArrowWriter):
                     if file is not None:
                         done.append(file.close())
                     sample, before = names[a], 0
-                    file = _File(f"{self.path.rstrip('/')}/{sample}.{task:05d}-{attempt}.bam", list(self.references), list(self.references.values()))
+                    file = _File(f"{base}/{sample}.{task:05d}-{attempt}.bam", list(self.references), list(self.references.values()))
                 ref, pos, end, sizes, data = _encoded(whole.slice(a, b - a), number)
                 order = np.where(ref < 0, 1 << 30, ref) << 32 | np.maximum(pos, 0)
                 if (order[1:] < order[:-1]).any() or order[0] < before:
@@ -442,21 +443,19 @@ class _BamWriter(DataSourceArrowWriter):
                 file.add(ref, pos, end, sizes, data)
         if file is not None:
             done.append(file.close())
-        return _Written(done)
+        return _Written(done, folder)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, folder = open_files(self.path)
         system.create_dir(folder)
         for inner, _, _ in (f for m in messages if m for f in m.files):
-            system.move(f"{inner}.bai.part", f"{inner}.bai")
-            system.move(f"{inner}.part", inner)
+            final = f"{folder.rstrip('/')}/{inner.rsplit('/', 1)[-1]}"
+            system.move(f"{inner}.bai", f"{final}.bai")
+            system.move(inner, final)
+        cleared(system, [m.folder for m in messages if m])
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, _ = open_files(self.path)
-        for inner, _, _ in (f for m in messages if m for f in m.files):
-            for part in (f"{inner}.part", f"{inner}.bai.part"):
-                if system.get_file_info(part).type == pa.fs.FileType.File:
-                    system.delete_file(part)
+        cleared(open_files(self.path)[0], [m.folder for m in messages if m])
 
 
 def write_bam(alignments: DataFrame, path: str, references: dict[str, int], partitions: int | None = None) -> None:
@@ -482,5 +481,5 @@ def read_bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None
     the file only the chunks that can are opened. mark_broken: a damaged file gives, besides what was read of it, a row
     in which only the sample is known; else it ends the job."""
     spark.dataSource.register(BamSource)
-    reader = spark.read.format("bam").option("path", path).option("splitBytes", str(split_bytes)).option("broken", "mark" if mark_broken else "fail")
+    reader = spark.read.format("bam").option("path", path).option("splitBytes", str(split_bytes)).option("tasks", tasks_wanted(spark)).option("broken", "mark" if mark_broken else "fail")
     return (reader.option("region", f"{region[0]}:{region[1]}-{region[2]}") if region else reader).load()

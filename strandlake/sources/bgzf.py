@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 MARK, PAYLOAD = b"\x1f\x8b\x08\x04", 65280
 #: Bytes that are asked of the file system at once, compressed bytes of a split, lines of an Arrow batch.
 WINDOW, SPLIT_BYTES, BATCH_LINES = 1 << 17, 64 << 20, 1 << 16
+#: Bytes that opening a file counts for when splits are dealt to tasks, and rows up to which small batches are put together.
+OPEN_BYTES, JOINED_ROWS = 1 << 15, 1 << 14
 
 
 def open_files(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -179,13 +181,50 @@ def lines(blocks: Blocks, begin: int, end: int) -> Iterator[list[bytes]]:
         yield many
 
 
-class _Split(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
+class Splits(InputPartition):
+    """The splits (path, begin, end) that one task reads, one after another."""
+
+    def __init__(self, splits: list[tuple[str, int, int | None]]):
+        self.splits = splits
+
+
+def dealt(splits: list[tuple[str, int, int | None]], sizes: list[int], tasks: int) -> list[InputPartition]:
+    """Splits, with their bytes, put together in order for at least `tasks` tasks if there are as many splits, and for more
+    where a task would have over SPLIT_BYTES. So the number of tasks grows with the bytes, not with the number of files."""
+    cost = [n + OPEN_BYTES for n in sizes]
+    most = min(SPLIT_BYTES, sum(cost) // max(1, tasks))
+    out: list[list[tuple[str, int, int | None]]] = []
+    full = 0
+    for one, n in zip(splits, cost, strict=True):
+        if not out or full + n > most:
+            out.append([])
+            full = 0
+        out[-1].append(one)
+        full += n
+    return [Splits(x) for x in out]
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows put together to about JOINED_ROWS."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= JOINED_ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def tasks_wanted(spark: SparkSession) -> str:
+    """A few tasks for each core, as an option of a reader."""
+    return str(4 * spark.sparkContext.defaultParallelism)
 
 
 class LinesSource(DataSource):
-    """Format `bgzf_lines`. Reading: (path, value) of the lines of compressed files; options path, suffix, splitBytes.
+    """Format `bgzf_lines`. Reading: (path, value) of the lines of compressed files; options path, suffix, splitBytes, tasks
+    (fewest tasks, if there are as many splits), only (`paths`: one row a file, without its lines, which are not read).
     Writing: (name, value) to files of a folder, lines in the order of tasks and rows; option path."""
 
     @classmethod
@@ -196,7 +235,7 @@ class LinesSource(DataSource):
         return "path string, value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _LinesReader(dict(self.options))
+        return _LinesReader({k.lower(): v for k, v in dict(self.options).items()})
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _LinesWriter(dict(self.options)["path"])
@@ -207,30 +246,66 @@ class _LinesReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        step = int(self.options.get("splitbytes") or self.options.get("splitBytes") or SPLIT_BYTES)
-        return [_Split(path, at, at + step) for path, size in listed(self.options["path"], self.options.get("suffix", "")) for at in range(0, size, step)]
+        step = int(self.options.get("splitbytes") or SPLIT_BYTES)
+        files, paths = listed(self.options["path"], self.options.get("suffix", "")), self.options.get("only") == "paths"
+        each = [(path, at, min(at + step, size)) for path, size in files for at in ((0,) if paths else range(0, size, step))]
+        return dealt(each, [0 if paths else end - begin for _, begin, end in each], int(self.options.get("tasks") or 1))
+
+    def read(self, partition: Splits | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # None: no files
+            yield from joined(self._batches(partition.splits))
+
+    def _batches(self, splits: list[tuple[str, int, int | None]]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "value"]
+        for path, begin, end in splits:
+            if self.options.get("only") == "paths":
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.nulls(1, pa.string())], names=names)
+                continue
+            with Blocks(path) as blocks:
+                for some in lines(blocks, begin, end):
+                    values = pa.array([x.decode("utf-8", "replace") for x in some], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(values), pa.string()), values], names=names)
 
-    def read(self, partition: _Split | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no files
-            return
-        with Blocks(partition.path) as blocks:
-            for some in lines(blocks, partition.begin, partition.end):
-                values = pa.array([x.decode("utf-8", "replace") for x in some], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(values), pa.string()), values], names=["path", "value"])
+
+def _reader(spark: SparkSession, path: str, suffix: str) -> DataFrameReader:
+    spark.dataSource.register(LinesSource)
+    return spark.read.format("bgzf_lines").option("path", path).option("suffix", suffix).option("tasks", tasks_wanted(spark))
 
 
 def read_lines(spark: SparkSession, path: str, suffix: str = "", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, value) of the lines of a file or of a folder's files. Blocked files are read by several tasks; gzip files
-    without blocks, and plain text, by one each."""
-    spark.dataSource.register(LinesSource)
-    return spark.read.format("bgzf_lines").option("path", path).option("suffix", suffix).option("splitBytes", str(split_bytes)).load()
+    without blocks, and plain text, by one each; a task reads many small files."""
+    return _reader(spark, path, suffix).option("splitBytes", str(split_bytes)).load()
+
+
+def paths(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """(path) of the files that read_lines reads, as it names them; nothing in them is read."""
+    return _reader(spark, path, suffix).option("only", "paths").load().select("path")
+
+
+def staging(system: pyarrow.fs.FileSystem, folder: str) -> str:
+    """A new folder in `folder` for the running task: many tasks that make files in one folder wait for each other, while
+    moving a file is quick. Readers pass over it."""
+    from pyspark import TaskContext
+
+    own = f"{folder.rstrip('/')}/_task-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
+    system.create_dir(own)
+    return own
+
+
+def cleared(system: pyarrow.fs.FileSystem, folders: list[str]) -> None:
+    """Deletes tasks' folders."""
+    for folder in folders:
+        if system.get_file_info(folder).type == pyarrow.fs.FileType.Directory:
+            system.delete_dir(folder)
 
 
 @dataclass
 class _Parts(WriterCommitMessage):
-    """(name of the file, task, part) of what a task wrote."""
+    """(name of the file, task, part) of what a task wrote, and the folder with the parts."""
 
     parts: list[tuple[str, int, str]]
+    folder: str
 
 
 class _LinesWriter(DataSourceArrowWriter):
@@ -243,9 +318,9 @@ class _LinesWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        task = TaskContext.get().partitionId()
         system, inner = open_files(self.path)
-        system.create_dir(inner)
+        folder = staging(system, inner)
         done: list[tuple[str, int, str]] = []
         out, held = None, b""
 
@@ -267,7 +342,7 @@ class _LinesWriter(DataSourceArrowWriter):
                     if out is not None:
                         put(held, True)
                         out.close()
-                    part = f"{inner}/_{name}.{task:06d}-{attempt}.{len(done)}"
+                    part = f"{folder}/{name}.{len(done)}"
                     done.append((name, task, part))
                     out, held = system.open_output_stream(part), b""
                 held += (value or "").encode() + b"\n"
@@ -276,7 +351,7 @@ class _LinesWriter(DataSourceArrowWriter):
         if out is not None:
             put(held, True)
             out.close()
-        return _Parts(done)
+        return _Parts(done, folder)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, inner = open_files(self.path)
@@ -293,16 +368,12 @@ class _LinesWriter(DataSourceArrowWriter):
                         with system.open_input_stream(part) as f:
                             while data := f.read(1 << 22):
                                 out.write(data)
-                for part in ordered:
-                    system.delete_file(part)
                 ordered = [joined]
             system.move(ordered[0], f"{inner}/{name}")
+        cleared(system, [m.folder for m in messages if m])
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, _ = open_files(self.path)
-        for _, _, part in (p for m in messages if m for p in m.parts):
-            if system.get_file_info(part).type == pyarrow.fs.FileType.File:
-                system.delete_file(part)
+        cleared(open_files(self.path)[0], [m.folder for m in messages if m])
 
 
 def write_lines(rows: DataFrame, path: str, by: list[str], partitions: int | None = None) -> None:

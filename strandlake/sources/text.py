@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.columns import cigar_length, norm_chrom, normalize_sample_id
 from strandlake.operators.files import longest_prefix_sample
 from strandlake.operators.numbering import numbered
-from strandlake.sources.bgzf import read_lines
+from strandlake.sources.bgzf import paths, read_lines
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +79,8 @@ def read_depth(spark: SparkSession, path: str, samples: DataFrame | None = None,
     if samples is None:
         name = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
         return cells.select(name.alias("sample_id"), "chrom", "start", "end", "depth")
-    owners = longest_prefix_sample(cells.select("path").distinct(), samples)
+    files = paths(spark, path, suffix) if split_bytes else cells.select("path").distinct()
+    owners = longest_prefix_sample(files, samples)
     return cells.join(owners, "path").select("sample_id", "chrom", "start", "end", "depth")
 
 

@@ -199,3 +199,17 @@ def test_counts_of_bam_files(spark, tmp_path):
     want = {r["sample_id"]: r["reads"] for r in reads.count_reads(own, spark.createDataFrame([("S0",), ("S1",)], "sample_id string"), "chr6", 0, 900_000, flags).collect()}
     assert flags and min(want.values()) > 5 and done == {**want, "S2": 0}
     assert "S4\tError" in [x for p in (tmp_path / "out" / "counts").glob("part-*") for x in p.read_text().splitlines()]
+
+
+def test_tasks_grow_with_bytes_not_with_files(spark, tmp_path):
+    """Many small files are few tasks, each line and read once; nothing of the tasks' own folders stays."""
+    rows = spark.range(900).select(F.format_string("S%03d.bed.gz", F.col("id") % 300).alias("name"), F.concat(F.lit("chr6\t1\t2\t"), "id").alias("value"), "id")
+    bgzf.write_lines(rows, str(tmp_path / "l"), ["id"])
+    lines = bgzf.read_lines(spark, str(tmp_path / "l"), ".bed.gz", 1 << 12)
+    assert lines.rdd.getNumPartitions() <= 40 and lines.select("value").distinct().count() == lines.count() == 900
+    assert bgzf.paths(spark, str(tmp_path / "l"), ".bed.gz").exceptAll(lines.select("path").distinct()).count() == 0
+    own = alignments_of(spark, 600).withColumn("sample_id", F.concat(F.lit("S"), F.col("pos") % 200)).where("chrom is not null")
+    bam.write_bam(own, str(tmp_path / "b"), REFERENCES)
+    back = bam.read_bam(spark, str(tmp_path / "b"), split_bytes=1 << 12)
+    assert back.rdd.getNumPartitions() <= 40 and told(back) == told(own)
+    assert all(p.is_file() for n in "lb" for p in (tmp_path / n).iterdir())
