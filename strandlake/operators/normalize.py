@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,19 +69,22 @@ def z_matrix(cells: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select("sample_id", *KEY, (z * c).alias("z"))
 
 
-def order_statistic(values: DataFrame, column: str, index: Column) -> Column:
-    """The value at a place (from 0) of the sorted known values, as a scalar; null if there is no such place. There is
-    one value for each region, which bounds the array."""
-    return values.agg(F.array_sort(F.collect_list(column)).alias("v")).select(F.get("v", index.cast("int")).alias("value")).scalar()
+def _kept(stats: DataFrame, column: str, keep: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """The rows for which keep(value of the column, sorted known values, number of rows) holds. There is one row for each
+    region, which bounds the arrays.
+
+    Rows and the bound that they are held against come from one evaluation: sums in another order differ in their last
+    bits, so that a bound which is evaluated apart can lie above the very row that it stands for.
+    """
+    whole = stats.agg(F.collect_list(F.struct(*stats.columns)).alias("_rows"), F.array_sort(F.collect_list(column)).alias("_values"))
+    return whole.select(F.inline(F.filter("_rows", lambda r: keep(r[column], F.col("_values"), F.size("_rows")))))
 
 
 def selected_regions(stats: DataFrame, top_frac: float) -> DataFrame:
     """Regions whose ratio is above that at place floor(top_frac * n) of the sorted ratios: with 0.1 about nine tenths."""
     if not 0 <= top_frac < 1:
         raise ValueError("top_frac must be from 0 to below 1")
-    known = stats.where("ratio is not null")
-    threshold = order_statistic(known, "ratio", F.floor(F.size("v") * F.lit(top_frac)))
-    return known.where(F.col("ratio") > threshold)
+    return _kept(stats, "ratio", lambda x, known, _: x > F.get(known, F.floor(F.size(known) * F.lit(top_frac)).cast("int")))
 
 
 def variance_filter(stats: DataFrame, sigma2_max: float = 1000.0, frac_r: float = 1.0) -> DataFrame:
@@ -87,11 +92,12 @@ def variance_filter(stats: DataFrame, sigma2_max: float = 1000.0, frac_r: float
 
     sigma2_min stands at place min(floor(R * (1 - frac_r)), known - 1) of the sorted known ratios; R counts all regions.
     """
-    known = stats.agg(F.count("ratio")).scalar()
-    sizes = stats.agg(F.count(F.lit(1)).alias("r"), F.count("ratio").alias("k"), F.array_sort(F.collect_list("ratio")).alias("v"))
-    place = F.least(F.floor(F.col("r") * F.lit(1.0 - frac_r)), F.col("k") - 1).cast("int")
-    least = sizes.select(F.when(F.col("k") > 0, F.get("v", F.greatest(place, F.lit(0)))).alias("value")).scalar()
-    return stats.where((known == 0) | ((F.col("ratio") >= least) & (F.col("ratio") <= sigma2_max)))
+
+    def keep(x: Column, known: Column, r: Column) -> Column:
+        place = F.greatest(F.least(F.floor(r * F.lit(1.0 - frac_r)), F.size(known) - 1), F.lit(0)).cast("int")
+        return (F.size(known) == 0) | ((x >= F.get(known, place)) & (x <= sigma2_max))
+
+    return _kept(stats, "ratio", keep)
 
 
 def extreme_columns(stats: DataFrame, sigma2_max: float) -> DataFrame:

@@ -99,6 +99,15 @@ def _stats(spark, ratios):
     return spark.createDataFrame([(i, i + 1, r) for i, r in enumerate(ratios)], "start long, end long, ratio double")
 
 
+def test_bounds_come_from_the_rows_that_they_are_held_against(spark):
+    """Ratios that every evaluation gives anew, as sums in another order do: the row at the bound's place stays or goes."""
+    anew = F.udf(lambda i: i + random.random(), "double").asNondeterministic()
+    stats = spark.range(9).select(F.col("id").alias("start"), (F.col("id") + 1).alias("end"), F.lit(1.0).alias("mu"), F.lit(1.0).alias("var"), anew(F.col("id") * 0).alias("ratio"))
+    for _ in range(4):
+        assert len(rows(normalize.variance_filter(stats, frac_r=0.5))) == 5
+        assert len(rows(normalize.selected_regions(stats, 0.5))) == 4
+
+
 def test_selection_and_variance_filter(spark):
     assert [r[2] for r in rows(normalize.selected_regions(_stats(spark, [1.0, 5.0, 10.0, 2.0]), 0.5))] == [10.0]
     with pytest.raises(ValueError):
