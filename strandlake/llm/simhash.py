@@ -252,13 +252,13 @@ def forest(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(limit: int, similarity: float, forests: int):
+def _candidates(limit: int, similarity: float, forests: int | None):
     """Buckets of packed probes to pairs (a, b), a < b, of nodes with different labels that share a probe and may be similar
     by distance and size: `forests` shortest spanning forests of the labels, each of edges that those before it left.
 
     So a bucket gives no more than `forests` pairs for each of its nodes, the likeliest first. Of equal probes, all pairs
     within chunks of RUN are looked at, in the order of the fingerprints; in a longer run also a tree that reaches from one
-    node to the next all that are near.
+    node to the next all that are near. forests None: all pairs, of runs of any length, given as they are found.
     """
 
     def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,6 +280,12 @@ def _candidates(limit: int, similarity: float, forests: int):
     def edges(probe: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         first = np.flatnonzero(np.append(True, probe[1:] != probe[:-1]))
         size = np.diff(np.append(first, len(probe)))
+        if forests is None:
+            for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                for i in range(a, a + n - 1):
+                    hit, differ = near(rows[i + 1 : a + n], rows[i])
+                    yield np.full(hit.sum(), i), i + 1 + np.flatnonzero(hit), differ[hit]
+            return
         for long, n in zip(first[size > RUN].tolist(), size[size > RUN].tolist(), strict=True):
             yield from tree(rows, np.arange(long, long + n))
         at = np.concatenate([np.arange(f, f + n, RUN) for f, n in zip(first[size > RUN].tolist(), size[size > RUN].tolist(), strict=True)] or [first[:0]])
@@ -292,6 +298,17 @@ def _candidates(limit: int, similarity: float, forests: int):
                     hit, differ = near(rows[start + i], rows[start + j])
                     yield start[hit] + i, start[hit] + j, differ[hit]
 
+    def every(probe: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+        held, n = [], 0
+        for a, b, _ in edges(probe, rows):
+            held.append(np.sort(np.column_stack([rows[a, 0], rows[b, 0]]), axis=1))
+            n += len(a)
+            if n >= 1 << 16:
+                yield np.unique(np.concatenate(held), axis=0)
+                held, n = [], 0
+        if n:
+            yield np.unique(np.concatenate(held), axis=0)
+
     def pairs(probe: np.ndarray, rows: np.ndarray) -> np.ndarray:
         found = [np.concatenate(x) for x in zip(*edges(probe, rows), strict=True)]
         if not found or not len(found[0]):
@@ -311,16 +328,15 @@ def _candidates(limit: int, similarity: float, forests: int):
         for bucket in grouped(batches):
             probe, rows = (np.concatenate(x) for x in zip(*(_unpack(n, packed) for _, n, packed in bucket), strict=True))
             order = np.lexsort((rows[:, 0], *(rows[:, i] for i in range(2 + LANES, 2, -1)), probe))
-            found = pairs(probe[order], rows[order])
-            for at in range(0, len(found), 1 << 16):
-                part = found[at : at + (1 << 16)]
+            found = pairs(probe[order], rows[order]) if forests else None
+            for part in every(probe[order], rows[order]) if found is None else (found[at : at + (1 << 16)] for at in range(0, len(found), 1 << 16)):
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _pairs(nodes: DataFrame, count: int, similarity: float, forests: int = 1) -> DataFrame:
-    """The different candidates (a, b) of `count` nodes (node, label, size, lanes, free)."""
+def _pairs(nodes: DataFrame, count: int, similarity: float, forests: int | None = 1) -> DataFrame:
+    """The different candidates (a, b) of `count` nodes (node, label, size, lanes, free); forests None: all of them."""
     buckets = 1 + (count * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
     packed = arrow_map(nodes.select("node", "label", "size", "lanes", "free"), _pack(buckets), "bucket long, n int, packed binary")
     find = _candidates(distance_limit(similarity), similarity, forests)
@@ -367,8 +383,10 @@ def _linked(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -
 
     In each round the candidates that join what no link joins yet are compared, the nearest first, a forest of them for
     each bucket. Two groups between which a link was missed have each a refused candidate on the way to the other: groups
-    that have one go into the next round, which looks MORE_FORESTS forests further. Rounds end when one confirms nothing.
-    So the number of comparisons grows with the nodes and rounds, not with the square of a group.
+    that have one go into the next round, which looks MORE_FORESTS forests further. Where a round confirms nothing, the
+    last one compares every candidate between different groups that is left, so that none goes uncompared. Comparisons
+    inside a group grow with its nodes, not with their square; those between groups that stay apart are as many as there
+    are candidates between them.
     """
     pairs = materialize(_pairs(nodes.withColumn("label", F.col("node")), nodes.count(), similarity), "candidates")
     members = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
@@ -384,23 +402,23 @@ def _linked(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -
     refused = tested.where(~F.col("similar")).select(F.explode(F.array("a", "b")).alias("_node")).distinct()
     unsettled = named.join(refused, F.col("node") == F.col("_node"), "left_semi").select(F.col("label").alias("_left")).distinct()
     again, n = _counted(named.join(unsettled, F.col("label") == F.col("_left"), "left_semi").select("node", "label", "size", "lanes", "free"), "again")
-    forests = 1
-    while True:
-        forests += MORE_FORESTS
+    confirmed = 1
+    forests: int | None = 1
+    while forests:
+        forests = forests + MORE_FORESTS if confirmed else None
         more = _pairs(again, n, similarity, forests).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more, confirmed = _counted(_confirmed(more, sets, similarity), "more", F.col("similar"))
+        tested = tested.unionByName(more)
         if not confirmed:
-            break
+            continue
         found = more.where("similar").select("a", "b")
-        similar, tested = similar.unionByName(found), tested.unionByName(more)
+        similar = similar.unionByName(found)
         of = again.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
         for c in ("a", "b"):
             found = found.join(of, F.col(c) == F.col("_node")).select(*(x for x in ("a", "b") if x != c), F.col("_label").alias(c))
         root = components(found).toDF("_old", "_new")
         again = again.join(root, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label"), "size", "lanes", "free")
         again = materialize(again, "again")
-    if forests == 1 + MORE_FORESTS:
-        return similar, roots
     later = again.select("node", F.col("label").alias("root"))
     return similar, roots.join(later, "node", "left_anti").unionByName(later)
 

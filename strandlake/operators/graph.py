@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from strandlake.tables import materialize
 
 
+#: Edges up to which a round is one task: moving so few between tasks takes longer than the round, and each of the many
+#: small stages costs the driver memory.
+FEW = 1 << 16
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -44,5 +49,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not now[0] or now == state:
             break
         state = now
+        edges = edges.coalesce(1) if now[0] <= FEW else edges
         edges = _small_star(_large_star(edges).distinct()).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select("b", "b").toDF("node", "root").distinct())

@@ -695,6 +695,23 @@ def test_pairs_just_above_the_similarity_are_found(spark):
     assert all(got[d] == d for d in got if d % 2 == 0) and sum(got[d] == d - 1 for d in got if d % 2) >= 0.98 * 400
 
 
+def test_many_refused_candidates_hide_no_link(spark):
+    """Equal fingerprints in one run: 70 texts of which only the farthest two in order are alike, and two groups between
+    which the likely candidates are refused: no count of forests or length of a run decides what is compared."""
+    rng = random.Random(23)
+    base = words(rng, 150, 5000).split()
+    rows = [(i, " ".join(f"x{i}y{j}" if j % 8 == i % 8 else w for j, w in enumerate(base))) for i in range(80)]
+    rows[79] = (79, rows[0][1] + " end")
+    # Distances put every other text between the two: the pair is the longest of the run.
+    lanes = [[(1 << i % 40) - 1 if i else 0, *[0] * (simhash.LANES - 1)] for i in range(80)]
+    lanes[79] = [(1 << 45) - 1, *[0] * (simhash.LANES - 1)]
+    nodes = [(i, i, len(brute.shingles(t, 5)), v, bytes(range(3)) * (simhash.KEY_LANES * simhash.LANE_SEGMENTS), (d, d)) for i, ((d, t), v) in enumerate(zip(rows, lanes, strict=True))]
+    schema = "node long, label long, size long, lanes array<long>, free binary, first struct<id:long,t:long>"
+    texts = spark.createDataFrame([(d, d, t) for d, t in rows], "id long, t long, text string")
+    links = simhash._links(common.materialize(spark.createDataFrame(nodes, schema).drop("label"), "nodes"), texts, 5, 0.8).collect()
+    assert {(r["a"], r["b"]) for r in links} == {(0, 79)}
+
+
 def test_refused_candidates_hide_no_links(spark):
     """A run of equal probes: the smallest node is near all in distance but similar to none, the others are in two chains."""
     rng = random.Random(17)
