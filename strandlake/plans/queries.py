@@ -386,11 +386,11 @@ def event_matrix(spark: SparkSession, d: str) -> DataFrame:
 def _text(df: DataFrame, line: F.Column, head: str | None = None, tail: str | None = None) -> str:
     """The path of text lines written to the shared folder, one for each row, with a line before or after all of them."""
     path = f"{shared_folder(df.sparkSession)}/lines"
-    one = lambda v, o: df.sparkSession.range(1).select(F.lit(v).alias("value"), F.lit(o).alias("o"))
-    lines = df.select(line.alias("value"), F.lit(1).alias("o"))
-    for v, o in ((head, 0), (tail, 2)):
-        lines = lines.unionByName(one(v, o)) if v is not None else lines
-    (lines.orderBy("o").coalesce(1) if head is not None else lines).select("value").write.text(path)
+    one = lambda v: df.sparkSession.range(1).select(F.lit(v).alias("value")).coalesce(1)
+    lines = df.select(line.alias("value"))
+    # A union keeps the order of partitions, each of which is a file: the first one has the head alone.
+    lines = one(head).unionByName(lines) if head is not None else lines
+    (lines.unionByName(one(tail)) if tail is not None else lines).write.text(path)
     return path
 
 
@@ -511,7 +511,7 @@ def neighbors_read(spark: SparkSession, d: str) -> DataFrame:
 def counts_read(spark: SparkSession, d: str) -> DataFrame:
     """A null count is written as Error, which the reader drops."""
     some = _reads(spark, d).join(S.samples(spark, d), "sample_id").select("sample_id", F.when(F.col("idx") % 5 != 0, F.col("reads")).alias("reads"))
-    return text.read_counts(spark, _written(spark, lambda p: sinks.write_counts(some.coalesce(1), p, S.READ_CHROM, S.READ_START, S.READ_END)))
+    return text.read_counts(spark, _written(spark, lambda p: sinks.write_counts(some, p, S.READ_CHROM, S.READ_START, S.READ_END)))
 
 
 @query

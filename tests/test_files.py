@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.config import Config
 from strandlake.operators import reads
 from strandlake.plans.pipeline import Pipeline
+from strandlake.plans import queries
 from strandlake.sources import bam, bgzf, text
 
 REFERENCES = {"chr5": 2_000_000, "chr6": 3_000_000, "chrX": 1000}
@@ -213,3 +214,11 @@ def test_tasks_grow_with_bytes_not_with_files(spark, tmp_path):
     back = bam.read_bam(spark, str(tmp_path / "b"), split_bytes=1 << 12)
     assert back.rdd.getNumPartitions() <= 40 and told(back) == told(own)
     assert all(p.is_file() for n in "lb" for p in (tmp_path / n).iterdir())
+
+
+def test_lines_with_a_head_are_written_by_several_tasks(spark):
+    """The head stands first in the order of files, and no task has all lines."""
+    rows = spark.range(0, 4000, 1, 4).select(F.concat(F.lit("S"), "id").alias("s"))
+    path = queries._text(rows, F.concat_ws("\t", "s", F.lit("1\t0\t1.5\t0.1\tS2\t2")), "ID\thap\tnbrInd\tcMlen\tcMedge\tIDnbr\thapNbr")
+    assert spark.read.text(path).select(F.input_file_name()).distinct().count() == 5
+    assert text.read_ibs(spark, path).count() == 4000
