@@ -35,8 +35,9 @@ def region_slice(alignments: DataFrame, chrom: str, start: int, end: int) -> Dat
 
 
 def write_slices(alignments: DataFrame, path: str, chrom: str, start: int, end: int) -> None:
-    """Slices of all samples at once, one folder for each."""
-    region_slice(alignments, chrom, start, end).write.mode("overwrite").partitionBy("sample_id").parquet(path)
+    """Slices of all samples at once, one folder for each. Samples are dealt to tasks first: a region lies in one or two of the
+    ranges of an ordered table, of which the tasks would else write the folders of all samples."""
+    region_slice(alignments, chrom, start, end).repartition("sample_id").write.mode("overwrite").partitionBy("sample_id").parquet(path)
 
 
 def write_indexed(alignments: DataFrame, path: str, partitions: int = 64) -> None:
