@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,29 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.tables import materialize
+from strandlake.tables import arrow_map, materialize
 
 __all__ = ["arrow_map", "blocks", "by_place", "integer_key", "chunks", "grouped", "materialize", "mix", "powers", "prefix_sums", "span_hash", "spans_of", "utf8"]
 
 #: Bytes of text that a kernel turns into numpy arrays at once; one longer text is taken alone.
 CHUNK_BYTES = 1 << 19
-#: Bytes of an Arrow batch between Spark and a Python worker; one longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_BYTES: where the session has Spark's own bound it is lowered to that, since
-    a batch of whole texts is held several times, by Spark and by the worker."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name) == "67108864b":
-        conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
-
-
 def by_place(df: DataFrame) -> DataFrame:
     """df with columns c0, c1, ..., so that no name of a user's column meets one that an operator uses."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.functions.columns import clip
-from strandlake.tables import materialize
+from strandlake.tables import arrow_map, materialize
 
 #: Fewest and most rows of a block, pivots, and how many vectors are looked at for each pivot.
 BLOCK_ROWS, PIVOTS, SAMPLE_EACH = (512, 4096), 16, 16
-#: Bytes of distances that a kernel holds at once.
-CHUNK_BYTES = 32 << 20
+#: Most blocks that a task compares with others at once, and into how many groups for each core they are dealt.
+GROUP_BLOCKS, GROUPS_EACH = 16, 4
+#: Bytes of distances that a kernel holds at once, and candidates for each wanted neighbour from which a row's k-th is looked for.
+CHUNK_BYTES, ROOMY = 8 << 20, 4
 #: How far a distance by matrix product may be off, as a share of the squared lengths.
 ROUNDING = 1e-11
 
@@ -45,23 +47,41 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances by matrix product; off by rounding."""
-    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2.0 * (a @ b.T)
+    out = a @ b.T
+    out *= -2.0
+    out += (a * a).sum(axis=1)[:, None]
+    out += (b * b).sum(axis=1)
+    return out
+
+
+def _first(k: int, i: np.ndarray, d: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The places of the k entries of each i with the least d, then name; in that order."""
+    order = np.lexsort((names, d, i))
+    i = i[order]
+    start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+    nth = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+    return order[nth < k]
 
 
 def _nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, squared distance) of the k nearest, the same id excluded; ties by id; none beyond the bound of
-    its row. Candidates come from products, with room for rounding; what is returned is summed from the differences."""
+    its row. Candidates come from products, with room for rounding; what is returned is summed from the differences.
+
+    Where the bounds leave few candidates, no k-th distance is looked for among all of them."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, CHUNK_BYTES // max(1, len(b) * 8))
     for at in range(0, len(a) if k > 0 and len(b) else 0, step):
         part = a[at : at + step]
         near = _products(part, b)
-        near[ids[at : at + step, None] == others[None]] = np.inf
-        reach = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(b) else np.full(len(part), np.inf)
-        if bound is not None:
-            reach = np.minimum(reach, bound[at : at + step])
-        room = ROUNDING * ((part * part).sum(axis=1) + (b * b).sum(axis=1).max())
-        i, j = np.nonzero((near <= (reach + 2 * room)[:, None]) & np.isfinite(near))
+        room = 2 * ROUNDING * ((part * part).sum(axis=1) + (b * b).sum(axis=1).max())
+        limit = np.full(len(part), np.inf) if bound is None else bound[at : at + step] + room
+        hit = near <= limit[:, None]
+        if k + 1 < len(b) and np.count_nonzero(hit) > ROOMY * k * len(part):
+            reach = np.partition(near, k, axis=1)[:, k]  # one of them may be the row itself
+            hit = near <= np.fmin(limit, reach + room)[:, None]
+        i, j = np.nonzero(hit)
+        other = (ids[at + i] != others[j]) & np.isfinite(near[i, j])
+        i, j = i[other], j[other]
         exact = np.empty(len(i))
         each = max(1, CHUNK_BYTES // max(8, b.shape[1] * 8))
         for p in range(0, len(i), each):
@@ -69,14 +89,36 @@ def _nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray,
         if bound is not None:
             inside = exact <= bound[at + i]
             i, j, exact = i[inside], j[inside], exact[inside]
-        order = np.lexsort((others[j], exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
-        nth = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-        found.append((at + i[nth < k], j[nth < k], exact[nth < k]))
+        kept = _first(k, i, exact, others[j])
+        found.append((at + i[kept], j[kept], exact[kept]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
+class _Block:
+    """A block's rows with the k nearest of each that are known so far."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, k: int, near: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.ids, self.vecs, self.k, self.near = ids, vecs, k, near
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.settle()
+
+    def settle(self) -> None:
+        """Takes what was found into the k nearest; bounds are the k-th distances, infinite if there are fewer."""
+        i, names, d = (np.concatenate(x) for x in zip(self.near, *self.new, strict=True))
+        kept = _first(self.k, i, d, names)
+        self.near, self.new = (i[kept], names[kept], d[kept]), []
+        count = np.bincount(self.near[0], minlength=len(self.ids))
+        self.bounds = np.full(len(self.ids), np.inf)
+        if self.k:
+            self.bounds[count == self.k] = self.near[2][np.cumsum(count)[count == self.k] - 1]
+
+    def meet(self, others: np.ndarray, vecs: np.ndarray) -> None:
+        i, j, d = _nearest(self.ids, self.vecs, others, vecs, self.k, self.bounds)
+        self.new.append((i, others[j], d))
+        if sum(len(x[0]) for x in self.new) >= len(self.near[0]) // 2:
+            self.settle()
+
+
 def _pivots(rows: DataFrame, n: int) -> np.ndarray:
     """At most n of the vectors, each far from those before, out of SAMPLE_EACH times as many that a hash picks."""
     some = rows.orderBy(F.xxhash64("id"), "id").limit(n * SAMPLE_EACH).select("vec").toArrow().column(0)
@@ -92,7 +134,8 @@ def neighbor_blocks(vectors: DataFrame, k: int, key: str = "sample_id", vec: str
     """(block, ids, vecs, bounds, bound, low, high, near): one row for each block of about block_rows vectors that lie
     together, the vectors one after another in `vecs`.
 
-    Rows are dealt by range of their nearest pivot and the distance to it. near: the k nearest within the block; bounds:
+    Rows are dealt by range of their nearest pivot and the distance to it. near: the k nearest within the block, by the
+    rows' places in it; bounds:
     the squared distance of each row's k-th, infinite if there are fewer; bound: the greatest of them; low, high: the
     least and greatest distance to each pivot. Only the pivots, a fixed number, are looked at by the driver.
     """
@@ -126,16 +169,16 @@ def neighbor_blocks(vectors: DataFrame, k: int, key: str = "sample_id", vec: str
         full = np.flatnonzero(np.bincount(i, minlength=len(ids)) == k) if k else np.zeros(0, int)
         bounds[full] = d[ends[full] - 1]
         names, reach = whole.column("id").combine_chunks(), away(a)
-        near = pa.StructArray.from_arrays([names.take(pa.array(i)), names.take(pa.array(j)), pa.array(d)], names=["id", "nbr_id", "sq_dist"])
+        near = pa.StructArray.from_arrays([pa.array(i.astype(np.int32)), names.take(pa.array(j)), pa.array(d)], names=["at", "nbr_id", "sq_dist"])
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
         block = pa.array([TaskContext.get().partitionId()], pa.int32())
         columns = [block, one(names), one(a.ravel()), one(bounds), pa.array([float(bounds.max())]), one(reach.min(axis=0)), one(reach.max(axis=0)), one(near)]
         yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "vecs", "bounds", "bound", "low", "high", "near"])
 
-    placed = rows.mapInArrow(place, f"id {kind}, vec array<double>, pivot int, reach double")
+    placed = arrow_map(rows, place, f"id {kind}, vec array<double>, pivot int, reach double")
     dealt = placed.repartitionByRange(max(1, -(-n // size)), "pivot", "reach", F.xxhash64("id"))
     lists = "vecs array<double>, bounds array<double>, bound double, low array<double>, high array<double>"
-    blocks = dealt.mapInArrow(within, f"block int, ids array<{kind}>, {lists}, near array<struct<id: {kind}, nbr_id: {kind}, sq_dist: double>>")
+    blocks = arrow_map(dealt, within, f"block int, ids array<{kind}>, {lists}, near array<struct<at: int, nbr_id: {kind}, sq_dist: double>>")
     return materialize(blocks, "blocks")
 
 
@@ -157,32 +200,68 @@ def _may_reach(least: Column, bound: Column, scale: Column) -> Column:
     return F.greatest(least - room, F.lit(0.0)) <= F.sqrt(bound) * (1 + 1e-9)
 
 
+def _flat(batch: pa.RecordBatch, name: str, at: int) -> pa.Array:
+    """A cell that holds a list, as an array."""
+    return batch.column(name).slice(at, 1).flatten()
+
+
+def _rows_of(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a block."""
+    ids, flat = _ids(_flat(batch, "ids", at)), _flat(batch, "vecs", at).to_numpy()
+    return ids, flat.reshape(len(ids), len(flat) // max(1, len(ids)))
+
+
 def nearest_neighbors(vectors: DataFrame, k: int, key: str = "sample_id", vec: str = "vec", block_rows: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """(key, rank int from 1, nbr_id, sq_dist): the k nearest other rows by squared Euclidean distance, ties by id. Exact.
 
     Vectors that lie together make blocks, each one row; each vector's k nearest within its block bound what is still
     wanted. Of the pairs of blocks only those meet that can hold something nearer by the distances to a few pivots:
-    `block_pairs`. Keys must be distinct, vectors of one length; an empty table gives no rows.
+    `block_pairs`. Up to GROUP_BLOCKS blocks make a group, to which each block that any of them has to meet is sent once; a
+    task holds the group's vectors with the k nearest so far and one other block at a time, so that nothing but the k
+    nearest leaves it. Keys must be distinct, vectors of one length; an empty table gives no rows.
     """
     blocks = neighbor_blocks(vectors, k, key, vec, block_rows, pivots)
     kind = vectors.schema[key].dataType.simpleString()
+    wide = GROUPS_EACH * vectors.sparkSession.sparkContext.defaultParallelism
+    n = blocks.count()
+    each = max(1, min(GROUP_BLOCKS, n // wide))
+
+    def ranked(own: dict[int, _Block], names: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for block in own.values():
+            block.settle()
+            i, nbrs, d = block.near
+            start = np.searchsorted(i, np.arange(len(block.ids)))
+            columns = [pa.array(block.ids[i].tolist(), names), pa.array((np.arange(len(i)) - start[i] + 1).astype(np.int32)), pa.array(nbrs.tolist(), names), pa.array(d)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "rank", "nbr_id", "sq_dist"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own, names = None, {}, None
         for batch in batches:
+            names = batch.schema.field("ids").type.value_type
             for at in range(batch.num_rows):
-                names, others, bounds = (batch.column(c).slice(at, 1).flatten() for c in ("ids", "_ids", "bounds"))
-                a, b = (batch.column(c).slice(at, 1).flatten().to_numpy().reshape(len(x), -1 if len(batch.column(c).slice(at, 1).flatten()) else 0) for c, x in (("vecs", names), ("_vecs", others)))
-                x, y, d = _nearest(_ids(names), a, _ids(others), b, k, bounds.to_numpy())
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), others.take(pa.array(y)), pa.array(d)], names=["id", "nbr_id", "sq_dist"])
-
-    left = blocks.select(F.col("block").alias("i"), "ids", "vecs", "bounds")
-    right = blocks.select(F.col("block").alias("j"), F.col("ids").alias("_ids"), F.col("vecs").alias("_vecs"))
-    met = block_pairs(blocks).join(left, "i").join(right, "j")
-    found = met.select("ids", "vecs", "bounds", "_ids", "_vecs").mapInArrow(meet, f"id {kind}, nbr_id {kind}, sq_dist double")
-    every = blocks.select(F.explode("near").alias("n")).select("n.*").unionByName(found)
-    order = Window.partitionBy("id").orderBy("sq_dist", "nbr_id")
-    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias(key), "rank", "nbr_id", "sq_dist")
+                if batch.column("group")[at].as_py() != group:
+                    yield from ranked(own, names)
+                    group, own = batch.column("group")[at].as_py(), {}
+                ids, vecs = _rows_of(batch, at)
+                if batch.column("for")[at].as_py() is None:
+                    near = _flat(batch, "near", at)
+                    i, nbrs, d = near.field("at").to_numpy(), _ids(near.field("nbr_id")), near.field("sq_dist").to_numpy()
+                    own[batch.column("block")[at].as_py()] = _Block(ids, vecs, k, (i.astype(int), nbrs if len(nbrs) else ids[:0], d))
+                    continue
+                for one in batch.column("for")[at].as_py():
+                    own[one].meet(ids, vecs)
+        if own:
+            yield from ranked(own, names)
+
+    of = lambda block: F.floor(block / F.lit(each)).cast("int")
+    asked = block_pairs(blocks).groupBy(of(F.col("i")).alias("group"), F.col("j").alias("block")).agg(F.sort_array(F.collect_list("i")).alias("for"))
+    kept = blocks.select("block", "ids", "vecs", "near")
+    home = kept.select(of(F.col("block")).alias("group"), "block", F.lit(None).cast("array<int>").alias("for"), "ids", "vecs", "near")
+    guests = asked.join(kept.drop("near"), "block").select("group", "block", "for", "ids", "vecs", F.lit(None).cast(kept.schema["near"].dataType).alias("near"))
+    # A group's own blocks come first.
+    met = home.unionByName(guests).repartition(max(1, -(-n // each)), "group").sortWithinPartitions("group", F.col("for").isNotNull())
+    found = arrow_map(met, meet, f"id {kind}, rank int, nbr_id {kind}, sq_dist double")
+    return found.select(F.col("id").alias(key), "rank", "nbr_id", "sq_dist")
 
 
 def with_scales(neighbors: DataFrame, scales: DataFrame, n_regions: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -230,6 +231,27 @@ def test_pairs_of_far_blocks_do_not_meet(spark):
     assert got == _brute_neighbors(points, 3)
 
 
+def test_nearest_neighbors_of_groups_of_blocks(spark):
+    """More blocks than groups, so that tasks hold several of them, with equal points in different blocks."""
+    rng = random.Random(5)
+    points = [(i, [float(rng.randrange(7)), float(rng.randrange(7))]) for i in range(480)]
+    want = sorted((i, r, j, d) for i, a in points for r, (d, j) in enumerate(sorted((float(((np.array(a) - np.array(b)) ** 2).sum()), j) for j, b in points if j != i)[:4], 1))
+    df = spark.createDataFrame(points, "sample_id long, vec array<double>").repartition(5)
+    found = knn.nearest_neighbors(df, 4, block_rows=8)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()  # no more than the k nearest leave a task
+
+
+def test_nearest_holds_few_distances():
+    rng = np.random.default_rng(3)
+    ids, a, b = np.arange(4096), rng.normal(size=(4096, 16)), rng.normal(size=(4096, 16))
+    tracemalloc.start()
+    knn._nearest(ids, a, ids + 4096, b, 5, np.full(4096, 4.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 def test_neighbors_of_nothing(spark):
     assert knn.nearest_neighbors(spark.createDataFrame([], "sample_id string, vec array<double>"), 3).collect() == []
     assert knn.nearest_neighbors(spark.createDataFrame([("A", [])], "sample_id string, vec array<double>"), 3).collect() == []
