@@ -323,8 +323,9 @@ def adjacency_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _phasing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    edges = haplotype.ibs_edges(S.ibs(spark, d), S.samples(spark, d))
-    return haplotype.phase_init(S.irr(spark, d), edges), edges
+    """Where phasing starts, and its edges. Both are written once: rounds and what follows them read them several times."""
+    edges = materialize(haplotype.ibs_edges(S.ibs(spark, d), S.samples(spark, d)), "edges")
+    return materialize(haplotype.phase_init(S.irr(spark, d), edges), "start"), edges
 
 
 @query

@@ -38,6 +38,12 @@ def test_query_matches_sql(spark, name):
     same(spark, name, queries.REGISTRY[name], oracle.ORACLE[name])
 
 
+def test_phasing_reads_its_tables_once(spark):
+    """Rounds and outputs read what was written, not the match lines again."""
+    read = [f for df in queries._phasing(spark, SF) for f in df.inputFiles()]
+    assert read and not any("lineitem" in f for f in read)
+
+
 def test_every_query_has_sql():
     assert set(oracle.ORACLE) == set(queries.REGISTRY)
     assert set(oracle.ORACLE) <= set(__spark_entry__.oracle_sql()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
