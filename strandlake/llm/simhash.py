@@ -395,7 +395,7 @@ def _linked(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -
     sets = materialize(shingle_sets(texts.join(own, (F.col("id") == F.col("_id")) & (F.col("t") == F.col("_t"))).select("node", "text"), words), "sets")
     tested, n = _counted(_confirmed(pairs, sets, similarity), "tested", ~F.col("similar"))
     similar = tested.where("similar").select("a", "b")
-    roots = components(similar)
+    roots = materialize(components(similar), "roots")
     if not n:
         return similar, roots
     named = nodes.join(roots.toDF("_of", "label"), F.col("node") == F.col("_of"), "left").withColumn("label", F.coalesce("label", "node"))

@@ -323,6 +323,17 @@ def test_index_status(spark):
     assert rows(files.file_status(samples, listing, "cram")) == [("S1", "has_index"), ("S10", "has_index"), ("S2", "missing_index"), ("S3", "missing_file")]
 
 
+def test_components_of_few_edges_are_one_round(spark, monkeypatch):
+    """A path takes several rounds of stars, and one table where one task may settle it; both give the same."""
+    df, written = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), []
+    monkeypatch.setattr(graph, "materialize", lambda d, name, own=graph.materialize: (written.append(name), own(d, name))[1])
+    assert rows(graph.components(df)) == [(i, 0) for i in range(51)]
+    assert len(written) == 1
+    monkeypatch.setattr(graph, "FEW", -1)
+    assert rows(graph.components(df)) == [(i, 0) for i in range(51)]
+    assert len(written) > 3
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
