@@ -21,6 +21,9 @@ GROUP_BLOCKS, GROUPS_EACH = 16, 4
 CHUNK_BYTES, ROOMY = 8 << 20, 4
 #: How far a distance by matrix product may be off, as a share of the squared lengths.
 ROUNDING = 1e-11
+#: Bytes of single precision bounds that a kernel holds at once, so that they stay in a core's cache; the largest value of a
+#: vector for which they are taken.
+BOUND_BYTES, BOUND_LARGEST = 1 << 20, 1e150
 
 
 def features(z: DataFrame, regions: DataFrame, zmax: float = 2.0) -> tuple[DataFrame, int]:
@@ -56,18 +59,65 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _first(k: int, i: np.ndarray, d: np.ndarray, names: np.ndarray) -> np.ndarray:
     """The places of the k entries of each i with the least d, then name; in that order."""
-    order = np.lexsort((names, d, i))
+    order = np.lexsort((d, i))
+    if ((i[order[1:]] == i[order[:-1]]) & (d[order[1:]] == d[order[:-1]])).any():  # names take long to sort
+        order = np.lexsort((names, d, i))
     i = i[order]
     start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
     nth = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
     return order[nth < k]
 
 
+def _within(a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of a, row of b) in pieces: every pair whose squared distance is within the finite bound of its row of a, and few
+    others. One product in single precision gives lower bounds of the distances: the squared lengths that are part of it
+    are lessened by as much as all its roundings can come to.
+    """
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    scale = max(np.abs(a).max(), np.abs(b).max()) or 1.0
+    a, b = a / scale, b / scale
+    less = 1 - 2.1 * (a.shape[1] + 8) * 2.0**-24
+    one, two = np.empty((len(a), a.shape[1] + 2), np.float32), np.empty((len(b), a.shape[1] + 2), np.float32)
+    one[:, :-2], one[:, -2], one[:, -1] = a * -2.0, (a * a).sum(axis=1) * less, 1.0
+    two[:, :-2], two[:, -2], two[:, -1] = b, 1.0, (b * b).sum(axis=1) * less
+    limit = np.minimum(bound / scale / scale * (1 + 1e-6) + 1e-36, 1e30).astype(np.float32)[:, None]
+    step = max(1, BOUND_BYTES // (4 * len(b)))
+    out = np.empty((min(step, len(a)), len(b)), np.float32)
+    for at in range(0, len(a), step):
+        low = np.matmul(one[at : at + step], two.T, out=out[: len(a) - at])
+        i, j = np.divmod(np.flatnonzero(low <= limit[at : at + step]), len(b))
+        if len(i):
+            yield at + i, j
+
+
+def _closer(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _nearest, of vectors and bounds that are finite: the pairs of _within, summed from the differences."""
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    each = max(1, CHUNK_BYTES // max(8, b.shape[1] * 8))
+    for rows, places in _within(a, b, bound):
+        for p in range(0, len(rows), each):
+            i, j = rows[p : p + each], places[p : p + each]
+            exact = ((a[i] - b[j]) ** 2).sum(axis=1)
+            kept = (exact <= bound[i]) & (ids[i] != others[j])
+            i, j, exact = i[kept], j[kept], exact[kept]
+            if len(i) > ROOMY * k:
+                kept = _first(k, i, exact, others[j])
+                i, j, exact = i[kept], j[kept], exact[kept]
+            found.append((i, j, exact))
+    i, j, exact = (np.concatenate(x) for x in zip(*found, strict=True))
+    kept = _first(k, i, exact, others[j])
+    return i[kept], j[kept], exact[kept]
+
+
 def _nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, squared distance) of the k nearest, the same id excluded; ties by id; none beyond the bound of
     its row. Candidates come from products, with room for rounding; what is returned is summed from the differences.
 
-    Where the bounds leave few candidates, no k-th distance is looked for among all of them."""
+    Where the bounds leave few candidates, no k-th distance is looked for among all of them; finite bounds go before
+    products in double precision."""
+    if bound is not None and k > 0 and len(a) and len(b) and a.shape[1] and np.isfinite(bound).all() and max(np.abs(a).max(), np.abs(b).max()) <= BOUND_LARGEST:
+        return _closer(ids, a, others, b, k, bound)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, CHUNK_BYTES // max(1, len(b) * 8))
     for at in range(0, len(a) if k > 0 and len(b) else 0, step):

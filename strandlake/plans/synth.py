@@ -48,8 +48,9 @@ def repeat_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = lambda flag, status: F.count_if((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status))
-    return table(spark, sf_dir, "lineitem").groupBy(_name("l_suppkey").alias("sample_id")).agg(
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
         many("A", "F").alias("kiv3"), many("N", "O").alias("kiv2"), many("R", "F").alias("tied"), many("N", "F").alias("exon1a"))
+    return counted.select(_name("l_suppkey").alias("sample_id"), "kiv3", "kiv2", "tied", "exon1a")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

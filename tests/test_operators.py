@@ -400,3 +400,18 @@ def test_numbers_are_gapless_in_order(spark):
     got = sorted((r["at"], r["k"]) for r in out.collect())
     assert out.columns == ["k", "v", "at"] and [a for a, _ in got] == list(range(300)) and [k for _, k in got] == sorted(k for _, k in got)
     assert numbering.numbered(df.where("k < 0"), ["k"], "at").collect() == []
+
+
+def test_bounds_in_single_precision_lose_no_neighbor(monkeypatch):
+    """Distances at the bound itself, far from the origin, of mixed sizes, and with ties, as products in double precision give them."""
+    rng = np.random.default_rng(31)
+    sets = [np.clip(rng.normal(size=(300, 49)), -2, 2), 1e6 + rng.normal(size=(300, 5)), rng.normal(size=(300, 3)) * 10.0 ** rng.integers(-25, 25, (300, 1)), np.round(rng.normal(size=(300, 2)))]
+    for vecs in (*sets, np.zeros((300, 2))):
+        a, b, ids = vecs[:120], vecs[120:], np.array([f"S{i}" for i in rng.permutation(300)])
+        exact = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+        bound = np.sort(exact, axis=1)[:, 6]  # the seventh nearest lies at the bound
+        want = [sorted((d, n) for d, n in zip(row, ids[120:].tolist(), strict=True) if d <= limit)[:7] for row, limit in zip(exact.tolist(), bound.tolist(), strict=True)]
+        monkeypatch.setattr(knn, "_products", None)  # no product in double precision is needed
+        i, j, d = knn._nearest(ids[:120], a, ids[120:], b, 7, bound)
+        monkeypatch.undo()
+        assert [[(x, n) for x, n in zip(d[i == row].tolist(), ids[120:][j[i == row]].tolist(), strict=True)] for row in range(120)] == want
