@@ -252,13 +252,13 @@ def forest(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(limit: int, similarity: float, forests: int | None):
+def _candidates(limit: int, similarity: float, forests: int):
     """Buckets of packed probes to pairs (a, b), a < b, of nodes with different labels that share a probe and may be similar
     by distance and size: `forests` shortest spanning forests of the labels, each of edges that those before it left.
 
     So a bucket gives no more than `forests` pairs for each of its nodes, the likeliest first. Of equal probes, all pairs
     within chunks of RUN are looked at, in the order of the fingerprints; in a longer run also a tree that reaches from one
-    node to the next all that are near. forests None: all pairs, of runs of any length, given as they are found.
+    node to the next all that are near.
     """
 
     def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,12 +280,6 @@ def _candidates(limit: int, similarity: float, forests: int | None):
     def edges(probe: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         first = np.flatnonzero(np.append(True, probe[1:] != probe[:-1]))
         size = np.diff(np.append(first, len(probe)))
-        if forests is None:
-            for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                for i in range(a, a + n - 1):
-                    hit, differ = near(rows[i + 1 : a + n], rows[i])
-                    yield np.full(hit.sum(), i), i + 1 + np.flatnonzero(hit), differ[hit]
-            return
         for long, n in zip(first[size > RUN].tolist(), size[size > RUN].tolist(), strict=True):
             yield from tree(rows, np.arange(long, long + n))
         at = np.concatenate([np.arange(f, f + n, RUN) for f, n in zip(first[size > RUN].tolist(), size[size > RUN].tolist(), strict=True)] or [first[:0]])
@@ -298,17 +292,6 @@ def _candidates(limit: int, similarity: float, forests: int | None):
                     hit, differ = near(rows[start + i], rows[start + j])
                     yield start[hit] + i, start[hit] + j, differ[hit]
 
-    def every(probe: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
-        held, n = [], 0
-        for a, b, _ in edges(probe, rows):
-            held.append(np.sort(np.column_stack([rows[a, 0], rows[b, 0]]), axis=1))
-            n += len(a)
-            if n >= 1 << 16:
-                yield np.unique(np.concatenate(held), axis=0)
-                held, n = [], 0
-        if n:
-            yield np.unique(np.concatenate(held), axis=0)
-
     def pairs(probe: np.ndarray, rows: np.ndarray) -> np.ndarray:
         found = [np.concatenate(x) for x in zip(*edges(probe, rows), strict=True)]
         if not found or not len(found[0]):
@@ -328,15 +311,15 @@ def _candidates(limit: int, similarity: float, forests: int | None):
         for bucket in grouped(batches):
             probe, rows = (np.concatenate(x) for x in zip(*(_unpack(n, packed) for _, n, packed in bucket), strict=True))
             order = np.lexsort((rows[:, 0], *(rows[:, i] for i in range(2 + LANES, 2, -1)), probe))
-            found = pairs(probe[order], rows[order]) if forests else None
-            for part in every(probe[order], rows[order]) if found is None else (found[at : at + (1 << 16)] for at in range(0, len(found), 1 << 16)):
+            found = pairs(probe[order], rows[order])
+            for part in (found[at : at + (1 << 16)] for at in range(0, len(found), 1 << 16)):
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _pairs(nodes: DataFrame, count: int, similarity: float, forests: int | None = 1) -> DataFrame:
-    """The different candidates (a, b) of `count` nodes (node, label, size, lanes, free); forests None: all of them."""
+def _pairs(nodes: DataFrame, count: int, similarity: float, forests: int = 1) -> DataFrame:
+    """The different candidates (a, b) of `count` nodes (node, label, size, lanes, free)."""
     buckets = 1 + (count * KEY_LANES * LANE_SEGMENTS << FREE_BITS) // BUCKET_PROBES
     packed = arrow_map(nodes.select("node", "label", "size", "lanes", "free"), _pack(buckets), "bucket long, n int, packed binary")
     find = _candidates(distance_limit(similarity), similarity, forests)
@@ -373,6 +356,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", (shared / (F.size("_grams_a") + F.size("_grams_b") - shared) >= similarity).alias("similar"))
 
 
+#: Counters of shingles, of a fixed number: shingles that share one only stand further back in the order.
+COUNTERS = 1 << 17
+
+
+def _counters(grams: np.ndarray) -> np.ndarray:
+    return (grams.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _how_often(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each counter occur in sets(grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_counters(batch.column(0).flatten().to_numpy()), minlength=COUNTERS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+    counted = arrow_map(sets.select("grams"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The different pairs (a, b), a < b, of nodes(node, label) with different labels whose sets(node, grams) may be similar
+    by the prefix filter; it loses none that is.
+
+    Sets are put into one order, rare shingles first. Two sets of sizes x and y reach the similarity only if they share
+    `most` of their shingles, so the first x - most + 1 of one and the first y - most + 1 of the other have one in common.
+    Edited copies of one text share frequent shingles and differ in rare ones, so they meet only if few are edited.
+    """
+    own = nodes.select(F.col("node").alias("_of"), "label")
+    labelled = sets.join(own, F.col("node") == F.col("_of")).select("node", "label", "grams")
+    often = sets.sparkSession.sparkContext.broadcast(_how_often(labelled))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, label, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = np.unique(grams.values.to_numpy())
+                every = len(own)
+                first = min(every, every - int(np.ceil(similarity * every - 1e-6)) + 1)
+                own = own[np.lexsort((own, often.value[_counters(own)]))[:first]]
+                same = [pa.array(np.full(first, x, np.int64)) for x in (node, label, every)]
+                yield pa.RecordBatch.from_arrays([pa.array(own), *same, pa.array(np.arange(first))], names=["gram", "node", "label", "size", "at"])
+
+    rows = materialize(arrow_map(labelled, run, "gram long, node long, label long, size long, at long"), "prefixes")
+    one, two = (rows.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "at"))) for x in "ab")
+    most = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+    fit = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity - 1e-9)
+    early = (F.col("at_a") <= F.col("size_a") - most) & (F.col("at_b") <= F.col("size_b") - most)
+    met = one.join(two, (one["gram"] == two["gram"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fit & early)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 #: Rows to be dropped or compared up to which their ids are broadcast and texts stay where they are; beyond, both are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -384,9 +422,9 @@ def _linked(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -
     In each round the candidates that join what no link joins yet are compared, the nearest first, a forest of them for
     each bucket. Two groups between which a link was missed have each a refused candidate on the way to the other: groups
     that have one go into the next round, which looks MORE_FORESTS forests further. Where a round confirms nothing, the
-    last one compares every candidate between different groups that is left, so that none goes uncompared. Comparisons
-    inside a group grow with its nodes, not with their square; those between groups that stay apart are as many as there
-    are candidates between them.
+    last one compares every pair between different groups that is left and may be similar by `_prefix_pairs`, so that none
+    goes uncompared. Comparisons inside a group grow with its nodes, not with their square; those between groups that stay
+    apart are as many as there are pairs that the prefix filter cannot tell apart.
     """
     pairs = materialize(_pairs(nodes.withColumn("label", F.col("node")), nodes.count(), similarity), "candidates")
     members = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
@@ -406,7 +444,8 @@ def _linked(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -
     forests: int | None = 1
     while forests:
         forests = forests + MORE_FORESTS if confirmed else None
-        more = _pairs(again, n, similarity, forests).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = _pairs(again, n, similarity, forests) if forests else _prefix_pairs(again, sets, similarity)
+        more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more, confirmed = _counted(_confirmed(more, sets, similarity), "more", F.col("similar"))
         tested = tested.unionByName(more)
         if not confirmed:

@@ -740,3 +740,39 @@ def test_refused_candidates_hide_no_links(spark):
 
 def test_materialize_keeps_rows(spark):
     assert common.materialize(docs_of(spark, AWKWARD), "x").count() == len(AWKWARD)
+
+
+def test_prefix_pairs_lose_none_that_is_similar(spark):
+    """Against all pairs of sets: edited copies of a few texts, sizes of all kinds, a similarity met exactly."""
+    rng = random.Random(41)
+    rows = []
+    for family in range(6):
+        base = [rng.getrandbits(62) for _ in range(10 + 30 * family)]
+        for i in range(20):
+            own = set(base[: len(base) - rng.randrange(3)]) - set(rng.sample(base, rng.randrange(1 + len(base) // 6)))
+            rows.append((len(rows), i % 7, sorted(own | {rng.getrandbits(62) for _ in range(rng.randrange(1 + len(base) // 8))})))
+    rows += [(len(rows), 900, [1, 2, 3, 4]), (len(rows) + 1, 901, [1, 2, 3, 4, 5]), (len(rows) + 2, 902, []), (len(rows) + 3, 903, [6])]
+    sets = spark.createDataFrame([(n, g) for n, _, g in rows], "node long, grams array<long>")
+    nodes = spark.createDataFrame([(n, label) for n, label, _ in rows], "node long, label long")
+    got = {(r["a"], r["b"]) for r in simhash._prefix_pairs(nodes, sets, 0.8).collect()}
+    want = {(a, b) for a, x, g in rows for b, y, h in rows if a < b and x != y and g and len(set(g) & set(h)) / len(set(g) | set(h)) >= 0.8}
+    assert len(want) > 100 and want <= got
+    assert all(rows[a][1] != rows[b][1] for a, b in got)
+
+
+def test_last_round_compares_few_of_copies_that_stay_apart(spark, monkeypatch):
+    """Copies of one text, each with so many edits of its own that none is alike another: their fingerprints are near, yet
+    few of their pairs are compared; two alike ones among them are found."""
+    rng = random.Random(43)
+    base = words(rng, 150, 5000).split()
+    rows = [(i, " ".join(f"x{i}y{j}" if j in set(rng.sample(range(150), 5)) | {7 + i % 3, 75, 140} else w for j, w in enumerate(base))) for i in range(120)]
+    rows[119] = (119, rows[3][1] + " end")
+    nodes = [(i, len(brute.shingles(t, 5)), [0] * simhash.LANES, bytes(range(3)) * (simhash.KEY_LANES * simhash.LANE_SEGMENTS), (d, d)) for i, (d, t) in enumerate(rows)]
+    schema = "node long, size long, lanes array<long>, free binary, first struct<id:long,t:long>"
+    texts = spark.createDataFrame([(d, d, t) for d, t in rows], "id long, t long, text string")
+    compared, confirmed = [], simhash._confirmed
+    monkeypatch.setattr(simhash, "_confirmed", lambda pairs, *more: compared.append(pairs.count()) or confirmed(pairs, *more))
+    links = simhash._links(common.materialize(spark.createDataFrame(nodes, schema), "nodes"), texts, 5, 0.8).collect()
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and len(brute.shingles(s, 5) & brute.shingles(t, 5)) / len(brute.shingles(s, 5) | brute.shingles(t, 5)) >= 0.8}
+    assert want == {(3, 119)} == {(r["a"], r["b"]) for r in links}
+    assert compared[-1] <= len(rows)  # all pairs are 7140
